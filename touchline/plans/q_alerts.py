@@ -1 +1,138 @@
-"""Registered queries."""
+"""Registered alert / decision queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import alerts as al
+from ..operators import attribution as at
+from ..operators import metrics as mt
+from ..functions.ranking import global_row_number
+from .params import APP, LOOKBACK_DAYS, NOW, SPEND_FROM, SPEND_TO
+from .q_metrics import cost_per_first_order as _cpfo_query
+from .registry import register
+
+TODAY = "2024-01-06"   # first orders drop sharply after the first week
+FIRE_NOW = f"{TODAY} 12:00:00"
+APPS = ("services", "society")
+
+
+def _drop_sql(app):
+    return f"""SELECT '{app}' AS app, 'first_order_drop' AS rule_key, 'critical' AS severity, CAST(NULL AS VARCHAR) AS campaign,
+  CAST(NULL AS VARCHAR) AS city, CAST(NULL AS VARCHAR) AS category, 'first_orders_today' AS metric,
+  CAST(t AS DOUBLE) AS observed, prev / 7.0 AS threshold,
+  'First orders today (' || CAST(t AS VARCHAR) || ') down ' || CAST(CAST(round((1.0 - t / (prev / 7.0)) * 100.0, 0) AS BIGINT) AS VARCHAR)
+    || '% vs trailing avg (' || printf('%.1f', prev / 7.0) || ')' AS message
+FROM (SELECT count(*) FILTER (WHERE CAST(occurred_at AS DATE) = DATE '{TODAY}') AS t,
+             count(*) FILTER (WHERE CAST(occurred_at AS DATE) < DATE '{TODAY}') AS prev
+      FROM conversion WHERE app = '{app}' AND is_first_order AND occurred_at >= CAST(DATE '{TODAY}' - 7 AS TIMESTAMP)
+        AND occurred_at < CAST(DATE '{TODAY}' + 1 AS TIMESTAMP)) c
+WHERE prev / 7.0 > 0 AND (1.0 - t / (prev / 7.0)) * 100.0 >= {al.DROP_THRESHOLD_PCT}"""
+
+
+@register("rule_first_order_drop", " UNION ALL ".join(_drop_sql(a) for a in APPS), ("conversion",))
+def rule_first_order_drop(t):
+    out = None
+    for a in APPS:
+        p = al.rule_first_order_drop(t.conversion, a, TODAY)
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def _cpfo(t):
+    res = at.resolve_attribution(t.conversion, t.attribution_touch, t.ad_entity, APP, LOOKBACK_DAYS, resolved_at=NOW)
+    return mt.cost_per_first_order(t.ad_performance_daily, t.ad_entity, res, APP, SPEND_FROM, SPEND_TO)
+
+
+@register("rule_cost_high")
+def rule_cost_high(t):
+    """L1 over M6. On the fixture data matched first orders hang off campaign
+    entities while spend is ad-level (SURVEY X8), so no campaign has a cost
+    per first order and the rule is silent; the unit tests cover firing."""
+    return al.rule_cost_high(_cpfo(t), APP)
+
+
+def _proposals(t):
+    out = al.rule_cost_high(_cpfo(t), APP)
+    for a in APPS:
+        out = out.unionByName(al.rule_first_order_drop(t.conversion, a, TODAY))
+    return out
+
+
+def _prefilled_alerts(t):
+    """Alert table before this run: the society drop alert already fired
+    today, the services one fired yesterday."""
+    p = _proposals(t)
+    return p.withColumn("fired_at", F.when(F.col("app") == "society", F.lit(f"{TODAY} 08:00:00"))
+                        .otherwise(F.lit("2024-01-05 08:00:00")).cast("timestamp_ntz"))
+
+
+@register("fire_alerts", f"""
+WITH p AS ({" UNION ALL ".join(_drop_sql(a) for a in APPS)})
+SELECT app, rule_key, message, TIMESTAMP '{FIRE_NOW}' AS fired_at FROM p WHERE app <> 'society'
+""", ("conversion",))
+def fire_alerts(t):
+    fired = al.fire_alerts(_proposals(t), _prefilled_alerts(t), FIRE_NOW)
+    return fired.select("app", "rule_key", "message", "fired_at")
+
+
+@register("list_alerts", f"""
+WITH p AS ({" UNION ALL ".join(_drop_sql(a) for a in APPS)})
+SELECT app, rule_key, severity, message FROM p WHERE app = '{APP}'
+""", ("conversion",))
+def list_alerts(t):
+    alerts = _prefilled_alerts(t).unionByName(al.fire_alerts(_proposals(t), _prefilled_alerts(t), FIRE_NOW))
+    return al.list_alerts(alerts, APP, severity="critical").select("app", "rule_key", "severity", "message").distinct()
+
+
+@register("propose_pauses")
+def propose_pauses(t):
+    """L4 over the fired cost alerts (silent on the fixture data, see L1)."""
+    fired = al.fire_alerts(_proposals(t), _prefilled_alerts(t), FIRE_NOW)
+    return al.propose_pauses(fired, t.ad_entity, FIRE_NOW)
+
+
+def _budget_decisions(t):
+    """set_budget proposals for every spending ad at its daily average
+    spend over the spend window, numbered by external id."""
+    spend = (t.ad_performance_daily.where(F.col("app") == APP)
+             .groupBy("ad_entity_id").agg((F.sum("spend_inr") / 30).alias("amount")))
+    refs = (t.ad_entity.join(spend, t.ad_entity["id"] == spend["ad_entity_id"])
+            .select("app", "channel", F.col("level").alias("entity_level"), "external_id",
+                    F.lit("budget review").alias("reason"),
+                    F.concat(F.lit("budget:"), F.col("external_id")).alias("correlation_id"), "amount"))
+    d = al.propose_action(refs.withColumnRenamed("amount", "_amount").withColumn("amount", F.col("_amount")),
+                          "set_budget", F.col("_amount"), "human", NOW)
+    return global_row_number(d, [], ["external_id"], out="id")
+
+
+BUDGET_SQL = f"""d AS (SELECT row_number() OVER (ORDER BY e.external_id) AS id, e.app, e.channel, e.level AS entity_level, e.external_id,
+    CAST(round(sum(p.spend_inr) / 30, 2) AS DOUBLE) AS amount
+  FROM ad_performance_daily p JOIN ad_entity e ON e.id = p.ad_entity_id WHERE p.app = '{APP}'
+  GROUP BY e.app, e.channel, e.level, e.external_id)"""
+
+
+@register("propose_actions", f"""WITH {BUDGET_SQL}
+SELECT id, app, channel, entity_level, external_id, 'set_budget' AS action_type, 'dry_run' AS mode, 'proposed' AS status, amount
+FROM d""", ("ad_performance_daily",))
+def propose_actions(t):
+    d = _budget_decisions(t)
+    return d.select("id", "app", "channel", "entity_level", "external_id", "action_type", "mode", "status",
+                    F.round(F.get_json_object("action_params", "$.amountInr").cast("decimal(20,6)"), 2)
+                    .cast("double").alias("amount"))
+
+
+@register("approve_decisions", f"""WITH {BUDGET_SQL}
+SELECT id, CASE WHEN id BETWEEN 1 AND 5 THEN 'approved' ELSE 'proposed' END AS status,
+  CASE WHEN id BETWEEN 1 AND 5 THEN 'operator' END AS approved_by FROM d""", ("ad_performance_daily",))
+def approve_decisions(t):
+    decisions = _budget_decisions(t)
+    approvals = decisions.where(F.col("id").between(1, 5)).select("id", F.lit("operator").alias("approved_by"))
+    updated, _rejected = al.approve_decisions(decisions, approvals, NOW)
+    return updated.select("id", "status", "approved_by")
+
+
+@register("list_decisions", f"""WITH {BUDGET_SQL}
+SELECT id, external_id FROM d ORDER BY id DESC LIMIT 200""", ("ad_performance_daily",))
+def list_decisions(t):
+    return al.list_decisions(_budget_decisions(t), APP, status="proposed").select("id", "external_id")
