@@ -129,9 +129,9 @@ def _obs(t):
 
 
 @register("build_observations", f"""WITH {OBS_SQL}
-SELECT conv_id, turn, engine, prompt_key, run_at, brand_mentioned, CAST(NULL AS VARCHAR) AS cited_url,
+SELECT obs.conv_id, obs.turn, obs.engine, obs.prompt_key, obs.run_at, obs.brand_mentioned, CAST(NULL AS VARCHAR) AS cited_url,
   CAST(length(substring(a.text, 1, 10000)) AS INT) AS raw_chars
-FROM obs JOIN answers a USING (conv_id, turn)""", ("answers",))
+FROM obs JOIN answers a ON a.conv_id = obs.conv_id AND a.turn = obs.turn""", ("answers",))
 def build_observations(t):
     o = _obs(t)
     return o.select("conv_id", "turn", "engine", "prompt_key", "run_at", "brand_mentioned", "cited_url",
