@@ -41,14 +41,21 @@ def _bucket(ts: Column, hours: int) -> Column:
 def asof_last(targets: DataFrame, sources: DataFrame, *, target_key: Column | str,
               target_ts: str, target_id: str, source_key: Column | str, source_ts: str,
               source_tiebreak: list[str], source_cols: list[str], lookback_days: int | None,
-              out: str = "match", bucket_hours: int | None = 24) -> DataFrame:
+              out: str = "match", bucket_hours: int | None = 24,
+              target_tiebreak: list[str] | None = None, forward: bool = False) -> DataFrame:
     """Return ``targets`` plus a struct column ``out`` (NULL when no match)
     holding ``source_ts``, the tie-break columns and ``source_cols`` of the
     winning source row.
 
     ``target_id`` must be unique per target row; targets with a NULL key get
     a per-row sentinel key so they neither match nor pile into one task.
+
+    ``forward=True`` flips the direction: the *earliest* source whose
+    position ``(ts, tie-break…)`` is strictly after the target's position
+    ``(target_ts, target_tiebreak…)`` (no lookback).
     """
+    if forward and (target_tiebreak is None or lookback_days is not None):
+        raise ValueError("forward lookups need target_tiebreak and no lookback")
     tkey = F.col(target_key) if isinstance(target_key, str) else target_key
     skey = F.col(source_key) if isinstance(source_key, str) else source_key
     tcols = targets.columns
@@ -60,31 +67,40 @@ def asof_last(targets: DataFrame, sources: DataFrame, *, target_key: Column | st
                    F.struct(*src_fields).alias("_s"),
                    F.lit(None).cast(targets.select(F.struct(*tcols)).schema[0].dataType).alias("_t")))
     sentinel = F.concat(F.lit("\u0000"), F.col(target_id).cast("string"))
+    ord_type = src.schema["_ord"].dataType
+    tord = (F.struct(*[F.col(t).cast(f.dataType).alias(f.name) for t, f in zip(target_tiebreak, ord_type.fields)])
+            if target_tiebreak else F.lit(None).cast(ord_type))
     tgt = targets.select(F.coalesce(tkey.cast("string"), sentinel).alias("_k"),
                          F.col(target_ts).alias("_ts"), F.lit(1).alias("_kind"),
-                         F.lit(None).cast(src.schema["_ord"].dataType).alias("_ord"),
+                         tord.alias("_ord"),
                          F.lit(None).cast(src.schema["_s"].dataType).alias("_s"),
                          F.struct(*tcols).alias("_t"))
     both = src.unionByName(tgt)
 
+    if forward:
+        order = [F.col("_ts").desc(), F.col("_ord").desc()]
+    else:
+        order = [F.col("_ts"), F.col("_kind"), F.col("_ord")]
     if bucket_hours is None:
-        w = (Window.partitionBy("_k").orderBy("_ts", "_kind", "_ord")
+        w = (Window.partitionBy("_k").orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         hit = (both.withColumn("_m", F.last("_s", ignorenulls=True).over(w))
                .where(F.col("_kind") == 1))
     else:
         both = both.withColumn("_b", _bucket(F.col("_ts"), bucket_hours))
-        w = (Window.partitionBy("_k", "_b").orderBy("_ts", "_kind", "_ord")
+        w = (Window.partitionBy("_k", "_b").orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         same = (both.withColumn("_same", F.last("_s", ignorenulls=True).over(w))
                 .where(F.col("_kind") == 1).drop("_s", "_ord"))
         # one row per (key, bucket): the bucket's latest source, or NULL for
         # buckets that only hold targets
+        pick = F.min_by if forward else F.max_by
         per_bucket = (both.groupBy("_k", "_b")
-                      .agg(F.max_by(F.when(F.col("_kind") == 0, F.col("_s")),
-                                    F.when(F.col("_kind") == 0, F.struct("_ts", "_ord"))).alias("_lb"),
+                      .agg(pick(F.when(F.col("_kind") == 0, F.col("_s")),
+                                F.when(F.col("_kind") == 0, F.struct("_ts", "_ord"))).alias("_lb"),
                            F.max("_kind").alias("_has_target")))
-        wb = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        border = F.col("_b").desc() if forward else F.col("_b")
+        wb = Window.partitionBy("_k").orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
         prior = (per_bucket.withColumn("_prior", F.last("_lb", ignorenulls=True).over(wb))
                  .where(F.col("_has_target") == 1).select("_k", "_b", "_prior"))
         hit = (same.join(prior, ["_k", "_b"], "left")

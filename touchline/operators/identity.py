@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import identity_key
+from .asof import asof_last
 
 
 def with_identity(rows: DataFrame, links: DataFrame, row_id: str, out: str = "id",
@@ -43,16 +44,24 @@ def link_identities(existing: DataFrame, *sources: DataFrame) -> DataFrame:
             .join(existing.select("app", "session_id", "user_id"), ["app", "session_id", "user_id"], "left_anti"))
 
 
-def backfill_touch_users(touches: DataFrame) -> DataFrame:
-    """U4: touches whose user is NULL take the user of the first touch of the
-    same ``(app, session)`` that revealed one (arrival order
-    ``received_at, id``). Touches that already carry a user keep it.
+def backfill_touch_users(touches: DataFrame, bucket_hours: int | None = 24) -> DataFrame:
+    """U4: a touch stored without a user takes the user of the next touch of
+    the same ``(app, session)`` that revealed one, in arrival order
+    ``(received_at, id)`` — the sequential writer updates every earlier
+    anonymous touch of the session when a revealing touch arrives, so the
+    first revealer after an anonymous touch is the one that fills it.
 
-    One partial aggregate per session (``min_by``) joined back — no window
-    over a possibly hot session."""
-    revealed = (touches.where(F.col("user_id").isNotNull())
-                .groupBy("app", "session_id")
-                .agg(F.min_by("user_id", F.struct("received_at", "id")).alias("_revealed_user")))
-    return (touches.join(revealed, ["app", "session_id"], "left")
-            .withColumn("user_id", F.coalesce("user_id", "_revealed_user"))
-            .drop("_revealed_user"))
+    A forward as-of lookup on the bucketed kernel: a session with a huge
+    number of touches is split across its time buckets.
+    """
+    key = F.concat_ws("\u0001", F.col("app"), F.col("session_id"))
+    anon = touches.where(F.col("user_id").isNull() & F.col("session_id").isNotNull())
+    known = touches.where(F.col("user_id").isNotNull() | F.col("session_id").isNull())
+    revealers = touches.where(F.col("user_id").isNotNull() & F.col("session_id").isNotNull()) \
+        .select(key.alias("_k"), "received_at", "id", F.col("user_id").alias("_u"))
+    filled = asof_last(anon, revealers, target_key=key, target_ts="received_at", target_id="id",
+                       source_key="_k", source_ts="received_at", source_tiebreak=["id"], source_cols=["_u"],
+                       lookback_days=None, out="_rev", bucket_hours=bucket_hours,
+                       target_tiebreak=["id"], forward=True)
+    filled = filled.withColumn("user_id", F.col("_rev._u").cast(touches.schema["user_id"].dataType)).drop("_rev")
+    return known.unionByName(filled.select(*touches.columns))
