@@ -31,4 +31,4 @@ def register(name: str, sql: str | None = None, tables: tuple[str, ...] = ()):
 
 def load_all() -> None:
     from . import q_events, q_metrics, q_attribution, q_funnel, q_segments  # noqa: F401
-    from . import q_monitor, q_alerts, q_outbox, q_brand, q_ingest  # noqa: F401
+    from . import q_monitor, q_alerts, q_outbox, q_brand, q_ingest, q_streaming  # noqa: F401
