@@ -3,27 +3,29 @@ at or before the target's time and no older than a lookback.
 
 Spark has no as-of join operator. A range join (``s.ts BETWEEN t.ts - L AND
 t.ts``) emits every pair inside the lookback and explodes on busy keys, so the
-kernel is a sort-based sweep instead:
+kernel is a sort-based sweep over time buckets instead. Two exact forms:
 
-1. Sources and targets are unioned and time-bucketed (``bucket_hours``,
-   default one day). A window partitioned by ``(key, bucket)`` and ordered by
-   time carries the running ``last(source, ignorenulls)`` to each target — the
-   latest same-bucket source at or before it. At equal time sources sort
-   before targets (the bound is inclusive) and source ties sort by the given
-   tie-break columns, so the last one wins deterministically.
-2. For targets whose bucket has no earlier source, the candidate is the latest
-   source of an earlier bucket: sources are first reduced to one row per
-   ``(key, bucket)`` (a partial, map-side ``max_by``), and a window over that
-   reduced table — at most one row per bucket of the key's time span — carries
-   the previous bucket's winner forward.
-3. ``coalesce(same-bucket, earlier-bucket)`` is the latest source at or before
-   the target; it is kept only when inside the lookback. This is exact: if the
-   latest earlier source is too old, every earlier one is.
+**Replicated buckets** (default when a lookback ``L`` is given). Time is cut
+into buckets of ``bucket_hours`` (default: the lookback itself). A source at
+``ts`` can only serve targets in ``[ts, ts + L]``, so it is copied into the
+buckets ``bucket(ts) … bucket(ts + L)`` — exactly two when the bucket width is
+``L``. Sources and targets are then sorted inside ``(key, bucket)``
+partitions and a running ``last(source, ignorenulls)`` gives each target the
+latest source at or before it; every source inside its lookback is in its
+partition. One shuffle, sources copied ``L / width + 1`` times.
 
-No task ever holds more than one key's rows for one bucket, so a hot key (a
-bot identity, a shared session) is spread over as many tasks as it has
-buckets; there is no per-pair fan-out. ``bucket_hours=None`` gives the plain
-single-window sweep (one shuffle), fine when keys are known to be small.
+**Carried buckets** (no lookback, or ``forward=True``). Sources and targets
+are sorted inside ``(key, bucket)``; each bucket's last source is reduced to
+one row per ``(key, bucket)`` (a partial, map-side aggregate) and a window
+over that reduced table — one row per bucket of the key's time span — carries
+it to later buckets, joined back to targets whose own bucket had none.
+
+At equal time sources sort before targets (the bound is inclusive) and
+source ties sort by the tie-break columns, so the last one wins
+deterministically. In both forms a task holds one key's rows for one time
+bucket: a hot key (a bot identity, a shared session) is spread over as many
+tasks as it has buckets, and no pair is ever materialised.
+``bucket_hours=None`` is the plain single-window sweep (partition by key).
 """
 
 from __future__ import annotations
@@ -41,8 +43,9 @@ def _bucket(ts: Column, hours: int) -> Column:
 def asof_last(targets: DataFrame, sources: DataFrame, *, target_key: Column | str,
               target_ts: str, target_id: str, source_key: Column | str, source_ts: str,
               source_tiebreak: list[str], source_cols: list[str], lookback_days: int | None,
-              out: str = "match", bucket_hours: int | None = 24,
-              target_tiebreak: list[str] | None = None, forward: bool = False) -> DataFrame:
+              out: str = "match", bucket_hours: int | None | str = "lookback",
+              target_tiebreak: list[str] | None = None, forward: bool = False,
+              carry: bool = False) -> DataFrame:
     """Return ``targets`` plus a struct column ``out`` (NULL when no match)
     holding ``source_ts``, the tie-break columns and ``source_cols`` of the
     winning source row.
@@ -50,12 +53,16 @@ def asof_last(targets: DataFrame, sources: DataFrame, *, target_key: Column | st
     ``target_id`` must be unique per target row; targets with a NULL key get
     a per-row sentinel key so they neither match nor pile into one task.
 
+    ``carry=True`` forces the carried-bucket form even with a lookback.
     ``forward=True`` flips the direction: the *earliest* source whose
     position ``(ts, tie-break…)`` is strictly after the target's position
     ``(target_ts, target_tiebreak…)`` (no lookback).
     """
     if forward and (target_tiebreak is None or lookback_days is not None):
         raise ValueError("forward lookups need target_tiebreak and no lookback")
+    if bucket_hours == "lookback":
+        bucket_hours = lookback_days * 24 if lookback_days else 24
+    replicate = bucket_hours is not None and lookback_days is not None and not forward and not carry
     tkey = F.col(target_key) if isinstance(target_key, str) else target_key
     skey = F.col(source_key) if isinstance(source_key, str) else source_key
     tcols = targets.columns
@@ -86,6 +93,15 @@ def asof_last(targets: DataFrame, sources: DataFrame, *, target_key: Column | st
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         hit = (both.withColumn("_m", F.last("_s", ignorenulls=True).over(w))
                .where(F.col("_kind") == 1))
+    elif replicate:
+        reach = F.col("_ts") + F.make_dt_interval(days=F.lit(lookback_days))
+        src_b = F.explode(F.sequence(_bucket(F.col("_ts"), bucket_hours), _bucket(reach, bucket_hours)))
+        both = (src.select("*", src_b.alias("_b"))
+                .unionByName(tgt.withColumn("_b", _bucket(F.col("_ts"), bucket_hours))))
+        w = (Window.partitionBy("_k", "_b").orderBy(*order)
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        hit = (both.withColumn("_m", F.last("_s", ignorenulls=True).over(w))
+               .where(F.col("_kind") == 1))
     else:
         both = both.withColumn("_b", _bucket(F.col("_ts"), bucket_hours))
         w = (Window.partitionBy("_k", "_b").orderBy(*order)

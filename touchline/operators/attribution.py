@@ -29,7 +29,7 @@ def _with_touch_cols(touches: DataFrame) -> DataFrame:
 
 
 def last_touch(conversions: DataFrame, touches: DataFrame, app: str, lookback_days: int = 7,
-               bucket_hours: int | None = 24) -> DataFrame:
+               bucket_hours: int | None | str = "lookback") -> DataFrame:
     """A1: conversions of ``app`` plus ``touch`` (struct of the winning touch
     or NULL) and ``tier`` (``user`` / ``session`` / NULL).
 
@@ -94,7 +94,7 @@ def map_touch_to_entity(df: DataFrame, entities: DataFrame, app: str, touch: str
 
 def resolve_attribution(conversions: DataFrame, touches: DataFrame, entities: DataFrame, app: str,
                         lookback_days: int = 7, already_resolved: DataFrame | None = None,
-                        resolved_at: str | None = None, bucket_hours: int | None = 24) -> DataFrame:
+                        resolved_at: str | None = None, bucket_hours: int | None | str = "lookback") -> DataFrame:
     """A3: attribution result rows keyed ``(app, order_id)`` for every
     conversion not yet in ``already_resolved`` (idempotent re-runs)."""
     pending = conversions.where(F.col("app") == app)

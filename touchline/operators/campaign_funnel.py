@@ -131,7 +131,7 @@ def campaign_universe(tc: DataFrame, ac: DataFrame, f: FunnelFilters, top: int =
 
 def attributed_rows(touches: DataFrame, events: DataFrame, conversions: DataFrame, links: DataFrame,
                     alias: DataFrame, f: FunnelFilters, lookback_days: int,
-                    bucket_hours: int | None = 24) -> DataFrame:
+                    bucket_hours: int | None | str = "lookback") -> DataFrame:
     """F6–F8 + F10: every stage event (first in-window time per identity and
     stage) and every in-window conversion, with the campaign of the identity's
     last campaign touch in ``[t − L, t]``. Rows without one drop out.
@@ -204,7 +204,7 @@ def stage_and_order_counts(attributed: DataFrame) -> DataFrame:
 
 def campaign_funnel(entities: DataFrame, perf: DataFrame, touches: DataFrame, events: DataFrame,
                     conversions: DataFrame, links: DataFrame, f: FunnelFilters, lookback_days: int = 7,
-                    top: int = MAX_CAMPAIGNS, bucket_hours: int | None = 24) -> DataFrame:
+                    top: int = MAX_CAMPAIGNS, bucket_hours: int | None | str = "lookback") -> DataFrame:
     """the campaign funnel rows, best first."""
     ec = entity_campaign(entities, f.app)
     alias = campaign_alias(ec)

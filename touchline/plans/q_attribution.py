@@ -64,6 +64,24 @@ def last_touch_single_window(t):
     return lt.select(F.col("id").alias("conv_id"), "order_id", F.col("touch.id").alias("touch_id"), "tier")
 
 
+@register("last_touch_carried", f"""WITH {LAST_TOUCH_CTES}
+SELECT lt.id AS conv_id, lt.order_id, lt.touch_id, lt.tier FROM lt
+""", ("conversion", "attribution_touch"))
+def last_touch_carried(t):
+    """A1 on the carried-bucket form of the kernel (1-day buckets)."""
+    from ..operators.asof import asof_last
+    conv = t.conversion.where(F.col("app") == APP)
+    tt = at._with_touch_cols(t.attribution_touch.where(F.col("app") == APP))
+    common = dict(target_ts="occurred_at", target_id="id", source_ts="occurred_at",
+                  source_tiebreak=["received_at", "id"], source_cols=["utm_campaign"],
+                  lookback_days=LOOKBACK_DAYS, bucket_hours=24, carry=True)
+    u = asof_last(conv, tt, target_key="user_id", source_key="user_id", out="_u", **common)
+    sess = F.when(F.col("_u").isNull(), F.nullif(F.col("session_id"), F.lit("")))
+    s = asof_last(u, tt, target_key=sess, source_key=F.nullif(F.col("session_id"), F.lit("")), out="_s", **common)
+    return s.select(F.col("id").alias("conv_id"), "order_id", F.coalesce("_u.id", "_s.id").alias("touch_id"),
+                    F.when(F.col("_u").isNotNull(), "user").when(F.col("_s").isNotNull(), "session").alias("tier"))
+
+
 @register("map_touch_to_entity", f"""WITH {MAP_CTES}
 SELECT id AS touch_id, mapped_entity_id, mapped_channel
 FROM {map_sql(f"(SELECT * FROM attribution_touch WHERE app = '{APP}')")} q

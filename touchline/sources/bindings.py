@@ -51,14 +51,32 @@ def _channel_by_parity(k: F.Column) -> F.Column:
 
 
 class DriverTables:
-    """Lazily loaded raw tables and the model bindings over them."""
+    """Lazily built raw tables and the model bindings over them.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    One instance per ``(session, folder)`` is shared by all queries, so each
+    parquet file is listed once and each binding's logical plan is built once
+    (these are lazy plans, no data is cached)."""
+
+    _instances: dict[tuple[int, str], "DriverTables"] = {}
+
+    def __new__(cls, spark: SparkSession, sf_dir: str):
+        key = (id(spark), sf_dir.rstrip("/"))
+        inst = cls._instances.get(key)
+        if inst is None or inst.spark is not spark:
+            inst = super().__new__(cls)
+            inst._init(spark, sf_dir)
+            cls._instances[key] = inst
+        return inst
+
+    def _init(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._raw[name]
 
     # -- ad side ------------------------------------------------------------
     @cached_property
@@ -95,21 +113,27 @@ class DriverTables:
     def ad_performance_daily(self) -> DataFrame:
         li = self.raw("lineitem")
         ent = self.ad_entity.select(F.col("id").alias("ad_entity_id"), "channel")
-        price = F.col("l_extendedprice").cast("decimal(14,2)")
+        # money in integer paise: a decimal(14,2) is an exact long of cents,
+        # and long sums stay on the fast (non-BigDecimal) aggregation path
+        cents = (F.col("l_extendedprice").cast("decimal(14,2)") * 100).cast("long")
         returned = F.col("l_returnflag") == "R"
-        facts = li.select(
-            (F.lit(100000) + F.col("l_suppkey")).alias("ad_entity_id"),
-            F.date_add(F.lit(BASE_DAY).cast("date"), (F.col("l_orderkey") % 30).cast("int")).alias("stat_date"),
-            price.alias("price"), F.col("l_quantity").cast("bigint").alias("qty"), returned.alias("returned"))
+        # aggregate the fact rows first (map-side partial aggregation), then
+        # attach the entity's channel to the one row per ad and day
+        facts = (li.select((F.lit(100000) + F.col("l_suppkey")).alias("ad_entity_id"),
+                           F.date_add(F.lit(BASE_DAY).cast("date"), (F.col("l_orderkey") % 30).cast("int")).alias("stat_date"),
+                           cents.alias("cents"), F.col("l_quantity").cast("bigint").alias("qty"),
+                           returned.alias("returned"))
+                 .groupBy("ad_entity_id", "stat_date")
+                 .agg(F.sum("cents").alias("spend_cents"), F.sum("qty").alias("impressions"),
+                      F.count(F.lit(1)).alias("clicks"),
+                      F.sum(F.when(F.col("returned"), 1).otherwise(0)).alias("n_returned"),
+                      F.sum(F.when(F.col("returned"), F.col("cents")).otherwise(0)).alias("returned_cents")))
+        money = lambda c: (F.col(c).cast("decimal(24,0)") / 100).cast("decimal(24,2)")
         return (facts.join(ent, "ad_entity_id")
-                .groupBy("ad_entity_id", "stat_date", "channel")
-                .agg(F.sum("price").alias("spend_inr"), F.sum("qty").alias("impressions"),
-                     F.count(F.lit(1)).alias("clicks"),
-                     F.sum(F.when(F.col("returned"), 1).otherwise(0)).cast("decimal(14,2)").alias("conversions"),
-                     F.sum(F.when(F.col("returned"), F.col("price"))
-                           .otherwise(F.lit(0).cast("decimal(14,2)"))).alias("conv_value_inr"))
                 .select(F.lit(APP_MAIN).alias("app"), "ad_entity_id", "stat_date", "channel",
-                        "spend_inr", "impressions", "clicks", "conversions", "conv_value_inr"))
+                        money("spend_cents").alias("spend_inr"), "impressions", "clicks",
+                        F.col("n_returned").cast("decimal(14,2)").alias("conversions"),
+                        money("returned_cents").alias("conv_value_inr")))
 
     # -- product events and identity ---------------------------------------
     @cached_property
