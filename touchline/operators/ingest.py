@@ -497,3 +497,45 @@ def upsert_registry(target: DataFrame, changes: DataFrame, now: str) -> tuple[Da
            .select("id", *REGISTRY_KEY, "expected_frequency", "is_active"))
     out = cur.unionByName(new).withColumn("updated_at", n).orderBy("source", "event_name")
     return out, clash.select(*REGISTRY_KEY, F.lit("duplicate key").alias("error"))
+
+
+# ---------------------------------------------------------------------------
+# review snapshots
+# ---------------------------------------------------------------------------
+
+REVIEW_ZONE = "Asia/Kolkata"
+
+
+def _js_round2(x: Column) -> Column:
+    """``Math.round(x * 100) / 100`` on a double."""
+    return F.floor(x.cast("double") * 100.0 + 0.5) / 100.0
+
+
+def snapshot_reviews(fetches: DataFrame, existing: DataFrame | None = None, zone: str = REVIEW_ZONE,
+                     tiebreak: str | None = None) -> DataFrame:
+    """One review snapshot per ``(app, source, local day)``.
+
+    ``fetches`` are raw store reads: ``app, source, observed_at`` plus either
+    aggregate fields ``avg_rating`` / ``rating_count`` (lookup-style stores) or
+    a comment feed ``reviews: array<struct<star:int>>`` (feed-style store).
+    Aggregates give the rounded average and the count; a feed gives the mean
+    star over entries that carry one and the number of entries returned. The
+    first fetch of the local day wins (``tiebreak`` orders fetches with the
+    same time); days already in ``existing`` are kept.
+    """
+    feed = F.col("reviews")
+    stars = F.filter(F.transform(feed, lambda r: r["star"]), lambda s: s.isNotNull())
+    mean = F.aggregate(stars, F.lit(0).cast("long"), lambda a, s: a + s) / F.size(stars)
+    is_feed = feed.isNotNull()
+    tb = [F.col(tiebreak).alias("_tb")] if tiebreak else []
+    rows = fetches.select(
+        "app", "source", "observed_at", *tb,
+        F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("observed_at"))).alias("snapshot_date"),
+        F.when(is_feed, F.when(F.size(stars) > 0, _js_round2(mean)))
+        .otherwise(_js_round2(F.col("avg_rating"))).cast("decimal(3,2)").alias("rating_avg"),
+        F.when(is_feed, F.lit(None).cast("int")).otherwise(F.col("rating_count").cast("int")).alias("rating_count"),
+        F.when(is_feed, F.size(feed)).otherwise(F.lit(None).cast("int")).alias("new_reviews_count"))
+    target = existing if existing is not None else rows.where(F.lit(False))
+    out = insert_ignore(rows, target, ["app", "source", "snapshot_date"],
+                        order=["observed_at", "_tb"] if tiebreak else ["observed_at"])
+    return out.drop("_tb") if tiebreak else out

@@ -471,3 +471,55 @@ FROM conversion_orders GROUP BY 1""", ("conversion_orders",))
 def event_month_retention(t):
     """U5/U6 over the orders clock (months 1995–2001), as of 1998-06-15."""
     return ig.retain_event_months(t.conversion_orders, "1998-06-15 00:00:00", 13)
+
+
+# ---------------------------------------------------------------------------
+# review snapshots
+# ---------------------------------------------------------------------------
+
+def _review_fetches(t):
+    """Store reads derived from orders (one read per order) — lookup-style
+    stores carry aggregates, the feed-style store carries the order's line
+    items as review entries (a star on most of them)."""
+    o = t.raw("orders")
+    li = t.raw("lineitem")
+    feed = (li.groupBy("l_orderkey")   # ≤ 7 lines per order
+            .agg(F.sort_array(F.collect_list(F.struct(
+                F.col("l_linenumber").alias("n"),
+                F.when(F.col("l_quantity").cast("long") % 7 != 0, (F.col("l_quantity").cast("long") % 5 + 1).cast("int"))
+                .alias("star")))).alias("_r"))
+            .select(F.col("l_orderkey").alias("o_orderkey"),
+                    F.transform("_r", lambda x: F.struct(x["star"].alias("star"))).alias("reviews")))
+    src = F.when(F.col("o_orderkey") % 3 == 0, "google_business").when(F.col("o_orderkey") % 3 == 1, "play_store") \
+        .otherwise("app_store")
+    base = o.select("o_orderkey", src.alias("source"),
+                    (F.col("o_orderdate") + F.make_dt_interval(mins=(F.col("o_orderkey") % 1440).cast("int"))).alias("observed_at"),
+                    (F.lit(1.0) + (F.col("o_totalprice") % 400) / 100.0).alias("avg_rating"),
+                    F.col("o_custkey").cast("int").alias("rating_count"))
+    j = base.join(feed, "o_orderkey", "left")
+    return j.select(F.lit(APP).alias("app"), "source", "observed_at", "o_orderkey",
+                    F.when(F.col("source") != "play_store", F.col("avg_rating")).alias("avg_rating"),
+                    F.when(F.col("source") != "play_store", F.col("rating_count")).alias("rating_count"),
+                    F.when(F.col("source") == "play_store",
+                           F.coalesce("reviews", F.array().cast("array<struct<star:int>>"))).alias("reviews"))
+
+
+@register("snapshot_reviews", """
+WITH f AS (SELECT o.o_orderkey, CASE o.o_orderkey % 3 WHEN 0 THEN 'google_business' WHEN 1 THEN 'play_store' ELSE 'app_store' END AS source,
+                  o.o_orderdate + (o.o_orderkey % 1440) * INTERVAL 1 MINUTE AS observed_at,
+                  1.0 + (o.o_totalprice % 400) / 100.0 AS avg_rating, CAST(o.o_custkey AS INT) AS rating_count FROM orders o),
+ s AS (SELECT l_orderkey, count(*) AS n_entries,
+              avg(CASE WHEN CAST(l_quantity AS BIGINT) % 7 <> 0 THEN CAST(l_quantity AS BIGINT) % 5 + 1 END) AS mean_star
+       FROM lineitem GROUP BY 1),
+ r AS (SELECT f.*, CAST(f.observed_at + INTERVAL 330 MINUTE AS DATE) AS snapshot_date, s.n_entries, s.mean_star,
+              row_number() OVER (PARTITION BY f.source, CAST(f.observed_at + INTERVAL 330 MINUTE AS DATE) ORDER BY f.observed_at, f.o_orderkey) AS rn
+       FROM f LEFT JOIN s ON s.l_orderkey = f.o_orderkey)
+SELECT source, snapshot_date,
+  CAST(CASE WHEN source = 'play_store' THEN floor(mean_star * 100.0 + 0.5) / 100.0 ELSE floor(avg_rating * 100.0 + 0.5) / 100.0 END AS DECIMAL(3,2)) AS rating_avg,
+  CASE WHEN source = 'play_store' THEN NULL ELSE rating_count END AS rating_count,
+  CASE WHEN source = 'play_store' THEN CAST(coalesce(n_entries, 0) AS INT) END AS new_reviews_count
+FROM r WHERE rn = 1""", ())
+def snapshot_reviews(t):
+    f = _review_fetches(t)
+    return ig.snapshot_reviews(f, tiebreak="o_orderkey").select("source", "snapshot_date", "rating_avg", "rating_count",
+                                                                "new_reviews_count")

@@ -57,3 +57,22 @@ def stream_health(t):
               .agg(F.max_by(F.struct("n", "last_seen"), F.col("batch_id")).alias("v"))
               .select("source", "event_name", "w", "v.n", "v.last_seen"))
     return st.rollup_health(latest, NOW)
+
+
+@register("stream_insert_conversions", """SELECT app, order_id, CAST(value_inr AS DOUBLE) AS value FROM conversion""",
+          ("conversion",))
+def stream_insert_conversions(t):
+    """Conversions arrive as JSON files, half of them delivered twice,
+    two files per micro-batch; ``foreachBatch`` insert-ignore on
+    ``(app, order_id)`` keeps each order once."""
+    spark = t.spark
+    base = st.scratch(spark, "conv-stream")
+    conv = t.conversion
+    conv.repartition(3).write.option("timestampNTZFormat", st.TS_FORMAT).json(f"{base}/in/a")
+    conv.where(F.col("id") % 2 == 0).repartition(2).write.option("timestampNTZFormat", st.TS_FORMAT).json(f"{base}/in/b")
+    stream = (spark.readStream.schema(conv.schema).option("timestampNTZFormat", st.TS_FORMAT)
+              .option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").json(f"{base}/in"))
+    q = (stream.writeStream.foreachBatch(st.insert_ignore_batch(f"{base}/target", ["app", "order_id"]))
+         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/target").select("app", "order_id", F.col("value_inr").cast("double").alias("value"))
