@@ -127,3 +127,37 @@ def asof_last(targets: DataFrame, sources: DataFrame, *, target_key: Column | st
         keep = m.isNotNull() & (m["ts"] >= F.col("_ts") - F.make_dt_interval(days=F.lit(lookback_days)))
         m = F.when(keep, m)
     return hit.select(*[F.col("_t")[c].alias(c) for c in tcols], m.alias(out))
+
+
+def asof_rows(rows: DataFrame, *, key: Column | str, ts: str, is_source: Column, row_id: Column,
+              source_tiebreak: list[str], source_cols: list[str], lookback_days: int,
+              out: str = "match", bucket_hours: int | None | str = "lookback") -> DataFrame:
+    """The replicated-bucket kernel over ONE frame holding both sources and
+    targets (``is_source`` tells them apart), for callers whose sources and
+    targets come out of the same upstream plan: the plan is referenced once
+    instead of once per side. Returns the target rows with ``out``."""
+    if bucket_hours == "lookback":
+        bucket_hours = lookback_days * 24
+    k = (F.col(key) if isinstance(key, str) else key).cast("string")
+    t = F.col(ts)
+    src = is_source
+    rows = rows.where(~src | k.isNotNull())
+    fields = [t.alias("ts")] + [F.col(c) for c in source_tiebreak] + \
+             [F.col(c) for c in source_cols if c not in source_tiebreak]
+    prepared = [F.when(src, k).otherwise(F.coalesce(k, F.concat(F.lit("\u0000"), row_id.cast("string")))).alias("_k"),
+                F.when(src, F.lit(0)).otherwise(F.lit(1)).alias("_kind"),
+                F.when(src, F.struct(*source_tiebreak)).alias("_ord"),
+                F.when(src, F.struct(*fields)).alias("_s")]
+    if bucket_hours is None:
+        both = rows.select("*", *prepared, F.lit(0).cast("long").alias("_b"))
+    else:
+        b0 = _bucket(t, bucket_hours)
+        reach = _bucket(t + F.make_dt_interval(days=F.lit(lookback_days)), bucket_hours)
+        both = rows.select("*", *prepared,
+                           F.explode(F.when(src, F.sequence(b0, reach)).otherwise(F.array(b0))).alias("_b"))
+    w = (Window.partitionBy("_k", "_b").orderBy(t, F.col("_kind"), F.col("_ord"))
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    hit = both.withColumn("_m", F.last("_s", ignorenulls=True).over(w)).where(F.col("_kind") == 1)
+    m = F.col("_m")
+    keep = m.isNotNull() & (m["ts"] >= t - F.make_dt_interval(days=F.lit(lookback_days)))
+    return hit.select(*rows.columns, F.when(keep, m).alias(out))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import day_window, identity_key
-from .asof import asof_last
+from .asof import asof_rows
 
 # Funnel stage events in stage order.
 STAGE_EVENTS = ["el_first_open", "el_signup", "el_add_to_cart"]
@@ -132,74 +132,73 @@ def campaign_universe(tc: DataFrame, ac: DataFrame, f: FunnelFilters, top: int =
 def attributed_rows(touches: DataFrame, events: DataFrame, conversions: DataFrame, links: DataFrame,
                     alias: DataFrame, f: FunnelFilters, lookback_days: int,
                     bucket_hours: int | None | str = "lookback") -> DataFrame:
-    """F6–F8 + F10: every stage event (first in-window time per identity and
-    stage) and every in-window conversion, with the campaign of the identity's
-    last campaign touch in ``[t − L, t]``. Rows without one drop out.
+    """Per campaign the attributed stage and order rows.
+
+    Campaign touches (F6, request filters deliberately not applied, window
+    widened back by the lookback), stage events and conversions (in window)
+    are unioned and stitched to identities with ONE identity join, then go
+    through ONE as-of pass (every stage event and conversion gets the
+    identity's last campaign touch in ``[t − L, t]``). A single aggregate
+    then keeps, per identity and stage, the first event's attribution (F7/F8)
+    and, per conversion, one attribution even when its session fans out to
+    several identities (F10). Rows without a touch drop out.
 
     Columns: ``kind`` (stage event name or ``order``), ``campaign_key``,
     ``value_inr`` (orders only).
     """
     lb_from = F.date_sub(F.lit(f.day_from).cast("date"), lookback_days).cast("timestamp_ntz")
     to_excl = F.date_add(F.lit(f.day_to).cast("date"), 1).cast("timestamp_ntz")
-    # all campaign touches (request filters deliberately NOT applied)
     t = (touches.where((F.col("app") == f.app) & (F.col("occurred_at") >= lb_from)
                        & (F.col("occurred_at") < to_excl) & F.col("utm_campaign").isNotNull()))
     t = _resolve_campaign(t, alias).select(
         F.lit("touch").alias("kind"), F.col("id").cast("string").alias("row_id"), "occurred_at",
-        "session_id", "user_id", "campaign_key", F.lit(None).cast("decimal(10,2)").alias("value_inr"))
-    # F7 input: stage events in the window
+        "session_id", "user_id", "campaign_key", F.lit(None).cast("decimal(10,2)").alias("value_inr"),
+        F.col("id").cast("long").alias("touch_id"))
     e = (events.where((F.col("app") == f.app) & day_window("occurred_at", f.day_from, f.day_to)
                       & F.col("event_name").isin(*STAGE_EVENTS))
          .select(F.col("event_name").alias("kind"), F.col("event_id").cast("string").alias("row_id"),
                  "occurred_at", "session_id", "user_id", F.lit(None).cast("string").alias("campaign_key"),
-                 F.lit(None).cast("decimal(10,2)").alias("value_inr")))
-    # F10 input: conversions in the window
+                 F.lit(None).cast("decimal(10,2)").alias("value_inr"), F.lit(None).cast("long").alias("touch_id")))
     c = (conversions.where((F.col("app") == f.app) & day_window("occurred_at", f.day_from, f.day_to))
          .select(F.lit("order").alias("kind"), F.col("id").cast("string").alias("row_id"), "occurred_at",
-                 "session_id", "user_id", F.lit(None).cast("string").alias("campaign_key"), "value_inr"))
+                 "session_id", "user_id", F.lit(None).cast("string").alias("campaign_key"), "value_inr",
+                 F.lit(None).cast("long").alias("touch_id")))
     rows = t.unionByName(e).unionByName(c)
-    # one identity stitch for all three row kinds
     lk = links.where(F.col("app") == f.app).select(F.col("session_id").alias("_lk_s"),
                                                    F.col("user_id").alias("_lk_u"))
     jk = F.coalesce(F.col("session_id"), F.concat(F.lit("\u0000"), F.col("kind"), F.col("row_id")))
-    rows = (rows.withColumn("_jk", jk).join(lk, F.col("_jk") == F.col("_lk_s"), "left")
-            .withColumn("id", identity_key("user_id", "_lk_u", "session_id"))
-            .where(F.col("id").isNotNull())
-            .select("kind", "row_id", "id", "occurred_at", "campaign_key", "value_inr"))
-    sources = rows.where(F.col("kind") == "touch").select(
-        "id", "occurred_at", F.col("row_id").cast("long").alias("touch_id"), "campaign_key")
-    # first time of each stage per identity
-    stages = (rows.where(F.col("kind").isin(*STAGE_EVENTS)).groupBy("id", "kind")
-              .agg(F.min("occurred_at").alias("occurred_at"))
-              .select("kind", F.concat_ws("\u0001", "kind", "id").alias("tid"), "id", "occurred_at",
-                      F.lit(None).cast("decimal(10,2)").alias("value_inr")))
-    orders = rows.where(F.col("kind") == "order").select(
-        "kind", F.concat_ws("\u0001", "row_id", "id").alias("tid"), "id", "occurred_at", "value_inr")
-    targets = stages.unionByName(orders)
-    hit = asof_last(targets, sources, target_key="id", target_ts="occurred_at", target_id="tid",
-                    source_key="id", source_ts="occurred_at", source_tiebreak=["touch_id"],
+    stitched = (rows.withColumn("_jk", jk).join(lk, F.col("_jk") == F.col("_lk_s"), "left")
+                .select("kind", "row_id", identity_key("user_id", "_lk_u", "session_id").alias("id"),
+                        "occurred_at", "campaign_key", "value_inr", "touch_id")
+                .where(F.col("id").isNotNull()))
+    hit = asof_rows(stitched, key="id", ts="occurred_at", is_source=F.col("kind") == "touch",
+                    row_id=F.concat_ws("\u0001", "kind", "row_id", "id"), source_tiebreak=["touch_id"],
                     source_cols=["campaign_key"], lookback_days=lookback_days, out="touch",
                     bucket_hours=bucket_hours)
-    return (hit.where(F.col("touch").isNotNull())
-            .select("kind", "tid", F.col("touch.campaign_key").alias("campaign_key"), "value_inr", "id",
-                    "occurred_at", F.col("touch.ts").alias("touch_ts"), F.col("touch.touch_id").alias("touch_id")))
+    is_order = F.col("kind") == "order"
+    group = F.when(is_order, F.concat(F.lit("o\u0001"), F.col("row_id"))) \
+        .otherwise(F.concat(F.lit("s\u0001"), F.col("kind"), F.lit("\u0001"), F.col("id")))
+    has = F.col("touch").isNotNull()
+    picked = (hit.groupBy(group.alias("_g"))
+              .agg(F.first("kind").alias("kind"),
+                   # stage: the identity's first event of the stage decides
+                   F.min_by(F.col("touch.campaign_key"), F.struct("occurred_at", "row_id")).alias("_first"),
+                   # order: one attribution per conversion, the latest touch wins
+                   F.max_by(F.when(has, F.struct(F.col("touch.campaign_key").alias("k"), "value_inr")),
+                            F.when(has, F.struct(F.col("touch.ts"), F.col("touch.touch_id")))).alias("_ord")))
+    return (picked.select("kind",
+                          F.when(F.col("kind") == "order", F.col("_ord.k")).otherwise(F.col("_first")).alias("campaign_key"),
+                          F.when(F.col("kind") == "order", F.col("_ord.value_inr")).alias("value_inr"))
+            .where(F.col("campaign_key").isNotNull()))
 
 
 def stage_and_order_counts(attributed: DataFrame) -> DataFrame:
     """F9 + F10 counts: per campaign installs / registrations / add-to-cart
     (identities once per stage) and orders / revenue (every conversion)."""
-    stages = attributed.where(F.col("kind") != "order").select("kind", "campaign_key", "value_inr")
-    # a conversion stitched to several identities counts once: its latest touch wins
-    orders = (attributed.where(F.col("kind") == "order")
-              .withColumn("conv_id", F.split("tid", "\u0001").getItem(0))
-              .groupBy("conv_id")
-              .agg(F.max_by(F.struct("campaign_key", "value_inr"), F.struct("touch_ts", "touch_id")).alias("w"))
-              .select(F.lit("order").alias("kind"), F.col("w.campaign_key").alias("campaign_key"),
-                      F.col("w.value_inr").alias("value_inr")))
     aggs = [F.count_if(F.col("kind") == ev).cast("double").alias(col) for ev, col in STAGE_COLUMNS.items()]
     aggs += [F.count_if(F.col("kind") == "order").cast("double").alias("orders"),
              F.sum(F.when(F.col("kind") == "order", F.col("value_inr"))).alias("revenue")]
-    return stages.unionByName(orders).groupBy("campaign_key").agg(*aggs)
+    return attributed.groupBy("campaign_key").agg(*aggs)
 
 
 def campaign_funnel(entities: DataFrame, perf: DataFrame, touches: DataFrame, events: DataFrame,
