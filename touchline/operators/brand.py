@@ -176,10 +176,9 @@ def marketing_state(cac: DataFrame, cpfo: DataFrame, by_engine: DataFrame, app:
                                              "mention_rate"))).alias("by_engine"))
     geo = geo.select(F.when(F.col("total_observations").isNotNull(),
                             F.struct("total_observations", "by_engine")).alias("geo_snapshot"))
-    perf = cac.select(F.struct(F.col("spend_inr"), F.col("first_orders"), F.col("blended_cac_inr")).alias("performance"))
-    return (perf.crossJoin(top).crossJoin(geo)
-            .select(F.lit(app).alias("app"), F.lit(day_from).alias("window_from"), F.lit(day_to).alias("window_to"),
-                    "performance", "top_campaigns", "geo_snapshot"))
+    return cac.select(F.lit(app).alias("app"), F.lit(day_from).alias("window_from"), F.lit(day_to).alias("window_to"),
+                      F.struct(F.col("spend_inr"), F.col("first_orders"), F.col("blended_cac_inr")).alias("performance"),
+                      top.scalar().alias("top_campaigns"), geo.scalar().alias("geo_snapshot"))
 
 
 def state_summary(state: DataFrame) -> DataFrame:

@@ -281,8 +281,8 @@ def ingest_events(batch: DataFrame, existing: DataFrame, now: Column | str) -> D
 
 def ingest_report(batch: DataFrame, inserted: DataFrame) -> DataFrame:
     """S5 response: received / inserted counts (one row)."""
-    return (batch.agg(F.count(F.lit(1)).alias("received"))
-            .crossJoin(inserted.agg(F.count(F.lit(1)).alias("inserted"))))
+    return batch.agg(F.count(F.lit(1)).alias("received")).select(
+        "received", inserted.agg(F.count(F.lit(1))).scalar().alias("inserted"))
 
 
 def ingest_touches(batch: DataFrame, received_at: str) -> DataFrame:
@@ -397,9 +397,9 @@ def upsert_entities(target: DataFrame, batch: DataFrame, now: str) -> DataFrame:
                     F.when(F.col("b._in"), n).otherwise(F.col("t.updated_at")).alias("updated_at"))
     old = rows.where(F.col("id").isNotNull())
     new = rows.where(F.col("id").isNull()).drop("id")
-    base = target.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))           # one row
-    numbered = global_row_number(new, [], ENTITY_KEY, out="_rn").crossJoin(base) \
-        .withColumn("id", (F.col("_base") + F.col("_rn")).cast("long")).drop("_rn", "_base")
+    base = target.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()      # current max id
+    numbered = global_row_number(new, [], ENTITY_KEY, out="_rn") \
+        .withColumn("id", (base + F.col("_rn")).cast("long")).drop("_rn")
     return old.unionByName(numbered.select(*old.columns))
 
 
@@ -483,9 +483,9 @@ def upsert_registry(target: DataFrame, changes: DataFrame, now: str) -> tuple[Da
     clash = ins.join(target.select(*REGISTRY_KEY), REGISTRY_KEY, "left_semi") \
         .unionByName(ins.join(dup_in_batch.select(*REGISTRY_KEY), REGISTRY_KEY, "left_semi"))
     good = ins.join(clash.select(*REGISTRY_KEY).distinct(), REGISTRY_KEY, "left_anti")
-    base = target.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))
-    new = (global_row_number(good, [], REGISTRY_KEY, out="_rn").crossJoin(base)
-           .select((F.col("_base") + F.col("_rn")).cast(target.schema["id"].dataType).alias("id"), *REGISTRY_KEY,
+    base = target.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    new = (global_row_number(good, [], REGISTRY_KEY, out="_rn")
+           .select((base + F.col("_rn")).cast(target.schema["id"].dataType).alias("id"), *REGISTRY_KEY,
                    F.coalesce("expected_frequency", F.lit("none")).alias("expected_frequency"),
                    F.coalesce("is_active", F.lit(True)).alias("is_active")))
     upd = changes.where(F.col("op") == "update").select(

@@ -66,16 +66,16 @@ def _conversions(conv: DataFrame, app: str, day_from: str, day_to: str,
 def cac_summary(perf, entities, conv, app, day_from, day_to, city=None, category=None) -> DataFrame:
     """M5: spend, first orders, all orders, blended CAC (NULL without first orders).
 
-    Two one-row aggregates joined on a constant (both sides are exactly one
-    row, so the cross product is one row)."""
+    The spend total enters the conversion aggregate as a scalar subquery."""
     spend = _spend_rows(perf, entities, app, day_from, day_to, city, category).agg(
         F.coalesce(F.sum("spend_inr"), F.lit(0)).alias("s"))
     fo = _conversions(conv, app, day_from, day_to, city, category).agg(
         F.count_if(F.col("is_first_order")).alias("f"), F.count(F.lit(1)).alias("a"))
-    return spend.crossJoin(fo).select(
-        F.col("s").cast("double").alias("spend_inr"), F.col("f").cast("double").alias("first_orders"),
+    s = spend.scalar()
+    return fo.select(
+        s.cast("double").alias("spend_inr"), F.col("f").cast("double").alias("first_orders"),
         F.col("a").cast("double").alias("all_orders"),
-        F.when(F.col("f") > 0, money_ratio(F.col("s"), F.col("f"))).alias("blended_cac_inr"))
+        F.when(F.col("f") > 0, money_ratio(s, F.col("f"))).alias("blended_cac_inr"))
 
 
 def cost_per_first_order(perf, entities, resolved_conv, app, day_from, day_to,
@@ -172,13 +172,14 @@ def ltv_cac(conv, perf, entities, app, day_from, day_to, city=None, category=Non
 def ltv_report(conv, perf, entities, app, day_from, day_to, city=None, category=None) -> DataFrame:
     """M7 + M9 + M8 as one nested row. The per-channel and per-campaign
     lists are grouped results (one entry per channel / campaign), folded with
-    ``collect_list`` on a single-row aggregate."""
+    ``collect_list`` into scalar subqueries."""
     rr = repeat_rate(conv, app, day_from, day_to, city, category)
     lc = ltv_cac(conv, perf, entities, app, day_from, day_to, city, category)
     cr = cohort_revenue(conv, entities, app, day_from, day_to, city, category)
     lc1 = lc.agg(F.sort_array(F.collect_list(F.struct(*lc.columns))).alias("by_channel"))
     cr1 = cr.agg(F.sort_array(F.collect_list(F.struct(*cr.columns))).alias("cohorts"))
-    return rr.select(F.struct(*rr.columns).alias("repeat")).crossJoin(lc1).crossJoin(cr1)
+    return rr.select(F.struct(*rr.columns).alias("repeat"), lc1.scalar().alias("by_channel"),
+                     cr1.scalar().alias("cohorts"))
 
 
 def count_first_orders(conv, app, day_from, day_to) -> DataFrame:
