@@ -120,7 +120,7 @@ def _naive_refresh(spark, sf_dir):
 
 
 NAIVE = {
-    "resolve_attribution": lambda s, d: last_touch_range_join(_t(s, d).conversion, _t(s, d).attribution_touch, APP, LOOKBACK_DAYS),
+    "last_touch": lambda s, d: last_touch_range_join(_t(s, d).conversion, _t(s, d).attribution_touch, APP, LOOKBACK_DAYS),
     "seg_ltv_percentile": lambda s, d: ltv_ntile_single_partition(_t(s, d).conversion, APP).where("ltv_bucket > 90"),
     "segments_refresh": _naive_refresh,
     "retention": lambda s, d: retention_join(_t(s, d).app_event, _t(s, d).identity_link, APP, DAY_FROM, DAY_TO),

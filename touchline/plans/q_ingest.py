@@ -233,7 +233,7 @@ def _insights(t):
 
 
 @register("social_performance", """
-SELECT e.external_id, p.stat_date, CAST(p.spend_inr AS DOUBLE) AS spend_inr, p.impressions, p.clicks,
+SELECT e.external_id, p.stat_date, CAST(p.spend_inr AS DOUBLE) AS spend_inr, CAST(p.impressions AS BIGINT) AS impressions, p.clicks,
   CAST(p.conversions AS DOUBLE) AS conversions, CAST(p.conv_value_inr AS DOUBLE) AS conv_value_inr
 FROM ad_performance_daily p JOIN ad_entity e ON e.id = p.ad_entity_id WHERE NOT (p.ad_entity_id % 13 = 0 AND day(p.stat_date) = 5)""",
           ("ad_performance_daily",))
@@ -288,7 +288,7 @@ SEARCH_SQL = """sr AS (SELECT c.external_id AS camp_ext, c.name AS camp_name, s.
 
 @register("search_performance", f"""WITH {SEARCH_SQL}
 SELECT camp_ext AS external_id, stat_date, CAST(CAST(sum(spend_inr) AS DECIMAL(14,2)) AS DOUBLE) AS spend_inr,
-  sum(impressions) AS impressions, sum(clicks) AS clicks, round(sum(CAST(conversions AS DOUBLE)), 2) AS conversions,
+  CAST(sum(impressions) AS BIGINT) AS impressions, CAST(sum(clicks) AS BIGINT) AS clicks, round(sum(CAST(conversions AS DOUBLE)), 2) AS conversions,
   round(sum(CAST(conv_value_inr AS DOUBLE)), 2) AS conv_value_inr FROM sr GROUP BY 1, 2""", ("ad_performance_daily",))
 def search_performance(t):
     n = ig.normalize_search_performance(_search_report(t))
@@ -449,9 +449,9 @@ WITH tgt AS (SELECT * FROM ad_performance_daily WHERE ad_entity_id % 3 <> 0),
          JOIN ad_entity e ON e.id = p.ad_entity_id WHERE p.ad_entity_id % 2 = 0),
  keyed AS (SELECT b.*, e.id AS ad_entity_id FROM bat b JOIN (SELECT app, channel, external_id, min(id) AS id FROM ad_entity GROUP BY 1, 2, 3) e
            ON e.app = b.app AND e.channel = b.channel AND e.external_id = b.external_id)
-SELECT ad_entity_id, stat_date, CAST(spend_inr AS DOUBLE) AS spend_inr, impressions FROM tgt
+SELECT ad_entity_id, stat_date, CAST(spend_inr AS DOUBLE) AS spend_inr, CAST(impressions AS BIGINT) AS impressions FROM tgt
 WHERE NOT EXISTS (SELECT 1 FROM keyed k WHERE k.app = tgt.app AND k.ad_entity_id = tgt.ad_entity_id AND k.stat_date = tgt.stat_date)
-UNION ALL SELECT ad_entity_id, stat_date, CAST(spend_inr AS DOUBLE), impressions FROM keyed""", ("ad_performance_daily",))
+UNION ALL SELECT ad_entity_id, stat_date, CAST(spend_inr AS DOUBLE), CAST(impressions AS BIGINT) FROM keyed""", ("ad_performance_daily",))
 def upsert_performance(t):
     p = t.ad_performance_daily
     tgt = p.where(F.col("ad_entity_id") % 3 != 0).withColumn("ingested_at", F.lit("2024-01-01").cast("timestamp_ntz"))

@@ -231,7 +231,7 @@ def seg_members_page(t):
 
 @register("segments_list", f"""
 WITH counts AS (SELECT segment_id, CAST(count(*) AS INT) AS c FROM ({REFRESH_SQL}) r GROUP BY 1)
-SELECT s.id, s.slug, coalesce(counts.c, 0) AS last_count FROM (VALUES {', '.join(f"({i}, '{slug}')" for i, (slug, *_r) in enumerate(SEED_SEGMENTS, start=1))}, (8, 'custom_nested')) s(id, slug)
+SELECT CAST(s.id AS BIGINT) AS id, s.slug, coalesce(counts.c, 0) AS last_count FROM (VALUES {', '.join(f"({i}, '{slug}')" for i, (slug, *_r) in enumerate(SEED_SEGMENTS, start=1))}, (8, 'custom_nested')) s(id, slug)
 LEFT JOIN counts ON counts.segment_id = s.id
 """, ("conversion", "app_event"))
 def segments_list(t):
