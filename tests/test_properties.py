@@ -36,7 +36,7 @@ rows_strategy = st.lists(st.tuples(st.integers(0, 3), st.integers(0, 40 * 24 * 6
 
 @settings(**SETTINGS)
 @given(src=rows_strategy, tgt=rows_strategy, lookback=st.sampled_from([1, 3, 7]),
-       mode=st.sampled_from(["replicate", "replicate_fine", "carry", "single"]))
+       mode=st.sampled_from(["replicate", "replicate_fine", "carry", "single", "range"]))
 def test_asof_kernel_matches_brute_force(spark, src, tgt, lookback, mode):
     sources = [(i, f"k{k}", BASE + dt.timedelta(minutes=m)) for i, (k, m) in enumerate(src)]
     # a few exact time ties between sources and targets
@@ -45,7 +45,7 @@ def test_asof_kernel_matches_brute_force(spark, src, tgt, lookback, mode):
     sdf = mk(spark, sources, "sid long, k string, ts timestamp_ntz")
     tdf = mk(spark, targets + [(9999, None, BASE)], "tid long, k string, ts timestamp_ntz")
     kw = {"replicate": {}, "replicate_fine": {"bucket_hours": 24}, "carry": {"bucket_hours": 24, "carry": True},
-          "single": {"bucket_hours": None}}[mode]
+          "single": {"bucket_hours": None}, "range": {"mode": "range"}}[mode]
     res = asof_last(tdf, sdf, target_key="k", target_ts="ts", target_id="tid", source_key="k", source_ts="ts",
                     source_tiebreak=["sid"], source_cols=[], lookback_days=lookback, out="m", **kw)
     got = {r.tid: (r.m.sid if r.m else None) for r in res.collect()}
@@ -105,3 +105,23 @@ def test_fused_segments_match_set_algebra(spark, idx, ops, seed):
     fused = sorted(r.user_id for r in sg.membership(d, cdf, edf, "services", now).collect())
     naive = sorted(r.user_id for r in segment_set_algebra(d, cdf, edf, "services", now).collect())
     assert fused == naive
+
+
+@settings(**{**SETTINGS, "max_examples": 5})
+@given(src=rows_strategy, tgt=rows_strategy, mode=st.sampled_from(["carry", "range", "single"]))
+def test_forward_asof_matches_brute_force(spark, src, tgt, mode):
+    """Earliest source strictly after each target position (U4's lookup)."""
+    sources = [(i, f"k{k}", BASE + dt.timedelta(minutes=m)) for i, (k, m) in enumerate(src)]
+    targets = [(1000 + i, f"k{k}", BASE + dt.timedelta(minutes=m)) for i, (k, m) in enumerate(tgt)]
+    sdf = mk(spark, sources, "sid long, k string, ts timestamp_ntz")
+    tdf = mk(spark, targets, "tid long, k string, ts timestamp_ntz")
+    kw = {"carry": {"bucket_hours": 24}, "range": {"mode": "range"}, "single": {"bucket_hours": None}}[mode]
+    res = asof_last(tdf, sdf, target_key="k", target_ts="ts", target_id="tid", source_key="k", source_ts="ts",
+                    source_tiebreak=["sid"], source_cols=[], lookback_days=None, out="m", target_tiebreak=["tid"],
+                    forward=True, **kw)
+    got = {r.tid: (r.m.sid if r.m else None) for r in res.collect()}
+    want = {}
+    for tid, tk, tt in targets:
+        cands = [(stt, sid) for sid, sk, stt in sources if sk == tk and (stt, sid) > (tt, tid)]
+        want[tid] = min(cands)[1] if cands else None
+    assert got == want

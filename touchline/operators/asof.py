@@ -26,6 +26,14 @@ deterministically. In both forms a task holds one key's rows for one time
 bucket: a hot key (a bot identity, a shared session) is spread over as many
 tasks as it has buckets, and no pair is ever materialised.
 ``bucket_hours=None`` is the plain single-window sweep (partition by key).
+
+**Range buckets** (``mode="range"``, or session conf
+``touchline.asof.mode=range``) make the split independent of time: the
+union is range-partitioned on ``(key, time, kind, tie-break)`` — Spark's
+range partitioner samples that composite key, so a key with a third of all
+rows inside one week is still cut into many partitions — and pinned with a
+reliable checkpoint; the partition id then plays the bucket in the carried
+form. It costs a sampling pass and a checkpoint write, so it is opt-in.
 """
 
 from __future__ import annotations
@@ -40,29 +48,115 @@ def _bucket(ts: Column, hours: int) -> Column:
     return F.floor((days * 24 + F.hour(ts)) / F.lit(hours)).cast("long")
 
 
+def _sweep(both: DataFrame, mode: str, bucket_hours: int | None, lookback_days: int | None,
+           forward: bool, keep_cols: list[str]) -> DataFrame:
+    """Core sweep over the union of sources (``_kind`` 0) and targets (1).
+    ``both`` has ``_k, _ts, _kind, _ord, _s`` plus payload columns; returns
+    the target rows' ``keep_cols`` and the match ``_m``."""
+    order = [F.col("_ts").desc(), F.col("_ord").desc()] if forward else [F.col("_ts"), F.col("_kind"), F.col("_ord")]
+    run = Window.unboundedPreceding, Window.currentRow
+    if mode == "single":
+        w = Window.partitionBy("_k").orderBy(*order).rowsBetween(*run)
+        hit = both.withColumn("_m", F.last("_s", ignorenulls=True).over(w)).where(F.col("_kind") == 1)
+    elif mode == "replicate":
+        reach = F.col("_ts") + F.make_dt_interval(days=F.lit(lookback_days))
+        b0 = _bucket(F.col("_ts"), bucket_hours)
+        both = both.select("*", F.explode(F.when(F.col("_kind") == 0, F.sequence(b0, _bucket(reach, bucket_hours)))
+                                          .otherwise(F.array(b0))).alias("_b"))
+        w = Window.partitionBy("_k", "_b").orderBy(*order).rowsBetween(*run)
+        hit = both.withColumn("_m", F.last("_s", ignorenulls=True).over(w)).where(F.col("_kind") == 1)
+    else:
+        if mode == "range":
+            # sorted global order of (key, time, kind, tie-break): Spark's range
+            # partitioner samples the composite key, so one key's rows are split
+            # across partitions by time. The checkpoint pins that assignment.
+            from ..session import checkpoint_dir
+            spark = both.sparkSession
+            checkpoint_dir(spark)
+            parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            sort = [F.col("_k")] + [c for c in order]
+            both = (both.repartitionByRange(parts, *sort).sortWithinPartitions(*sort)
+                    .withColumn("_b", F.shiftright(F.monotonically_increasing_id(), 33))
+                    .checkpoint(eager=True))   # partition ids follow the sweep order
+        else:
+            both = both.withColumn("_b", _bucket(F.col("_ts"), bucket_hours))
+        w = Window.partitionBy("_k", "_b").orderBy(*order).rowsBetween(*run)
+        same = (both.withColumn("_same", F.last("_s", ignorenulls=True).over(w))
+                .where(F.col("_kind") == 1).drop("_s", "_ord"))
+        # one row per (key, bucket): the bucket's last source in sweep order, or
+        # NULL for buckets that only hold targets
+        pick = F.min_by if forward else F.max_by
+        per_bucket = (both.groupBy("_k", "_b")
+                      .agg(pick(F.when(F.col("_kind") == 0, F.col("_s")),
+                                F.when(F.col("_kind") == 0, F.struct("_ts", "_ord"))).alias("_lb"),
+                           F.max("_kind").alias("_has_target")))
+        # time buckets are numbered by time, range partitions by sweep order
+        border = F.col("_b").desc() if (forward and mode != "range") else F.col("_b")
+        wb = Window.partitionBy("_k").orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
+        prior = (per_bucket.withColumn("_prior", F.last("_lb", ignorenulls=True).over(wb))
+                 .where(F.col("_has_target") == 1).select("_k", "_b", "_prior"))
+        hit = (same.join(prior, ["_k", "_b"], "left")
+               .withColumn("_m", F.coalesce("_same", "_prior")))
+    return hit.select(*keep_cols, "_ts", "_m")
+
+
+MODE_CONF = "touchline.asof.mode"
+
+
+def _mode(spark, mode: str | None, bucket_hours, lookback_days, forward: bool, carry: bool) -> tuple[str, int | None]:
+    """Pick the sweep form. An explicit ``mode`` wins; otherwise the session
+    conf ``touchline.asof.mode`` (e.g. ``range`` on clusters where one key
+    can dominate even a single lookback window); otherwise by parameters."""
+    if bucket_hours == "lookback":
+        bucket_hours = lookback_days * 24 if lookback_days else 24
+    if mode is None and bucket_hours is not None and not carry:
+        mode = spark.conf.get(MODE_CONF, None) or None
+        if mode == "replicate" and (forward or lookback_days is None):
+            mode = None
+    if mode is None:
+        if bucket_hours is None:
+            mode = "single"
+        elif carry or forward or lookback_days is None:
+            mode = "carry"
+        else:
+            mode = "replicate"
+    if mode == "replicate" and (forward or lookback_days is None):
+        raise ValueError("the replicated form needs a lookback (backward lookups)")
+    return mode, bucket_hours
+
+
+def _lookback(m: Column, t: Column, lookback_days: int | None) -> Column:
+    if lookback_days is None:
+        return m
+    return F.when(m.isNotNull() & (m["ts"] >= t - F.make_dt_interval(days=F.lit(lookback_days))), m)
+
+
 def asof_last(targets: DataFrame, sources: DataFrame, *, target_key: Column | str,
               target_ts: str, target_id: str, source_key: Column | str, source_ts: str,
               source_tiebreak: list[str], source_cols: list[str], lookback_days: int | None,
               out: str = "match", bucket_hours: int | None | str = "lookback",
               target_tiebreak: list[str] | None = None, forward: bool = False,
-              carry: bool = False) -> DataFrame:
+              carry: bool = False, mode: str | None = None) -> DataFrame:
     """Return ``targets`` plus a struct column ``out`` (NULL when no match)
     holding ``source_ts``, the tie-break columns and ``source_cols`` of the
     winning source row.
 
+    ``mode``: ``replicate`` (default with a lookback), ``carry`` (time
+    buckets of ``bucket_hours``, default without a lookback or with
+    ``carry=True``), ``range`` (buckets are range partitions of the sorted
+    ``(key, time)`` order — a key is split however many rows it has in any
+    time span; costs a sampling pass and a checkpoint) or ``single``
+    (``bucket_hours=None``: one window per key).
+
     ``target_id`` must be unique per target row; targets with a NULL key get
     a per-row sentinel key so they neither match nor pile into one task.
-
-    ``carry=True`` forces the carried-bucket form even with a lookback.
     ``forward=True`` flips the direction: the *earliest* source whose
     position ``(ts, tie-break…)`` is strictly after the target's position
     ``(target_ts, target_tiebreak…)`` (no lookback).
     """
     if forward and (target_tiebreak is None or lookback_days is not None):
         raise ValueError("forward lookups need target_tiebreak and no lookback")
-    if bucket_hours == "lookback":
-        bucket_hours = lookback_days * 24 if lookback_days else 24
-    replicate = bucket_hours is not None and lookback_days is not None and not forward and not carry
+    mode, bucket_hours = _mode(targets.sparkSession, mode, bucket_hours, lookback_days, forward, carry)
     tkey = F.col(target_key) if isinstance(target_key, str) else target_key
     skey = F.col(source_key) if isinstance(source_key, str) else source_key
     tcols = targets.columns
@@ -82,82 +176,27 @@ def asof_last(targets: DataFrame, sources: DataFrame, *, target_key: Column | st
                          tord.alias("_ord"),
                          F.lit(None).cast(src.schema["_s"].dataType).alias("_s"),
                          F.struct(*tcols).alias("_t"))
-    both = src.unionByName(tgt)
-
-    if forward:
-        order = [F.col("_ts").desc(), F.col("_ord").desc()]
-    else:
-        order = [F.col("_ts"), F.col("_kind"), F.col("_ord")]
-    if bucket_hours is None:
-        w = (Window.partitionBy("_k").orderBy(*order)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        hit = (both.withColumn("_m", F.last("_s", ignorenulls=True).over(w))
-               .where(F.col("_kind") == 1))
-    elif replicate:
-        reach = F.col("_ts") + F.make_dt_interval(days=F.lit(lookback_days))
-        src_b = F.explode(F.sequence(_bucket(F.col("_ts"), bucket_hours), _bucket(reach, bucket_hours)))
-        both = (src.select("*", src_b.alias("_b"))
-                .unionByName(tgt.withColumn("_b", _bucket(F.col("_ts"), bucket_hours))))
-        w = (Window.partitionBy("_k", "_b").orderBy(*order)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        hit = (both.withColumn("_m", F.last("_s", ignorenulls=True).over(w))
-               .where(F.col("_kind") == 1))
-    else:
-        both = both.withColumn("_b", _bucket(F.col("_ts"), bucket_hours))
-        w = (Window.partitionBy("_k", "_b").orderBy(*order)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        same = (both.withColumn("_same", F.last("_s", ignorenulls=True).over(w))
-                .where(F.col("_kind") == 1).drop("_s", "_ord"))
-        # one row per (key, bucket): the bucket's latest source, or NULL for
-        # buckets that only hold targets
-        pick = F.min_by if forward else F.max_by
-        per_bucket = (both.groupBy("_k", "_b")
-                      .agg(pick(F.when(F.col("_kind") == 0, F.col("_s")),
-                                F.when(F.col("_kind") == 0, F.struct("_ts", "_ord"))).alias("_lb"),
-                           F.max("_kind").alias("_has_target")))
-        border = F.col("_b").desc() if forward else F.col("_b")
-        wb = Window.partitionBy("_k").orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
-        prior = (per_bucket.withColumn("_prior", F.last("_lb", ignorenulls=True).over(wb))
-                 .where(F.col("_has_target") == 1).select("_k", "_b", "_prior"))
-        hit = (same.join(prior, ["_k", "_b"], "left")
-               .withColumn("_m", F.coalesce("_same", "_prior")))
-
-    m = F.col("_m")
-    if lookback_days is not None:
-        keep = m.isNotNull() & (m["ts"] >= F.col("_ts") - F.make_dt_interval(days=F.lit(lookback_days)))
-        m = F.when(keep, m)
-    return hit.select(*[F.col("_t")[c].alias(c) for c in tcols], m.alias(out))
+    hit = _sweep(src.unionByName(tgt), mode, bucket_hours, lookback_days, forward, ["_t"])
+    return hit.select(*[F.col("_t")[c].alias(c) for c in tcols],
+                      _lookback(F.col("_m"), F.col("_ts"), lookback_days).alias(out))
 
 
 def asof_rows(rows: DataFrame, *, key: Column | str, ts: str, is_source: Column, row_id: Column,
               source_tiebreak: list[str], source_cols: list[str], lookback_days: int,
-              out: str = "match", bucket_hours: int | None | str = "lookback") -> DataFrame:
-    """The replicated-bucket kernel over ONE frame holding both sources and
-    targets (``is_source`` tells them apart), for callers whose sources and
-    targets come out of the same upstream plan: the plan is referenced once
-    instead of once per side. Returns the target rows with ``out``."""
-    if bucket_hours == "lookback":
-        bucket_hours = lookback_days * 24
+              out: str = "match", bucket_hours: int | None | str = "lookback",
+              mode: str | None = None) -> DataFrame:
+    """The kernel over ONE frame holding both sources and targets
+    (``is_source`` tells them apart), for callers whose sources and targets
+    come out of the same upstream plan: the plan is referenced once instead
+    of once per side. Returns the target rows with ``out``."""
+    mode, bucket_hours = _mode(rows.sparkSession, mode, bucket_hours, lookback_days, False, False)
     k = (F.col(key) if isinstance(key, str) else key).cast("string")
-    t = F.col(ts)
     src = is_source
     rows = rows.where(~src | k.isNotNull())
-    fields = [t.alias("ts")] + [F.col(c) for c in source_tiebreak] + \
+    fields = [F.col(ts).alias("ts")] + [F.col(c) for c in source_tiebreak] + \
              [F.col(c) for c in source_cols if c not in source_tiebreak]
-    prepared = [F.when(src, k).otherwise(F.coalesce(k, F.concat(F.lit("\u0000"), row_id.cast("string")))).alias("_k"),
-                F.when(src, F.lit(0)).otherwise(F.lit(1)).alias("_kind"),
-                F.when(src, F.struct(*source_tiebreak)).alias("_ord"),
-                F.when(src, F.struct(*fields)).alias("_s")]
-    if bucket_hours is None:
-        both = rows.select("*", *prepared, F.lit(0).cast("long").alias("_b"))
-    else:
-        b0 = _bucket(t, bucket_hours)
-        reach = _bucket(t + F.make_dt_interval(days=F.lit(lookback_days)), bucket_hours)
-        both = rows.select("*", *prepared,
-                           F.explode(F.when(src, F.sequence(b0, reach)).otherwise(F.array(b0))).alias("_b"))
-    w = (Window.partitionBy("_k", "_b").orderBy(t, F.col("_kind"), F.col("_ord"))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    hit = both.withColumn("_m", F.last("_s", ignorenulls=True).over(w)).where(F.col("_kind") == 1)
-    m = F.col("_m")
-    keep = m.isNotNull() & (m["ts"] >= t - F.make_dt_interval(days=F.lit(lookback_days)))
-    return hit.select(*rows.columns, F.when(keep, m).alias(out))
+    both = rows.select("*", F.when(src, k).otherwise(F.coalesce(k, F.concat(F.lit("\u0000"), row_id.cast("string"))))
+                       .alias("_k"), F.col(ts).alias("_ts"), F.when(src, F.lit(0)).otherwise(F.lit(1)).alias("_kind"),
+                       F.when(src, F.struct(*source_tiebreak)).alias("_ord"), F.when(src, F.struct(*fields)).alias("_s"))
+    hit = _sweep(both, mode, bucket_hours, lookback_days, False, rows.columns)
+    return hit.select(*rows.columns, _lookback(F.col("_m"), F.col("_ts"), lookback_days).alias(out))

@@ -29,7 +29,7 @@ def _with_touch_cols(touches: DataFrame) -> DataFrame:
 
 
 def last_touch(conversions: DataFrame, touches: DataFrame, app: str, lookback_days: int = 7,
-               bucket_hours: int | None | str = "lookback") -> DataFrame:
+               bucket_hours: int | None | str = "lookback", mode: str | None = None) -> DataFrame:
     """A1: conversions of ``app`` plus ``touch`` (struct of the winning touch
     or NULL) and ``tier`` (``user`` / ``session`` / NULL).
 
@@ -42,7 +42,7 @@ def last_touch(conversions: DataFrame, touches: DataFrame, app: str, lookback_da
     cols = [c for c in TOUCH_COLS if c not in ("occurred_at", "received_at", "id")]
     common = dict(target_ts="occurred_at", target_id="id", source_ts="occurred_at",
                   source_tiebreak=["received_at", "id"], source_cols=cols,
-                  lookback_days=lookback_days, bucket_hours=bucket_hours)
+                  lookback_days=lookback_days, bucket_hours=bucket_hours, mode=mode)
     by_user = asof_last(conv, t, target_key="user_id", source_key="user_id", out="_t_user", **common)
     sess = F.when(F.col("_t_user").isNull(), F.nullif(F.col("session_id"), F.lit("")))
     by_session = asof_last(by_user, t, target_key=sess, source_key=F.nullif(F.col("session_id"), F.lit("")),
@@ -94,13 +94,14 @@ def map_touch_to_entity(df: DataFrame, entities: DataFrame, app: str, touch: str
 
 def resolve_attribution(conversions: DataFrame, touches: DataFrame, entities: DataFrame, app: str,
                         lookback_days: int = 7, already_resolved: DataFrame | None = None,
-                        resolved_at: str | None = None, bucket_hours: int | None | str = "lookback") -> DataFrame:
+                        resolved_at: str | None = None, bucket_hours: int | None | str = "lookback",
+                        mode: str | None = None) -> DataFrame:
     """A3: attribution result rows keyed ``(app, order_id)`` for every
     conversion not yet in ``already_resolved`` (idempotent re-runs)."""
     pending = conversions.where(F.col("app") == app)
     if already_resolved is not None:
         pending = pending.join(already_resolved.select("app", "order_id"), ["app", "order_id"], "left_anti")
-    lt = last_touch(pending, touches, app, lookback_days, bucket_hours)
+    lt = last_touch(pending, touches, app, lookback_days, bucket_hours, mode)
     m = map_touch_to_entity(lt, entities, app)
     outcome = (F.when(F.col("touch").isNull(), F.lit("no_touch"))
                .when(F.col("mapped_entity_id").isNotNull(), F.lit("matched")).otherwise(F.lit("organic")))

@@ -131,7 +131,7 @@ def campaign_universe(tc: DataFrame, ac: DataFrame, f: FunnelFilters, top: int =
 
 def attributed_rows(touches: DataFrame, events: DataFrame, conversions: DataFrame, links: DataFrame,
                     alias: DataFrame, f: FunnelFilters, lookback_days: int,
-                    bucket_hours: int | None | str = "lookback") -> DataFrame:
+                    bucket_hours: int | None | str = "lookback", mode: str | None = None) -> DataFrame:
     """Per campaign the attributed stage and order rows.
 
     Campaign touches (F6, request filters deliberately not applied, window
@@ -174,7 +174,7 @@ def attributed_rows(touches: DataFrame, events: DataFrame, conversions: DataFram
     hit = asof_rows(stitched, key="id", ts="occurred_at", is_source=F.col("kind") == "touch",
                     row_id=F.concat_ws("\u0001", "kind", "row_id", "id"), source_tiebreak=["touch_id"],
                     source_cols=["campaign_key"], lookback_days=lookback_days, out="touch",
-                    bucket_hours=bucket_hours)
+                    bucket_hours=bucket_hours, mode=mode)
     is_order = F.col("kind") == "order"
     group = F.when(is_order, F.concat(F.lit("o\u0001"), F.col("row_id"))) \
         .otherwise(F.concat(F.lit("s\u0001"), F.col("kind"), F.lit("\u0001"), F.col("id")))
@@ -203,13 +203,14 @@ def stage_and_order_counts(attributed: DataFrame) -> DataFrame:
 
 def campaign_funnel(entities: DataFrame, perf: DataFrame, touches: DataFrame, events: DataFrame,
                     conversions: DataFrame, links: DataFrame, f: FunnelFilters, lookback_days: int = 7,
-                    top: int = MAX_CAMPAIGNS, bucket_hours: int | None | str = "lookback") -> DataFrame:
+                    top: int = MAX_CAMPAIGNS, bucket_hours: int | None | str = "lookback",
+                    mode: str | None = None) -> DataFrame:
     """the campaign funnel rows, best first."""
     ec = entity_campaign(entities, f.app)
     alias = campaign_alias(ec)
     universe = campaign_universe(touch_campaigns(touches, alias, f), ad_campaigns(perf, entities, ec, f), f, top)
     counts = stage_and_order_counts(
-        attributed_rows(touches, events, conversions, links, alias, f, lookback_days, bucket_hours))
+        attributed_rows(touches, events, conversions, links, alias, f, lookback_days, bucket_hours, mode))
     j = universe.join(counts, "campaign_key", "left")
     z = F.lit(0.0)
     return (j.select("utm_campaign", "impressions", "ad_clicks", "first_party_clicks",

@@ -44,7 +44,7 @@ def link_identities(existing: DataFrame, *sources: DataFrame) -> DataFrame:
             .join(existing.select("app", "session_id", "user_id"), ["app", "session_id", "user_id"], "left_anti"))
 
 
-def backfill_touch_users(touches: DataFrame, bucket_hours: int | None = 24) -> DataFrame:
+def backfill_touch_users(touches: DataFrame, bucket_hours: int | None = 24, mode: str | None = None) -> DataFrame:
     """U4: a touch stored without a user takes the user of the next touch of
     the same ``(app, session)`` that revealed one, in arrival order
     ``(received_at, id)`` — the sequential writer updates every earlier
@@ -62,6 +62,6 @@ def backfill_touch_users(touches: DataFrame, bucket_hours: int | None = 24) -> D
     filled = asof_last(anon, revealers, target_key=key, target_ts="received_at", target_id="id",
                        source_key="_k", source_ts="received_at", source_tiebreak=["id"], source_cols=["_u"],
                        lookback_days=None, out="_rev", bucket_hours=bucket_hours,
-                       target_tiebreak=["id"], forward=True)
+                       target_tiebreak=["id"], forward=True, mode=mode)
     filled = filled.withColumn("user_id", F.col("_rev._u").cast(touches.schema["user_id"].dataType)).drop("_rev")
     return known.unionByName(filled.select(*touches.columns))

@@ -82,6 +82,15 @@ def last_touch_carried(t):
                     F.when(F.col("_u").isNotNull(), "user").when(F.col("_s").isNotNull(), "session").alias("tier"))
 
 
+@register("last_touch_range", f"""WITH {LAST_TOUCH_CTES}
+SELECT lt.id AS conv_id, lt.order_id, lt.touch_id, lt.tier FROM lt
+""", ("conversion", "attribution_touch"))
+def last_touch_range(t):
+    """A1 on the range-partitioned form of the kernel (skew-proof)."""
+    lt = at.last_touch(t.conversion, t.attribution_touch, APP, LOOKBACK_DAYS, mode="range")
+    return lt.select(F.col("id").alias("conv_id"), "order_id", F.col("touch.id").alias("touch_id"), "tier")
+
+
 @register("map_touch_to_entity", f"""WITH {MAP_CTES}
 SELECT id AS touch_id, mapped_entity_id, mapped_channel
 FROM {map_sql(f"(SELECT * FROM attribution_touch WHERE app = '{APP}')")} q
