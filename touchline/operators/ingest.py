@@ -317,12 +317,17 @@ def ingest_leads(batch: DataFrame, existing: DataFrame, now: str) -> DataFrame:
     return insert_ignore(b, existing, ["app", "ctwa_clid"], order=["id"] if "id" in b.columns else None)
 
 
+def from_epoch_seconds(c: Column) -> Column:
+    """Epoch seconds → wall-clock UTC ``timestamp_ntz`` (session-zone free)."""
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=c.cast("decimal(18,6)"))
+
+
 def flag_first_orders(bookings: DataFrame) -> DataFrame:
     """Paid bookings only; ``occurred_at`` from epoch seconds; first
     order = the user's first paid booking (by time, then id)."""
     from ..functions.columns import first_row_flag
     paid = (bookings.where(F.col("payment_status") == "paid")
-            .withColumn("occurred_at", F.timestamp_seconds("created_at").cast("timestamp_ntz")))
+            .withColumn("occurred_at", from_epoch_seconds(F.col("created_at"))))
     return first_row_flag(paid, "user_id", "created_at", "id", "is_first_order")
 
 

@@ -389,7 +389,7 @@ def backfill_touch_users(t):
 
 @register("first_order_flag", """
 WITH b AS (SELECT o_orderkey AS id, o_custkey AS user_id, CAST(epoch(o_orderdate) AS BIGINT) AS created_at FROM orders WHERE o_orderstatus IN ('F', 'P'))
-SELECT id, user_id, to_timestamp(created_at)::TIMESTAMP AS occurred_at, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) = 1 AS is_first_order FROM b""",
+SELECT id, user_id, TIMESTAMP '1970-01-01 00:00:00' + created_at * INTERVAL 1 SECOND AS occurred_at, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) = 1 AS is_first_order FROM b""",
           ())
 def first_order_flag(t):
     from ..operators.outbox import epoch_seconds
@@ -398,7 +398,7 @@ def first_order_flag(t):
                         F.when(F.col("o_orderstatus").isin("F", "P"), F.lit("paid")).otherwise(F.lit("pending")).alias("payment_status"),
                         epoch_seconds(F.col("o_orderdate")).alias("created_at"))
     f = ig.flag_first_orders(bookings)
-    return f.select("id", "user_id", F.to_timestamp_ntz(F.from_unixtime("created_at")).alias("occurred_at"), "is_first_order")
+    return f.select("id", "user_id", "occurred_at", "is_first_order")
 
 
 # ---------------------------------------------------------------------------

@@ -163,7 +163,7 @@ for _slug, _n, _i, _d in SEED_SEGMENTS:
 
 @register("seg_dry_run", f"""
 WITH m AS ({membership_sql(SEG_DEFS['seg_nested'])})
-SELECT CAST((SELECT count(*) FROM m) AS INT) AS count, (SELECT list(user_id ORDER BY user_id) FROM (SELECT user_id FROM m ORDER BY user_id LIMIT 10)) AS sample_user_ids
+SELECT CAST((SELECT count(*) FROM m) AS INT) AS count, coalesce((SELECT list(user_id ORDER BY user_id) FROM (SELECT user_id FROM m ORDER BY user_id LIMIT 10)), CAST([] AS BIGINT[])) AS sample_user_ids
 """, ("conversion", "app_event"))
 def seg_dry_run(t):
     return sg.dry_run(SEG_DEFS["seg_nested"], t.conversion, t.app_event, APP, NOW)
@@ -221,7 +221,7 @@ def segments_due(t):
 @register("seg_members_page", f"""
 WITH m AS (SELECT user_id FROM ({REFRESH_SQL}) r WHERE segment_id = 8),
  p AS (SELECT user_id FROM m WHERE user_id > 20 ORDER BY user_id LIMIT 25)
-SELECT CAST(8 AS BIGINT) AS segment_id, (SELECT list(user_id ORDER BY user_id) FROM p) AS user_ids,
+SELECT CAST(8 AS BIGINT) AS segment_id, coalesce((SELECT list(user_id ORDER BY user_id) FROM p), CAST([] AS BIGINT[])) AS user_ids,
   CASE WHEN (SELECT count(*) FROM p) = 25 THEN (SELECT max(user_id) FROM p) END AS next_cursor,
   CAST((SELECT count(*) FROM m) AS INT) AS total
 """, ("conversion", "app_event"))
