@@ -96,7 +96,10 @@ def _budget_decisions(t):
     """set_budget proposals for every spending ad at its daily average
     spend over the spend window, numbered by external id."""
     spend = (t.ad_performance_daily.where(F.col("app") == APP)
-             .groupBy("ad_entity_id").agg((F.sum("spend_inr") / 30).alias("amount")))
+             .groupBy("ad_entity_id")
+             # daily average in whole paise, rounded half up with integer arithmetic
+             .agg(((F.sum("spend_inr") * 100).cast("long").alias("c")))
+             .select("ad_entity_id", (F.expr("(2 * c + 30) div 60") / 100.0).alias("amount")))
     refs = (t.ad_entity.join(spend, t.ad_entity["id"] == spend["ad_entity_id"])
             .select("app", "channel", F.col("level").alias("entity_level"), "external_id",
                     F.lit("budget review").alias("reason"),
@@ -107,7 +110,7 @@ def _budget_decisions(t):
 
 
 BUDGET_SQL = f"""d AS (SELECT row_number() OVER (ORDER BY e.external_id) AS id, e.app, e.channel, e.level AS entity_level, e.external_id,
-    CAST(round(sum(p.spend_inr) / 30, 2) AS DOUBLE) AS amount
+    ((2 * CAST(sum(p.spend_inr) * 100 AS BIGINT) + 30) // 60) / 100.0 AS amount
   FROM ad_performance_daily p JOIN ad_entity e ON e.id = p.ad_entity_id WHERE p.app = '{APP}'
   GROUP BY e.app, e.channel, e.level, e.external_id)"""
 
