@@ -296,3 +296,13 @@ def test_insert_ignore_is_idempotent(spark):
     assert new.count() == 1 and not flagged.collect()[0].deduped
     new2, flagged2 = ig.ingest_conversions(conv, new)
     assert new2.count() == 0 and flagged2.collect()[0].deduped
+
+
+def test_stitch_latest_and_approx_dau(spark):
+    r = [("1", APP, "el_first_open", ts("2026-06-10 08:00:00"), "shared", None)]
+    lk = mk(spark, [(APP, "shared", 1), (APP, "shared", 2)], LINK_SCHEMA)
+    ev_df = mk(spark, r, EVENT_SCHEMA)
+    latest = ev.dau_daily(ev_df, lk, APP, "2026-06-10", "2026-06-10", stitch="latest").collect()[0]
+    assert (latest.dau, latest.events) == (1, 1)
+    approx = ev.dau_daily(ev_df, lk, APP, "2026-06-10", "2026-06-10", approx=True).collect()[0]
+    assert (approx.dau, approx.events) == (2, 2)

@@ -18,7 +18,7 @@ def _scoped_events(events: DataFrame, app: str, day_from: str, day_to: str) -> D
 
 
 def identified_events(events: DataFrame, links: DataFrame, app: str, day_from: str, day_to: str,
-                      names: list[str] | None = None) -> DataFrame:
+                      names: list[str] | None = None, stitch: str = "all") -> DataFrame:
     """In-window events of ``app`` (optionally of some names) with the stitched
     identity ``id``; rows without any identity are dropped."""
     ev = _scoped_events(events, app, day_from, day_to)
@@ -26,14 +26,18 @@ def identified_events(events: DataFrame, links: DataFrame, app: str, day_from: s
         ev = ev.where(F.col("event_name").isin(*names))
     ev = ev.select("event_id", "event_name", "occurred_at", "session_id", "user_id")
     lk = links.where(F.col("app") == app)
-    return with_identity(ev, lk, row_id="event_id").where(F.col("id").isNotNull())
+    return with_identity(ev, lk, row_id="event_id", stitch=stitch).where(F.col("id").isNotNull())
 
 
-def dau_daily(events: DataFrame, links: DataFrame, app: str, day_from: str, day_to: str) -> DataFrame:
-    """Per day (session-zone date) distinct identities and event rows."""
-    ev = identified_events(events, links, app, day_from, day_to)
+def dau_daily(events: DataFrame, links: DataFrame, app: str, day_from: str, day_to: str,
+              approx: bool = False, stitch: str = "all") -> DataFrame:
+    """Per day (session-zone date) distinct identities and event rows.
+    ``approx=True`` uses a HyperLogLog++ sketch (``approx_count_distinct``,
+    no distinct shuffle) for very large days."""
+    ev = identified_events(events, links, app, day_from, day_to, stitch=stitch)
+    distinct = F.approx_count_distinct("id") if approx else F.count_distinct("id")
     return (ev.groupBy(F.to_date("occurred_at").cast("string").alias("date"))
-            .agg(F.count_distinct("id").cast("int").alias("dau"), F.count(F.lit(1)).cast("int").alias("events"))
+            .agg(distinct.cast("int").alias("dau"), F.count(F.lit(1)).cast("int").alias("events"))
             .orderBy("date"))
 
 

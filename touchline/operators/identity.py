@@ -10,7 +10,7 @@ from .asof import asof_last
 
 
 def with_identity(rows: DataFrame, links: DataFrame, row_id: str, out: str = "id",
-                  user_col: str = "user_id", session_col: str = "session_id") -> DataFrame:
+                  user_col: str = "user_id", session_col: str = "session_id", stitch: str = "all") -> DataFrame:
     """A4: add ``out = coalesce(user_id, linked user, 'sid:'||session)``.
 
     ``rows`` and ``links`` must already be scoped to one app (``links`` has
@@ -22,7 +22,16 @@ def with_identity(rows: DataFrame, links: DataFrame, row_id: str, out: str = "id
     a hot session's partition). Rows without a session cannot match; their
     join key is replaced by a per-row sentinel so NULLs do not all hash into
     one shuffle partition.
+
+    ``stitch="latest"`` keeps one user per session (the most recently linked
+    one, by ``linked_at`` when present, else the highest user id) so a shared
+    session no longer multiplies rows.
     """
+    if stitch == "latest":
+        order = F.struct("linked_at", "user_id") if "linked_at" in links.columns else F.col("user_id")
+        links = links.groupBy("session_id").agg(F.max_by("user_id", order).alias("user_id"))
+    elif stitch != "all":
+        raise ValueError(stitch)
     lk = links.select(F.col("session_id").alias("_lk_session"), F.col("user_id").alias("_lk_user"))
     key = F.coalesce(F.col(session_col), F.concat(F.lit("\u0000"), F.col(row_id).cast("string")))
     joined = rows.withColumn("_jk", key).join(lk, F.col("_jk") == F.col("_lk_session"), "left")
