@@ -97,3 +97,29 @@ def test_foreach_batch_edges_and_attribution(spark):
     st.attribution_batch(touches, ents, APP, f"{base}/attr")(conv, 0)
     r = spark.read.parquet(f"{base}/attr").collect()[0]
     assert (r.order_id, r.attribution_outcome, r.attributed_entity_id) == ("O1", "matched", 1)
+
+
+def test_segment_refresh_sink_replaces_partitions(spark):
+    from touchline.sources.sinks import write_segment_refresh, replace_partitions
+    from touchline.operators import segments as sg
+    base = tempfile.mkdtemp(prefix="touchline-seg-")
+    target = f"{base}/membership"
+    conv = mk(spark, [(1, APP, "o1", 10, ts("2026-06-25 00:00:00"), 100, True, "x", "c", None),
+                      (2, APP, "o2", 11, ts("2026-05-01 00:00:00"), 100, True, "y", "c", None)],
+              "id long, app string, order_id string, user_id long, occurred_at timestamp_ntz, value_inr decimal(10,2), "
+              "is_first_order boolean, city string, category string, session_id string")
+    recent = {"version": 1, "group": {"op": "AND", "criteria": [{"kind": "order_recency", "op": "lte", "days": 30}]}}
+    none = {"version": 1, "group": {"op": "AND", "criteria": [{"kind": "order_recency", "op": "lte", "days": 1}]}}
+    # an old membership for segment 2 that must disappear
+    old = mk(spark, [(2, 99, ts("2026-06-01 00:00:00"))], "segment_id long, user_id long, computed_at timestamp_ntz")
+    replace_partitions(old, target, ["segment_id"])
+    segs = [{"id": 1, "definition": json.dumps(recent)}, {"id": 2, "definition": json.dumps(none)},
+            {"id": 3, "definition": json.dumps({"version": 2})}, {"id": 4, "definition": "{}", "status": "paused"}]
+    book = {r.id: r for r in write_segment_refresh(segs, conv, None, APP, "2026-07-01 00:00:00", target).collect()}
+    assert (book[1].status, book[1].last_count) == ("refreshed", 1)
+    assert (book[2].status, book[2].last_count) == ("refreshed", 0)
+    assert book[3].status == "error" and "version" in book[3].last_error
+    assert book[4].status == "skipped"
+    members = spark.read.parquet(target)
+    assert sg.segment_members(members, 2, None, 10).collect()[0].total == 0
+    assert sg.segment_members(members, 1, None, 10).collect()[0].user_ids == [10]
