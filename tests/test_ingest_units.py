@@ -123,3 +123,17 @@ def test_segment_refresh_sink_replaces_partitions(spark):
     members = spark.read.parquet(target)
     assert sg.segment_members(members, 2, None, 10).collect()[0].total == 0
     assert sg.segment_members(members, 1, None, 10).collect()[0].user_ids == [10]
+
+
+def test_events_partition_pruning(spark):
+    from touchline.sources.tables import months_between, read_events, write_events
+    assert months_between("2024-01-30", "2024-02-29") == ["2024_01", "2024_02", "2024_03"]
+    base = tempfile.mkdtemp(prefix="touchline-ev-")
+    ev = mk(spark, [("1", APP, "a", ts("2024-01-10 10:00:00")), ("2", APP, "b", ts("2024-03-10 10:00:00")),
+                    ("3", "other", "c", ts("2024-01-11 10:00:00"))],
+            "event_id string, app string, event_name string, occurred_at timestamp_ntz")
+    write_events(ev, f"{base}/events")
+    df = read_events(spark, f"{base}/events", APP, "2024-01-01", "2024-01-31")
+    assert [r.event_id for r in df.collect()] == ["1"]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "event_month" in plan
