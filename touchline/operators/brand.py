@@ -32,14 +32,13 @@ def question_grid(cities: DataFrame, categories: DataFrame, brand: str, brand_do
     cap = max(max_questions - len(BRAND_PROBES), 0)
     cities = cities.orderBy("ord").limit(cap).withColumn("_ci", F.row_number().over(_w()) - 1)
     cats = categories.orderBy("ord").limit(cap).withColumn("_ki", F.row_number().over(_w()) - 1)
-    ny = cities.count()
-    nc = cats.count()
-    total = min(cap, len(TEMPLATES) * nc * ny)
-    idx = spark.range(total).select(F.col("id").alias("i"))
-    per_t = max(nc * ny, 1)
-    grid = idx.select("i", F.floor(F.col("i") / per_t).cast("int").alias("_ti"),
-                      (F.floor(F.col("i") / max(ny, 1)) % max(nc, 1)).cast("int").alias("_ki"),
-                      (F.col("i") % max(ny, 1)).cast("int").alias("_ci"))
+    # grid sizes as scalar subqueries: the plan stays lazy, nothing is counted on the driver
+    ny = F.greatest(cities.agg(F.count(F.lit(1))).scalar(), F.lit(1))
+    nc = F.greatest(cats.agg(F.count(F.lit(1))).scalar(), F.lit(1))
+    i = F.col("id")
+    grid = (spark.range(cap).where(i < F.lit(len(TEMPLATES)) * nc * ny)
+            .select(i.alias("i"), F.floor(i / (nc * ny)).cast("int").alias("_ti"),
+                    (F.floor(i / ny) % nc).cast("int").alias("_ki"), (i % ny).cast("int").alias("_ci")))
     tmpl = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(TEMPLATES)], "_ti int, tid string, tmpl string")
     g = (grid.join(F.broadcast(tmpl), "_ti").join(F.broadcast(cats.select("_ki", F.col("name").alias("category"))), "_ki")
          .join(F.broadcast(cities.select("_ci", F.col("name").alias("city"))), "_ci"))
