@@ -245,17 +245,22 @@ def social_performance(t):
 
 
 @register("social_entities", """
-SELECT level, external_id, parent_external_id, name FROM ad_entity""", ("ad_entity",))
+SELECT level, external_id, parent_external_id, name, 'ACTIVE' AS status,
+  CAST(CAST(250000 + id AS DECIMAL(20,2)) / 100 AS DECIMAL(14,2)) AS current_daily_budget_inr FROM ad_entity""", ("ad_entity",))
 def social_entities(t):
+    """The entity table packed into the three social entity lists (budget
+    in minor units), normalised back into one frame."""
     e = t.ad_entity
-    def lst(level, parent):
-        s = e.where(F.col("level") == level).select(F.col("external_id").alias("id"), "name",
-                                                   F.lit("ACTIVE").alias("effective_status"),
-                                                   F.lit("250000").alias("daily_budget"),
-                                                   F.col("parent_external_id").alias(parent) if parent else F.lit(1).alias("_x"))
-        return s
-    n = ig.normalize_social_entities(lst("campaign", None), lst("adset", "campaign_id"), lst("ad", "adset_id"))
-    return n.select("level", "external_id", "parent_external_id", "name")
+
+    def entity_list(level, parent=None):
+        cols = [F.col("external_id").alias("id"), "name", F.lit("ACTIVE").alias("effective_status"),
+                (F.lit(250000) + F.col("id")).cast("string").alias("daily_budget")]
+        if parent:
+            cols.append(F.col("parent_external_id").alias(parent))
+        return e.where(F.col("level") == level).select(*cols)
+    n = ig.normalize_social_entities(entity_list("campaign"), entity_list("adset", "campaign_id"),
+                                     entity_list("ad", "adset_id"))
+    return n.select("level", "external_id", "parent_external_id", "name", "status", "current_daily_budget_inr")
 
 
 def _search_report(t):
