@@ -137,3 +137,22 @@ def test_events_partition_pruning(spark):
     assert [r.event_id for r in df.collect()] == ["1"]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "event_month" in plan
+
+
+def test_upsert_entities_keeps_stored_columns(spark):
+    tgt = mk(spark, [(5, APP, "meta", "campaign", "c1", None, "old_x_y", "old", "x", "y", "ACTIVE", None, None,
+                      ts("2026-01-01 00:00:00"), ts("2026-01-01 00:00:00"))],
+             "id long, app string, channel string, level string, external_id string, parent_external_id string, "
+             "name string, city string, category string, objective string, status string, "
+             "current_daily_budget_inr decimal(14,2), currency string, created_at timestamp_ntz, updated_at timestamp_ntz")
+    batch = mk(spark, [(APP, "meta", "campaign", "c1", "p9", "Pune_Cleaning_Leads", "PAUSED", "USD"),
+                       (APP, "meta", "adset", "a1", "c1", "set", "ACTIVE", "INR")],
+               "app string, channel string, level string, external_id string, parent_external_id string, name string, "
+               "status string, currency string")
+    out = {r.external_id: r for r in ig.upsert_entities(tgt, batch, "2026-07-01 00:00:00").collect()}
+    c1 = out["c1"]
+    assert (c1.id, c1.parent_external_id, c1.currency, c1.name, c1.city, c1.objective, c1.status) == \
+        (5, None, None, "Pune_Cleaning_Leads", "pune", "leads", "PAUSED")
+    assert c1.created_at == ts("2026-01-01 00:00:00") and c1.updated_at == ts("2026-07-01 00:00:00")
+    a1 = out["a1"]
+    assert (a1.id, a1.parent_external_id, a1.currency) == (6, "c1", "INR")

@@ -394,10 +394,13 @@ def upsert_entities(target: DataFrame, batch: DataFrame, now: str) -> DataFrame:
     n = F.lit(now).cast("timestamp_ntz")
     j = target.alias("t").join(b.withColumn("_in", F.lit(True)).alias("b"), ENTITY_KEY, "full")
     upd = {c: F.when(F.col("b._in"), F.col(f"b.{c}")).otherwise(F.col(f"t.{c}")) for c in ENTITY_UPDATABLE}
-    rows = j.select(*ENTITY_KEY, F.col("t.id").alias("id"),
-                    F.coalesce(F.col("t.parent_external_id"), F.col("b.parent_external_id")).alias("parent_external_id"),
+    exists = F.col("t.id").isNotNull()
+
+    def kept(c):   # stored value for existing keys (even NULL), batch value for new keys
+        return F.when(exists, F.col(f"t.{c}")).otherwise(F.col(f"b.{c}").cast(target.schema[c].dataType))
+    rows = j.select(*ENTITY_KEY, F.col("t.id").alias("id"), kept("parent_external_id").alias("parent_external_id"),
                     *[upd[c].cast(target.schema[c].dataType).alias(c) for c in ENTITY_UPDATABLE],
-                    F.coalesce(F.col("t.currency"), F.col("b.currency")).alias("currency"),
+                    kept("currency").alias("currency"),
                     F.coalesce(F.col("t.created_at"), n).alias("created_at"),
                     F.when(F.col("b._in"), n).otherwise(F.col("t.updated_at")).alias("updated_at"))
     old = rows.where(F.col("id").isNotNull())
