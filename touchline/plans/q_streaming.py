@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators import monitor as mo
 from ..streaming import ingest as st
-from .params import APP, NOW
+from .params import APP, LOOKBACK_DAYS, NOW
+from .q_attribution import RESOLVE_SQL_CTES
 from .q_ingest import EVENT_RULES, UUID_EVENTS_SQL, _reasons_sql, _uuid_events
 from .registry import register
 
@@ -76,3 +77,50 @@ def stream_insert_conversions(t):
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{base}/target").select("app", "order_id", F.col("value_inr").cast("double").alias("value"))
+
+
+def _stage_json(df, path):
+    df.write.option("timestampNTZFormat", st.TS_FORMAT).json(path)
+
+
+@register("stream_attribution", f"""WITH {RESOLVE_SQL_CTES}
+SELECT app, order_id, attributed_entity_id, attributed_channel, attribution_outcome FROM resolved""",
+          ("conversion", "attribution_touch", "ad_entity"))
+def stream_attribution(t):
+    """T5: conversions arrive as files (two per micro-batch); each micro-batch
+    is attributed by the batch kernel against the touches of its lookback
+    slice, written to its own batch directory."""
+    spark = t.spark
+    base = st.scratch(spark, "attr-stream")
+    conv = t.conversion.where(F.col("app") == APP)
+    _stage_json(conv.repartition(4), f"{base}/in")
+    stream = (spark.readStream.schema(conv.schema).option("timestampNTZFormat", st.TS_FORMAT)
+              .option("maxFilesPerTrigger", 2).json(f"{base}/in"))
+    run = st.attribution_batch(t.attribution_touch, t.ad_entity, APP, f"{base}/out", LOOKBACK_DAYS)
+    q = (stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{base}/ckpt")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("app", "order_id", "attributed_entity_id", "attributed_channel",
+                                                    "attribution_outcome")
+
+
+@register("stream_identity_edges", """
+SELECT DISTINCT app, session_id, user_id FROM (
+  SELECT app, session_id, user_id FROM attribution_touch UNION ALL SELECT app, session_id, user_id FROM conversion) s
+WHERE session_id IS NOT NULL AND session_id <> '' AND user_id IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM identity_link l WHERE l.app = s.app AND l.session_id = s.session_id AND l.user_id = s.user_id)""",
+          ("attribution_touch", "conversion", "identity_link"))
+def stream_identity_edges(t):
+    """Touches and conversions stream in; each micro-batch appends the
+    identity edges not yet known (seeded with the existing edge table)."""
+    spark = t.spark
+    base = st.scratch(spark, "edge-stream")
+    t.identity_link.select("app", "session_id", "user_id").write.parquet(f"{base}/edges/batch_id=-1")
+    rows = (t.attribution_touch.select("app", "session_id", "user_id")
+            .unionByName(t.conversion.select("app", "session_id", "user_id")))
+    rows.repartition(4).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    q = (stream.writeStream.foreachBatch(st.identity_edges_batch(f"{base}/edges"))
+         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/edges").where(F.col("batch_id") >= 0).select("app", "session_id", "user_id")

@@ -127,10 +127,10 @@ def attribution_batch(touches: DataFrame, entities: DataFrame, app: str, result_
     """T5: a ``foreachBatch`` function attributing each micro-batch of
     conversions against the touches of its lookback slice."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        bounds = batch.agg(F.min("occurred_at").alias("lo"), F.max("occurred_at").alias("hi"))
-        t = (touches.join(F.broadcast(bounds), (F.col("occurred_at") <= F.col("hi"))
-                          & (F.col("occurred_at") >= F.col("lo") - F.make_dt_interval(days=F.lit(lookback_days))))
-             .drop("lo", "hi"))
+        lo = batch.agg(F.min("occurred_at")).scalar()
+        hi = batch.agg(F.max("occurred_at")).scalar()
+        t = touches.where((F.col("occurred_at") <= hi)
+                          & (F.col("occurred_at") >= lo - F.make_dt_interval(days=F.lit(lookback_days))))
         res = resolve_attribution(batch, t, entities, app, lookback_days)
         res.write.mode("overwrite").parquet(f"{result_dir.rstrip('/')}/batch_id={batch_id}")
     return run
