@@ -9,7 +9,6 @@ from ..operators import attribution as at
 from ..operators import metrics as mt
 from ..functions.ranking import global_row_number
 from .params import APP, LOOKBACK_DAYS, NOW, SPEND_FROM, SPEND_TO
-from .q_metrics import cost_per_first_order as _cpfo_query
 from .registry import register
 
 TODAY = "2024-01-06"   # first orders drop sharply after the first week

@@ -3,7 +3,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import HOST_PATTERN, TRAILING_PUNCT, URL_PATTERN, alias_pattern_groups, extract_domains
