@@ -45,15 +45,23 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+_FALLBACK_DIRS: dict[int, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and staged tables.
 
     On a cluster this is ``spark.checkpoint.dir`` as configured by the
-    platform. Only when it is unset (local tests) do we create one.
+    platform (it cannot be changed at runtime). Only when it is unset (local
+    tests) is a local folder created and registered with the SparkContext.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if not d:
-        d = tempfile.mkdtemp(prefix="touchline-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        key = id(sc)
+        if key not in _FALLBACK_DIRS:
+            _FALLBACK_DIRS[key] = tempfile.mkdtemp(prefix="touchline-ckpt-")
+        d = _FALLBACK_DIRS[key]
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
