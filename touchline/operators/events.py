@@ -41,9 +41,10 @@ def dau_daily(events: DataFrame, links: DataFrame, app: str, day_from: str, day_
             .orderBy("date"))
 
 
-def dau_totals(events: DataFrame, links: DataFrame, app: str, day_from: str, day_to: str) -> DataFrame:
+def dau_totals(events: DataFrame, links: DataFrame, app: str, day_from: str, day_to: str,
+               stitch: str = "all") -> DataFrame:
     """Window-wide distinct identities and events (one row)."""
-    ev = identified_events(events, links, app, day_from, day_to)
+    ev = identified_events(events, links, app, day_from, day_to, stitch=stitch)
     return ev.agg(F.count_distinct("id").cast("int").alias("unique_users"),
                   F.count(F.lit(1)).cast("int").alias("events"))
 
@@ -57,7 +58,7 @@ def events_by_name(events: DataFrame, app: str, day_from: str, day_to: str, top:
 
 
 def ordered_funnel(events: DataFrame, links: DataFrame, app: str, day_from: str, day_to: str,
-                   steps: list[str]) -> DataFrame:
+                   steps: list[str], stitch: str = "all") -> DataFrame:
     """Ordered conversion funnel over 2–6 steps.
 
     Step 1 is each identity's first in-window time of event 1; step n is the
@@ -67,7 +68,7 @@ def ordered_funnel(events: DataFrame, links: DataFrame, app: str, day_from: str,
     """
     if not 2 <= len(steps) <= 6:
         raise ValueError("a funnel has 2 to 6 steps")
-    ev = identified_events(events, links, app, day_from, day_to, names=list(dict.fromkeys(steps)))
+    ev = identified_events(events, links, app, day_from, day_to, names=list(dict.fromkeys(steps)), stitch=stitch)
     ev = ev.select("id", "event_name", F.col("occurred_at").alias("t"))
     reached = ev.where(F.col("event_name") == steps[0]).groupBy("id").agg(F.min("t").alias("t"))
     counts = [reached.agg(F.count(F.lit(1)).alias("users")).withColumn("step", F.lit(1))]
@@ -94,7 +95,7 @@ def ordered_funnel(events: DataFrame, links: DataFrame, app: str, day_from: str,
 
 def retention(events: DataFrame, links: DataFrame, app: str, day_from: str, day_to: str,
               days: tuple[int, ...] = RETENTION_DAYS, cohort: str = "first_seen",
-              zone: str = BUSINESS_ZONE) -> DataFrame:
+              zone: str = BUSINESS_ZONE, stitch: str = "all") -> DataFrame:
     """E5: cohort retention in the business zone.
 
     Cohort date = first in-window local date of the identity (``first_seen``)
@@ -103,7 +104,7 @@ def retention(events: DataFrame, links: DataFrame, app: str, day_from: str, day_
     bounded by the window length — so no join and no distinct-count Expand is
     needed; a second aggregate counts per cohort date.
     """
-    ev = identified_events(events, links, app, day_from, day_to)
+    ev = identified_events(events, links, app, day_from, day_to, stitch=stitch)
     local_day = F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("occurred_at")))
     ev = ev.select("id", "event_name", local_day.alias("d"))
     if cohort == "first_seen":
