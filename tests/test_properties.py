@@ -125,3 +125,22 @@ def test_forward_asof_matches_brute_force(spark, src, tgt, mode):
         cands = [(stt, sid) for sid, sk, stt in sources if sk == tk and (stt, sid) > (tt, tid)]
         want[tid] = min(cands)[1] if cands else None
     assert got == want
+
+
+def test_range_mode_on_a_hot_key(spark):
+    """One key holds ~90% of all rows inside a single week: the range form
+    cuts it across partitions (carrying the last source between them) and
+    still matches brute force; so does the default replicated form."""
+    rnd = random.Random(7)
+    sources = [(i, "hot" if i % 10 else f"k{i % 3}", BASE + dt.timedelta(minutes=rnd.randint(0, 6 * 24 * 60)))
+               for i in range(400)]
+    targets = [(1000 + i, "hot" if i % 10 else f"k{i % 3}", BASE + dt.timedelta(minutes=rnd.randint(0, 7 * 24 * 60)))
+               for i in range(400)]
+    sdf = mk(spark, sources, "sid long, k string, ts timestamp_ntz")
+    tdf = mk(spark, targets, "tid long, k string, ts timestamp_ntz")
+    want = brute_asof(targets, sources, 2)
+    for kw in ({"mode": "range"}, {}):
+        res = asof_last(tdf, sdf, target_key="k", target_ts="ts", target_id="tid", source_key="k", source_ts="ts",
+                        source_tiebreak=["sid"], source_cols=[], lookback_days=2, out="m", **kw)
+        got = {r.tid: (r.m.sid if r.m else None) for r in res.collect()}
+        assert got == want
