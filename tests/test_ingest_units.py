@@ -156,3 +156,26 @@ def test_upsert_entities_keeps_stored_columns(spark):
     assert c1.created_at == ts("2026-01-01 00:00:00") and c1.updated_at == ts("2026-07-01 00:00:00")
     a1 = out["a1"]
     assert (a1.id, a1.parent_external_id, a1.currency) == (6, "c1", "INR")
+
+
+def test_schemas_and_landed_reader(spark):
+    from touchline.sources import schemas
+    from touchline.sources.bindings import DriverTables
+    t = DriverTables(spark, "/root/testdata/sf0.001")
+    for table, df in [("ad_entity", t.ad_entity), ("attribution_touch", t.attribution_touch), ("app_event", t.app_event),
+                      ("lead_event", t.lead_event), ("review_observation", t.review_observation)]:
+        declared = {f.name for f in schemas.schema(table).fields}
+        assert set(df.columns) <= declared, (table, set(df.columns) - declared)
+    assert schemas.key("conversion") == ["app", "order_id"]
+    base = tempfile.mkdtemp(prefix="touchline-landed-")
+    with open(f"{base}/batch.json", "w") as fh:
+        fh.write(json.dumps({"app": "services", "order_id": "O1", "user_id": 42, "value_inr": 1500.5,
+                             "is_first_order": True, "occurred_at": "2026-06-20T10:00:00Z"}) + "\n")
+        fh.write(json.dumps({"app": "services", "order_id": "O2", "user_id": "not-a-number", "value_inr": 1,
+                             "is_first_order": False, "occurred_at": "2026-06-20T11:00:00.123Z"}) + "\n")
+    rows = {r.order_id: r for r in schemas.read_landed(spark, base, "conversion").collect()}
+    assert rows["O1"].user_id == 42 and float(rows["O1"].value_inr) == 1500.5
+    assert rows["O1"].occurred_at == ts("2026-06-20 10:00:00")
+    assert rows["O2"].user_id is None
+    valid, bad = ig.split_valid(ig.validate_conversions(schemas.read_landed(spark, base, "conversion")))
+    assert valid.count() == 2 and bad.count() == 0
