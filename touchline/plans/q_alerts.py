@@ -9,6 +9,7 @@ from ..operators import attribution as at
 from ..operators import metrics as mt
 from ..functions.ranking import global_row_number
 from .params import APP, LOOKBACK_DAYS, NOW, SPEND_FROM, SPEND_TO
+from .q_attribution import RESOLVE_SQL_CTES
 from .registry import register
 
 TODAY = "2024-01-06"   # first orders drop sharply after the first week
@@ -43,7 +44,25 @@ def _cpfo(t):
     return mt.cost_per_first_order(t.ad_performance_daily, t.ad_entity, res, APP, SPEND_FROM, SPEND_TO)
 
 
-@register("rule_cost_high")
+CPFO_SQL = f"""WITH {RESOLVE_SQL_CTES},
+ spend AS (SELECT e.id AS ad_entity_id, e.name AS campaign, e.city, e.category, sum(p.spend_inr) AS spend
+           FROM ad_performance_daily p JOIN ad_entity e ON e.id = p.ad_entity_id
+           WHERE p.app = '{APP}' AND p.stat_date BETWEEN DATE '{SPEND_FROM}' AND DATE '{SPEND_TO}' GROUP BY 1, 2, 3, 4),
+ fo AS (SELECT c.attributed_entity_id AS ad_entity_id, count(*) FILTER (WHERE c.is_first_order) AS first_orders
+        FROM resolved c WHERE c.app = '{APP}' AND c.occurred_at >= TIMESTAMP '{SPEND_FROM} 00:00:00'
+          AND c.occurred_at < CAST(DATE '{SPEND_TO}' + 1 AS TIMESTAMP) AND c.attribution_outcome = 'matched' GROUP BY 1),
+ cpfo AS (SELECT s.campaign, s.city, s.category,
+            CASE WHEN coalesce(fo.first_orders, 0) > 0 THEN CAST(round(CAST(s.spend AS DECIMAL(24,2)) / fo.first_orders, 2) AS DOUBLE) END AS v
+          FROM spend s LEFT JOIN fo ON fo.ad_entity_id = s.ad_entity_id),
+ proposals AS (SELECT '{APP}' AS app, 'cpfo_high' AS rule_key, 'warn' AS severity, campaign, city, category,
+     'cost_per_first_order_inr' AS metric, v AS observed, CAST({float(al.CPFO_THRESHOLD_INR)} AS DOUBLE) AS threshold,
+     'Cost per first order ₹' || regexp_replace(CAST(CAST(v AS DECIMAL(38,2)) AS VARCHAR), '\\.?0+$', '') || ' exceeds ₹'
+       || '{al.CPFO_THRESHOLD_INR}' || ' for ' || coalesce(campaign, 'unknown campaign') AS message
+   FROM cpfo WHERE v IS NOT NULL AND v > {al.CPFO_THRESHOLD_INR})"""
+
+
+@register("rule_cost_high", CPFO_SQL + "\nSELECT * FROM proposals",
+          ("conversion", "attribution_touch", "ad_entity", "ad_performance_daily"))
 def rule_cost_high(t):
     """L1 over M6. On the fixture data matched first orders hang off campaign
     entities while spend is ad-level (SURVEY X8), so no campaign has a cost
@@ -84,7 +103,14 @@ def list_alerts(t):
     return al.list_alerts(alerts, APP, severity="critical").select("app", "rule_key", "severity", "message").distinct()
 
 
-@register("propose_pauses")
+@register("propose_pauses", CPFO_SQL + f""",
+ ent AS (SELECT app, name AS campaign, arg_min(channel, id) AS channel, arg_min(level, id) AS level,
+                arg_min(external_id, id) AS external_id FROM ad_entity GROUP BY 1, 2)
+SELECT p.app, TIMESTAMP '{FIRE_NOW}' AS proposed_at, 'rules' AS source, e.channel, e.level AS entity_level, e.external_id,
+  'pause' AS action_type, '{{}}' AS action_params, 'dry_run' AS mode, 'proposed' AS status, p.message AS reason,
+  'alert:cpfo_high:' || p.campaign AS correlation_id
+FROM proposals p JOIN ent e ON e.app = p.app AND e.campaign = p.campaign WHERE p.campaign IS NOT NULL""",
+          ("conversion", "attribution_touch", "ad_entity", "ad_performance_daily"))
 def propose_pauses(t):
     """L4 over the fired cost alerts (silent on the fixture data, see L1)."""
     fired = al.fire_alerts(_proposals(t), _prefilled_alerts(t), FIRE_NOW)
