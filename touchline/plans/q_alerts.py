@@ -51,7 +51,8 @@ CPFO_SQL = f"""WITH {RESOLVE_SQL_CTES},
  fo AS (SELECT c.attributed_entity_id AS ad_entity_id, count(*) FILTER (WHERE c.is_first_order) AS first_orders
         FROM resolved c WHERE c.app = '{APP}' AND c.occurred_at >= TIMESTAMP '{SPEND_FROM} 00:00:00'
           AND c.occurred_at < CAST(DATE '{SPEND_TO}' + 1 AS TIMESTAMP) AND c.attribution_outcome = 'matched' GROUP BY 1),
- cpfo AS (SELECT s.campaign, s.city, s.category,
+ cpfo AS (SELECT s.campaign, s.city, s.category, CAST(s.spend AS DOUBLE) AS spend_inr,
+            coalesce(fo.first_orders, 0) AS first_orders,
             CASE WHEN coalesce(fo.first_orders, 0) > 0 THEN CAST(round(CAST(s.spend AS DECIMAL(24,2)) / fo.first_orders, 2) AS DOUBLE) END AS v
           FROM spend s LEFT JOIN fo ON fo.ad_entity_id = s.ad_entity_id),
  proposals AS (SELECT '{APP}' AS app, 'cpfo_high' AS rule_key, 'warn' AS severity, campaign, city, category,

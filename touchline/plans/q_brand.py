@@ -197,6 +197,32 @@ def marketing_state(t):
     return _state(t)
 
 
-@register("state_summary")
+def _js(x, scale=2):
+    return f"regexp_replace(CAST(CAST({x} AS DECIMAL(38,{scale})) AS VARCHAR), '\\.?0+$', '')" if scale else \
+        f"CAST(CAST({x} AS DECIMAL(38,0)) AS VARCHAR)"
+
+
+def _state_summary_sql():
+    from .q_alerts import CPFO_SQL
+    spend_where = f"p.app = '{APP}' AND p.stat_date BETWEEN DATE '{SPEND_FROM}' AND DATE '{SPEND_TO}'"
+    conv_where = (f"c.app = '{APP}' AND c.occurred_at >= TIMESTAMP '{SPEND_FROM} 00:00:00' "
+                  f"AND c.occurred_at < CAST(DATE '{SPEND_TO}' + 1 AS TIMESTAMP)")
+    return CPFO_SQL + f""",
+ tot AS (SELECT CAST((SELECT coalesce(sum(p.spend_inr), 0) FROM ad_performance_daily p JOIN ad_entity e ON e.id = p.ad_entity_id
+                      WHERE {spend_where}) AS DECIMAL(24,2)) AS s,
+                (SELECT count(*) FILTER (WHERE c.is_first_order) FROM conversion c WHERE {conv_where}) AS f),
+ top AS (SELECT * FROM cpfo ORDER BY spend_inr DESC, campaign LIMIT 1)
+SELECT '{APP}' AS app,
+  'Window {SPEND_FROM}..{SPEND_TO} ({APP}). Spend ₹' || {_js('CAST(tot.s AS DOUBLE)')} || ', first orders ' || {_js('tot.f', 0)}
+  || ', blended CAC ' || CASE WHEN tot.f > 0 THEN '₹' || {_js('round(tot.s / tot.f, 2)')} ELSE 'n/a' END || '. '
+  || CASE WHEN (SELECT count(*) FROM top) > 0 THEN
+       'Top-spend campaign: ' || coalesce((SELECT campaign FROM top), 'unknown') || ' (₹' || {_js('(SELECT spend_inr FROM top)')}
+       || ', CPFO ' || coalesce('₹' || {_js('(SELECT v FROM top)')}, 'n/a') || ').'
+     ELSE 'No campaign spend yet — connect Meta/Google to populate.' END AS summary
+FROM tot"""
+
+
+@register("state_summary", _state_summary_sql(),
+          ("conversion", "attribution_touch", "ad_entity", "ad_performance_daily", "answers"))
 def state_summary(t):
     return br.state_summary(_state(t))
