@@ -48,9 +48,20 @@ def health(last_seen, registered, is_active, frequency, now) -> F.Column:
 
 
 def streams_overview(events: DataFrame, touches: DataFrame, leads: DataFrame, conversions: DataFrame,
-                     registry: DataFrame, app: str, now: str) -> DataFrame:
-    """Per stream count_24h, count_7d, last_seen, registry info, health."""
+                     registry: DataFrame, app: str, now: str, horizon_days: int | None = None) -> DataFrame:
+    """Per stream count_24h, count_7d, last_seen, registry info, health.
+
+    ``horizon_days`` bounds the scan to ``[now − horizon, now]`` (time filters
+    that reach the scans and their partitions); ``last_seen`` older than the
+    horizon then reads as never seen. The default scans the whole history —
+    for very large histories the streaming hourly counters (T4) keep the
+    same figures incrementally."""
     n = F.lit(now).cast("timestamp_ntz")
+    if horizon_days is not None:
+        lo = n - F.make_dt_interval(days=F.lit(horizon_days))
+        events, touches, leads, conversions = (
+            df.where((F.col("occurred_at") >= lo) & (F.col("occurred_at") <= n))
+            for df in (events, touches, leads, conversions))
     rows = stream_rows(events, touches, leads, conversions, app)
     aggs = [F.count_if(F.col("ts") >= n - F.make_dt_interval(hours=F.lit(24))).alias("c24"),
             F.count_if(F.col("ts") >= n - F.make_dt_interval(days=F.lit(7))).alias("c7"),
