@@ -19,6 +19,7 @@ from .asof import asof_last
 CLICK_IDS = ("gclid", "gbraid", "wbraid", "fbclid", "fbc")
 TOUCH_COLS = ("id", "occurred_at", "received_at", "channel", "utm_source", "utm_medium", "utm_campaign",
               "gclid", "gbraid", "wbraid", "fbclid", "fbc", "fbp", "session_id", "user_id", "touch_type")
+TOUCH_PAYLOAD = ("channel", "utm_source", "utm_medium", "utm_campaign", "gclid", "gbraid", "wbraid", "fbclid", "fbc")
 
 
 def _with_touch_cols(touches: DataFrame) -> DataFrame:
@@ -39,7 +40,8 @@ def last_touch(conversions: DataFrame, touches: DataFrame, app: str, lookback_da
     """
     conv = conversions.where(F.col("app") == app)
     t = _with_touch_cols(touches.where(F.col("app") == app))
-    cols = [c for c in TOUCH_COLS if c not in ("occurred_at", "received_at", "id")]
+    # carried through the sweep: what entity mapping (A2) and callers read
+    cols = [c for c in TOUCH_PAYLOAD if c not in ("occurred_at", "received_at", "id")]
     common = dict(target_ts="occurred_at", target_id="id", source_ts="occurred_at",
                   source_tiebreak=["received_at", "id"], source_cols=cols,
                   lookback_days=lookback_days, bucket_hours=bucket_hours, mode=mode)
