@@ -16,7 +16,7 @@ CURATED = ["dau_daily", "retention", "ordered_funnel", "last_touch", "resolve_at
            "ltv_cac", "campaign_funnel", "campaign_funnel_medium", "seg_nested", "segments_refresh",
            "seg_ltv_percentile", "streams_overview", "fire_alerts", "pending_purchases", "outbox_acks",
            "detect_mentions", "classify_citations", "question_grid", "sanitize_touches", "upsert_entities",
-           "backfill_touch_users", "search_performance", "stream_ingest_events"]
+           "backfill_touch_users", "search_performance", "stream_ingest_events", "state_summary", "snapshot_reviews"]
 
 
 def _names():
