@@ -306,6 +306,8 @@ def test_stitch_latest_and_approx_dau(spark):
     assert (latest.dau, latest.events) == (1, 1)
     approx = ev.dau_daily(ev_df, lk, APP, "2026-06-10", "2026-06-10", approx=True).collect()[0]
     assert (approx.dau, approx.events) == (2, 2)
+    tot = ev.dau_totals(ev_df, lk, APP, "2026-06-10", "2026-06-10", approx=True).collect()[0]
+    assert (tot.unique_users, tot.events) == (2, 2)
 
 
 def test_monitor_horizon_bounds_the_scan(spark):

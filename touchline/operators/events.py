@@ -42,10 +42,12 @@ def dau_daily(events: DataFrame, links: DataFrame, app: str, day_from: str, day_
 
 
 def dau_totals(events: DataFrame, links: DataFrame, app: str, day_from: str, day_to: str,
-               stitch: str = "all") -> DataFrame:
-    """Window-wide distinct identities and events (one row)."""
+               stitch: str = "all", approx: bool = False) -> DataFrame:
+    """Window-wide distinct identities and events (one row); ``approx``
+    as in E1."""
     ev = identified_events(events, links, app, day_from, day_to, stitch=stitch)
-    return ev.agg(F.count_distinct("id").cast("int").alias("unique_users"),
+    distinct = F.approx_count_distinct("id") if approx else F.count_distinct("id")
+    return ev.agg(distinct.cast("int").alias("unique_users"),
                   F.count(F.lit(1)).cast("int").alias("events"))
 
 
