@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, quality_rules
+from . import exact_dedup, minhash, mixing, quality_rules
 from .common import text_of
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +115,38 @@ FROM d LEFT JOIN n USING (doc_id) JOIN least ON least.a = d.doc_id
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = minhash.near_components(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+# --- 5 mixing ----------------------------------------------------------------
+
+MIX_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size,
+         (('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496 AS u
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
+f AS (SELECT *, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+             sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sharing
+      FROM w WINDOW o AS (ORDER BY 3 * source_size / weight, source NULLS LAST)),
+g AS (SELECT *, 3 * source_size * sharing <= weight * rest AS is_full FROM f),
+lv AS (SELECT rest, sharing FROM g WHERE NOT is_full ORDER BY 3 * source_size / weight, source NULLS LAST LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN is_full THEN 3.0::DOUBLE * source_size
+             ELSE (weight * (SELECT rest FROM lv))::DOUBLE / (SELECT sharing FROM lv)::DOUBLE END AS target FROM g),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS expected FROM t),
+p AS (SELECT source, source_size, target, floor(expected) AS whole, expected - floor(expected) AS chance,
+             target - floor(expected) * source_size::DOUBLE AS need FROM e),
+r AS (SELECT d.doc_id, d.size, p.*, u * (1 - chance) / ((1 - u) * nullif(chance, 0)) AS odds
+      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+k AS (SELECT *, odds / (1 + odds) AS rank FROM r),
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank) AS cum, sum(size) OVER (PARTITION BY source, rank) AS tied FROM k)
+SELECT doc_id, size, source_size, target,
+       (size * (whole + CASE WHEN chance > 0 AND (cum <= need OR cum - need < need - (cum - tied)) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c
+"""
+
+
+@register("op5_mix_sources", MIX_SQL)
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"), carry={"doc_id": F.col("doc_id")})
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
