@@ -77,6 +77,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows that stay, with their own columns."""
-    out = exact_groups(docs, id_col, text_col, carry={"row": row_struct(docs)}).filter("kept")
+    """The input rows that stay, with their own columns; of rows that repeat the kept id
+    and text, one stays."""
+    out = exact_groups(docs, id_col, text_col, carry={"row": row_struct(docs), "norm": normalised(text_of(text_col))}).filter("kept")
+    alone, several = out.filter("group_size = 1"), out.filter("group_size > 1")
+    once = several.dropDuplicates(["keep_id", "norm"])
+    out = alone.select("row").unionByName(once.select("row"))
     return out.select(*unpack(out, "row", docs.columns))

@@ -6,10 +6,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, quality_rules
+import corpus_pipeline
+
+from . import bpe, exact_dedup, minhash, mixing, quality_rules
 from .common import text_of
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -150,3 +153,28 @@ FROM c
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), carry={"doc_id": F.col("doc_id")})
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+# --- 3 byte-level BPE --------------------------------------------------------
+
+BPE_FILE = "byte_bpe_multi_50k.tiktoken"
+
+
+@register("op3_byte_bpe")
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN
+    ids = bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern, carry={"doc_id": F.col("doc_id")})
+    return bpe.decode(ids, ranks, pattern).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+# --- the pipeline ------------------------------------------------------------
+
+@register("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
