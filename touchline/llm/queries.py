@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, minhash, mixing, quality_rules
+from . import bpe, exact_dedup, minhash, mixing, quality_rules, secrets
 from .common import text_of
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -169,6 +169,20 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+# --- 4 secret scan -----------------------------------------------------------
+
+@register("op4_secret_scan")
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), carry={"doc_id": F.col("doc_id")})
+    kinds = [r.kind for r in secrets.BASE_RULES]
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(
+        ":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda x: x["kind"].isin(*kinds))
+    return found.select("doc_id", *map(count, kinds), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"))
+
+
 # --- the pipeline ------------------------------------------------------------
 
 @register("pipeline")
