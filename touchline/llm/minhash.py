@@ -5,22 +5,26 @@ on full shingle sets, connected components.
    its MinHash signature (32 bands of 4 minima: two sets of similarity 0.75 share
    no band with probability 5e-6).
 2. Texts with equal sets are one representative (their least id).
-3. Members of a band's bucket are tested against the bucket's least member only, so
-   a bucket of any size gives as many pairs as members. Pairs whose signatures agree
-   too little are dropped (0.55 of the minima; true links lie five standard
-   deviations above), the others are confirmed on the full sets, read again only for
-   the texts in question. Components follow from alternating stars.
-4. What is left are members of one bucket in different components. Only the
-   bucket's components are compared further: in rounds, every component's members
-   are tested against the least members of the others; a bucket of many
-   components is first split by a second band (a true link shares ten on average).
+3. The members of a band's bucket are tested against one of them, the most central
+   (its buckets hold the most members: among copies with edits, the one nearest to
+   their origin), so a bucket of any size gives as many pairs as members. Pairs whose
+   signatures agree too little are dropped (0.6 of the minima; true links lie four
+   standard deviations above), the others are confirmed on the full sets, read again
+   only for the texts in question. Components follow from alternating stars.
+4. What is left are members of one bucket in different components. In buckets of up
+   to 64 members all of them are compared. Larger ones are taken in rounds: a pivot
+   is drawn anew in each and tested against the members outside its component,
+   until a round finds no further link. A text linked to some members of a large
+   bucket meets them as pivots in up to 32 buckets a round; one that is linked to a
+   single other text shares about six small buckets with it that the rest is not in.
 
 Nothing is capped or dropped, and no step gathers a bucket, a component or the
 links anywhere but in shuffled tables.
 
 Defined results: a null text counts as empty; texts without words link with
-nothing; rows that repeat an id are one node; a null id is linked with nothing
-and its component is null; an empty table gives an empty result.
+nothing; rows that repeat an id are judged by their own texts, and where the id
+represents several texts their links count together; a null id is linked with
+nothing and its component is null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,8 +45,8 @@ from .shingles import WIDTH, MinHash, shingle_sets
 BANDS, ROWS = 32, 4
 SEED = 7
 PERCENT = 75                 # similarity of a link, in percent
-SIGNATURE_FLOOR = 0.55       # share of equal minima below which a pair isn't confirmed
-SMALL_BUCKET = 64            # members up to which a mixed bucket is compared without a further band
+SIGNATURE_FLOOR = 0.6        # share of equal minima below which a pair isn't confirmed
+SMALL_BUCKET = 64            # members up to which all components of a bucket are compared
 BROADCAST_IDS = 2_000_000    # ids (16 bytes each) up to which a filter by id is broadcast
 BATCH_SHINGLES = 1 << 14
 
@@ -125,12 +129,25 @@ class _Linker:
 def _buckets(reps: DataFrame, bands: int, rows: int) -> DataFrame:
     key = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)),
                       lambda k: F.xxhash64(k, F.slice("sig", k * rows + 1, F.lit(rows))))
-    return reps.select("id", F.posexplode(key).alias("band", "bucket"))
+    return reps.select("id", F.explode(key).alias("bucket"))
+
+
+def _pairs(members: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Each member of a bucket with the bucket's pivot, once."""
+    met = members.join(pivots, "bucket").filter("id <> pivot")
+    return met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+
+
+def _central(members: DataFrame) -> DataFrame:
+    """Each bucket's most central member: the one whose buckets hold the most members,
+    which in a group of copies is the one nearest to their common origin."""
+    best = members.groupBy("bucket").agg(F.max_by("id", F.struct("score", "id")).alias("pivot"))
+    return best.select("bucket", "pivot")
 
 
 def _mixed(members: DataFrame, stars: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component, with their component and its bucket's size."""
-    with_root = members.join(stars.select(F.col("leaf").alias("id"), "root"), "id", "left").withColumn(
+    """Members of the buckets that hold more than one component, with their component and the bucket's size."""
+    with_root = members.select("id", "bucket").join(stars.select(F.col("leaf").alias("id"), "root"), "id", "left").withColumn(
         "root", F.coalesce("root", "id"))
     several = with_root.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
                                               F.count(F.lit(1)).alias("members")).filter("lo <> hi").select("bucket", "members")
@@ -138,10 +155,19 @@ def _mixed(members: DataFrame, stars: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame) -> DataFrame:
-    """Pairs of different components in small buckets."""
+    """All pairs of different components within small buckets."""
     x = members.select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"))
     y = members.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"))
-    return x.join(y, "bucket").filter("a < b AND ra <> rb").select("a", "b")
+    return x.join(y, "bucket").filter("a < b AND ra <> rb").select("a", "b").distinct()
+
+
+def _star_round(members: DataFrame, turn: int) -> DataFrame:
+    """The members of large buckets with a pivot drawn anew, where their components differ."""
+    lot = F.xxhash64("id", F.lit(turn))
+    pivots = members.groupBy("bucket").agg(F.min_by(F.struct(F.col("id").alias("pivot"), F.col("root").alias("pivot_root")),
+                                                    F.struct(lot, F.col("id"))).alias("p")).select("bucket", "p.*")
+    met = members.join(pivots, "bucket").filter("root <> pivot_root")
+    return met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
@@ -157,39 +183,33 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linker = _Linker(texts.filter("id IS NOT NULL"), reps, width, percent, floor, broadcast_ids)
 
     members = _buckets(reps, bands, rows)
-    shared = members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    members = stored(members.join(shared.select("bucket", "pivot"), "bucket"), "members")
-    pairs = stored(linker.alike(members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()), "pairs")
-    links = stored(linker.confirmed(pairs), "links")
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    members = stored(members.join(shared, "bucket"), "members")
+    score = members.groupBy("id").agg(F.sum("c").alias("score"))
+    members = stored(members.select("id", "bucket").join(score, "id"), "members")
+    tested = stored(linker.alike(_pairs(members, _central(members))), "pairs")
+    links = stored(linker.confirmed(tested), "links")
     stars = connected_components(links)
 
-    mixed = stored(_mixed(members.select("id", "band", "bucket"), stars), "mixed")
-    rest, depth = [], 0
+    turn = 0
     while True:
-        rest.append(_across(mixed.filter(F.col("members") <= small_bucket)))
-        large = mixed.filter(F.col("members") > small_bucket)
-        depth += 1
-        if depth == 3 or large.isEmpty():
-            rest.append(_across(large))
+        mixed = stored(_mixed(members, stars), "mixed")
+        pairs = _star_round(mixed.filter(F.col("members") > small_bucket), turn)
+        if turn == 0:
+            pairs = pairs.unionByName(_across(mixed.filter(F.col("members") <= small_bucket))).distinct()
+        pairs = stored(linker.alike(pairs.join(tested, ["a", "b"], "left_anti")), "pairs")
+        found = None if pairs.isEmpty() else stored(linker.confirmed(pairs), "links")
+        if found is None or found.isEmpty():
             break
-        finer = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.when(
-            k != F.col("band"), F.xxhash64("bucket", k, F.slice("sig", k * rows + 1, F.lit(rows)))))
-        split = large.select("id", "bucket", "band").join(reps.select("id", "sig"), "id").select(
-            "id", F.posexplode(finer).alias("band", "bucket")).filter("bucket IS NOT NULL")
-        mixed = stored(_mixed(split, stars), "mixed")
-    more = rest[0]
-    for r in rest[1:]:
-        more = more.unionByName(r)
-    more = more.distinct().join(pairs, ["a", "b"], "left_anti")
-    more = stored(linker.alike(more), "pairs")
-    if not more.isEmpty():
-        stars = connected_components(links.unionByName(linker.confirmed(more)))
+        links, tested = links.unionByName(found), tested.unionByName(pairs)
+        stars = connected_components(links)
+        turn += 1
 
     of_key = reps.select("key", F.col("id").alias("rep")).join(
         stars.select(F.col("leaf").alias("rep"), "root"), "rep", "left").select("key", F.coalesce("root", "rep").alias("component"))
-    found = sets.select("id", "n", "key").join(of_key, "key").select("id", "n", "component")
+    linked = sets.select("id", "n", "key").join(of_key, "key").select("id", "n", "component")
     alone = prints.filter("NOT (n > 0 AND id IS NOT NULL)").select("id", "n", F.col("id").alias("component"))
-    return found.unionByName(alone).select(
+    return linked.unionByName(alone).select(
         "id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
         F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 

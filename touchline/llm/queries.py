@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, minhash, mixing, quality_rules, secrets
+from . import bpe, exact_dedup, minhash, mixing, quality_rules, secrets, token_counts
 from .common import text_of
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -183,6 +183,19 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         joined(F.col("spans")).alias("spans"))
 
 
+# --- 10 token counts ---------------------------------------------------------
+
+MODEL_FILE = "piece_bpe_32k.model"
+TOKEN_LIMIT = 4096
+
+
+@register("op10_token_counts")
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(MODEL_FILE),
+                                    carry={"doc_id": F.col("doc_id")})
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 # --- the pipeline ------------------------------------------------------------
 
 @register("pipeline")
