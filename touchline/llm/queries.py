@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, minhash, mixing, quality_rules, secrets, token_counts
+from . import bpe, exact_dedup, html_text, minhash, mixing, quality_rules, secrets, token_counts
 from .common import text_of
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -183,6 +183,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         joined(F.col("spans")).alias("spans"))
 
 
+# --- 6 HTML extraction -------------------------------------------------------
+
+@register("op6_html_text")
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages"), carry={"page_id": F.col("page_id"), "url": F.col("url")})
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 # --- 10 token counts ---------------------------------------------------------
 
 MODEL_FILE = "piece_bpe_32k.model"
