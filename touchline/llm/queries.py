@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, html_text, minhash, mixing, quality_rules, secrets, token_counts
+from . import bpe, exact_dedup, html_text, minhash, mixing, quality_rules, secrets, token_counts, toxicity
 from .common import text_of
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -191,6 +191,16 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+# --- 8 toxicity --------------------------------------------------------------
+
+@register("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = toxicity.tag(docs, toxicity.fit(docs, labels), carry={"doc_id": F.col("doc_id")})
+    return out.select("doc_id", (toxicity.fold("doc_id") == 0).alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
 # --- 10 token counts ---------------------------------------------------------
 
 MODEL_FILE = "piece_bpe_32k.model"
