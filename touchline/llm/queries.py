@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, exact_dedup, html_text, minhash, mixing, quality_rules, secrets, token_counts, toxicity
+from . import bpe, cotraining, exact_dedup, html_text, minhash, mixing, quality_rules, secrets, token_counts, toxicity
 from .common import text_of
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -201,6 +201,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 
 
+# --- 9 quality classifier ----------------------------------------------------
+
+@register("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return cotraining.classify(docs, labels, carry={"doc_id": F.col("doc_id")})
+
+
 # --- 10 token counts ---------------------------------------------------------
 
 MODEL_FILE = "piece_bpe_32k.model"
