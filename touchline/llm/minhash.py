@@ -106,12 +106,12 @@ class _Linker:
         self.floor, self.broadcast_ids = floor, broadcast_ids
 
     def alike(self, pairs: DataFrame) -> DataFrame:
-        """The candidate pairs ``a, b`` whose signatures agree enough."""
+        """The candidate pairs ``a, b`` (with what other columns they have) whose signatures agree enough."""
         sig = self.reps.select(F.col("id"), "sig")
         met = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(
             sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
         same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-        return met.filter(same >= self.floor * F.size("sa")).select("a", "b")
+        return met.filter(same >= self.floor * F.size("sa")).select(*pairs.columns)
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a stored table) that are links by their full shingle sets."""
@@ -123,7 +123,7 @@ class _Linker:
             sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
         common = F.size(F.array_intersect("sa", "sb"))
         return met.withColumn("common", common).filter(
-            100 * F.col("common") >= self.percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+            100 * F.col("common") >= self.percent * (F.size("sa") + F.size("sb") - F.col("common"))).select(*pairs.columns)
 
 
 def _buckets(reps: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -145,29 +145,36 @@ def _central(members: DataFrame) -> DataFrame:
     return best.select("bucket", "pivot")
 
 
-def _mixed(members: DataFrame, stars: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component, with their component and the bucket's size."""
-    with_root = members.select("id", "bucket").join(stars.select(F.col("leaf").alias("id"), "root"), "id", "left").withColumn(
-        "root", F.coalesce("root", "id"))
-    several = with_root.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                              F.count(F.lit(1)).alias("members")).filter("lo <> hi").select("bucket", "members")
-    return with_root.join(several, "bucket")
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members ``bucket, id, root`` of the buckets that hold more than one component, with the bucket's size."""
+    several = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
+                                            F.count(F.lit(1)).alias("members")).filter("lo <> hi").select("bucket", "members")
+    return members.join(several, "bucket")
+
+
+_A_B = (F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"),
+        F.when(F.col("id") < F.col("other"), F.col("root")).otherwise(F.col("other_root")).alias("ra"),
+        F.when(F.col("id") < F.col("other"), F.col("other_root")).otherwise(F.col("root")).alias("rb"))
 
 
 def _across(members: DataFrame) -> DataFrame:
     """All pairs of different components within small buckets."""
-    x = members.select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"))
-    y = members.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"))
-    return x.join(y, "bucket").filter("a < b AND ra <> rb").select("a", "b").distinct()
+    y = members.select("bucket", F.col("id").alias("other"), F.col("root").alias("other_root"))
+    return members.select("bucket", "id", "root").join(y, "bucket").filter("id < other AND root <> other_root").select(*_A_B)
 
 
 def _star_round(members: DataFrame, turn: int) -> DataFrame:
     """The members of large buckets with a pivot drawn anew, where their components differ."""
-    lot = F.xxhash64("id", F.lit(turn))
-    pivots = members.groupBy("bucket").agg(F.min_by(F.struct(F.col("id").alias("pivot"), F.col("root").alias("pivot_root")),
-                                                    F.struct(lot, F.col("id"))).alias("p")).select("bucket", "p.*")
-    met = members.join(pivots, "bucket").filter("root <> pivot_root")
-    return met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    pivots = members.groupBy("bucket").agg(F.min_by(
+        F.struct(F.col("id").alias("other"), F.col("root").alias("other_root")),
+        F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("p")).select("bucket", "p.*")
+    return members.select("bucket", "id", "root").join(pivots, "bucket").filter("root <> other_root").select(*_A_B)
+
+
+def _moved(df: DataFrame, merged: DataFrame) -> DataFrame:
+    """``df`` with ``root`` replaced where components were merged."""
+    to = merged.select(F.col("leaf").alias("root"), F.col("root").alias("to"))
+    return df.join(to, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
@@ -187,22 +194,23 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stored(members.join(shared, "bucket"), "members")
     score = members.groupBy("id").agg(F.sum("c").alias("score"))
     members = stored(members.select("id", "bucket").join(score, "id"), "members")
-    tested = stored(linker.alike(_pairs(members, _central(members))), "pairs")
-    links = stored(linker.confirmed(tested), "links")
-    stars = connected_components(links)
+    pairs = stored(linker.alike(_pairs(members, _central(members))), "pairs")
+    stars = connected_components(linker.confirmed(pairs))
 
+    rest = members.select("bucket", "id").join(stars.select(F.col("leaf").alias("id"), "root"), "id", "left").withColumn(
+        "root", F.coalesce("root", "id"))
     turn = 0
     while True:
-        mixed = stored(_mixed(members, stars), "mixed")
+        mixed = stored(_mixed(rest), "mixed")
         pairs = _star_round(mixed.filter(F.col("members") > small_bucket), turn)
         if turn == 0:
-            pairs = pairs.unionByName(_across(mixed.filter(F.col("members") <= small_bucket))).distinct()
-        pairs = stored(linker.alike(pairs.join(tested, ["a", "b"], "left_anti")), "pairs")
-        found = None if pairs.isEmpty() else stored(linker.confirmed(pairs), "links")
-        if found is None or found.isEmpty():
+            pairs = pairs.unionByName(_across(mixed.filter(F.col("members") <= small_bucket)))
+        pairs = stored(linker.alike(pairs.distinct()), "pairs")
+        merged = connected_components(linker.confirmed(pairs), "ra", "rb")
+        if merged.isEmpty():
             break
-        links, tested = links.unionByName(found), tested.unionByName(pairs)
-        stars = connected_components(links)
+        stars = stored(_moved(stars, merged).unionByName(merged), "stars")
+        rest = _moved(mixed.select("bucket", "id", "root"), merged)
         turn += 1
 
     of_key = reps.select("key", F.col("id").alias("rep")).join(
