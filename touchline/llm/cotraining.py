@@ -27,11 +27,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, row_struct, stored, text_of, words_of
+from .common import col, least_by_hash, row_struct, stored, text_of, words_of
 from .quality_rules import EDGE_PUNCTUATION, STOP_WORDS, SYMBOLS
 from .toxicity import fit_logistic, fold
 
-MAX_LABELLED, MAX_POOL = 6000, 20_000
+MAX_LABELLED, MAX_POOL = 6000, 10_000
 ROUNDS, PER_ROUND, SURE = 5, 200, 0.95
 LANG_CELLS, SOURCE_CELLS = 8, 16
 
@@ -146,9 +146,9 @@ def fit(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     marked = labels.select(col(id_col).alias("id"), col(label_col).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)")
     marked = marked.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most").select("id", "y")
     narrow = table.filter("fold > 0").select("id", "fold", *CONTENT, *META)
-    lot = F.xxhash64("id")
-    known = narrow.join(marked, "id").orderBy(lot, "id").limit(max_labelled).collect()
-    pool = narrow.join(labels.select(col(id_col).alias("id")), "id", "left_anti").orderBy(lot, "id").limit(max_pool).collect()
+    known = least_by_hash(narrow.join(marked, "id"), "id", max_labelled).collect()
+    unknown = narrow.join(labels.select(col(id_col).alias("id")), "id", "left_anti").filter("id IS NOT NULL")
+    pool = least_by_hash(unknown, "id", max_pool).collect()
     train, held = [r for r in known if r["fold"] > 1], [r for r in known if r["fold"] == 1]
     y, y_held = (np.array([r["y"] for r in part], float) for part in (train, held))
     if len(set(y)) < 2 or len(set(y_held)) < 2:
