@@ -6,7 +6,7 @@ tokens: in toxic documents, tokens one of whose features (word, prefixes, suffix
 found in toxic documents far more often than in clean ones; all other tokens are
 clean. A chain of two labels over each line is fitted to them by maximum likelihood
 with weight decay; gradients are the forward-backward marginals. The third fold fits
-the step from a document's marginals (their sum and their maximum) to its score.
+the step from a document's marginals (their sum of squares and their maximum) to its score.
 
 Scoring is a map stage with the model (a table of feature weights) broadcast: for
 two labels the forward and backward passes are recursions of one log-odds, run over
@@ -33,13 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, row_struct, text_of
+from .common import col, least_by_hash, row_struct, text_of
 
 PER_CLASS = 1200             # labelled documents of each class that training reads at most
 MAX_CHARS = 20_000           # texts longer than this aren't used in training (they are scored)
 MIN_DOCS = 4                 # toxic documents in which a telling feature is found at least
 LOG_ODDS = 3.0               # how much more often a telling feature is found in toxic documents
 STEPS, RATE, DECAY = 60, 0.3, 1e-3
+PREFIXES = range(4, 9)
 CHUNK_CHARS = 1 << 20
 CACHE_SIZE = 1 << 17
 FOLDS = 5                    # of the ids' crc32; fold 0 is held out, fold 1 calibrates
@@ -52,7 +53,8 @@ def fold(id_col: str) -> Column:
 
 
 def features(word: str) -> tuple[str, ...]:
-    return "w" + word, "4" + word[:4], "5" + word[:5], "s" + word[-3:]
+    """The word, its prefixes of four to eight characters where it is longer, and its suffix."""
+    return "=" + word, *["^" + word[:n] for n in PREFIXES if n < len(word)], "$" + word[-3:]
 
 
 def lines_of(text: str) -> list[list[str]]:
@@ -120,7 +122,7 @@ def marginals(u: np.ndarray, moves: np.ndarray, sizes: np.ndarray) -> np.ndarray
 def telling_features(docs: list[tuple[list[list[str]], int]], min_docs: int = MIN_DOCS, log_odds: float = LOG_ODDS) -> set[str]:
     found = (Counter(), Counter())
     for rows, toxic in docs:
-        found[toxic].update({f for row in rows for w in row if w for f in features(w)[:3]})
+        found[toxic].update({f for row in rows for w in row if w for f in features(w)[:-1]})
     n = [sum(1 for _, t in docs if t == k) for k in (0, 1)]
     return {f for f, c in found[1].items() if c >= min_docs and
             np.log((c + 0.5) / (n[1] + 1)) - np.log((found[0][f] + 0.5) / (n[0] + 1)) >= log_odds}
@@ -134,10 +136,13 @@ def fit_chain(docs: list[tuple[list[list[str]], int]], min_docs: int = MIN_DOCS,
     for rows, toxic in docs:
         for row in rows:
             tokens += [words.setdefault(w, len(words)) for w in row]
-            marks += [toxic and any(f in telling for f in features(w)[:3]) for w in row] if toxic else [0] * len(row)
+            marks += [toxic and any(f in telling for f in features(w)[:-1]) for w in row] if toxic else [0] * len(row)
             sizes.append(len(row))
     names: dict[str, int] = {}
-    of_word = np.array([[names.setdefault(f, len(names)) for f in features(w)] for w in words])
+    of_word = [[names.setdefault(f, len(names)) for f in features(w)] for w in words]
+    cuts = np.cumsum([0] + [len(f) for f in of_word[:-1]])
+    spread = np.repeat(np.arange(len(words)), [len(f) for f in of_word])
+    of_word = np.array([k for f in of_word for k in f])
     tokens, y, sizes = np.array(tokens), np.array(marks, float), np.array(sizes)
     lay = _layout(sizes)
     last = np.cumsum(sizes) - 1
@@ -153,12 +158,12 @@ def fit_chain(docs: list[tuple[list[list[str]], int]], min_docs: int = MIN_DOCS,
     m, v = np.zeros_like(x), np.zeros_like(x)
     for step in range(1, STEPS + 1):
         moves = x[n + 1:].reshape(2, 2)
-        u = (x[of_word].sum(axis=1) + x[n])[tokens]
+        u = (np.add.reduceat(x[of_word], cuts) + x[n])[tokens]
         ahead, back = _log_odds(u, moves, lay)
         off = _sigmoid(ahead + back) - y
         by_word = np.bincount(tokens, off, len(words))
         grad = np.zeros_like(x)
-        grad[:n] = np.bincount(of_word.ravel(), np.repeat(by_word, of_word.shape[1]), n)
+        grad[:n] = np.bincount(of_word, by_word[spread], n)
         grad[n] = off.sum()
         a, q = ahead[before], u[before + 1] + back[before + 1]
         joint = np.stack([np.full_like(a, moves[0, 0]), moves[0, 1] + q, moves[1, 0] + a, moves[1, 1] + a + q])
@@ -205,12 +210,12 @@ class _Unary(dict):
 
 
 def _evidence(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """By document: the log of the expected toxic tokens, and the highest marginal."""
+    """By document: the log of the marginals' sum of squares (long clean texts add next to nothing to it), and the highest marginal."""
     out = np.zeros((len(counts), 2))
     some = np.flatnonzero(counts)
     if len(some):
         cuts = np.concatenate([[0], np.cumsum(counts[some])[:-1]])
-        out[some, 0] = np.log1p(np.add.reduceat(p, cuts))
+        out[some, 0] = np.log1p(np.add.reduceat(p * p, cuts))
         out[some, 1] = np.maximum.reduceat(p, cuts)
     return out
 
@@ -253,9 +258,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on at most ``per_class`` labelled documents of each class outside fold 0, the first by their ids' hash."""
     marked = labels.select(col(id_col).alias("id"), col(label_col).cast("int").alias("y"), fold(id_col).alias("fold")).filter(
         "id IS NOT NULL AND y IN (0, 1) AND fold > 0")
-    lot = F.xxhash64("id")
-    chosen = marked.filter("y = 1").orderBy(lot, "id").limit(per_class).unionByName(
-        marked.filter("y = 0").orderBy(lot, "id").limit(per_class))
+    chosen = least_by_hash(marked.filter("y = 1"), "id", per_class).unionByName(
+        least_by_hash(marked.filter("y = 0"), "id", per_class))
     marks: dict = {}
     for r in chosen.collect():
         marks.setdefault(r["id"], set()).add((r["y"], r["fold"]))
