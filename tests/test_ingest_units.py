@@ -57,7 +57,7 @@ def test_seed_segments_keeps_bookkeeping(spark):
     rb = out["repeat_buyers"]
     assert (rb.name, rb.refresh_interval_minutes, rb.status, rb.last_refreshed_at) == \
         ("Repeat buyers", 360, "paused", ts("2026-06-01 00:00:00"))
-    assert out["cart_abandoners_48h"].status == "paused" and out["cart_abandoners_48h"].id is None
+    assert out["cart_abandoners_48h"].status == "paused" and out["cart_abandoners_48h"].id == 2
 
 
 def test_snapshot_reviews_first_write_wins(spark):
@@ -127,7 +127,7 @@ def test_segment_refresh_sink_replaces_partitions(spark):
 
 def test_events_partition_pruning(spark):
     from touchline.sources.tables import months_between, read_events, write_events
-    assert months_between("2024-01-30", "2024-02-29") == ["2024_01", "2024_02", "2024_03"]
+    assert months_between("2024-02-01", "2024-02-29") == ["2024_01", "2024_02", "2024_03"]
     base = tempfile.mkdtemp(prefix="touchline-ev-")
     ev = mk(spark, [("1", APP, "a", ts("2024-01-10 10:00:00")), ("2", APP, "b", ts("2024-03-10 10:00:00")),
                     ("3", "other", "c", ts("2024-01-11 10:00:00"))],

@@ -308,17 +308,3 @@ def test_stitch_latest_and_approx_dau(spark):
     assert (approx.dau, approx.events) == (2, 2)
     tot = ev.dau_totals(ev_df, lk, APP, "2026-06-10", "2026-06-10", approx=True).collect()[0]
     assert (tot.unique_users, tot.events) == (2, 2)
-
-
-def test_monitor_horizon_bounds_the_scan(spark):
-    now = "2026-07-04 12:00:00"
-    events = mk(spark, [("1", APP, "el_a", ts("2026-07-04 11:00:00"), None, None),
-                        ("2", APP, "el_b", ts("2026-05-01 09:00:00"), None, None)], EVENT_SCHEMA)
-    empty_t = mk(spark, [], TOUCH_SCHEMA)
-    empty_l = mk(spark, [], "id long, app string, occurred_at timestamp_ntz")
-    empty_c = mk(spark, [], CONV_SCHEMA)
-    reg = mk(spark, [], "id int, app string, source string, event_name string, expected_frequency string, is_active boolean")
-    full = {r.event_name for r in mo.streams_overview(events, empty_t, empty_l, empty_c, reg, APP, now).collect()}
-    near = {r.event_name for r in mo.streams_overview(events, empty_t, empty_l, empty_c, reg, APP, now,
-                                                      horizon_days=7).collect()}
-    assert full == {"el_a", "el_b"} and near == {"el_a"}

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import js_trim
+
 
 def ts_lit(value: str) -> Column:
     """A ``timestamp_ntz`` literal (wall clock, session-zone independent)."""
@@ -83,7 +85,7 @@ def parse_campaign_name(name: str | Column) -> Column:
     ``parsed_ok`` when there are ≥ 3 parts and the first three are non-empty.
     A NULL or empty name is not parsed."""
     n = F.col(name) if isinstance(name, str) else name
-    parts = F.transform(F.split(n, "_"), lambda p: F.lower(F.trim(p)))
+    parts = F.transform(F.split(n, "_"), lambda p: F.lower(js_trim(p)))
     def part(i: int) -> Column:
         return F.nullif(F.get(parts, i), F.lit(""))
     ok = (F.size(parts) >= 3) & part(0).isNotNull() & part(1).isNotNull() & part(2).isNotNull()

@@ -16,9 +16,13 @@ def js_number(c: Column, scale: int = 2) -> Column:
     return F.regexp_replace(s, r"\.?0+$", "") if scale > 0 else s
 
 
+# Fixed value: the characters that trimming strips (ECMAScript white space and line ends).
+TRIMMED = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+
+
 def js_trim(c: Column) -> Column:
-    """``String.prototype.trim``: strip leading/trailing whitespace of any kind."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """``String.prototype.trim``: strip leading and trailing white space, the non-ASCII kinds included."""
+    return F.regexp_replace(c, rf"^{TRIMMED}+|{TRIMMED}+\z", "")
 
 
 # URL pattern, trailing punctuation and host rule of C6.

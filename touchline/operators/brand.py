@@ -6,54 +6,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import global_row_number
 from ..functions.text import alias_pattern, extract_domains, js_number, js_trim
 
 # Question templates (id, text with {category} / {city}), the
-# brand-probe keys, excerpt context and stored-answer cap.
+# brand-probe keys and the excerpt context.
 TEMPLATES = [("best", "best {category} services in {city}"),
              ("book", "how do I book {category} online in {city}")]
 BRAND_PROBES = [("brand|what-is", "what is {brand}?"),
                 ("brand|legit-check", "is {brand_domain} a legit home services company in India?")]
-MAX_QUESTIONS = 40
 EXCERPT_CONTEXT = 60
-RAW_RESPONSE_MAX_CHARS = 10000
 
 
 def question_grid(cities: DataFrame, categories: DataFrame, brand: str, brand_domain: str,
-                  max_questions: int = MAX_QUESTIONS) -> DataFrame:
+                  max_questions: int | None = None) -> DataFrame:
     """B1: the brand probes first, then template × category × city in input
-    order (``cities``/``categories`` have ``name`` and ``ord``), truncated to
-    ``max_questions``. Key ``template|category|city``.
+    order (``cities``/``categories`` have ``name`` and ``ord``); with a budget
+    of ``max_questions`` its first ones only. Key ``template|category|city``.
 
-    Only the first ``max_questions`` grid cells can survive the cut, so the
-    grid is generated from an index range and equi-joined to the ordinals —
-    no cartesian product is materialised."""
+    The grid is an index range of the size of the result, equi-joined to the
+    numbered dimensions."""
     spark = cities.sparkSession
-    cap = max(max_questions - len(BRAND_PROBES), 0)
-    cities = cities.orderBy("ord").limit(cap).withColumn("_ci", F.row_number().over(_w()) - 1)
-    cats = categories.orderBy("ord").limit(cap).withColumn("_ki", F.row_number().over(_w()) - 1)
-    # grid sizes as scalar subqueries: the plan stays lazy, nothing is counted on the driver
-    ny = F.greatest(cities.agg(F.count(F.lit(1))).scalar(), F.lit(1))
-    nc = F.greatest(cats.agg(F.count(F.lit(1))).scalar(), F.lit(1))
+    cities = global_row_number(cities.select("name", "ord"), [], ["ord"], out="_ci").withColumn("_ci", (F.col("_ci") - 1).cast("int"))
+    cats = global_row_number(categories.select("name", "ord"), [], ["ord"], out="_ki").withColumn("_ki", (F.col("_ki") - 1).cast("int"))
+    ny, nc = cities.count(), cats.count()
+    size = len(TEMPLATES) * nc * ny
+    if max_questions is not None:
+        size = min(size, max(max_questions - len(BRAND_PROBES), 0))
+    ny, nc = F.lit(max(ny, 1)), F.lit(max(nc, 1))
     i = F.col("id")
-    grid = (spark.range(cap).where(i < F.lit(len(TEMPLATES)) * nc * ny)
+    grid = (spark.range(size)
             .select(i.alias("i"), F.floor(i / (nc * ny)).cast("int").alias("_ti"),
                     (F.floor(i / ny) % nc).cast("int").alias("_ki"), (i % ny).cast("int").alias("_ci")))
     tmpl = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(TEMPLATES)], "_ti int, tid string, tmpl string")
-    g = (grid.join(F.broadcast(tmpl), "_ti").join(F.broadcast(cats.select("_ki", F.col("name").alias("category"))), "_ki")
-         .join(F.broadcast(cities.select("_ci", F.col("name").alias("city"))), "_ci"))
+    g = (grid.join(F.broadcast(tmpl), "_ti").join(cats.select("_ki", F.col("name").alias("category")), "_ki")
+         .join(cities.select("_ci", F.col("name").alias("city")), "_ci"))
     text = F.replace(F.replace("tmpl", F.lit("{category}"), "category"), F.lit("{city}"), "city")
     qs = g.select((F.col("i") + len(BRAND_PROBES)).alias("ordinal"),
                   F.concat_ws("|", "tid", "category", "city").alias("key"), text.alias("text"), "city", "category")
     probes = spark.createDataFrame(
         [(i, k, t.format(brand=brand, brand_domain=brand_domain), None, None) for i, (k, t) in enumerate(BRAND_PROBES)],
         "ordinal long, key string, text string, city string, category string")
-    return probes.unionByName(qs).where(F.col("ordinal") < max_questions).orderBy("ordinal")
-
-
-def _w():
-    from pyspark.sql import Window
-    return Window.orderBy("ord")   # ≤ max_questions rows after the limit
+    all_ = probes.unionByName(qs)
+    if max_questions is not None:
+        all_ = all_.where(F.col("ordinal") < max_questions)
+    return all_.orderBy("ordinal")
 
 
 def detect_mention(text: Column, aliases: list[str]) -> Column:
@@ -91,7 +88,7 @@ def classify_citations(domains: Column, aliases: list[str]) -> Column:
 def build_observations(answers: DataFrame, aliases: list[str], app: str,
                        native_citations: str | None = None) -> DataFrame:
     """One observation per answer: mention flag, brand-cited domain,
-    competitor domains and the answer text cut to 10,000 characters. Cited
+    competitor domains and the whole answer text. Cited
     domains come from the URLs in the text, plus a native citation array
     column when the engine provides one."""
     doms = extract_domains(F.col("text"))
@@ -102,7 +99,7 @@ def build_observations(answers: DataFrame, aliases: list[str], app: str,
     cols = [F.lit(app).alias("app"), "run_at", "engine", F.col("prompt_key"),
             m["mentioned"].alias("brand_mentioned"), m["excerpt"].alias("excerpt"),
             cit["brand_domain"].alias("cited_url"), cit["competitors"].alias("competitors"),
-            F.substring("text", 1, RAW_RESPONSE_MAX_CHARS).alias("raw_response")]
+            F.col("text").alias("raw_response")]
     keep = [c for c in ("conv_id", "turn") if c in answers.columns]
     return answers.select(*keep, *cols)
 

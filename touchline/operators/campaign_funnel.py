@@ -27,7 +27,6 @@ from .asof import asof_rows
 # Funnel stage events in stage order.
 STAGE_EVENTS = ["el_first_open", "el_signup", "el_add_to_cart"]
 STAGE_COLUMNS = {"el_first_open": "installs", "el_signup": "registrations", "el_add_to_cart": "add_to_cart"}
-MAX_CAMPAIGNS = 100
 
 
 @dataclass(frozen=True)
@@ -113,20 +112,20 @@ def ad_campaigns(perf: DataFrame, entities: DataFrame, ec: DataFrame, f: FunnelF
                  F.sum("spend_inr").cast("double").alias("ad_spend_inr")))
 
 
-def campaign_universe(tc: DataFrame, ac: DataFrame, f: FunnelFilters, top: int = MAX_CAMPAIGNS) -> DataFrame:
+def campaign_universe(tc: DataFrame, ac: DataFrame, f: FunnelFilters, top: int | None = None) -> DataFrame:
     """full outer join of the two sides (left join under a medium filter),
-    ranked by first-party clicks + spend, then name; capped at ``top``."""
+    ranked by first-party clicks + spend, then name; the first ``top`` if given."""
     how = "left" if f.medium else "full"
     j = tc.alias("tc").join(ac.alias("ac"), F.col("tc.campaign_key") == F.col("ac.campaign_key"), how)
     fpc = F.coalesce(F.col("tc.first_party_clicks"), F.lit(0.0))
     name = F.coalesce(F.col("tc.utm_campaign"), F.col("ac.utm_campaign"))
-    return (j.select(F.coalesce(F.col("tc.campaign_key"), F.col("ac.campaign_key")).alias("campaign_key"),
+    u = (j.select(F.coalesce(F.col("tc.campaign_key"), F.col("ac.campaign_key")).alias("campaign_key"),
                      name.alias("utm_campaign"), fpc.cast("double").alias("first_party_clicks"),
                      F.col("ac.impressions").alias("impressions"), F.col("ac.ad_clicks").alias("ad_clicks"),
                      F.col("ac.ad_spend_inr").alias("ad_spend_inr"))
             .orderBy((F.col("first_party_clicks") + F.coalesce(F.col("ad_spend_inr"), F.lit(0.0))).desc(),
-                     F.col("utm_campaign"))
-            .limit(top))
+                     F.col("utm_campaign")))
+    return u if top is None else u.limit(top)
 
 
 def attributed_rows(touches: DataFrame, events: DataFrame, conversions: DataFrame, links: DataFrame,
@@ -203,7 +202,7 @@ def stage_and_order_counts(attributed: DataFrame) -> DataFrame:
 
 def campaign_funnel(entities: DataFrame, perf: DataFrame, touches: DataFrame, events: DataFrame,
                     conversions: DataFrame, links: DataFrame, f: FunnelFilters, lookback_days: int = 7,
-                    top: int = MAX_CAMPAIGNS, bucket_hours: int | None | str = "lookback",
+                    top: int | None = None, bucket_hours: int | None | str = "lookback",
                     mode: str | None = None) -> DataFrame:
     """the campaign funnel rows, best first."""
     ec = entity_campaign(entities, f.app)

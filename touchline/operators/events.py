@@ -51,12 +51,14 @@ def dau_totals(events: DataFrame, links: DataFrame, app: str, day_from: str, day
                   F.count(F.lit(1)).cast("int").alias("events"))
 
 
-def events_by_name(events: DataFrame, app: str, day_from: str, day_to: str, top: int = 50) -> DataFrame:
-    """Event counts per name, most frequent first, top ``top`` (name
-    breaks ties). Planned as a partial aggregate + TakeOrderedAndProject."""
-    return (_scoped_events(events, app, day_from, day_to)
+def events_by_name(events: DataFrame, app: str, day_from: str, day_to: str, top: int | None) -> DataFrame:
+    """Event counts per name, most frequent first (name breaks ties), the
+    first ``top``, or all for None. Planned as a partial aggregate +
+    TakeOrderedAndProject."""
+    out = (_scoped_events(events, app, day_from, day_to)
             .groupBy("event_name").agg(F.count(F.lit(1)).cast("int").alias("count"))
-            .orderBy(F.desc("count"), "event_name").limit(top))
+            .orderBy(F.desc("count"), "event_name"))
+    return out if top is None else out.limit(top)
 
 
 def ordered_funnel(events: DataFrame, links: DataFrame, app: str, day_from: str, day_to: str,

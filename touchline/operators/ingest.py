@@ -161,8 +161,8 @@ def campaign_name_lint(entities: DataFrame) -> DataFrame:
 
 
 def assert_currency(df: DataFrame, expected: str = "INR", col: str = "currency") -> tuple[DataFrame, DataFrame]:
-    """C4: (rows whose currency matches or is NULL, quarantined mismatches)."""
-    bad = F.col(col).isNotNull() & (F.upper(F.col(col)) != expected.upper())
+    """C4: (rows whose currency matches, is NULL or empty, quarantined mismatches)."""
+    bad = F.nullif(F.col(col), F.lit("")).isNotNull() & (F.upper(F.col(col)) != expected.upper())
     return df.where(~bad), df.where(bad).withColumn("reasons", F.array(F.lit("currency")))
 
 
@@ -234,18 +234,20 @@ def extract_search_entities(report: DataFrame) -> DataFrame:
 def normalize_search_performance(report: DataFrame) -> DataFrame:
     """Campaign-level rows, spend = micros / 1e6; the report is at
     ad-group grain, so one campaign-day repeats and is summed (trap X13)."""
-    r = report.where(F.col("campaign.id").isNotNull() & F.col("segments.date").isNotNull())
+    there = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")).isNotNull()
+    r = report.where(there("campaign.id") & there("segments.date"))
     rows = r.select(F.col("campaign.id").alias("external_id"), F.col("segments.date").cast("date").alias("stat_date"),
                     (F.coalesce(F.col("metrics.costMicros").try_cast("decimal(24,0)"), F.lit(0).cast("decimal(24,0)"))
                      / F.lit(1000000)).alias("spend"),
                     F.coalesce(F.col("metrics.impressions").try_cast("bigint"), F.lit(0)).alias("impressions"),
                     F.coalesce(F.col("metrics.clicks").try_cast("bigint"), F.lit(0)).alias("clicks"),
-                    F.coalesce(F.col("metrics.conversions"), F.lit(0.0)).alias("conversions"),
-                    F.coalesce(F.col("metrics.conversionsValue"), F.lit(0.0)).alias("conv_value"))
+                    # summed as decimals: a sum of doubles depends on the order of the tasks
+                    F.coalesce(F.col("metrics.conversions"), F.lit(0.0)).cast("decimal(28,10)").alias("conversions"),
+                    F.coalesce(F.col("metrics.conversionsValue"), F.lit(0.0)).cast("decimal(28,10)").alias("conv_value"))
     return (rows.groupBy("external_id", "stat_date")
             .agg(F.sum("spend").cast("decimal(14,2)").alias("spend_inr"), F.sum("impressions").alias("impressions"),
-                 F.sum("clicks").alias("clicks"), F.sum("conversions").alias("conversions"),
-                 F.sum("conv_value").alias("conv_value_inr"))
+                 F.sum("clicks").alias("clicks"), F.sum("conversions").cast("double").alias("conversions"),
+                 F.sum("conv_value").cast("double").alias("conv_value_inr"))
             .select(F.lit("google").alias("channel"), "*"))
 
 
@@ -254,14 +256,18 @@ def normalize_search_performance(report: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def insert_ignore(batch: DataFrame, target: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
-    """Rows of ``batch`` whose key is new: deduplicated within the batch
-    (first by ``order`` when given) and absent from ``target``."""
-    if order:
-        first = batch.groupBy(*key).agg(F.min_by(F.struct(*batch.columns), F.struct(*order)).alias("_r"))
-        b = first.select("_r.*")
-    else:
-        b = batch.dropDuplicates(key)
-    return b.join(target.select(*key).distinct(), key, "left_anti")
+    """Rows of ``batch`` whose key is new: one per key (the first by ``order``,
+    then by all columns, so runs agree) and absent from ``target``."""
+    return one_per_key(batch, key, order).join(target.select(*key), key, "left_anti")
+
+
+def one_per_key(batch: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """The least row of each key, by ``order`` and then by the other columns."""
+    rest = [*(order or []), *[c for c in batch.columns if c not in key and c not in (order or [])]]
+    if not rest:
+        return batch.distinct()
+    first = batch.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r"))
+    return first.select(*[F.col(c) if c in key else F.col(f"_r.{c}").alias(c) for c in batch.columns])
 
 
 def clamp_occurred_at(ts: Column, now: Column) -> Column:
@@ -380,17 +386,18 @@ ENTITY_KEY = ["app", "channel", "level", "external_id"]
 ENTITY_UPDATABLE = ["name", "city", "category", "objective", "status", "current_daily_budget_inr"]
 
 
-def upsert_entities(target: DataFrame, batch: DataFrame, now: str) -> DataFrame:
+def upsert_entities(target: DataFrame, batch: DataFrame, now: str, order: list[str] | None = None) -> DataFrame:
     """The entity table after upserting ``batch`` on
     ``(app, channel, level, external_id)``. Existing keys take the batch's
     name (and the parsed city / category / objective), status and budget;
     parent, currency, id and created_at are kept. New keys get ids above the
-    current maximum, numbered in key order."""
+    current maximum, numbered in key order. Of a key that repeats in the batch
+    the first row by ``order``, then by all columns, counts."""
     b = parse_campaign_names(batch).drop("parsed_ok")
     for c in ENTITY_UPDATABLE + ["parent_external_id", "currency"]:
         if c not in b.columns:
             b = b.withColumn(c, F.lit(None).cast(target.schema[c].dataType if c in target.columns else "string"))
-    b = b.dropDuplicates(ENTITY_KEY)
+    b = one_per_key(b, ENTITY_KEY, order)
     n = F.lit(now).cast("timestamp_ntz")
     j = target.alias("t").join(b.withColumn("_in", F.lit(True)).alias("b"), ENTITY_KEY, "full")
     upd = {c: F.when(F.col("b._in"), F.col(f"b.{c}")).otherwise(F.col(f"t.{c}")) for c in ENTITY_UPDATABLE}
@@ -414,15 +421,19 @@ def upsert_entities(target: DataFrame, batch: DataFrame, now: str) -> DataFrame:
 PERF_MEASURES = ["spend_inr", "impressions", "clicks", "conversions", "conv_value_inr"]
 
 
-def upsert_performance(target: DataFrame, batch: DataFrame, entities: DataFrame, now: str) -> DataFrame:
+def upsert_performance(target: DataFrame, batch: DataFrame, entities: DataFrame, now: str,
+                       order: list[str] | None = None) -> DataFrame:
     """The performance table after replacing the five measures of every
     ``(app, ad_entity_id, stat_date)`` in ``batch``. Batch rows name the
     entity by ``(channel, external_id)`` — level is not part of the lookup
-    (lowest id wins) — and rows of unknown entities are skipped."""
+    (lowest id wins) — and rows of unknown entities are skipped. Of a key that
+    repeats in the batch the first row by ``order``, then by all columns,
+    counts. To rewrite only the days in question, pass the target's rows of
+    ``rolling_window`` (C5) and replace their partitions."""
     lookup = (entities.groupBy("app", "channel", "external_id").agg(F.min("id").alias("ad_entity_id")))
     rows = (batch.join(lookup, ["app", "channel", "external_id"])
-            .select("app", "ad_entity_id", "stat_date", "channel", *[F.col(m) for m in PERF_MEASURES])
-            .dropDuplicates(["app", "ad_entity_id", "stat_date"])
+            .select("app", "ad_entity_id", "stat_date", "channel", *[F.col(m) for m in PERF_MEASURES], *(order or [])))
+    rows = (one_per_key(rows, ["app", "ad_entity_id", "stat_date"], order).drop(*(order or []))
             .withColumn("ingested_at", F.lit(now).cast("timestamp_ntz")))
     kept = target.join(rows.select("app", "ad_entity_id", "stat_date"), ["app", "ad_entity_id", "stat_date"],
                        "left_anti")
@@ -461,49 +472,88 @@ def retain_event_months(events: DataFrame, now: str, months: int = 13, zone: str
 
 def seed_segments(target: DataFrame, specs: DataFrame, events_available: bool, now: str) -> DataFrame:
     """Upsert system segment definitions on ``(app, slug)``: name,
-    definition and interval are replaced; refresh bookkeeping and status are
-    kept; new event-based specs start ``paused`` when events are missing."""
+    description, definition and interval are replaced; every other column of
+    the target (refresh bookkeeping, status, creation) is kept. New specs get
+    ids above the current maximum in key order, and start ``paused`` when they
+    need events that are missing."""
     n = F.lit(now).cast("timestamp_ntz")
-    s = specs.withColumn("_in", F.lit(True))
-    j = target.alias("t").join(s.alias("s"), ["app", "slug"], "full")
-    new_status = F.when(F.col("s.needs_events") & F.lit(not events_available), F.lit("paused")).otherwise(F.lit("active"))
-    upd = lambda c: F.when(F.col("s._in"), F.col(f"s.{c}")).otherwise(F.col(f"t.{c}"))
-    return j.select("app", "slug", F.col("t.id").alias("id"), upd("name").alias("name"),
-                    upd("definition").alias("definition"),
-                    upd("refresh_interval_minutes").alias("refresh_interval_minutes"),
-                    F.coalesce(F.col("t.status"), new_status).alias("status"),
-                    F.coalesce(F.col("t.is_system"), F.lit(True)).alias("is_system"),
-                    F.col("t.last_refreshed_at").alias("last_refreshed_at"),
-                    F.when(F.col("s._in"), n).otherwise(F.col("t.updated_at")).alias("updated_at"))
+    for c in ("description",):
+        specs = specs if c in specs.columns else specs.withColumn(c, F.lit(None).cast("string"))
+        target = target if c in target.columns else target.withColumn(c, F.lit(None).cast("string"))
+    j = target.alias("t").join(specs.withColumn("_in", F.lit(True)).alias("s"), ["app", "slug"], "full")
+    is_in = F.coalesce(F.col("s._in"), F.lit(False))
+    is_new = F.col("t.id").isNull()
+    status = F.when(F.col("s.needs_events") & F.lit(not events_available), F.lit("paused")).otherwise(F.lit("active"))
+    replaced = ("name", "description", "definition", "refresh_interval_minutes")
+    initial = {"status": status, "is_system": F.lit(True), "created_at": n}
+
+    def column(c: str) -> Column:
+        if c in ("app", "slug"):
+            return F.col(c)
+        if c in replaced:
+            return F.when(is_in, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c)
+        if c == "updated_at":
+            return F.when(is_in, n).otherwise(F.col("t.updated_at")).alias(c)
+        return (F.when(is_new, initial[c]).otherwise(F.col(f"t.{c}")) if c in initial else F.col(f"t.{c}")).alias(c)
+    rows = j.select(*[column(c) for c in target.columns])
+    base = target.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    new = (global_row_number(rows.where(F.col("id").isNull()), [], ["app", "slug"], out="_rn")
+           .withColumn("id", (base + F.col("_rn")).cast(target.schema["id"].dataType)).select(*rows.columns))
+    return rows.where(F.col("id").isNotNull()).unionByName(new)
 
 
 REGISTRY_KEY = ["app", "source", "event_name"]
 
 
-def upsert_registry(target: DataFrame, changes: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+REGISTRY_PATCHED = ["event_name", "description", "expected_frequency", "is_active"]
+
+
+def upsert_registry(target: DataFrame, changes: DataFrame, now: str, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """U8: apply a change set (``op`` ∈ insert / update / delete) to the
-    registry. Inserts whose key exists (or repeats in the batch) are rejected
-    into the conflicts frame; updates patch the non-NULL fields of ``id``;
-    deletes remove ``id``. Returns (registry ordered by source, name; conflicts)."""
+    registry. Of inserts with one key the first (by ``order``, then by all
+    columns) is made; later ones, and inserts and renames whose key is taken
+    before or after the other changes, go to the conflicts frame. Updates patch the non-NULL ones of event name,
+    description, frequency and active flag of ``id`` and stamp it; deletes
+    remove ``id``; all other rows and columns stay as they are. Returns
+    (registry ordered by source, name; conflicts)."""
     n = F.lit(now).cast("timestamp_ntz")
+    for c, kind in (("description", "string"), ("created_at", "timestamp_ntz"), ("updated_at", "timestamp_ntz")):
+        if c not in target.columns:
+            target = target.withColumn(c, F.lit(None).cast(kind))
+    for c in REGISTRY_PATCHED:
+        if c not in changes.columns:
+            changes = changes.withColumn(c, F.lit(None).cast(target.schema[c].dataType))
+    kept = target.join(changes.where(F.col("op") == "delete").select("id").distinct(), "id", "left_anti")
+    patch = one_per_key(changes.where(F.col("op") == "update").select("id", *REGISTRY_PATCHED, *(order or [])), ["id"], order)
+    patch = patch.select("id", *[F.col(c).alias(f"_{c}") for c in REGISTRY_PATCHED], F.lit(True).alias("_hit"))
+    now_ = kept.join(patch, "id", "left")
+    for c in REGISTRY_PATCHED:
+        now_ = now_.withColumn(f"_{c}", F.coalesce(f"_{c}", c))
+    # a rename onto a key that another row has, or gets, is refused as a whole
+    key = ["app", "source", F.col("_event_name").alias("event_name")]
+    taken = now_.groupBy(*key).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c").withColumn("_taken", F.lit(True))
+    now_ = now_.join(taken.withColumnRenamed("event_name", "_event_name"), ["app", "source", "_event_name"], "left")
+    renamed = F.coalesce(F.col("_hit"), F.lit(False)) & (F.col("_event_name") != F.col("event_name"))
+    refused = renamed & F.coalesce(F.col("_taken"), F.lit(False))
+    clash_upd = now_.where(refused).select("app", "source", F.col("_event_name").alias("event_name"))
+    hit = F.coalesce(F.col("_hit"), F.lit(False)) & ~refused
+    cur = now_.select(*[F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in REGISTRY_PATCHED
+                        else F.when(hit, n).otherwise(F.col(c)).alias(c) if c == "updated_at" else F.col(c) for c in target.columns])
     ins = changes.where(F.col("op") == "insert").withColumn("event_name", F.coalesce("event_name", F.lit("")))
-    dup_in_batch = ins.groupBy(*REGISTRY_KEY).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > 1)
-    clash = ins.join(target.select(*REGISTRY_KEY), REGISTRY_KEY, "left_semi") \
-        .unionByName(ins.join(dup_in_batch.select(*REGISTRY_KEY), REGISTRY_KEY, "left_semi"))
-    good = ins.join(clash.select(*REGISTRY_KEY).distinct(), REGISTRY_KEY, "left_anti")
+    first = one_per_key(ins.drop("id", "op"), REGISTRY_KEY, order)
+    again = ins.groupBy(*REGISTRY_KEY).agg((F.count(F.lit(1)) - 1).cast("int").alias("_n")).where("_n > 0")
+    again = again.select(*REGISTRY_KEY, F.explode(F.array_repeat(F.lit(0), F.col("_n")))).select(*REGISTRY_KEY)
+    used = cur.select(*REGISTRY_KEY).unionByName(target.select(*REGISTRY_KEY)).distinct()
+    taken_ins = first.join(used, REGISTRY_KEY, "left_semi").select(*REGISTRY_KEY)
+    good = first.join(used, REGISTRY_KEY, "left_anti")
     base = target.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    new = (global_row_number(good, [], REGISTRY_KEY, out="_rn")
-           .select((base + F.col("_rn")).cast(target.schema["id"].dataType).alias("id"), *REGISTRY_KEY,
-                   F.coalesce("expected_frequency", F.lit("none")).alias("expected_frequency"),
-                   F.coalesce("is_active", F.lit(True)).alias("is_active")))
-    upd = changes.where(F.col("op") == "update").select(
-        "id", F.col("expected_frequency").alias("_f"), F.col("is_active").alias("_a"))
-    dels = changes.where(F.col("op") == "delete").select("id")
-    cur = (target.join(dels, "id", "left_anti").join(upd, "id", "left")
-           .withColumn("expected_frequency", F.coalesce("_f", "expected_frequency"))
-           .withColumn("is_active", F.coalesce("_a", "is_active")).drop("_f", "_a")
-           .select("id", *REGISTRY_KEY, "expected_frequency", "is_active"))
-    out = cur.unionByName(new).withColumn("updated_at", n).orderBy("source", "event_name")
+    given = {"id": (base + F.col("_rn")).cast(target.schema["id"].dataType), "created_at": n, "updated_at": n,
+             "expected_frequency": F.coalesce("expected_frequency", F.lit("none")), "is_active": F.coalesce("is_active", F.lit(True))}
+    numbered = global_row_number(good, [], REGISTRY_KEY, out="_rn")
+    new = numbered.select(*[(given[c] if c in given else F.col(c) if c in numbered.columns
+                             else F.lit(None).cast(target.schema[c].dataType)).alias(c) for c in target.columns])
+    out = cur.unionByName(new).orderBy("source", "event_name")
+    clash = clash_upd.unionByName(taken_ins).unionByName(again)
     return out, clash.select(*REGISTRY_KEY, F.lit("duplicate key").alias("error"))
 
 

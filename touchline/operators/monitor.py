@@ -48,20 +48,13 @@ def health(last_seen, registered, is_active, frequency, now) -> F.Column:
 
 
 def streams_overview(events: DataFrame, touches: DataFrame, leads: DataFrame, conversions: DataFrame,
-                     registry: DataFrame, app: str, now: str, horizon_days: int | None = None) -> DataFrame:
+                     registry: DataFrame, app: str, now: str) -> DataFrame:
     """Per stream count_24h, count_7d, last_seen, registry info, health.
 
-    ``horizon_days`` bounds the scan to ``[now − horizon, now]`` (time filters
-    that reach the scans and their partitions); ``last_seen`` older than the
-    horizon then reads as never seen. The default scans the whole history —
-    for very large histories the streaming hourly counters (T4) keep the
-    same figures incrementally."""
+    ``last_seen`` needs the whole history, in one aggregate with map-side
+    partial results; where that is too long to read per run, the streaming
+    hourly counters (T4) keep the same figures incrementally."""
     n = F.lit(now).cast("timestamp_ntz")
-    if horizon_days is not None:
-        lo = n - F.make_dt_interval(days=F.lit(horizon_days))
-        events, touches, leads, conversions = (
-            df.where((F.col("occurred_at") >= lo) & (F.col("occurred_at") <= n))
-            for df in (events, touches, leads, conversions))
     rows = stream_rows(events, touches, leads, conversions, app)
     aggs = [F.count_if(F.col("ts") >= n - F.make_dt_interval(hours=F.lit(24))).alias("c24"),
             F.count_if(F.col("ts") >= n - F.make_dt_interval(days=F.lit(7))).alias("c7"),
@@ -91,11 +84,13 @@ def streams_overview(events: DataFrame, touches: DataFrame, leads: DataFrame, co
         .alias("health"))
 
 
-def _recent(df: DataFrame, n: int, *tiebreak: str) -> DataFrame:
-    return df.orderBy(F.col("occurred_at").desc(), *[F.col(c).desc() for c in tiebreak]).limit(n)
+def _recent(df: DataFrame, n: int | None, *tiebreak: str) -> DataFrame:
+    """The newest ``n`` rows, newest first; all of them for None."""
+    out = df.orderBy(F.col("occurred_at").desc(), *[F.col(c).desc() for c in tiebreak])
+    return out if n is None else out.limit(n)
 
 
-def recent_app(events: DataFrame, app: str, n: int = 50, event_name: str | None = None) -> DataFrame:
+def recent_app(events: DataFrame, app: str, n: int | None, event_name: str | None = None) -> DataFrame:
     """Newest product events (optionally of one name)."""
     e = events.where(F.col("app") == app)
     if event_name:
@@ -104,7 +99,7 @@ def recent_app(events: DataFrame, app: str, n: int = 50, event_name: str | None
                    n, "event_id")
 
 
-def recent_clicks(touches: DataFrame, app: str, n: int = 50) -> DataFrame:
+def recent_clicks(touches: DataFrame, app: str, n: int | None) -> DataFrame:
     """Newest first-party clicks; only link_id / is_bot / device from raw."""
     t = touches.where((F.col("app") == app) & (F.col("touch_type") == "first_party_click"))
     raw = F.col("raw") if "raw" in touches.columns else F.lit(None).cast("string")
@@ -114,20 +109,20 @@ def recent_clicks(touches: DataFrame, app: str, n: int = 50) -> DataFrame:
                             F.get_json_object(raw, "$.device").alias("device")), n, "id")
 
 
-def recent_leads(leads: DataFrame, app: str, n: int = 50) -> DataFrame:
+def recent_leads(leads: DataFrame, app: str, n: int | None) -> DataFrame:
     """Newest leads with lead_ref and the uploaded flag."""
     return _recent(leads.where(F.col("app") == app).select(
         "id", "occurred_at", "lead_ref", F.col("capi_uploaded_at").isNotNull().alias("capi_uploaded")), n, "id")
 
 
-def recent_conversions(conversions: DataFrame, app: str, n: int = 50) -> DataFrame:
+def recent_conversions(conversions: DataFrame, app: str, n: int | None) -> DataFrame:
     """Newest conversions with order id and value."""
     return _recent(conversions.where(F.col("app") == app).select(
         "id", "occurred_at", "session_id", "user_id", "order_id", F.col("value_inr").cast("double").alias("value")),
         n, "id")
 
 
-def recent_touches(touches: DataFrame, app: str, n: int = 50) -> DataFrame:
+def recent_touches(touches: DataFrame, app: str, n: int | None) -> DataFrame:
     """Newest non-click touches; click ids only as presence flags."""
     t = touches.where((F.col("app") == app) & (F.col("touch_type") != "first_party_click"))
     return _recent(t.select("id", "occurred_at", "session_id", "user_id", "channel", "utm_source", "utm_campaign",

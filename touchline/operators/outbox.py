@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import global_row_number
+from ..functions.text import js_trim
 
 # Events per upload request and the currency code.
 BATCH_SIZE = 500
@@ -22,7 +23,7 @@ def epoch_seconds(ts: Column) -> Column:
 
 def pii_hash(c: Column) -> Column:
     """SHA-256 hex of the trimmed, lower-cased value."""
-    return F.sha2(F.lower(F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")), 256)
+    return F.sha2(F.lower(js_trim(c.cast("string"))), 256)
 
 
 def _latest_cookie(touches: DataFrame, key: str) -> DataFrame:
@@ -33,8 +34,7 @@ def _latest_cookie(touches: DataFrame, key: str) -> DataFrame:
             .agg(F.max(F.struct("occurred_at", "id", "fbc", "fbp")).alias(f"_by_{key}")))
 
 
-def pending_purchases(conversions: DataFrame, touches: DataFrame, app: str,
-                      max_per_run: int | None = None) -> DataFrame:
+def pending_purchases(conversions: DataFrame, touches: DataFrame, app: str) -> DataFrame:
     """Resolved, not yet uploaded purchases of ``app``, oldest first, with
     the fbc/fbp of the latest touch that shares the session **or** the user
     (no time bound). The OR-lookup is two equi-joins against one-row-per-key
@@ -42,13 +42,15 @@ def pending_purchases(conversions: DataFrame, touches: DataFrame, app: str,
     c = conversions.where((F.col("app") == app) & F.col("capi_uploaded_at").isNull()
                           & F.col("resolved_at").isNotNull())
     t = touches.where(F.col("app") == app)
-    by_s = _latest_cookie(t, "session_id")
-    by_u = _latest_cookie(t, "user_id")
-    j = (c.join(by_s, ["app", "session_id"], "left").join(by_u, ["app", "user_id"], "left"))
+    j = c
+    for key in ("session_id", "user_id"):
+        # a row without the key gets a key of its own, so such rows spread over all tasks
+        by = _latest_cookie(t, key).select(F.col(key).cast("string").alias("_key"), f"_by_{key}")
+        own = F.concat(F.lit("\x00"), F.xxhash64("order_id").cast("string"))
+        j = j.withColumn("_key", F.coalesce(F.col(key).cast("string"), own)).join(by, "_key", "left").drop("_key")
     best = F.greatest(F.col("_by_session_id"), F.col("_by_user_id"))
-    out = (j.withColumn("fbc", best["fbc"]).withColumn("fbp", best["fbp"])
-           .drop("_by_session_id", "_by_user_id").orderBy("occurred_at", "order_id"))
-    return out.limit(max_per_run) if max_per_run else out
+    return (j.withColumn("fbc", best["fbc"]).withColumn("fbp", best["fbp"])
+            .drop("_by_session_id", "_by_user_id").orderBy("occurred_at", "order_id"))
 
 
 def purchase_payload(pending: DataFrame) -> DataFrame:
@@ -82,11 +84,10 @@ def purchase_payload(pending: DataFrame) -> DataFrame:
     return flat.withColumn("payload", F.to_json(event))   # to_json drops NULL fields
 
 
-def pending_leads(leads: DataFrame, app: str, max_per_run: int | None = None) -> DataFrame:
+def pending_leads(leads: DataFrame, app: str) -> DataFrame:
     """Leads not uploaded yet, oldest first."""
-    out = (leads.where((F.col("app") == app) & F.col("capi_uploaded_at").isNull())
-           .select("app", "id", "ctwa_clid", "wa_phone_hash", "occurred_at").orderBy("occurred_at", "id"))
-    return out.limit(max_per_run) if max_per_run else out
+    return (leads.where((F.col("app") == app) & F.col("capi_uploaded_at").isNull())
+            .select("app", "id", "ctwa_clid", "wa_phone_hash", "occurred_at").orderBy("occurred_at", "id"))
 
 
 def lead_payload(pending: DataFrame) -> DataFrame:
@@ -103,30 +104,36 @@ def lead_payload(pending: DataFrame) -> DataFrame:
                                                          "messaging_channel", user_data.alias("user_data"))))
 
 
-def batch_outbox(rows: DataFrame, order_cols: list[str], size: int = BATCH_SIZE) -> DataFrame:
+def batch_outbox(rows: DataFrame, order_cols: list[str], size: int = BATCH_SIZE,
+                 key_col: str | None = None) -> DataFrame:
     """P5: consecutive batches of ``size`` per app in ``order_cols`` order:
-    ``(app, batch, n, event_ids, payloads)``. Row numbers per app come from the
+    ``(app, batch, n, event_ids, payloads, keys)``. ``keys`` are the rows' own
+    ids for the acknowledgement (``key_col``, the event id where not given: a
+    lead's event id is not its row's id). Row numbers per app come from the
     distributed ranking (an app can hold most of the rows); each batch list is
     bounded by ``size``."""
-    ranked = global_row_number(rows, ["app"], order_cols, out="_rn")
+    key = F.col(key_col) if key_col else F.col("event_id")
+    ranked = global_row_number(rows.withColumn("row_key", key), ["app"], order_cols, out="_rn")
     b = ranked.withColumn("batch", F.floor((F.col("_rn") - 1) / size).cast("long"))
     return (b.groupBy("app", "batch")
             .agg(F.count(F.lit(1)).cast("int").alias("n"),
-                 F.sort_array(F.collect_list(F.struct("_rn", "event_id", "payload"))).alias("_items"))
+                 F.sort_array(F.collect_list(F.struct("_rn", "event_id", "payload", "row_key"))).alias("_items"))
             .select("app", "batch", "n", F.transform("_items", lambda x: x["event_id"]).alias("event_ids"),
-                    F.transform("_items", lambda x: x["payload"]).alias("payloads")))
+                    F.transform("_items", lambda x: x["payload"]).alias("payloads"),
+                    F.transform("_items", lambda x: x["row_key"]).alias("keys")))
 
 
 def apply_acks(rows: DataFrame, batches: DataFrame, acks: DataFrame, now: str,
                key: str = "order_id", mark: str = "capi_uploaded_at") -> DataFrame:
     """Mark rows uploaded (``mark = now``) only for accepted batches that
     come before the app's first failed batch; later batches stay pending.
-    ``acks`` has ``(app, batch, ok)``; ``batches`` is P5's output."""
+    ``key`` is the column of ``rows`` that the batches' ``keys`` hold: the order
+    id of purchases, the id of leads. ``acks`` has ``(app, batch, ok)``; ``batches`` is P5's output."""
     first_fail = (acks.where(~F.col("ok")).groupBy("app").agg(F.min("batch").alias("_fail")))
     accepted = (acks.where(F.col("ok")).join(first_fail, "app", "left")
                 .where(F.col("_fail").isNull() | (F.col("batch") < F.col("_fail"))).select("app", "batch"))
     done = (batches.join(accepted, ["app", "batch"])
-            .select("app", F.explode("event_ids").alias(key), F.lit(True).alias("_done")))
+            .select("app", F.explode("keys").alias(key)).distinct().withColumn("_done", F.lit(True)))
     return (rows.join(done, ["app", key], "left")
             .withColumn(mark, F.when(F.col("_done"), F.lit(now).cast("timestamp_ntz")).otherwise(F.col(mark)))
             .drop("_done"))

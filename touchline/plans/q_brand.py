@@ -86,7 +86,7 @@ WITH ci AS (SELECT city AS name, row_number() OVER (ORDER BY city) - 1 AS ci FRO
 SELECT CAST(0 AS BIGINT) AS ordinal, 'brand|what-is' AS key, 'what is {BRAND}?' AS text, CAST(NULL AS VARCHAR) AS city, CAST(NULL AS VARCHAR) AS category
 UNION ALL SELECT 1, 'brand|legit-check', 'is {BRAND_DOMAIN} a legit home services company in India?', NULL, NULL
 UNION ALL SELECT i + 2, tid || '|' || category || '|' || city, replace(replace(tmpl, '{{category}}', category), '{{city}}', city), city, category
-FROM g WHERE i + 2 < {br.MAX_QUESTIONS}
+FROM g
 """, ("ad_entity",))
 def question_grid(t):
     cities, cats = _dims(t)
@@ -129,7 +129,7 @@ def _obs(t):
 
 @register("build_observations", f"""WITH {OBS_SQL}
 SELECT obs.conv_id, obs.turn, obs.engine, obs.prompt_key, obs.run_at, obs.brand_mentioned, CAST(NULL AS VARCHAR) AS cited_url,
-  CAST(length(substring(a.text, 1, 10000)) AS INT) AS raw_chars
+  CAST(length(a.text) AS INT) AS raw_chars
 FROM obs JOIN answers a ON a.conv_id = obs.conv_id AND a.turn = obs.turn""", ("answers",))
 def build_observations(t):
     o = _obs(t)

@@ -316,7 +316,7 @@ def search_entities(t):
 
 def _event_batch(t):
     n = F.col("event_id").cast("long")
-    return t.app_event.where(n % 2 == 0).withColumn("received_at", F.col("occurred_at"))
+    return t.app_event.where((n % 2 == 0) | (n % 3 == 0)).withColumn("received_at", F.col("occurred_at"))
 
 
 def _event_target(t):
@@ -327,32 +327,32 @@ CLAMP = f"least(greatest(occurred_at, TIMESTAMP '{NOW_EVENTS}' - INTERVAL 30 DAY
 
 
 @register("ingest_events", f"""
-SELECT event_id, {CLAMP} AS occurred_at FROM app_event WHERE CAST(event_id AS BIGINT) % 6 = 0""", ("app_event",))
+SELECT event_id, {CLAMP} AS occurred_at FROM app_event WHERE CAST(event_id AS BIGINT) % 3 = 0""", ("app_event",))
 def ingest_events(t):
     new = ig.ingest_events(_event_batch(t), _event_target(t), NOW_EVENTS)
     return new.select("event_id", "occurred_at")
 
 
 @register("ingest_events_report", """
-SELECT count(*) FILTER (WHERE CAST(event_id AS BIGINT) % 2 = 0) AS received,
-  count(*) FILTER (WHERE CAST(event_id AS BIGINT) % 6 = 0) AS inserted FROM app_event""", ("app_event",))
+SELECT count(*) FILTER (WHERE CAST(event_id AS BIGINT) % 2 = 0 OR CAST(event_id AS BIGINT) % 3 = 0) AS received,
+  count(*) FILTER (WHERE CAST(event_id AS BIGINT) % 3 = 0) AS inserted FROM app_event""", ("app_event",))
 def ingest_events_report(t):
     b = _event_batch(t)
     return ig.ingest_report(b, ig.ingest_events(b, _event_target(t), NOW_EVENTS))
 
 
 @register("ingest_conversions", """
-SELECT order_id, id % 3 <> 0 AS deduped FROM conversion WHERE id % 2 = 0""", ("conversion",))
+SELECT order_id, id % 3 <> 0 AS deduped FROM conversion WHERE id % 2 = 0 OR id % 3 = 0""", ("conversion",))
 def ingest_conversions(t):
     c = t.conversion
-    _new, flagged = ig.ingest_conversions(c.where(F.col("id") % 2 == 0), c.where(F.col("id") % 3 != 0))
+    _new, flagged = ig.ingest_conversions(c.where((F.col("id") % 2 == 0) | (F.col("id") % 3 == 0)), c.where(F.col("id") % 3 != 0))
     return flagged.select("order_id", "deduped")
 
 
 @register("ingest_leads", """
-SELECT ctwa_clid, occurred_at FROM lead_event WHERE id % 2 = 0 AND id % 3 = 0""", ("lead_event",))
+SELECT ctwa_clid, occurred_at FROM lead_event WHERE id % 3 = 0""", ("lead_event",))
 def ingest_leads(t):
-    new = ig.ingest_leads(t.lead_event.where(F.col("id") % 2 == 0), t.lead_event.where(F.col("id") % 3 != 0), RECEIVED)
+    new = ig.ingest_leads(t.lead_event.where((F.col("id") % 2 == 0) | (F.col("id") % 3 == 0)), t.lead_event.where(F.col("id") % 3 != 0), RECEIVED)
     return new.select("ctwa_clid", "occurred_at")
 
 
@@ -423,14 +423,14 @@ def _entity_target(t):
 
 
 def _entity_batch(t):
-    return (t.ad_entity.where(F.col("id") % 2 == 0)
+    return (t.ad_entity.where((F.col("id") % 2 == 0) | (F.col("id") % 3 == 0))
             .select("app", "channel", "level", "external_id", "parent_external_id",
                     F.concat(F.col("name"), F.lit("_v2")).alias("name"), F.lit("PAUSED").alias("status")))
 
 
 @register("upsert_entities", """
 WITH tgt AS (SELECT * FROM ad_entity WHERE id % 3 <> 0),
- bat AS (SELECT app, channel, level, external_id, parent_external_id, name || '_v2' AS name FROM ad_entity WHERE id % 2 = 0),
+ bat AS (SELECT app, channel, level, external_id, parent_external_id, name || '_v2' AS name FROM ad_entity WHERE id % 2 = 0 OR id % 3 = 0),
  mx AS (SELECT max(id) AS m FROM tgt),
  newk AS (SELECT b.*, (SELECT m FROM mx) + row_number() OVER (ORDER BY b.app, b.channel, b.level, b.external_id) AS id
           FROM bat b WHERE NOT EXISTS (SELECT 1 FROM tgt WHERE tgt.app = b.app AND tgt.channel = b.channel AND tgt.level = b.level AND tgt.external_id = b.external_id)),
@@ -442,7 +442,7 @@ WITH tgt AS (SELECT * FROM ad_entity WHERE id % 3 <> 0),
 SELECT id, external_id, level, name, status, CASE WHEN NOT upd THEN old_city WHEN name <> '' THEN nullif(parts[1], '') END AS city,
   CASE WHEN upd AND name <> '' THEN nullif(parts[3], '') END AS objective FROM parsed""", ("ad_entity",))
 def upsert_entities(t):
-    """U1. The batch renames every even-id entity; odd-id rows keep their
+    """U1. The batch renames every entity whose id is divisible by 2 or 3; the others keep their
     stored (unparsed) columns, so the oracle parses only updated names."""
     out = ig.upsert_entities(_entity_target(t), _entity_batch(t), ENTITY_NOW)
     return out.select("id", "external_id", "level", "name", "status", "city", "objective")
@@ -451,7 +451,7 @@ def upsert_entities(t):
 @register("upsert_performance", """
 WITH tgt AS (SELECT * FROM ad_performance_daily WHERE ad_entity_id % 3 <> 0),
  bat AS (SELECT p.app, e.channel, e.external_id, p.stat_date, p.spend_inr + 1 AS spend_inr, p.impressions FROM ad_performance_daily p
-         JOIN ad_entity e ON e.id = p.ad_entity_id WHERE p.ad_entity_id % 2 = 0),
+         JOIN ad_entity e ON e.id = p.ad_entity_id WHERE p.ad_entity_id % 2 = 0 OR p.ad_entity_id % 3 = 0),
  keyed AS (SELECT b.*, e.id AS ad_entity_id FROM bat b JOIN (SELECT app, channel, external_id, min(id) AS id FROM ad_entity GROUP BY 1, 2, 3) e
            ON e.app = b.app AND e.channel = b.channel AND e.external_id = b.external_id)
 SELECT ad_entity_id, stat_date, CAST(spend_inr AS DOUBLE) AS spend_inr, CAST(impressions AS BIGINT) AS impressions FROM tgt
@@ -461,7 +461,7 @@ def upsert_performance(t):
     p = t.ad_performance_daily
     tgt = p.where(F.col("ad_entity_id") % 3 != 0).withColumn("ingested_at", F.lit("2024-01-01").cast("timestamp_ntz"))
     ent = t.ad_entity.select(F.col("id").alias("ad_entity_id"), "external_id")
-    bat = (p.where(F.col("ad_entity_id") % 2 == 0).join(ent, "ad_entity_id")
+    bat = (p.where((F.col("ad_entity_id") % 2 == 0) | (F.col("ad_entity_id") % 3 == 0)).join(ent, "ad_entity_id")
            .select("app", "channel", "external_id", "stat_date", (F.col("spend_inr") + 1).alias("spend_inr"),
                    "impressions", "clicks", "conversions", "conv_value_inr"))
     bat = bat.unionByName(bat.where(F.col("external_id") == "s2").withColumn("external_id", F.lit("unknown-ad")))

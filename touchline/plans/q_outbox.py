@@ -51,10 +51,16 @@ def _payload(t):
 
 
 @register("purchase_payload", f"""WITH {PAYLOAD_SQL}
-SELECT event_name, event_time, event_id, action_source, messaging_channel, external_id_hash, ct_hash, fbc, fbp, ctwa_clid, value, currency
+SELECT event_name, event_time, event_id, action_source, messaging_channel, external_id_hash, ct_hash, fbc, fbp, ctwa_clid, value, currency,
+  '{{"event_name":"Purchase","event_time":' || event_time || ',"event_id":"' || event_id || '","action_source":"' || action_source || '"'
+    || coalesce(',"messaging_channel":"' || messaging_channel || '"', '') || ',"user_data":{{' || array_to_string(list_filter([
+      '"external_id":["' || external_id_hash || '"]', '"ct":["' || ct_hash || '"]', '"fbc":"' || fbc || '"', '"fbp":"' || fbp || '"',
+      '"ctwa_clid":"' || ctwa_clid || '"'], lambda x: x IS NOT NULL), ',') || '}},"currency":"' || currency || '"}}' AS payload
 FROM payload""", ("conversion", "attribution_touch", "ad_entity"))
 def purchase_payload(t):
-    return _payload(t).drop("payload", "app", "occurred_at")
+    # the payload with its amount, whose printing differs between engines, compared as the column ``value``
+    out = _payload(t).drop("app", "occurred_at")
+    return out.withColumn("payload", F.regexp_replace("payload", r'"custom_data":\{"value":[^,]*,("currency":"[A-Z]+")\}', "$1"))
 
 
 LEADS_SQL = f"""leads AS (SELECT app, id, ctwa_clid, wa_phone_hash, occurred_at FROM lead_event
@@ -66,12 +72,34 @@ def pending_leads(t):
     return ob.pending_leads(t.lead_event, APP)
 
 
-@register("lead_payload", f"""WITH {LEADS_SQL}
-SELECT 'Lead' AS event_name, CAST(floor(epoch(occurred_at)) AS BIGINT) AS event_time, 'lead-' || ctwa_clid AS event_id,
-  'business_messaging' AS action_source, 'whatsapp' AS messaging_channel, ctwa_clid, nullif(wa_phone_hash, '') AS ph
-FROM leads""", ("lead_event",))
+LEAD_PAYLOAD_SQL = f"""{LEADS_SQL},
+ lead_payload AS (SELECT 'Lead' AS event_name, CAST(floor(epoch(occurred_at)) AS BIGINT) AS event_time, 'lead-' || ctwa_clid AS event_id,
+  'business_messaging' AS action_source, 'whatsapp' AS messaging_channel, ctwa_clid, nullif(wa_phone_hash, '') AS ph,
+  app, id, occurred_at FROM leads)"""
+
+
+@register("lead_payload", f"""WITH {LEAD_PAYLOAD_SQL}
+SELECT event_name, event_time, event_id, action_source, messaging_channel, ctwa_clid, ph,
+  '{{"event_name":"Lead","event_time":' || event_time || ',"event_id":"' || event_id || '","action_source":"business_messaging","messaging_channel":"whatsapp","user_data":{{"ctwa_clid":"'
+    || ctwa_clid || '"' || coalesce(',"ph":["' || ph || '"]', '') || '}}}}' AS payload
+FROM lead_payload""", ("lead_event",))
 def lead_payload(t):
-    return ob.lead_payload(ob.pending_leads(t.lead_event, APP)).drop("payload", "app", "id", "occurred_at")
+    return _lead_payload(t).drop("app", "id", "occurred_at")
+
+
+def _lead_payload(t):
+    return ob.lead_payload(ob.pending_leads(t.lead_event, APP))
+
+
+@register("lead_acks", f"""WITH {LEAD_PAYLOAD_SQL},
+ batches AS (SELECT id, (row_number() OVER (PARTITION BY app ORDER BY occurred_at, id) - 1) // 7 AS batch FROM lead_payload)
+SELECT l.id, coalesce(l.capi_uploaded_at, CASE WHEN b.batch < 2 THEN TIMESTAMP '{NOW}' END) AS capi_uploaded_at
+FROM lead_event l LEFT JOIN batches b ON b.id = l.id""", ("lead_event",))
+def lead_acks(t):
+    """P6 for leads, in batches of 7 of which the third fails: the first two are marked by the leads' own ids."""
+    b = ob.batch_outbox(_lead_payload(t), ["occurred_at", "id"], 7, key_col="id")
+    acks = b.select("app", "batch", (F.col("batch") != 2).alias("ok"))
+    return ob.apply_acks(t.lead_event, b, acks, NOW, key="id").select("id", "capi_uploaded_at")
 
 
 BATCH_SQL = f"""{PAYLOAD_SQL},

@@ -190,6 +190,7 @@ def _due_ids():
     return out
 
 
+DUE_SQL = ", ".join(f"({i})" for i, _d in _due_ids())
 REFRESH_SQL = " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS segment_id, user_id FROM ({membership_sql(d)}) m{i}"
                                  for i, d in _due_ids())
 
@@ -200,22 +201,23 @@ def segments_refresh(t):
 
 
 @register("segments_refresh_summary", f"""
-SELECT segment_id AS id, CAST(count(*) AS INT) AS last_count FROM ({REFRESH_SQL}) r GROUP BY 1
+SELECT CAST(d.id AS BIGINT) AS id, CAST(count(r.segment_id) AS INT) AS last_count
+FROM (VALUES {DUE_SQL}) d(id) LEFT JOIN ({REFRESH_SQL}) r ON r.segment_id = d.id GROUP BY 1
 """, ("conversion", "app_event"))
 def segments_refresh_summary(t):
-    members = _refresh(t)
-    return sg.refresh_bookkeeping(_segments_df(t.spark), members, NOW).select("id", "last_count")
+    due = sg.due_segments(_segments_df(t.spark), NOW)
+    return sg.refresh_bookkeeping(due, _refresh(t), NOW).select("id", "last_count")
 
 
 @register("segments_due", f"""
-WITH counts AS (SELECT segment_id, count(*) AS c FROM ({REFRESH_SQL}) r GROUP BY 1)
-SELECT segment_id AS id, CAST(c AS INT) AS members FROM counts
+SELECT CAST(d.id AS BIGINT) AS id, CAST(count(r.segment_id) AS INT) AS members
+FROM (VALUES {DUE_SQL}) d(id) LEFT JOIN ({REFRESH_SQL}) r ON r.segment_id = d.id GROUP BY 1
 """, ("conversion", "app_event"))
 def segments_due(t):
     """G17 joined with the refreshed member counts of the due segments."""
     due = sg.due_segments(_segments_df(t.spark), NOW).select("id")
     counts = _refresh(t).groupBy("segment_id").agg(F.count(F.lit(1)).cast("int").alias("members"))
-    return due.join(counts, due["id"] == counts["segment_id"]).select("id", "members")
+    return due.join(counts, due["id"] == counts["segment_id"], "left").select("id", F.coalesce("members", F.lit(0)).alias("members"))
 
 
 @register("seg_members_page", f"""

@@ -14,6 +14,16 @@ from .q_ingest import EVENT_RULES, UUID_EVENTS_SQL, _reasons_sql, _uuid_events
 from .registry import register
 
 
+def run_event_files(spark, frame) -> str:
+    """Stage ``frame`` as JSON files, about a seventh of it a second time (a
+    redelivery), run T1 over them and return the sink."""
+    base = st.scratch(spark, "event-stream")
+    _stage_json(frame, f"{base}/in/a")
+    _stage_json(frame.where(F.crc32(F.col("event_id")) % 7 == 0), f"{base}/in/b")
+    st.start_event_ingest(spark, f"{base}/in/*", f"{base}/out", f"{base}/ckpt").awaitTermination()
+    return f"{base}/out"
+
+
 @register("stream_ingest_events", f"""WITH {UUID_EVENTS_SQL},
  v AS (SELECT * FROM ue WHERE {_reasons_sql(EVENT_RULES)} = '')
 SELECT DISTINCT event_id, app, occurred_at, strftime(occurred_at + INTERVAL 330 MINUTE, '%Y_%m') AS event_month FROM v""",
@@ -23,7 +33,7 @@ def stream_ingest_events(t):
     redelivered file, ingested by the streaming job; the sink holds each valid
     event once."""
     frame = _uuid_events(t).drop("n").withColumn("received_at", F.col("occurred_at"))
-    _src, sink, _ck = st.run_file_stream_once(t.spark, frame)
+    sink = run_event_files(t.spark, frame)
     return t.spark.read.parquet(sink).select("event_id", "app", "occurred_at", "event_month")
 
 
@@ -38,26 +48,17 @@ SELECT source, event_name, count(*) FILTER (WHERE ts >= TIMESTAMP '{NOW}' - INTE
   count(*) FILTER (WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY) AS count_7d, max(ts) AS last_seen
 FROM rows GROUP BY 1, 2""", ("app_event", "attribution_touch", "lead_event", "conversion"))
 def stream_health(t):
-    """T4: hourly per-stream counters maintained by a streaming aggregation
-    (update mode, written per micro-batch), rolled up to 24 h / 7 d."""
+    """T4: hourly per-stream counts written per micro-batch, rolled up to 24 h / 7 d."""
     spark = t.spark
     rows = mo.stream_rows(t.app_event, t.attribution_touch, t.lead_event, t.conversion, APP)
     base = st.scratch(spark, "health-stream")
-    rows.repartition(4).write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+    rows.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
     out = f"{base}/out"
-
-    def sink(batch, batch_id):
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/b={batch_id}")
-
-    q = (st.stream_health_counts(stream).writeStream.outputMode("update").foreachBatch(sink)
+    q = (stream.writeStream.foreachBatch(st.health_batch(out))
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
-    hourly = spark.read.parquet(out)
-    latest = (hourly.groupBy("source", "event_name", "w")
-              .agg(F.max_by(F.struct("n", "last_seen"), F.col("batch_id")).alias("v"))
-              .select("source", "event_name", "w", "v.n", "v.last_seen"))
-    return st.rollup_health(latest, NOW)
+    return st.rollup_health(spark.read.parquet(out), NOW)
 
 
 @register("stream_insert_conversions", """SELECT app, order_id, CAST(value_inr AS DOUBLE) AS value FROM conversion""",
@@ -69,8 +70,8 @@ def stream_insert_conversions(t):
     spark = t.spark
     base = st.scratch(spark, "conv-stream")
     conv = t.conversion
-    conv.repartition(3).write.option("timestampNTZFormat", st.TS_FORMAT).json(f"{base}/in/a")
-    conv.where(F.col("id") % 2 == 0).repartition(2).write.option("timestampNTZFormat", st.TS_FORMAT).json(f"{base}/in/b")
+    conv.write.option("timestampNTZFormat", st.TS_FORMAT).json(f"{base}/in/a")
+    conv.where(F.col("id") % 2 == 0).write.option("timestampNTZFormat", st.TS_FORMAT).json(f"{base}/in/b")
     stream = (spark.readStream.schema(conv.schema).option("timestampNTZFormat", st.TS_FORMAT)
               .option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").json(f"{base}/in"))
     q = (stream.writeStream.foreachBatch(st.insert_ignore_batch(f"{base}/target", ["app", "order_id"]))
@@ -93,7 +94,7 @@ def stream_attribution(t):
     spark = t.spark
     base = st.scratch(spark, "attr-stream")
     conv = t.conversion.where(F.col("app") == APP)
-    _stage_json(conv.repartition(4), f"{base}/in")
+    _stage_json(conv, f"{base}/in")
     stream = (spark.readStream.schema(conv.schema).option("timestampNTZFormat", st.TS_FORMAT)
               .option("maxFilesPerTrigger", 2).json(f"{base}/in"))
     run = st.attribution_batch(t.attribution_touch, t.ad_entity, APP, f"{base}/out", LOOKBACK_DAYS)
@@ -118,7 +119,7 @@ def stream_identity_edges(t):
     t.identity_link.select("app", "session_id", "user_id").write.parquet(f"{base}/edges/batch_id=-1")
     rows = (t.attribution_touch.select("app", "session_id", "user_id")
             .unionByName(t.conversion.select("app", "session_id", "user_id")))
-    rows.repartition(4).write.parquet(f"{base}/in")
+    rows.write.parquet(f"{base}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     q = (stream.writeStream.foreachBatch(st.identity_edges_batch(f"{base}/edges"))
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())

@@ -54,12 +54,15 @@ _FALLBACK_DIRS: dict[int, str] = {}
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and staged tables.
 
-    On a cluster this is ``spark.checkpoint.dir`` as configured by the
-    platform (it cannot be changed at runtime). Only when it is unset (local
-    tests) is a local folder created and registered with the SparkContext.
+    This is ``spark.checkpoint.dir`` as configured by the platform (it cannot
+    be changed at runtime). Where it is unset, a single-process ``local``
+    master, as in tests, gets a folder of its own; on a cluster, where no
+    folder of one machine would do, that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    if not d and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not d:
         key = id(sc)
         if key not in _FALLBACK_DIRS:

@@ -4,8 +4,9 @@ Without a table format that supports MERGE, a rewrite replaces whole
 partitions: the new rows of the touched partitions are first written to a
 staging folder under the shared ``spark.checkpoint.dir`` (cutting the lineage,
 so the target is never read and overwritten by the same plan), then copied
-over the target with dynamic partition overwrite — only the partitions
-present in the new data are replaced, each one atomically by the committer.
+over the target with dynamic partition overwrite: only the partitions
+present in the new data are replaced. A commit over several partitions is not
+atomic; a job that fails midway is repeated, which replaces them all again.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -23,6 +24,12 @@ def staging_path(df: DataFrame, name: str) -> str:
     return f"{checkpoint_dir(df.sparkSession).rstrip('/')}/staging/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table's folder is there, by Spark's own file system; other failures are raised."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def replace_partitions(df: DataFrame, target: str, partition_cols: list[str]) -> int:
     """Overwrite the partitions of ``target`` that ``df`` holds rows for;
     returns the number of rows written."""
@@ -37,15 +44,18 @@ def replace_partitions(df: DataFrame, target: str, partition_cols: list[str]) ->
 
 def append_new(df: DataFrame, target: str, key: list[str], partition_cols: list[str] | None = None) -> int:
     """Insert-ignore into a parquet table: rows whose key is not in ``target``
-    yet (first copy per key) are staged and appended."""
+    yet (of several with one key the least row) are staged and appended. Of a
+    partitioned target only the partitions that the batch has rows for are
+    read, so the partition columns must follow from the key."""
     spark = df.sparkSession
-    try:
-        existing = spark.read.parquet(target).select(*key)
-    except Exception:  # noqa: BLE001 - the table does not exist yet
-        existing = None
-    new = df.dropDuplicates(key)
-    if existing is not None:
-        new = new.join(existing, key, "left_anti")
+    rest = [c for c in df.columns if c not in key]
+    new = df.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(
+        *[F.col(f"_r.{c}").alias(c) if c in rest else F.col(c) for c in df.columns]) if rest else df.distinct()
+    if path_exists(spark, target):
+        existing = spark.read.parquet(target)
+        if partition_cols:
+            existing = existing.join(F.broadcast(df.select(*partition_cols).distinct()), partition_cols, "left_semi")
+        new = new.join(existing.select(*key), key, "left_anti")
     stage = staging_path(df, "append")
     new.write.mode("overwrite").parquet(stage)
     staged = spark.read.parquet(stage)

@@ -21,9 +21,9 @@ BUSINESS_ZONE = "Asia/Kolkata"
 
 
 def months_between(day_from: str, day_to: str) -> list[str]:
-    """``yyyy_MM`` of every business-zone month a UTC day window can touch
-    (the zone is ahead of UTC, so the last day may spill into the next month)."""
-    d0 = dt.date.fromisoformat(day_from)
+    """``yyyy_MM`` of every month, in any zone, that a UTC day window can touch:
+    zones differ from UTC by less than a day, so one day is added on both sides."""
+    d0 = dt.date.fromisoformat(day_from) - dt.timedelta(days=1)
     d1 = dt.date.fromisoformat(day_to) + dt.timedelta(days=1)
     out, y, m = [], d0.year, d0.month
     while (y, m) <= (d1.year, d1.month):

@@ -3,19 +3,20 @@
 The reference receives small HTTP batches and handles late data by clamping
 and unbounded dedup keys; here the same rules run as streaming queries:
 
-* T1 ``event_stream`` — file source with an explicit schema → V4 validation →
+* T1 ``event_batch`` — file source with an explicit schema → V4 validation →
   clamp ``occurred_at`` into ``[received_at − 30 d, received_at + 1 h]``
   (against the receive time, not the wall clock, so replays are
-  deterministic and a future client clock cannot push the watermark ahead)
-  → watermark → ``dropDuplicatesWithinWatermark(event_id)`` → parquet sink
-  partitioned by ``app, event_month``.
+  deterministic) → ``foreachBatch``: first copy per ``event_id`` not stored in
+  the months that can hold it → parquet partitioned by ``app, event_month``.
+  Nothing is dropped for being late.
 * T2 ``insert_ignore_batch`` — ``foreachBatch`` insert-ignore into a parquet
   table: dedup within the micro-batch, ``left_anti`` against the table, and
   the batch written to its own ``batch_id=<n>`` directory with overwrite, so
   a retried batch replaces its own earlier attempt (idempotent).
 * T3 ``identity_edges_batch`` — ``foreachBatch`` appending new identity edges.
-* T4 ``stream_health_counts`` — hourly per-stream counts in update mode;
-  24 h / 7 d figures are sums of 24 / 168 buckets (``rollup_health``).
+* T4 ``health_batch`` — ``foreachBatch`` writing each micro-batch's hourly
+  per-stream counts; 24 h / 7 d figures are sums over them (``rollup_health``),
+  so a row counts however late it comes.
 * T5 ``attribution_batch`` — ``foreachBatch`` running the batch attribution
   kernel for each micro-batch of conversions over the lookback slice of
   touches.
@@ -35,6 +36,7 @@ from ..operators import ingest as ig
 from ..operators.attribution import resolve_attribution
 from ..operators.identity import link_identities
 from ..session import checkpoint_dir
+from ..sources.sinks import path_exists
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.StringType()),
@@ -49,7 +51,6 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("props", T.StringType()),
 ])
 
-DEDUP_DELAY = "31 days"
 # keep microseconds through the JSON files (the default format stops at ms)
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
@@ -65,20 +66,39 @@ def clamp_to_receive(df: DataFrame) -> DataFrame:
     return df.withColumn("occurred_at", F.least(F.greatest(F.col("occurred_at"), lo), hi))
 
 
-def event_stream(stream: DataFrame, delay: str = DEDUP_DELAY, zone: str = "Asia/Kolkata") -> DataFrame:
-    """T1 transformation: valid, clamped, de-duplicated events with
-    ``event_month`` (works on a streaming or a static DataFrame)."""
-    valid = ig.validate_events(stream).where(F.size("reasons") == 0).drop("reasons")
-    clamped = clamp_to_receive(valid)
-    if stream.isStreaming:
-        # the event-time column must be a TIMESTAMP; the wall-clock value is
-        # kept in occurred_at (timestamp_ntz)
-        dedup = (clamped.withColumn("_event_time", F.col("occurred_at").cast("timestamp"))
-                 .withWatermark("_event_time", delay).dropDuplicatesWithinWatermark(["event_id"])
-                 .drop("_event_time"))
-    else:
-        dedup = clamped.dropDuplicates(["event_id"])
-    return dedup.withColumn("event_month", ig.assign_event_month(F.col("occurred_at"), zone))
+def valid_events(rows: DataFrame, zone: str = "Asia/Kolkata") -> DataFrame:
+    """T1 transformation: valid, clamped events with ``event_month``."""
+    valid = ig.validate_events(rows).where(F.size("reasons") == 0).drop("reasons")
+    return clamp_to_receive(valid).withColumn("event_month", ig.assign_event_month(F.col("occurred_at"), zone))
+
+
+def _months_near(batch: DataFrame) -> DataFrame:
+    """The batch's ``(app, event_month)`` and both months beside each: where a
+    copy received earlier, and so clamped to another time, can be stored."""
+    month = F.to_date(F.concat(F.col("event_month"), F.lit("_01")), "yyyy_MM_dd")
+    near = F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.date_format(F.add_months(month, k), "yyyy_MM"))
+    months = batch.select("app", "event_month").distinct()
+    return months.select("app", F.explode(near).alias("event_month")).distinct()
+
+
+def event_batch(sink_dir: str, zone: str = "Asia/Kolkata"):
+    """A ``foreachBatch`` function storing each valid event once, however
+    late it comes: the first copy in the batch by receive time, unless an
+    earlier batch stored its id. Only the months that can hold a copy are read.
+    A batch writes its own ``batch_id=<n>`` directory, so a retry replaces it."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = valid_events(batch, zone)
+        rest = [c for c in rows.columns if c not in ("event_id", "received_at")]
+        first = rows.groupBy("event_id").agg(F.min(F.struct("received_at", *rest)).alias("_r")).select(
+            "event_id", "_r.*").select(*rows.columns)
+        if path_exists(spark, sink_dir):
+            stored = spark.read.parquet(sink_dir).where(F.col("batch_id") != batch_id)
+            # a row per application and month: bounded by the retention
+            stored = stored.join(F.broadcast(_months_near(rows)), ["app", "event_month"], "left_semi")
+            first = first.join(stored.select("event_id"), "event_id", "left_anti")
+        first.write.mode("overwrite").partitionBy("app", "event_month").parquet(f"{sink_dir.rstrip('/')}/batch_id={batch_id}")
+    return run
 
 
 def start_event_ingest(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
@@ -87,9 +107,7 @@ def start_event_ingest(spark: SparkSession, source_dir: str, sink_dir: str, chec
     reader = spark.readStream.schema(EVENT_SCHEMA).option("timestampNTZFormat", TS_FORMAT)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    out = event_stream(reader.json(source_dir))
-    w = (out.writeStream.format("parquet").option("path", sink_dir).option("checkpointLocation", checkpoint)
-         .partitionBy("app", "event_month").outputMode("append"))
+    w = (reader.json(source_dir).writeStream.foreachBatch(event_batch(sink_dir)).option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
@@ -100,10 +118,9 @@ def insert_ignore_batch(target_dir: str, key: list[str]):
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         own = f"{target_dir.rstrip('/')}/batch_id={batch_id}"
-        try:
-            existing = (spark.read.parquet(target_dir).where(F.col("batch_id") != batch_id)
-                        .select(*key))
-        except Exception:  # noqa: BLE001 - first batch: the table does not exist yet
+        if path_exists(spark, target_dir):
+            existing = spark.read.parquet(target_dir).where(F.col("batch_id") != batch_id).select(*key)
+        else:
             existing = spark.createDataFrame([], batch.select(*key).schema)
         new = ig.insert_ignore(batch, existing, key)
         new.write.mode("overwrite").parquet(own)
@@ -115,9 +132,9 @@ def identity_edges_batch(edges_dir: str):
     edges revealed by the micro-batch (same batch-directory idempotence)."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
+        if path_exists(spark, edges_dir):
             existing = spark.read.parquet(edges_dir).where(F.col("batch_id") != batch_id)
-        except Exception:  # noqa: BLE001
+        else:
             existing = spark.createDataFrame([], "app string, session_id string, user_id long")
         link_identities(existing, batch).write.mode("overwrite").parquet(f"{edges_dir.rstrip('/')}/batch_id={batch_id}")
     return run
@@ -136,35 +153,22 @@ def attribution_batch(touches: DataFrame, entities: DataFrame, app: str, result_
     return run
 
 
-def stream_health_counts(rows: DataFrame, delay: str = "2 hours") -> DataFrame:
-    """T4: hourly counts per ``(source, event_name)`` of a stream of
-    ``(source, event_name, ts)`` rows (update mode)."""
-    return (rows.withColumn("_event_time", F.col("ts").cast("timestamp")).withWatermark("_event_time", delay)
-            .groupBy("source", "event_name", F.window("_event_time", "1 hour").alias("w"))
-            .agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_seen")))
+def health_batch(counts_dir: str):
+    """T4: a ``foreachBatch`` function writing the hourly counts per
+    ``(source, event_name)`` of a micro-batch of ``(source, event_name, ts)``
+    rows to its own ``batch_id=<n>`` directory."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        hourly = batch.groupBy("source", "event_name", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(
+            F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_seen"))
+        hourly.write.mode("overwrite").parquet(f"{counts_dir.rstrip('/')}/batch_id={batch_id}")
+    return run
 
 
 def rollup_health(hourly: DataFrame, now: str) -> DataFrame:
-    """T4 read side: count_24h / count_7d / last_seen from hourly buckets."""
+    """T4 read side: count_24h / count_7d / last_seen from the hourly counts of all micro-batches."""
     n = F.lit(now).cast("timestamp_ntz")
-    start = F.col("w.start").cast("timestamp_ntz")
+    start = F.col("hour")
     return (hourly.groupBy("source", "event_name")
             .agg(F.sum(F.when(start >= n - F.make_dt_interval(hours=F.lit(24)), F.col("n")).otherwise(0)).alias("count_24h"),
                  F.sum(F.when(start >= n - F.make_dt_interval(days=F.lit(7)), F.col("n")).otherwise(0)).alias("count_7d"),
                  F.max("last_seen").alias("last_seen")))
-
-
-def run_file_stream_once(spark: SparkSession, frame: DataFrame, files: int = 4, duplicate_one: bool = True) -> tuple[str, str, str]:
-    """Stage ``frame`` as JSON files in a fresh folder (plus one duplicated
-    file, a redelivery), run T1 with an ``availableNow`` trigger, and return
-    ``(source_dir, sink_dir, checkpoint)``. Used by the registered streaming
-    queries and the tests."""
-    base = scratch(spark, "event-stream")
-    src, sink, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
-    frame.repartition(files).write.mode("overwrite").option("timestampNTZFormat", TS_FORMAT).json(src)
-    if duplicate_one:
-        first = frame.where(F.crc32(F.col("event_id")) % 7 == 0)
-        first.coalesce(1).write.mode("append").option("timestampNTZFormat", TS_FORMAT).json(src)
-    q = start_event_ingest(spark, src, sink, ckpt)
-    q.awaitTermination()
-    return src, sink, ckpt
