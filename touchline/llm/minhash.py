@@ -152,15 +152,18 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(several, "bucket")
 
 
-_A_B = (F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"),
-        F.when(F.col("id") < F.col("other"), F.col("root")).otherwise(F.col("other_root")).alias("ra"),
-        F.when(F.col("id") < F.col("other"), F.col("other_root")).otherwise(F.col("root")).alias("rb"))
+def _ordered(met: DataFrame) -> DataFrame:
+    """Pairs ``id, other`` with their components as ``a < b`` and ``ra, rb``."""
+    first = F.col("id") < F.col("other")
+    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"),
+                      F.when(first, F.col("root")).otherwise(F.col("other_root")).alias("ra"),
+                      F.when(first, F.col("other_root")).otherwise(F.col("root")).alias("rb"))
 
 
 def _across(members: DataFrame) -> DataFrame:
     """All pairs of different components within small buckets."""
     y = members.select("bucket", F.col("id").alias("other"), F.col("root").alias("other_root"))
-    return members.select("bucket", "id", "root").join(y, "bucket").filter("id < other AND root <> other_root").select(*_A_B)
+    return _ordered(members.select("bucket", "id", "root").join(y, "bucket").filter("id < other AND root <> other_root"))
 
 
 def _star_round(members: DataFrame, turn: int) -> DataFrame:
@@ -168,7 +171,7 @@ def _star_round(members: DataFrame, turn: int) -> DataFrame:
     pivots = members.groupBy("bucket").agg(F.min_by(
         F.struct(F.col("id").alias("other"), F.col("root").alias("other_root")),
         F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("p")).select("bucket", "p.*")
-    return members.select("bucket", "id", "root").join(pivots, "bucket").filter("root <> other_root").select(*_A_B)
+    return _ordered(members.select("bucket", "id", "root").join(pivots, "bucket").filter("root <> other_root"))
 
 
 def _moved(df: DataFrame, merged: DataFrame) -> DataFrame:
@@ -197,20 +200,23 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = stored(linker.alike(_pairs(members, _central(members))), "pairs")
     stars = connected_components(linker.confirmed(pairs))
 
-    rest = members.select("bucket", "id").join(stars.select(F.col("leaf").alias("id"), "root"), "id", "left").withColumn(
-        "root", F.coalesce("root", "id"))
+    rest = stored(members.select("bucket", "id").join(stars.select(F.col("leaf").alias("id"), "root"), "id", "left").withColumn(
+        "root", F.coalesce("root", "id")), "rest")
     turn = 0
     while True:
         mixed = stored(_mixed(rest), "mixed")
-        pairs = _star_round(mixed.filter(F.col("members") > small_bucket), turn)
+        large = mixed.filter(F.col("members") > small_bucket)
+        pairs = _star_round(large, turn)
         if turn == 0:
             pairs = pairs.unionByName(_across(mixed.filter(F.col("members") <= small_bucket)))
+        elif large.isEmpty():
+            break
         pairs = stored(linker.alike(pairs.distinct()), "pairs")
         merged = connected_components(linker.confirmed(pairs), "ra", "rb")
         if merged.isEmpty():
             break
         stars = stored(_moved(stars, merged).unionByName(merged), "stars")
-        rest = _moved(mixed.select("bucket", "id", "root"), merged)
+        rest = stored(_moved(large.select("bucket", "id", "root"), merged), "rest")
         turn += 1
 
     of_key = reps.select("key", F.col("id").alias("rep")).join(
