@@ -54,11 +54,14 @@ def _cpfo(t):
     return mt.cost_per_first_order(_campaign_performance(t), t.ad_entity, res, APP, SPEND_FROM, SPEND_TO)
 
 
-CPFO_SQL = f"""WITH {RESOLVE_SQL_CTES},
- spend AS (SELECT e.id AS ad_entity_id, e.name AS campaign, e.city, e.category, sum(p.spend_inr) AS spend
-           FROM ad_performance_daily p JOIN ad_entity a ON a.id = p.ad_entity_id
+def cpfo_sql(level: str) -> str:
+    """M6 and L1 over the entities that the spend is stored for, or over their campaigns."""
+    spending = {"stored": "JOIN ad_entity e ON e.id = p.ad_entity_id", "campaign": """JOIN ad_entity a ON a.id = p.ad_entity_id
            JOIN ad_entity st ON st.level = 'adset' AND st.external_id = a.parent_external_id
-           JOIN ad_entity e ON e.level = 'campaign' AND e.external_id = st.parent_external_id
+           JOIN ad_entity e ON e.level = 'campaign' AND e.external_id = st.parent_external_id"""}[level]
+    return f"""WITH {RESOLVE_SQL_CTES},
+ spend AS (SELECT e.id AS ad_entity_id, e.name AS campaign, e.city, e.category, sum(p.spend_inr) AS spend
+           FROM ad_performance_daily p {spending}
            WHERE p.app = '{APP}' AND p.stat_date BETWEEN DATE '{SPEND_FROM}' AND DATE '{SPEND_TO}' GROUP BY 1, 2, 3, 4),
  fo AS (SELECT c.attributed_entity_id AS ad_entity_id, count(*) FILTER (WHERE c.is_first_order) AS first_orders
         FROM resolved c WHERE c.app = '{APP}' AND c.occurred_at >= TIMESTAMP '{SPEND_FROM} 00:00:00'
@@ -74,6 +77,9 @@ CPFO_SQL = f"""WITH {RESOLVE_SQL_CTES},
    FROM cpfo WHERE v IS NOT NULL AND v > {al.CPFO_THRESHOLD_INR})"""
 
 
+CPFO_SQL = cpfo_sql("campaign")
+
+
 @register("rule_cost_high", CPFO_SQL + "\nSELECT * FROM proposals",
           ("conversion", "attribution_touch", "ad_entity", "ad_performance_daily"))
 def rule_cost_high(t):

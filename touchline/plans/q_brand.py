@@ -203,11 +203,11 @@ def _js(x, scale=2):
 
 
 def _state_summary_sql():
-    from .q_alerts import CPFO_SQL
+    from .q_alerts import cpfo_sql
     spend_where = f"p.app = '{APP}' AND p.stat_date BETWEEN DATE '{SPEND_FROM}' AND DATE '{SPEND_TO}'"
     conv_where = (f"c.app = '{APP}' AND c.occurred_at >= TIMESTAMP '{SPEND_FROM} 00:00:00' "
                   f"AND c.occurred_at < CAST(DATE '{SPEND_TO}' + 1 AS TIMESTAMP)")
-    return CPFO_SQL + f""",
+    return cpfo_sql("stored") + f""",
  tot AS (SELECT CAST((SELECT coalesce(sum(p.spend_inr), 0) FROM ad_performance_daily p JOIN ad_entity e ON e.id = p.ad_entity_id
                       WHERE {spend_where}) AS DECIMAL(24,2)) AS s,
                 (SELECT count(*) FILTER (WHERE c.is_first_order) FROM conversion c WHERE {conv_where}) AS f),
