@@ -42,29 +42,27 @@ class FunnelFilters:
 def entity_campaign(entities: DataFrame, app: str) -> DataFrame:
     """every entity resolved to its campaign ancestor by two parent hops
     (join on app + channel + external_id; level is not part of the key)."""
-    e = entities.where(F.col("app") == app)
-    c1 = e.select(F.col("app").alias("c1_app"), F.col("channel").alias("c1_channel"),
-                  F.col("external_id").alias("c1_ext"), F.col("parent_external_id").alias("c1_parent"),
-                  F.col("name").alias("c1_name"))
-    c2 = e.select(F.col("app").alias("c2_app"), F.col("channel").alias("c2_channel"),
-                  F.col("external_id").alias("c2_ext"), F.col("name").alias("c2_name"))
-    j = (e.join(c1, (F.col("c1_app") == F.col("app")) & (F.col("c1_channel") == F.col("channel"))
-                & (F.col("c1_ext") == F.col("parent_external_id")), "left")
-         .join(c2, (F.col("c2_app") == F.col("c1_app")) & (F.col("c2_channel") == F.col("c1_channel"))
-               & (F.col("c2_ext") == F.col("c1_parent")), "left"))
-    return j.select(F.col("id").alias("entity_id"), F.lower("external_id").alias("ext_key"),
-                    F.lower("name").alias("name_key"),
-                    F.lower(F.coalesce("c2_ext", "c1_ext", "external_id")).alias("campaign_key"),
-                    F.coalesce("c2_name", "c1_name", "name").alias("campaign_name"))
+    own = entities.where(F.col("app") == app)
+
+    def kin(name: str) -> DataFrame:
+        return own.select(*[F.col(c).alias(f"{name}_{c}") for c in ("app", "channel", "external_id", "parent_external_id", "name")])
+
+    def child_of(below: str, above: str):
+        col = lambda c: F.col(f"{below}_{c}" if below else c)
+        return ((F.col(f"{above}_app") == col("app")) & (F.col(f"{above}_channel") == col("channel"))
+                & (F.col(f"{above}_external_id") == col("parent_external_id")))
+    j = own.join(kin("above"), child_of("", "above"), "left").join(kin("top"), child_of("above", "top"), "left")
+    return j.select(F.col("id").alias("entity_id"), F.lower("external_id").alias("external_alias"),
+                    F.lower("name").alias("name_alias"),
+                    F.lower(F.coalesce("top_external_id", "above_external_id", "external_id")).alias("campaign_key"),
+                    F.coalesce("top_name", "above_name", "name").alias("campaign_name"))
 
 
 def campaign_alias(ec: DataFrame) -> DataFrame:
     """alias (lower external id or lower name) → one campaign; the lowest
-    campaign key wins (then the lowest name)."""
-    a = (ec.where(F.col("ext_key").isNotNull()).select(F.col("ext_key").alias("alias"), "campaign_key", "campaign_name")
-         .unionByName(ec.where(F.col("name_key").isNotNull())
-                      .select(F.col("name_key").alias("alias"), "campaign_key", "campaign_name")))
-    best = a.groupBy("alias").agg(F.min(F.struct("campaign_key", "campaign_name")).alias("b"))
+    campaign key wins (then the lowest name). One pass over F1."""
+    a = ec.select(F.explode(F.array("external_alias", "name_alias")).alias("alias"), "campaign_key", "campaign_name")
+    best = a.where(F.col("alias").isNotNull()).groupBy("alias").agg(F.min(F.struct("campaign_key", "campaign_name")).alias("b"))
     return best.select("alias", F.col("b.campaign_key").alias("campaign_key"),
                        F.col("b.campaign_name").alias("campaign_name"))
 

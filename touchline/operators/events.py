@@ -66,26 +66,25 @@ def ordered_funnel(events: DataFrame, links: DataFrame, app: str, day_from: str,
     """Ordered conversion funnel over 2–6 steps.
 
     Step 1 is each identity's first in-window time of event 1; step n is the
-    first time of event n strictly after step n−1. Built as a chain of
-    ``min`` aggregates joined on the identity (one row per identity per
-    step), never collecting an identity's events into one list.
+    first time of event n strictly after step n−1. Built as one row per
+    identity that gains a time per step: one scan and one join on the identity
+    for each, one aggregate for all counts; an identity's events are never
+    collected into a list.
     """
     if not 2 <= len(steps) <= 6:
         raise ValueError("a funnel has 2 to 6 steps")
     ev = identified_events(events, links, app, day_from, day_to, names=list(dict.fromkeys(steps)), stitch=stitch)
     ev = ev.select("id", "event_name", F.col("occurred_at").alias("t"))
-    reached = ev.where(F.col("event_name") == steps[0]).groupBy("id").agg(F.min("t").alias("t"))
-    counts = [reached.agg(F.count(F.lit(1)).alias("users")).withColumn("step", F.lit(1))]
+    reached = ev.where(F.col("event_name") == steps[0]).groupBy("id").agg(F.min("t").alias("t1"))
+    times = ["t1"]
     for i, name in enumerate(steps[1:], start=2):
-        nxt = (ev.where(F.col("event_name") == name).alias("e")
-               .join(reached.alias("p"), "id")
-               .where(F.col("e.t") > F.col("p.t"))
-               .groupBy("id").agg(F.min("e.t").alias("t")))
-        counts.append(nxt.agg(F.count(F.lit(1)).alias("users")).withColumn("step", F.lit(i)))
-        reached = nxt
-    per_step = counts[0]
-    for c in counts[1:]:
-        per_step = per_step.unionByName(c)
+        nxt = ev.where(F.col("event_name") == name).select("id", "t")
+        # a row per identity with the times so far; the least later time joins them
+        later = F.min(F.when(F.col("t") > F.col(times[-1]), F.col("t"))).alias(f"t{i}")
+        reached = reached.join(nxt, "id", "left").groupBy("id", *times).agg(later)
+        times.append(f"t{i}")
+    rungs = reached.agg(*[F.count(c).alias(c) for c in times])
+    per_step = rungs.select(F.posexplode(F.array(*times)).alias("step", "users")).select((F.col("step") + 1).alias("step"), "users")
     names = F.element_at(F.array(*[F.lit(s) for s in steps]), F.col("step"))
     w = Window.orderBy("step")   # ≤ 6 rows
     first = F.first("users").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))

@@ -1,5 +1,5 @@
-"""Registered segment queries (G1–G20). The oracle is the naive set-algebra
-compilation (one scan per criterion, INTERSECT / UNION / EXCEPT)."""
+"""Registered segment queries (G1–G20). The oracle keeps each user's orders and
+events as lists and tests the definition on them row by row."""
 
 from __future__ import annotations
 
@@ -15,74 +15,84 @@ NOW_SQL = f"TIMESTAMP '{NOW}'"
 
 
 # ---------------------------------------------------------------------------
-# naive SQL compiler (oracle)
+# oracle: a row per user with its orders and events as lists, and a predicate
 # ---------------------------------------------------------------------------
 
-def _since(days):
-    return f"({NOW_SQL} - INTERVAL {int(days)} DAY)"
+HISTORY_SQL = f"""purchases AS (SELECT user_id, list({{'at': occurred_at, 'inr': value_inr, 'city': city, 'category': category}}) AS bought
+  FROM conversion WHERE app = '{APP}' AND user_id IS NOT NULL GROUP BY user_id),
+ doings AS (SELECT user_id, list({{'what': event_name, 'at': occurred_at, 'props': props}}) AS did
+  FROM app_event WHERE app = '{APP}' AND user_id IS NOT NULL GROUP BY user_id),
+ worth AS (SELECT user_id, ntile(100) OVER (ORDER BY list_sum(list_transform(bought, lambda x: x.inr)), user_id) AS place FROM purchases),
+ people AS (SELECT user_id, coalesce(bought, []) AS bought, coalesce(did, []) AS did, coalesce(place, 0) AS place
+  FROM purchases FULL JOIN doings USING (user_id) LEFT JOIN worth USING (user_id))"""
+COMPARED = {"gte": ">=", "lte": "<=", "eq": "=", "gt": ">"}
 
 
-def _lit(v):
+def _text(v):
     return "'" + str(v).replace("'", "''") + "'"
 
 
-def _prop_sql(p):
-    txt = f"json_extract_string(props, '$.{p['path']}')"
-    v = p["value"]
-    if p["op"] == "eq":
-        return f"{txt} = {_lit(sg.prop_text(v))}"
-    if p["op"] == "neq":
-        return f"{txt} IS DISTINCT FROM {_lit(sg.prop_text(v))}"
-    if p["op"] == "gte":
-        return f"TRY_CAST({txt} AS DOUBLE) >= {float(v)}"
-    if p["op"] == "lte":
-        return f"TRY_CAST({txt} AS DOUBLE) <= {float(v)}"
-    return f"{txt} ILIKE {_lit('%' + str(v) + '%')}"
-
-
-CONV = f"FROM conversion WHERE app = '{APP}' AND user_id IS NOT NULL"
-EVS = f"FROM app_event WHERE app = '{APP}' AND user_id IS NOT NULL"
-UNIVERSE = f"SELECT DISTINCT user_id {CONV} UNION SELECT DISTINCT user_id {EVS}"
-
-
-def _leaf_sql(c):
-    k = c["kind"]
-    if k in ("order_recency", "first_order_age"):
-        agg = "max" if k == "order_recency" else "min"
-        cmp = ">=" if c["op"] == "lte" else "<"
-        return f"SELECT user_id {CONV} GROUP BY user_id HAVING {agg}(occurred_at) {cmp} {_since(c['days'])}"
-    if k == "order_frequency":
-        cmp = {"gte": ">=", "lte": "<=", "eq": "="}[c["op"]]
-        w = f" AND occurred_at >= {_since(c['window_days'])}" if c.get("window_days") else ""
-        return f"SELECT user_id {CONV}{w} GROUP BY user_id HAVING count(*) {cmp} {c['count']}"
-    if k == "monetary":
-        agg = "sum(value_inr)" if c["metric"] == "total" else "avg(value_inr)"
-        cmp = ">=" if c["op"] == "gte" else "<="
-        w = f" AND occurred_at >= {_since(c['window_days'])}" if c.get("window_days") else ""
-        return f"SELECT user_id {CONV}{w} GROUP BY user_id HAVING {agg} {cmp} {c['value_inr']}"
-    if k == "ltv_percentile":
-        return (f"SELECT user_id FROM (SELECT user_id, ntile(100) OVER (ORDER BY sum(value_inr), user_id) AS pct "
-                f"{CONV} GROUP BY user_id) t WHERE pct > {c['percentile']}")
-    if k == "attribute":
-        vals = c["value"] if isinstance(c["value"], list) else [c["value"]]
-        pos = f"SELECT DISTINCT user_id {CONV} AND {c['field']} IN ({', '.join(_lit(v) for v in vals)})"
-        return f"({UNIVERSE}) EXCEPT ({pos})" if c["op"] == "neq" else pos
-    if k == "event":
-        props = "".join(f" AND {_prop_sql(p)}" for p in c.get("props") or [])
-        pos = (f"SELECT user_id {EVS} AND event_name = {_lit(c['event'])} AND occurred_at >= {_since(c['window_days'])}"
-               f"{props} GROUP BY user_id HAVING count(*) >= {c.get('min_count') or 1}")
-        return pos if c["performed"] else f"({UNIVERSE}) EXCEPT ({pos})"
-    raise ValueError(k)
-
-
-def _group_sql(g):
-    parts = [f"({_group_sql(n) if 'criteria' in n else _leaf_sql(n)})" for n in g["criteria"]]
-    return (" INTERSECT " if g["op"] == "AND" else " UNION ").join(parts)
-
-
-def membership_sql(definition):
-    d = sg.validate(definition)
-    return f"SELECT DISTINCT user_id FROM ({_group_sql(d['group'])}) AS members"
+def _ago(days):
+    return f"({NOW_SQL} - INTERVAL {int(days)} DAY)"
+
+
+def _bought(leaf):
+    days = leaf.get("window_days")
+    return f"list_filter(bought, lambda x: x.at >= {_ago(days)})" if days else "bought"
+
+
+def _age(leaf):
+    # recency looks at the newest order, age at the first; "lte" means at most so many days ago
+    pick = "list_max" if leaf["kind"] == "order_recency" else "list_min"
+    return f"{pick}(list_transform(bought, lambda x: x.at)) {'>=' if leaf['op'] == 'lte' else '<'} {_ago(leaf['days'])}"
+
+
+def _count(leaf):
+    n = f"len({_bought(leaf)})"
+    return f"{n} > 0 AND {n} {COMPARED[leaf['op']]} {leaf['count']}"
+
+
+def _money(leaf):
+    fold = {"total": "list_sum", "avg": "list_avg"}[leaf["metric"]]
+    return f"{fold}(list_transform({_bought(leaf)}, lambda x: x.inr)) {COMPARED[leaf['op']]} {leaf['value_inr']}"
+
+
+def _percentile(leaf):
+    return f"place > {leaf['percentile']}"
+
+
+def _trait(leaf):
+    wanted = leaf["value"] if isinstance(leaf["value"], list) else [leaf["value"]]
+    has = f"len(list_filter(bought, lambda x: x.{leaf['field']} IN ({', '.join(map(_text, wanted))}))) > 0"
+    return f"NOT ({has})" if leaf["op"] == "neq" else has
+
+
+def _prop(p):
+    found, v = f"json_extract_string(x.props, '$.{p['path']}')", p["value"]
+    return {"eq": lambda: f"{found} = {_text(sg.prop_text(v))}", "neq": lambda: f"{found} IS DISTINCT FROM {_text(sg.prop_text(v))}",
+            "gte": lambda: f"TRY_CAST({found} AS DOUBLE) >= {float(v)}", "lte": lambda: f"TRY_CAST({found} AS DOUBLE) <= {float(v)}",
+            "contains": lambda: f"{found} ILIKE {_text('%' + str(v) + '%')}"}[p["op"]]()
+
+
+def _doing(leaf):
+    tests = [f"x.what = {_text(leaf['event'])}", f"x.at >= {_ago(leaf['window_days'])}", *map(_prop, leaf.get("props") or [])]
+    done = f"len(list_filter(did, lambda x: coalesce({' AND '.join(tests)}, false))) >= {leaf.get('min_count') or 1}"
+    return done if leaf["performed"] else f"NOT ({done})"
+
+
+TESTS = {"order_recency": _age, "first_order_age": _age, "order_frequency": _count, "monetary": _money,
+         "ltv_percentile": _percentile, "attribute": _trait, "event": _doing}
+
+
+def _test(node):
+    if "criteria" in node:
+        return "(" + f" {node['op']} ".join(map(_test, node["criteria"])) + ")"
+    return f"coalesce({TESTS[node['kind']](node)}, false)"
+
+
+def membership_sql(definition, now=NOW):
+    test = _test(sg.validate(definition)["group"]).replace(NOW_SQL, f"TIMESTAMP '{now}'")
+    return f"WITH {HISTORY_SQL} SELECT user_id FROM people WHERE {test}"
 
 
 # ---------------------------------------------------------------------------
@@ -114,7 +124,7 @@ SEG_DEFS = {
     "seg_recency_lte": _def({"kind": "order_recency", "op": "lte", "days": 3}),
     "seg_first_order_age": _def({"kind": "first_order_age", "op": "lte", "days": 25}),
     "seg_frequency": _def({"kind": "order_frequency", "op": "gte", "count": 3, "window_days": 14}),
-    "seg_frequency_eq": _def({"kind": "order_frequency", "op": "eq", "count": 2}),
+    "seg_frequency_eq": _def({"kind": "order_frequency", "op": "eq", "count": 12}),
     "seg_monetary": _def({"kind": "monetary", "metric": "avg", "op": "gte", "value_inr": 50, "window_days": 20}),
     "seg_monetary_total": _def({"kind": "monetary", "metric": "total", "op": "lte", "value_inr": 300}),
     "seg_ltv_percentile": _def({"kind": "ltv_percentile", "op": "gte", "percentile": 90}),
@@ -155,10 +165,15 @@ for _name, _d in SEG_DEFS.items():
     register(_name, membership_sql(_d), ("conversion", "app_event"))(_mk(_d))
 
 
+# days on which the seeds of new and of dormant users have members: orders run through January 2024
+SEED_NOW = {"new_users_7d": "2024-01-06 00:00:00", "dormant_30d": "2024-02-27 00:00:00", "dormant_90d": "2024-04-27 00:00:00"}
+
+
 for _slug, _n, _i, _d in SEED_SEGMENTS:
-    def _mk2(d):
-        return lambda t: sg.membership(d, t.conversion, t.app_event, APP, NOW)
-    register(f"seg_seed_{_slug}", membership_sql(_d), ("conversion", "app_event"))(_mk2(_d))
+    def _mk2(d, now):
+        return lambda t: sg.membership(d, t.conversion, t.app_event, APP, now)
+    _at = SEED_NOW.get(_slug, NOW)
+    register(f"seg_seed_{_slug}", membership_sql(_d, _at), ("conversion", "app_event"))(_mk2(_d, _at))
 
 
 @register("seg_dry_run", f"""
