@@ -190,3 +190,18 @@ def test_purchase_envelopes(spark):
     assert [(got[k].action_source, got[k].messaging_channel, got[k].ctwa_clid) for k in ("o1", "o2", "o3")] == [
         ("business_messaging", "whatsapp", "clid"), ("app", None, None), ("website", None, None)]
     assert '"user_data":{"fbp":"p"}' in got["o2"].payload and '"value":10.5' in got["o1"].payload
+
+
+def test_heavy_keys_choose_the_splitting_form(spark):
+    from touchline.operators.asof import asof_last, choose_mode
+    rows = [(k, 1 if k % 3 else k, ts("2026-07-01 00:00:00")) for k in range(900)]       # two thirds on one key in one instant's week
+    src = mk(spark, rows, "id long, user_id long, occurred_at timestamp_ntz").withColumn(
+        "occurred_at", F.col("occurred_at") + F.make_dt_interval(mins=F.col("id").cast("int")))
+    tgt = src.select((F.col("id") + 5000).alias("id"), "user_id", (F.col("occurred_at") + F.make_dt_interval(secs=F.lit(1))).alias("occurred_at"))
+    one = [(src, ["user_id"], "occurred_at")]
+    assert choose_mode(one, 7) is None and choose_mode(one, 7, heavy_rows=1000, small_bytes=0) is None
+    assert choose_mode(one, 7, heavy_rows=100, small_bytes=0) == "range"
+    common = dict(target_key="user_id", target_ts="occurred_at", target_id="id", source_key="user_id", source_ts="occurred_at",
+                  source_tiebreak=["id"], source_cols=["id"], lookback_days=7)
+    got = [{r.id: r.match.id for r in asof_last(tgt, src, mode=m, **common).collect()} for m in ("replicate", "range")]
+    assert got[0] == got[1] == {k + 5000: k for k in range(900)}

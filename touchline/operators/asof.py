@@ -33,7 +33,9 @@ union is range-partitioned on ``(key, time, kind, tie-break)`` — Spark's
 range partitioner samples that composite key, so a key with a third of all
 rows inside one week is still cut into many partitions — and pinned with a
 reliable checkpoint; the partition id then plays the bucket in the carried
-form. It costs a sampling pass and a checkpoint write, so it is opt-in.
+form. It costs a sampling pass and a checkpoint write, so the callers take it
+where ``choose_mode`` counts a group too large for a task, or where the
+session conf asks for it.
 """
 
 from __future__ import annotations
@@ -101,6 +103,30 @@ def _sweep(both: DataFrame, mode: str, bucket_hours: int | None, lookback_days:
 
 
 MODE_CONF = "touchline.asof.mode"
+HEAVY_ROWS = 2_000_000        # rows of one key in one time bucket that a task is given at most
+SMALL_BYTES = 256 << 20       # inputs below this can't hold a group too large for a task
+
+
+def choose_mode(inputs: list[tuple[DataFrame, list[str], str]], lookback_days: int, heavy_rows: int = HEAVY_ROWS,
+                small_bytes: int = SMALL_BYTES) -> str | None:
+    """``range`` where some key has more than ``heavy_rows`` rows in a bucket
+    of the replicated form, else None (the default form). ``inputs`` are
+    frames with their key columns and time column. Small inputs aren't
+    counted: by the planner's size estimate no group of theirs can be heavy.
+    All forms give the same rows; only the size of the tasks differs."""
+    spark = inputs[0][0].sparkSession
+    if spark.conf.get(MODE_CONF, None):
+        return None
+    size = sum(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df, _, _ in inputs)
+    if size < small_bytes:
+        return None
+    groups = None
+    for df, keys, ts in inputs:
+        named = F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).cast("string").alias("key")) for k in keys])
+        g = df.select(F.explode(named).alias("k"), _bucket(F.col(ts), lookback_days * 24).alias("b")).where("k.key IS NOT NULL")
+        groups = g if groups is None else groups.unionByName(g)
+    top = groups.groupBy("k", "b").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).head()["n"]
+    return "range" if (top or 0) > heavy_rows else None
 
 
 def _mode(spark, mode: str | None, bucket_hours, lookback_days, forward: bool, carry: bool) -> tuple[str, int | None]:

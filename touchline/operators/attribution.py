@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import infer_channel, infer_channel_from_source, parse_campaign_name
-from .asof import asof_last
+from .asof import asof_last, choose_mode
 
 CLICK_IDS = ("gclid", "gbraid", "wbraid", "fbclid", "fbc")
 TOUCH_COLS = ("id", "occurred_at", "received_at", "channel", "utm_source", "utm_medium", "utm_campaign",
@@ -40,6 +40,8 @@ def last_touch(conversions: DataFrame, touches: DataFrame, app: str, lookback_da
     """
     conv = conversions.where(F.col("app") == app)
     t = _with_touch_cols(touches.where(F.col("app") == app))
+    if mode is None and bucket_hours == "lookback":
+        mode = choose_mode([(df, ["user_id", "session_id"], "occurred_at") for df in (conv, t)], lookback_days)
     # carried through the sweep: what entity mapping (A2) and callers read
     cols = [c for c in TOUCH_PAYLOAD if c not in ("occurred_at", "received_at", "id")]
     common = dict(target_ts="occurred_at", target_id="id", source_ts="occurred_at",
@@ -77,15 +79,17 @@ def map_touch_to_entity(df: DataFrame, entities: DataFrame, app: str, touch: str
     camp = F.col(prefix + "utm_campaign")
     parsed = parse_campaign_name(camp)
     usable = ch.isNotNull() & camp.isNotNull() & (camp != "")
-    d = (df.withColumn("_ch", F.when(usable, ch))
-         .withColumn("_name_key", F.when(usable, F.lower(camp)))
+    # a row without a key gets one of its own, so such rows spread over all tasks
+    own = F.concat(F.lit("\x00"), F.coalesce(F.col("id").cast("string"), F.lit("")))
+    d = (df.withColumn("_ch", F.coalesce(F.when(usable, ch), own))
+         .withColumn("_name_key", F.coalesce(F.when(usable, F.lower(camp)), own))
          .withColumn("_p", parsed))
     by_name, by_parsed = entity_lookups(entities, app)
     d = d.join(by_name.withColumnRenamed("channel", "_ch").withColumnRenamed("name_key", "_name_key"),
                ["_ch", "_name_key"], "left")
     pk = by_parsed.select(F.col("channel").alias("_ch"), F.col("city").alias("_pcity"),
                           F.col("category").alias("_pcat"), "by_parsed_id")
-    d = (d.withColumn("_pcity", F.when(F.col("_p.parsed_ok"), F.col("_p.city")))
+    d = (d.withColumn("_pcity", F.coalesce(F.when(F.col("_p.parsed_ok"), F.col("_p.city")), own))
          .withColumn("_pcat", F.when(F.col("_p.parsed_ok"), F.col("_p.category")))
          .join(pk, ["_ch", "_pcity", "_pcat"], "left"))
     ent = F.coalesce("by_name_id", "by_parsed_id")

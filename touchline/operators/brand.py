@@ -10,12 +10,13 @@ from ..functions.ranking import global_row_number
 from ..functions.text import alias_pattern, extract_domains, js_number, js_trim
 
 # Question templates (id, text with {category} / {city}), the
-# brand-probe keys and the excerpt context.
+# brand-probe keys, the excerpt context and the campaigns of a state.
 TEMPLATES = [("best", "best {category} services in {city}"),
              ("book", "how do I book {category} online in {city}")]
 BRAND_PROBES = [("brand|what-is", "what is {brand}?"),
                 ("brand|legit-check", "is {brand_domain} a legit home services company in India?")]
 EXCERPT_CONTEXT = 60
+TOP_CAMPAIGNS = 10
 
 
 def question_grid(cities: DataFrame, categories: DataFrame, brand: str, brand_domain: str,
@@ -155,11 +156,12 @@ def reviews_trend(reviews: DataFrame, app: str, day_from: str, day_to: str, sour
 
 
 def marketing_state(cac: DataFrame, cpfo: DataFrame, by_engine: DataFrame, app: str,
-                    day_from: str, day_to: str) -> DataFrame:
-    """One nested row — performance (M5), top 10 campaigns by spend (M6)
-    and the by-engine mention summary (B6, NULL without observations). Each
-    list is bounded (10 campaigns, one entry per engine)."""
-    top = (cpfo.orderBy(F.desc("spend_inr"), "campaign").limit(10)
+                    day_from: str, day_to: str, top: int = TOP_CAMPAIGNS) -> DataFrame:
+    """One nested row: performance (M5), the ``top`` campaigns by spend
+    (M6), the list of anomalies (empty until an alert layer fills it) and the
+    by-engine mention summary with its window (B6, NULL without
+    observations). Each list is bounded (``top`` campaigns, one entry per engine)."""
+    top = (cpfo.orderBy(F.desc("spend_inr"), "campaign").limit(top)
            .agg(F.collect_list(F.struct("spend_inr", "campaign", "first_orders", "cost_per_first_order_inr"))
                 .alias("_top"))
            .select(F.transform(F.sort_array("_top", asc=False), lambda x: F.struct(
@@ -171,10 +173,12 @@ def marketing_state(cac: DataFrame, cpfo: DataFrame, by_engine: DataFrame, app:
         F.sort_array(F.collect_list(F.struct(F.col("dimension").alias("engine"), "observations", "mentions",
                                              "mention_rate"))).alias("by_engine"))
     geo = geo.select(F.when(F.col("total_observations").isNotNull(),
-                            F.struct("total_observations", "by_engine")).alias("geo_snapshot"))
+                            F.struct(F.struct(F.lit(day_from).alias("from"), F.lit(day_to).alias("to")).alias("window"),
+                                     "total_observations", "by_engine")).alias("geo_snapshot"))
     return cac.select(F.lit(app).alias("app"), F.lit(day_from).alias("window_from"), F.lit(day_to).alias("window_to"),
                       F.struct(F.col("spend_inr"), F.col("first_orders"), F.col("blended_cac_inr")).alias("performance"),
-                      top.scalar().alias("top_campaigns"), geo.scalar().alias("geo_snapshot"))
+                      top.scalar().alias("top_campaigns"), F.array().cast("array<string>").alias("anomalies"),
+                      geo.scalar().alias("geo_snapshot"))
 
 
 def state_summary(state: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import day_window, identity_key
-from .asof import asof_rows
+from .asof import asof_rows, choose_mode
 
 # Funnel stage events in stage order.
 STAGE_EVENTS = ["el_first_open", "el_signup", "el_add_to_cart"]
@@ -168,6 +168,8 @@ def attributed_rows(touches: DataFrame, events: DataFrame, conversions: DataFram
                 .select("kind", "row_id", identity_key("user_id", "_lk_u", "session_id").alias("id"),
                         "occurred_at", "campaign_key", "value_inr", "touch_id")
                 .where(F.col("id").isNotNull()))
+    if mode is None and bucket_hours == "lookback":
+        mode = choose_mode([(stitched, ["id"], "occurred_at")], lookback_days)
     hit = asof_rows(stitched, key="id", ts="occurred_at", is_source=F.col("kind") == "touch",
                     row_id=F.concat_ws("\u0001", "kind", "row_id", "id"), source_tiebreak=["touch_id"],
                     source_cols=["campaign_key"], lookback_days=lookback_days, out="touch",

@@ -170,16 +170,20 @@ def ltv_cac(conv, perf, entities, app, day_from, day_to, city=None, category=Non
 
 
 def ltv_report(conv, perf, entities, app, day_from, day_to, city=None, category=None) -> DataFrame:
-    """M7 + M9 + M8 as one nested row. The per-channel and per-campaign
-    lists are grouped results (one entry per channel / campaign), folded with
-    ``collect_list`` into scalar subqueries."""
+    """M7, M9 and M8 as one report, a row per figure: ``section``
+    (``repeat``, ``channel``, ``cohort``), the entry's ``channel`` and
+    ``campaign``, and one of its figures with its value. No section is folded into a list,
+    so a report of any number of campaigns stays spread over the tasks."""
+    def figures(df, section):
+        names = [c for c in df.columns if c not in ("channel", "campaign")]
+        text = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+        return df.select(F.lit(section).alias("section"), text("channel").alias("channel"), text("campaign").alias("campaign"),
+                         F.explode(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.col(c).cast("double") for c in names])))
+                         .alias("figure", "value"))
     rr = repeat_rate(conv, app, day_from, day_to, city, category)
     lc = ltv_cac(conv, perf, entities, app, day_from, day_to, city, category)
     cr = cohort_revenue(conv, entities, app, day_from, day_to, city, category)
-    lc1 = lc.agg(F.sort_array(F.collect_list(F.struct(*lc.columns))).alias("by_channel"))
-    cr1 = cr.agg(F.sort_array(F.collect_list(F.struct(*cr.columns))).alias("cohorts"))
-    return rr.select(F.struct(*rr.columns).alias("repeat"), lc1.scalar().alias("by_channel"),
-                     cr1.scalar().alias("cohorts"))
+    return figures(rr, "repeat").unionByName(figures(lc, "channel")).unionByName(figures(cr, "cohort"))
 
 
 def count_first_orders(conv, app, day_from, day_to) -> DataFrame:

@@ -192,11 +192,6 @@ def _state(t):
     return br.marketing_state(cac, cpfo, eng, APP, SPEND_FROM, SPEND_TO)
 
 
-@register("marketing_state")
-def marketing_state(t):
-    return _state(t)
-
-
 def _js(x, scale=2):
     return f"regexp_replace(CAST(CAST({x} AS DECIMAL(38,{scale})) AS VARCHAR), '\\.?0+$', '')" if scale else \
         f"CAST(CAST({x} AS DECIMAL(38,0)) AS VARCHAR)"
@@ -226,3 +221,37 @@ FROM tot"""
           ("conversion", "attribution_touch", "ad_entity", "ad_performance_daily", "answers"))
 def state_summary(t):
     return br.state_summary(_state(t))
+
+
+def _marketing_state_sql():
+    from .q_alerts import cpfo_sql
+    spend = f"p.app = '{APP}' AND p.stat_date BETWEEN DATE '{SPEND_FROM}' AND DATE '{SPEND_TO}'"
+    orders = f"c.app = '{APP}' AND c.occurred_at >= TIMESTAMP '{SPEND_FROM} 00:00:00' AND c.occurred_at < CAST(DATE '{SPEND_TO}' + 1 AS TIMESTAMP)"
+    return cpfo_sql("stored") + f""",
+ {OBS_SQL},
+ seen AS (SELECT engine, count(*) AS n, count(*) FILTER (WHERE brand_mentioned) AS m FROM obs
+          WHERE app = '{APP}' AND CAST(run_at AS DATE) BETWEEN DATE '{SPEND_FROM}' AND DATE '{SPEND_TO}' GROUP BY engine),
+ best AS (SELECT row_number() OVER (ORDER BY spend_inr DESC, campaign) AS place, * FROM cpfo QUALIFY place <= {br.TOP_CAMPAIGNS})
+SELECT '{APP}' AS app, '{SPEND_FROM}' AS window_from, '{SPEND_TO}' AS window_to,
+  (SELECT CAST(sum(p.spend_inr) AS DOUBLE) FROM ad_performance_daily p WHERE {spend}) AS spend_inr,
+  (SELECT CAST(count(*) AS DOUBLE) FROM conversion c WHERE c.is_first_order AND {orders}) AS first_orders,
+  (SELECT string_agg(campaign || ':' || CAST(spend_inr AS DECIMAL(24,2)) || ':' || CAST(first_orders AS INT), ',' ORDER BY place) FROM best) AS top_campaigns,
+  0 AS n_anomalies,
+  '{SPEND_FROM}..{SPEND_TO}' AS geo_window, (SELECT CAST(sum(n) AS DOUBLE) FROM seen) AS geo_observations,
+  (SELECT string_agg(engine || ':' || n || ':' || m, ',' ORDER BY engine) FROM seen) AS geo_by_engine"""
+
+
+@register("marketing_state", _marketing_state_sql(), ("conversion", "attribution_touch", "ad_entity", "ad_performance_daily", "answers"))
+def marketing_state(t):
+    """B11, its nested lists as text."""
+    s = _state(t)
+    count = lambda c: c.cast("bigint").cast("string")
+    return s.select(
+        "app", "window_from", "window_to", "performance.spend_inr", "performance.first_orders",
+        F.array_join(F.transform("top_campaigns", lambda x: F.concat_ws(":", x["campaign"], x["spend_inr"].cast("decimal(24,2)").cast("string"),
+                                                                        count(x["first_orders"]))), ",").alias("top_campaigns"),
+        F.size("anomalies").alias("n_anomalies"),
+        F.concat_ws("..", "geo_snapshot.window.from", "geo_snapshot.window.to").alias("geo_window"),
+        F.col("geo_snapshot.total_observations").alias("geo_observations"),
+        F.array_join(F.transform("geo_snapshot.by_engine", lambda x: F.concat_ws(":", x["engine"], count(x["observations"]), count(x["mentions"]))),
+                     ",").alias("geo_by_engine"))

@@ -14,6 +14,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
+BODIES: dict[str, str] = {}       # the oracles without their binding CTEs, for reuse in others
 
 
 def register(name: str, sql: str | None = None, tables: tuple[str, ...] = ()):
@@ -24,6 +25,7 @@ def register(name: str, sql: str | None = None, tables: tuple[str, ...] = ()):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = lambda spark, sf_dir: fn(DriverTables(spark, sf_dir))
         if sql is not None:
+            BODIES[name] = sql.strip()
             ORACLES[name] = with_bindings(sql, *tables) if tables else sql.strip()
         return fn
     return deco

@@ -13,7 +13,6 @@ not depend on the session time zone.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from functools import cached_property
 
@@ -75,35 +74,26 @@ class DriverTables:
         self.sf_dir = sf_dir.rstrip("/")
         self._raw: dict[str, DataFrame] = {}
         self._stored_tables: dict[str, DataFrame] = {}
-        self._materialize = spark.conf.get("touchline.fixtures.materialize", "true") == "true"
 
     def raw(self, name: str) -> DataFrame:
         if name not in self._raw:
             self._raw[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._raw[name]
 
-    # Bindings derived with joins or aggregates are written once per session
-    # as model tables in the shared checkpoint folder (what production would
-    # store) and read back like stored tables; a plain projection of one raw
-    # table stays a lazy view so its filters reach the raw scan.
-    MATERIALIZED = ("ad_entity", "ad_performance_daily", "identity_link", "conversion", "conversion_orders")
+    # Bindings derived with joins or aggregates are what production would store;
+    # every binding is a lazy plan unless build() has been called.
+    STORED = ("ad_entity", "ad_performance_daily", "identity_link", "conversion", "conversion_orders")
 
-    def _stored(self, name: str, df: DataFrame) -> DataFrame:
+    def build(self) -> "DriverTables":
+        """Write the derived model tables once, into the shared checkpoint
+        folder, and read them from there from now on: an explicit step, the
+        size of the tables it writes."""
         from ..session import checkpoint_dir
-        root = checkpoint_dir(self.spark).rstrip("/")
-        tag = hashlib.sha1(self.sf_dir.encode()).hexdigest()[:10]
-        path = f"{root}/touchline-model/{tag}-{uuid.uuid4().hex[:8]}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
-
-    def __getattribute__(self, name):
-        value = object.__getattribute__(self, name)
-        if name in DriverTables.MATERIALIZED and object.__getattribute__(self, "_materialize"):
-            stored = object.__getattribute__(self, "_stored_tables")
-            if name not in stored:
-                stored[name] = object.__getattribute__(self, "_stored")(name, value)
-            return stored[name]
-        return value
+        root = f"{checkpoint_dir(self.spark).rstrip('/')}/touchline-model/{uuid.uuid4().hex[:12]}"
+        for name in self.STORED:
+            getattr(self, name).write.mode("overwrite").parquet(f"{root}/{name}")
+            self.__dict__[name] = self.spark.read.parquet(f"{root}/{name}")
+        return self
 
     # -- ad side ------------------------------------------------------------
     @cached_property
