@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import infer_channel, infer_channel_from_source, parse_campaign_name
 from ..operators import identity as idt
+from ..functions.ranking import global_row_number
 from ..operators import ingest as ig
 from .params import APP
 from .q_attribution import CH
@@ -528,3 +529,74 @@ def snapshot_reviews(t):
     f = _review_fetches(t)
     return ig.snapshot_reviews(f, tiebreak="o_orderkey").select("source", "snapshot_date", "rating_avg", "rating_count",
                                                                 "new_reviews_count")
+
+
+# ---------------------------------------------------------------------------
+# registry and segment metadata (V5, U7, U8), derived from the event names in use
+# ---------------------------------------------------------------------------
+
+NAMES_SQL = "names AS (SELECT app, event_name, min(CAST(event_id AS BIGINT)) AS n, count(*) AS events FROM app_event GROUP BY app, event_name)"
+META_NOW = "2024-02-01 00:00:00"
+
+
+def _names(t):
+    return t.app_event.groupBy("app", "event_name").agg(F.min(F.col("event_id").cast("long")).alias("n"), F.count(F.lit(1)).alias("events"))
+
+
+@register("validate_registry", f"""WITH {NAMES_SQL}
+SELECT n AS id, concat_ws(',', CASE WHEN n % 3 = 2 THEN 'source' END, CASE WHEN n % 2 = 0 THEN 'event_name' END,
+  CASE WHEN n % 5 = 0 THEN 'expected_frequency' END) AS reasons, coalesce(CASE WHEN n % 5 = 0 THEN 'yearly' END, 'none') AS expected_frequency
+FROM names""", ("app_event",))
+def validate_registry(t):
+    """V5: the names in use as registry rows, some with an unknown source, capitals or an unknown frequency."""
+    n = F.col("n")
+    batch = _names(t).select(
+        n, "app", F.when(n % 3 == 0, "app").when(n % 3 == 1, "click").otherwise("pixel").alias("source"),
+        F.when(n % 2 == 0, F.upper("event_name")).otherwise(F.col("event_name")).alias("event_name"),
+        F.when(n % 5 == 0, "yearly").alias("expected_frequency"), F.lit(None).cast("string").alias("description"),
+        F.lit(None).cast("boolean").alias("is_active"))
+    return _reasons(ig.validate_registry(batch)).select(n.alias("id"), "reasons", "expected_frequency")
+
+
+@register("upsert_registry", f"""WITH {NAMES_SQL},
+ tgt AS (SELECT row_number() OVER (ORDER BY event_name) AS id, event_name FROM names WHERE app = '{APP}')
+SELECT id, 'app' AS source, event_name, id <> 1 AS is_active, CASE WHEN id = 1 THEN 'seen' ELSE event_name END AS description,
+  CASE WHEN id = 1 THEN TIMESTAMP '{META_NOW}' END AS updated_at FROM tgt WHERE id <> 2
+UNION ALL SELECT (SELECT max(id) FROM tgt) + row_number() OVER (ORDER BY event_name), 'touch', event_name, true, NULL, TIMESTAMP '{META_NOW}' FROM tgt""",
+          ("app_event",))
+def upsert_registry(t):
+    """U8: the registered names; inserts of all of them (taken) and of as many new ones, an update and a delete."""
+    mine = _names(t).where(F.col("app") == APP)
+    target = global_row_number(mine, [], ["event_name"], out="id").select(
+        F.col("id").cast("long").alias("id"), "app", F.lit("app").alias("source"), "event_name", F.lit("daily").alias("expected_frequency"),
+        F.lit(True).alias("is_active"), F.col("event_name").alias("description"))
+
+    def change(op, df, **given):
+        kinds = {"id": "long", "app": "string", "source": "string", "event_name": "string", "expected_frequency": "string",
+                 "is_active": "boolean", "description": "string"}
+        return df.select(F.lit(op).alias("op"), *[given.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+    key = {"app": F.col("app"), "event_name": F.col("event_name")}
+    changes = (change("insert", mine, source=F.lit("app"), **key).unionByName(change("insert", mine, source=F.lit("touch"), **key))
+               .unionByName(change("update", target.where("id = 1"), id=F.col("id"), description=F.lit("seen"), is_active=F.lit(False)))
+               .unionByName(change("delete", target.where("id = 2"), id=F.col("id"))))
+    registry, _conflicts = ig.upsert_registry(target, changes, META_NOW)
+    return registry.select("id", "source", "event_name", "is_active", "description", "updated_at")
+
+
+@register("seed_segments", f"""WITH {NAMES_SQL},
+ tgt AS (SELECT row_number() OVER (ORDER BY event_name) AS id, event_name AS slug, events FROM names WHERE app = '{APP}')
+SELECT id, slug, 'seeded' AS name, 'paused' AS status, CAST(events AS INT) AS last_count FROM tgt
+UNION ALL SELECT (SELECT max(id) FROM tgt) + row_number() OVER (ORDER BY slug || '_2'), slug || '_2', 'seeded',
+  CASE WHEN id % 2 = 0 THEN 'paused' ELSE 'active' END, NULL FROM tgt""", ("app_event",))
+def seed_segments(t):
+    """A segment per name in use is seeded again, with a second one new; events are taken to be missing."""
+    mine = global_row_number(_names(t).where(F.col("app") == APP), [], ["event_name"], out="id")
+    target = mine.select(F.col("id").cast("long").alias("id"), "app", F.col("event_name").alias("slug"), F.lit("old").alias("name"),
+                         F.lit("{}").alias("definition"), F.lit(60).alias("refresh_interval_minutes"), F.lit("paused").alias("status"),
+                         F.lit(False).alias("is_system"), F.col("events").cast("int").alias("last_count"))
+
+    def specs(slug, needs):
+        return mine.select("app", slug.alias("slug"), F.lit("seeded").alias("name"), F.lit("{}").alias("definition"),
+                           F.lit(30).alias("refresh_interval_minutes"), needs.alias("needs_events"))
+    both = specs(F.col("event_name"), F.lit(False)).unionByName(specs(F.concat("event_name", F.lit("_2")), F.col("id") % 2 == 0))
+    return ig.seed_segments(target, both, False, META_NOW).select("id", "slug", "name", "status", "last_count")
