@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-from .common import row_struct, text_of
+from .common import map_arrow, row_struct, text_of
 
 PIECE_CHARS = 1 << 16
 _CUT = re.compile(r"\S(?=\s)")
@@ -84,7 +84,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("_text"))
             yield _with(batch, "ids", pa.array([encode_text(enc, t.as_py()).tobytes() for t in texts], pa.binary()), "_text")
-    return packed.mapInArrow(run, T.StructType([*packed.schema.fields[:-1], T.StructField("ids", T.BinaryType())]))
+    return map_arrow(packed, run, T.StructType([*packed.schema.fields[:-1], T.StructField("ids", T.BinaryType())]))
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -97,4 +97,4 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
             ids = batch.column(batch.schema.get_field_index("ids"))
             values = [None if x is None else enc.decode_bytes(np.frombuffer(x, "<u4").tolist()) for x in ids.to_pylist()]
             yield _with(batch, "decoded", pa.array(values, pa.binary()), "")
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return map_arrow(encoded, run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,3 +58,13 @@ def least_by_hash(df: DataFrame, id_col: str, limit: int) -> DataFrame:
     if n > 2 * limit:
         df = df.filter(F.pmod(lot, F.lit(cells)) < int(cells * (2 * limit / n)))
     return df.orderBy(F.pmod(lot, F.lit(cells)), lot, col(id_col)).limit(limit)
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` with this package's folder on the Python workers' path, which they
+    otherwise get from the installation or the session's files."""
+    env, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    known = [p for p in env.get("PYTHONPATH", "").split(":") if p]
+    if root not in known:
+        env["PYTHONPATH"] = ":".join([*known, root])
+    return df.mapInArrow(function, schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-from .common import row_struct, text_of
+from .common import map_arrow, row_struct, text_of
 from .quality_rules import STOP_WORDS
 
 
@@ -245,4 +245,4 @@ def extract(pages: DataFrame, html_col: str = "html", carry: dict[str, Column] |
         for batch in batches:
             texts = pa.array([main_text(p, limits) for p in batch.column(len(fields)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*(f.name for f in fields), "text"])
-    return packed.mapInArrow(run, T.StructType([*fields, T.StructField("text", T.StringType())]))
+    return map_arrow(packed, run, T.StructType([*fields, T.StructField("text", T.StringType())]))

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-from .common import row_struct, text_of
+from .common import map_arrow, row_struct, text_of
 
 LANE_BYTES = 1 << 11
 
@@ -405,4 +405,4 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, kind)],
                                              names=[*(f.name for f in fields), "spans"])
-    return packed.mapInArrow(run, T.StructType([*fields, T.StructField("spans", T.ArrayType(SPAN))]))
+    return map_arrow(packed, run, T.StructType([*fields, T.StructField("spans", T.ArrayType(SPAN))]))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, least_by_hash, row_struct, text_of
+from .common import col, least_by_hash, map_arrow, row_struct, text_of
 
 PER_CLASS = 1200             # labelled documents of each class that training reads at most
 MAX_CHARS = 20_000           # texts longer than this aren't used in training (they are scored)
@@ -323,4 +323,4 @@ def tag(docs: DataFrame, model: Model, text_col: str = "text", carry: dict[str,
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(spans, span)],
                 names=[*(f.name for f in fields), "score", "spans"])
-    return packed.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(SPAN))]))
+    return map_arrow(packed, run, T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(SPAN))]))
