@@ -11,7 +11,7 @@ from ..streaming import ingest as st
 from .params import APP, LOOKBACK_DAYS, NOW
 from .q_attribution import RESOLVE_SQL_CTES
 from .q_ingest import EVENT_RULES, UUID_EVENTS_SQL, _reasons_sql, _uuid_events
-from .registry import register
+from .registry import BODIES, register
 
 
 def run_event_files(spark, frame) -> str:
@@ -125,3 +125,16 @@ def stream_identity_edges(t):
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{base}/edges").where(F.col("batch_id") >= 0).select("app", "session_id", "user_id")
+
+
+@register("stream_touch_backfill", BODIES["backfill_touch_users"], ("attribution_touch",))
+def stream_touch_backfill(t):
+    """Touches stream in, two files a micro-batch; the sessions of each batch are filled again."""
+    spark = t.spark
+    base = st.scratch(spark, "fill-stream")
+    t.attribution_touch.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(t.attribution_touch.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    q = (stream.writeStream.foreachBatch(st.touch_backfill_batch(f"{base}/touches", f"{base}/fills"))
+         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return st.backfilled_touches(spark, f"{base}/touches", f"{base}/fills").select("id", "user_id")

@@ -13,7 +13,8 @@ and unbounded dedup keys; here the same rules run as streaming queries:
   table: dedup within the micro-batch, ``left_anti`` against the table, and
   the batch written to its own ``batch_id=<n>`` directory with overwrite, so
   a retried batch replaces its own earlier attempt (idempotent).
-* T3 ``identity_edges_batch`` — ``foreachBatch`` appending new identity edges.
+* T3 ``identity_edges_batch`` — ``foreachBatch`` appending new identity edges;
+  ``touch_backfill_batch`` — ``foreachBatch`` filling the users of anonymous touches.
 * T4 ``health_batch`` — ``foreachBatch`` writing each micro-batch's hourly
   per-stream counts; 24 h / 7 d figures are sums over them (``rollup_health``),
   so a row counts however late it comes.
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 
 from ..operators import ingest as ig
 from ..operators.attribution import resolve_attribution
-from ..operators.identity import link_identities
+from ..operators.identity import backfill_touch_users, link_identities
 from ..session import checkpoint_dir
 from ..sources.sinks import path_exists
 
@@ -140,6 +141,31 @@ def identity_edges_batch(edges_dir: str):
     return run
 
 
+def touch_backfill_batch(touches_dir: str, fills_dir: str):
+    """A ``foreachBatch`` function storing touches and the users of the
+    anonymous ones (U4): for the sessions that the batch has rows of, every
+    stored anonymous touch is looked up again among all their revealing ones,
+    so the result is U4's whatever order the files come in. Touches and fills
+    go to their own ``batch_id=<n>`` directories (``backfilled_touches`` reads them)."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{touches_dir.rstrip('/')}/batch_id={batch_id}")
+        stored = spark.read.parquet(touches_dir).where(F.col("batch_id") <= batch_id)
+        sessions = batch.where(F.col("session_id").isNotNull()).select("app", "session_id").distinct()
+        rows = stored.join(sessions, ["app", "session_id"], "left_semi").select(*batch.columns)
+        anonymous = rows.where(F.col("user_id").isNull()).select("id")
+        fills = backfill_touch_users(rows).where(F.col("user_id").isNotNull()).select("id", "user_id").join(anonymous, "id", "left_semi")
+        fills.write.mode("overwrite").parquet(f"{fills_dir.rstrip('/')}/batch_id={batch_id}")
+    return run
+
+
+def backfilled_touches(spark: SparkSession, touches_dir: str, fills_dir: str) -> DataFrame:
+    """T3 read side: the stored touches with the latest fill of each anonymous one."""
+    latest = spark.read.parquet(fills_dir).groupBy("id").agg(F.max_by("user_id", "batch_id").alias("_fill"))
+    touches = spark.read.parquet(touches_dir).drop("batch_id").join(latest, "id", "left")
+    return touches.withColumn("user_id", F.coalesce("user_id", "_fill")).drop("_fill")
+
+
 def attribution_batch(touches: DataFrame, entities: DataFrame, app: str, result_dir: str, lookback_days: int = 7):
     """T5: a ``foreachBatch`` function attributing each micro-batch of
     conversions against the touches of its lookback slice."""
