@@ -146,6 +146,7 @@ def ps(*texts):
     ("<nav><a href=x>Home</a></nav>", []), ("", []), ("<", []), ("<article><p>cut of", ["cut of"]),
     ("<table><tr><td>" + PROSE[0] + "<td>" + PROSE[1] + "</table>", PROSE[:2]),
     ("<article><table><tr><td>1<td>2</table></article>", ["1", "2"]),
+    (f"<div class='layout has-sidebar'><div id='cookiebar'>{PROSE[0]}</div><main>{ps(*PROSE)}</main><ins class='adsbygoogle'>{PROSE[1]}</ins></div>", PROSE),
 ])
 def test_main_text(body, want):
     got = html_text.main_text(page(body))

@@ -61,6 +61,9 @@ comment comments consent cookie cookies copyright disclaimer disqus discussion f
 modal nav navbar navigation newsletter notice notices overlay pager pagination popup privacy promo promoted promotion
 recommended related replies reply respond responses share sharing sidebar signup skip social sponsor sponsored subscribe
 subscription tags teaser toolbar topbar widget widgets""".split())
+# Such words that are also found inside others ("cookiebar", "adsbygoogle"), and words that turn them round ("has-sidebar").
+STEMS = ("adsby", "advert", "breadcrumb", "cookie", "disqus", "newsletter", "pagination", "sidebar", "sponsor", "subscri")
+TURNED = frozenset(("has", "no", "with"))
 ARTICLE_NAMES = frozenset("article articlebody entry maincontent maintext post postbody story storybody".split())
 WHOLE_NAMES = frozenset(("content", "main", "main-content", "article-body", "article-content", "post-body", "post-content",
                          "entry-content", "story-body", "page-content", "body-content"))
@@ -100,7 +103,8 @@ def _place(tag: str, attrs: str, inside: _Open) -> tuple[bool, bool]:
             if name in ("class", "id"):
                 names = {w.lower() for w in _NAME.findall(value)}
                 in_article = {"header", "byline", "tags"} if inside.scope else set()
-                if not names.isdisjoint(NAMES - in_article) and tag not in ("html", "body", "main"):
+                other = not names.isdisjoint(NAMES - in_article) or any(stem in n for n in names for stem in STEMS)
+                if other and names.isdisjoint(TURNED) and tag not in ("html", "body", "main"):
                     bad = True
                 elif tag in ("div", "section", "td") and (
                         not names.isdisjoint(ARTICLE_NAMES) or not WHOLE_NAMES.isdisjoint(value.lower().split())):
@@ -173,12 +177,12 @@ def blocks(page: str) -> list[Block]:
                 break
         bad, good = _place(tag, m["attrs"], stack[-1])
         scope = stack[-1].scope
-        if good and not scope and not stack[-1].bad:
+        if good and not scope and (tag == "main" or not stack[-1].bad):
             scopes += 1
             scope = scopes
         if tag == "a":
             links += 1
-        stack.append(_Open(tag, stack[-1].bad or bad, scope))
+        stack.append(_Open(tag, bad or stack[-1].bad and tag != "main", scope))
     parts.append(page[at:])
     flush()
     return out
