@@ -2,8 +2,9 @@
 
 Every round keeps one row per edge and groups with map-side minima, so a node
 with a third of all edges costs no task more than its share: its edges meet its
-minimum in a join that is split where it is skewed. Each round's edges are a
-table in the shared checkpoint folder.
+minimum in a join that is split where it is skewed, as it can be between two
+plain tables. Each round's edges and minima are tables in the shared checkpoint
+folder.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ def _large_star(e: DataFrame) -> DataFrame:
     both = e.select(F.col("leaf").alias("u"), F.col("root").alias("v")).unionByName(
         e.select(F.col("root").alias("u"), F.col("leaf").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = stored(least, "least")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("leaf"), F.col("m").alias("root")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("leaf").agg(F.min("root").alias("m"))
+    least = stored(e.groupBy("leaf").agg(F.min("root").alias("m")), "least")
     met = e.join(least, "leaf")
     return met.filter("root > m").select(F.col("root").alias("leaf"), F.col("m").alias("root")).unionByName(
         least.select("leaf", F.col("m").alias("root"))).distinct()

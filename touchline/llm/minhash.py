@@ -12,11 +12,12 @@ on full shingle sets, connected components.
    standard deviations above), the others are confirmed on the full sets, read again
    only for the texts in question. Components follow from alternating stars.
 4. What is left are members of one bucket in different components. In buckets of up
-   to 64 members all of them are compared. Larger ones are taken in rounds: a pivot
-   is drawn anew in each and tested against the members outside its component,
+   to 64 members all of them are compared. Larger ones are taken in rounds: in each
+   the next most central member is tested against the members outside its component,
    until a round finds no further link. A text linked to some members of a large
-   bucket meets them as pivots in up to 32 buckets a round; one that is linked to a
-   single other text shares about six small buckets with it that the rest is not in.
+   bucket is linked to the central ones before others, and meets them in up to 32
+   buckets; one that is linked to a single other text shares about six small buckets
+   with it that the rest is not in.
 
 Nothing is capped or dropped, and no step gathers a bucket, a component or the
 links anywhere but in shuffled tables.
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, row_struct, stored, unpack
+from .common import col, map_arrow, row_struct, stored, unpack
 from .components import connected_components
 from .shingles import WIDTH, MinHash, shingle_sets
 
@@ -116,8 +117,8 @@ class _Linker:
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a stored table) that are links by their full shingle sets."""
         ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-        sets = _of_ids(self.texts, ids, "left_semi", self.broadcast_ids).mapInArrow(
-            _sets(self.width), T.StructType([self.texts.schema["id"], T.StructField("shingles", T.ArrayType(T.LongType()))]))
+        sets = map_arrow(_of_ids(self.texts, ids, "left_semi", self.broadcast_ids), _sets(self.width), T.StructType(
+            [self.texts.schema["id"], T.StructField("shingles", T.ArrayType(T.LongType()))]))
         sets = stored(sets, "sets")
         met = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(
             sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -140,16 +141,16 @@ def _pairs(members: DataFrame, pivots: DataFrame) -> DataFrame:
 
 def _central(members: DataFrame) -> DataFrame:
     """Each bucket's most central member: the one whose buckets hold the most members,
-    which in a group of copies is the one nearest to their common origin."""
-    best = members.groupBy("bucket").agg(F.max_by("id", F.struct("score", "id")).alias("pivot"))
-    return best.select("bucket", "pivot")
+    which in a group of copies is the one nearest to their common origin; of several
+    such the least id."""
+    return members.groupBy("bucket").agg(F.min_by("id", F.struct(-F.col("score"), F.col("id"))).alias("pivot"))
 
 
 def _mixed(members: DataFrame) -> DataFrame:
     """Members ``bucket, id, root`` of the buckets that hold more than one component, with the bucket's size."""
     several = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
                                             F.count(F.lit(1)).alias("members")).filter("lo <> hi").select("bucket", "members")
-    return members.join(several, "bucket")
+    return members.join(stored(several, "several"), "bucket")
 
 
 def _ordered(met: DataFrame) -> DataFrame:
@@ -166,12 +167,15 @@ def _across(members: DataFrame) -> DataFrame:
     return _ordered(members.select("bucket", "id", "root").join(y, "bucket").filter("id < other AND root <> other_root"))
 
 
-def _star_round(members: DataFrame, turn: int) -> DataFrame:
-    """The members of large buckets with a pivot drawn anew, where their components differ."""
-    pivots = members.groupBy("bucket").agg(F.min_by(
+def _star_round(members: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of large buckets with the next most central member as pivot, where
+    their components differ; and the pivots used so far, one row per bucket and round."""
+    fresh = members.join(used, ["bucket", "id"], "left_anti")
+    pivots = stored(fresh.groupBy("bucket").agg(F.min_by(
         F.struct(F.col("id").alias("other"), F.col("root").alias("other_root")),
-        F.struct(F.xxhash64("id", F.lit(turn)), "id")).alias("p")).select("bucket", "p.*")
-    return _ordered(members.select("bucket", "id", "root").join(pivots, "bucket").filter("root <> other_root"))
+        F.struct(-F.col("score"), F.col("id"))).alias("p")).select("bucket", "p.*"), "pivots")
+    pairs = _ordered(members.select("bucket", "id", "root").join(pivots, "bucket").filter("root <> other_root"))
+    return pairs, used.unionByName(pivots.select("bucket", F.col("other").alias("id")))
 
 
 def _moved(df: DataFrame, merged: DataFrame) -> DataFrame:
@@ -187,26 +191,28 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
     schema = T.StructType([texts.schema["id"], T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()),
                            T.StructField("sig", T.ArrayType(T.IntegerType()))])
-    prints = stored(texts.mapInArrow(_prints(width, MinHash(bands * rows, seed)), schema), "prints")
+    prints = stored(map_arrow(texts, _prints(width, MinHash(bands * rows, seed)), schema), "prints")
     sets = prints.filter("n > 0 AND id IS NOT NULL")
     reps = stored(sets.groupBy("key").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "representatives")
     linker = _Linker(texts.filter("id IS NOT NULL"), reps, width, percent, floor, broadcast_ids)
 
     members = _buckets(reps, bands, rows)
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    # what is joined to the members of a bucket is a table of its own: a join of two plain tables is split where it is skewed
+    shared = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared")
     members = stored(members.join(shared, "bucket"), "members")
     score = members.groupBy("id").agg(F.sum("c").alias("score"))
     members = stored(members.select("id", "bucket").join(score, "id"), "members")
-    pairs = stored(linker.alike(_pairs(members, _central(members))), "pairs")
+    central = stored(_central(members), "central")
+    pairs = stored(linker.alike(_pairs(members, central)), "pairs")
     stars = connected_components(linker.confirmed(pairs))
 
-    rest = stored(members.select("bucket", "id").join(stars.select(F.col("leaf").alias("id"), "root"), "id", "left").withColumn(
+    rest = stored(members.select("bucket", "id", "score").join(stars.select(F.col("leaf").alias("id"), "root"), "id", "left").withColumn(
         "root", F.coalesce("root", "id")), "rest")
-    turn = 0
+    turn, used = 0, central.withColumnRenamed("pivot", "id")
     while True:
         mixed = stored(_mixed(rest), "mixed")
         large = mixed.filter(F.col("members") > small_bucket)
-        pairs = _star_round(large, turn)
+        pairs, used = _star_round(large, used)
         if turn == 0:
             pairs = pairs.unionByName(_across(mixed.filter(F.col("members") <= small_bucket)))
         elif large.isEmpty():
@@ -216,7 +222,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if merged.isEmpty():
             break
         stars = stored(_moved(stars, merged).unionByName(merged), "stars")
-        rest = stored(_moved(large.select("bucket", "id", "root"), merged), "rest")
+        rest = stored(_moved(large.select("bucket", "id", "score", "root"), merged), "rest")
         turn += 1
 
     of_key = reps.select("key", F.col("id").alias("rep")).join(
