@@ -233,3 +233,12 @@ def test_mixing_draws_follow_the_chances(spark):
         F.sum("copies").alias("c"), F.count(F.lit(1)).alias("n"), F.first("target").alias("t")).collect()
     for r in got:
         assert abs(2 * r["c"] - r["t"]) <= 2
+
+
+def test_stored_tables_can_be_dropped(spark):
+    from touchline.llm.common import drop_stored, stored
+    kept = stored(spark.range(3).toDF("id"), "numbers")
+    assert kept.count() == 3
+    drop_stored(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.inputFiles()[0]).count()

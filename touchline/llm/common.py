@@ -68,3 +68,10 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     if root not in known:
         env["PYTHONPATH"] = ":".join([*known, root])
     return df.mapInArrow(function, schema)
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete all tables that :func:`stored` has left in the shared folder; for the end of a
+    session, when no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/touchline-llm")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
