@@ -242,7 +242,8 @@ def test_domain_extraction(spark):
 def test_question_grid(spark):
     cities = mk(spark, [(f"city{i}", i) for i in range(5)], "name string, ord int")
     cats = mk(spark, [(f"cat{i}", i) for i in range(5)], "name string, ord int")
-    q = br.question_grid(cities, cats, "Brand", "brand.example").collect()
+    assert br.question_grid(cities, cats, "Brand", "brand.example").count() == 2 + 2 * 5 * 5
+    q = br.question_grid(cities, cats, "Brand", "brand.example", max_questions=40).collect()
     assert len(q) == 40 and q[0].key.startswith("brand|") and q[1].key.startswith("brand|")
     assert q[2].key == "best|cat0|city0" and q[2].text == "best cat0 services in city0"
     assert q[39].key == "book|cat2|city2"   # 2 probes + 25 'best' + 13 'book'
