@@ -41,7 +41,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents with ``n_tokens``, ``ids`` (packed little-endian unsigned
     32-bit integers) and ``round_trip``: whether the ids decode to the text's bytes."""
     ranks, pattern = public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN
-    out = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern)
+    out = bpe.encode(docs, ranks, pattern, decoded=True)
     text = F.coalesce(F.col("row.text"), F.lit("")).cast("binary")
     return out.select(*unpack(out, "row", docs.columns), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
                       (F.col("decoded") == text).alias("round_trip"))

@@ -29,6 +29,9 @@ def test_bpe_ids_and_round_trip(edge, empty):
         text = r["text"] or ""
         assert np.frombuffer(r["ids"], "<u4").tolist() == enc.encode_ordinary(text)
         assert bytes(r["decoded"]) == text.encode()
+    both = bpe.encode(edge, RANKS, public_tokenizers.PATTERN, decoded=True).select("row.text", "ids", "decoded").collect()
+    assert sorted((r["text"] or "", bytes(r["ids"]), bytes(r["decoded"])) for r in both) == sorted(
+        (r["text"] or "", bytes(r["ids"]), bytes(r["decoded"])) for r in rows)
     assert bpe.encode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 

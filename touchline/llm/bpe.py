@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from .common import map_arrow, row_struct, text_of
 
 PIECE_CHARS = 1 << 16
+SLICE_ROWS = 256
 _CUT = re.compile(r"\S(?=\s)")
 
 
@@ -60,41 +61,53 @@ def encode_text(enc, text: str, size: int = PIECE_CHARS) -> np.ndarray:
     return np.concatenate([np.asarray(enc.encode_ordinary(p), dtype="<u4") for p in pieces(text, size)])
 
 
-def _with(batch: pa.RecordBatch, name: str, values: pa.Array, drop: str) -> pa.RecordBatch:
-    keep = [n for n in batch.schema.names if n != drop]
-    return pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + [values], names=[*keep, name])
+def decode_ids(enc, ids: bytes) -> bytes:
+    return enc.decode_bytes(np.frombuffer(ids, "<u4").tolist())
 
 
-def _read(spark, path: str) -> bytes:
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch a few rows at a time, so that results never pile up for a whole one."""
+    for at in range(0, batch.num_rows, SLICE_ROWS):
+        yield batch.slice(at, SLICE_ROWS)
+
+
+def _read(path: str) -> bytes:
     """A vocabulary file's bytes, from the driver's disk."""
     with open(path, "rb") as f:
         return f.read()
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text",
-           carry: dict[str, Column] | None = None) -> DataFrame:
+           carry: dict[str, Column] | None = None, decoded: bool = False) -> DataFrame:
     """One row per input row: ``row`` (the input row; or the ``carry`` columns, if given)
-    and ``ids``, its text's token ids as packed little-endian unsigned 32-bit integers."""
+    and ``ids``, its text's token ids as packed little-endian unsigned 32-bit integers;
+    with ``decoded`` also the raw bytes that the ids decode to, in the same pass."""
     kept = [row_struct(docs).alias("row")] if carry is None else [c.alias(k) for k, c in carry.items()]
     packed = docs.select(*kept, text_of(text_col).alias("_text"))
-    ranks = docs.sparkSession.sparkContext.broadcast(_read(docs.sparkSession, rank_file))
+    fields = packed.schema.fields[:-1]
+    names = [*(f.name for f in fields), "ids", *["decoded"] * decoded]
+    ranks = docs.sparkSession.sparkContext.broadcast(_read(rank_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks.value, pattern)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("_text"))
-            yield _with(batch, "ids", pa.array([encode_text(enc, t.as_py()).tobytes() for t in texts], pa.binary()), "_text")
-    return map_arrow(packed, run, T.StructType([*packed.schema.fields[:-1], T.StructField("ids", T.BinaryType())]))
+            for part in _slices(batch):
+                ids = [encode_text(enc, t.as_py()).tobytes() for t in part.column(len(fields))]
+                more = [pa.array([decode_ids(enc, x) for x in ids], pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary()), *more], names=names)
+    return map_arrow(packed, run, T.StructType([*fields, *[T.StructField(n, T.BinaryType()) for n in names[len(fields):]]]))
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """``encoded`` with ``ids`` kept and ``decoded`` added: the raw bytes of the ids."""
-    ranks = encoded.sparkSession.sparkContext.broadcast(_read(encoded.sparkSession, rank_file))
+    """``encoded`` with ``decoded`` added: the raw bytes of its column ``ids``."""
+    fields = encoded.schema.fields
+    at = encoded.columns.index("ids")
+    ranks = encoded.sparkSession.sparkContext.broadcast(_read(rank_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks.value, pattern)
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("ids"))
-            values = [None if x is None else enc.decode_bytes(np.frombuffer(x, "<u4").tolist()) for x in ids.to_pylist()]
-            yield _with(batch, "decoded", pa.array(values, pa.binary()), "")
-    return map_arrow(encoded, run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+            for part in _slices(batch):
+                values = [None if x is None else decode_ids(enc, x) for x in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, pa.binary())], names=[*(f.name for f in fields), "decoded"])
+    return map_arrow(encoded, run, T.StructType([*fields, T.StructField("decoded", T.BinaryType())]))

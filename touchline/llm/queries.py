@@ -163,8 +163,8 @@ BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 @register("op3_byte_bpe")
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN
-    ids = bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern, carry={"doc_id": F.col("doc_id")})
-    return bpe.decode(ids, ranks, pattern).select(
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encode(docs, ranks, pattern, carry={"doc_id": F.col("doc_id")}, decoded=True).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
