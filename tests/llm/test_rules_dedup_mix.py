@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,44 @@ def test_near_components_match_brute_force_on_groups_of_edited_copies(spark):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {r[0] for r in want if r[3]}
 
 
+def form_letters(n, twins, edits=0):
+    """Texts of mutual similarity 0.72 (less with edits), where the first ``twins`` pairs share eight more words and have 0.76."""
+    rng, form = random.Random(11), prose(300, 200)
+    body = lambda k: " ".join(f"b{rng.randrange(10**9)}" for _ in range(k))
+    texts = []
+    for k in range(n):
+        if k < 2 * twins and k % 2 == 0:
+            own = body(8)
+        texts.append(f"{edited(rng, form, edits)} {own if k < 2 * twins else body(8)} {body(31)}")
+    return texts
+
+
+@pytest.mark.parametrize("params", [{}, {"hot_shingle": 7, "broadcast_shingles": 0}])
+def test_near_components_finds_the_near_pairs_of_a_template_family(spark, params):
+    texts = form_letters(300, 60)
+    rows = list(enumerate(texts))
+    sets = [brute_sets(t) for t in texts]
+    like = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert 0.7 < like(0, 2) < 0.74 and 0.75 < like(0, 1) < 0.77
+    want = Counter(brute_near(rows))
+    assert sum(not r[3] for r in want) == 60
+    assert rows_of(minhash.near_components(spark.createDataFrame(rows, "doc_id long, text string"), **params)) == want
+
+
+@pytest.mark.parametrize("hot", [3, 512])
+def test_front_pairs_hold_all_links_between_components(spark, hot):
+    rng, base = random.Random(12), prose(301, 150)
+    texts = [edited(rng, base, rng.randrange(0, 9)) + " " + prose(k, rng.randrange(1, 40)) for k in range(90)] + form_letters(40, 9, 1)
+    sets = [brute_sets(t) for t in texts]
+    root = [k % 7 for k in range(len(texts))]
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if root[i] != root[j]
+            and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    hashed = [[int(x) for x in s.view("int64")] for s in shingles.shingle_sets(pa.array(texts))]
+    df = spark.createDataFrame([(k, root[k], s) for k, s in enumerate(hashed)], "id long, root long, shingles array<long>")
+    got = {(r["a"], r["b"]) for r in minhash._front_pairs(df, 75, hot).collect()}
+    assert want and want <= got and all(i < j and root[i] != root[j] for i, j in got)
+
+
 def test_shingles_of_long_texts_are_cut_at_white_space(monkeypatch):
     import pyarrow as pa
     texts = pa.array([prose(1, 500), None, "", "x" * 5000 + " a b c d e", "A b\tC d e f " * 50])

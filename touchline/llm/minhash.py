@@ -14,13 +14,18 @@ on full shingle sets, connected components.
 4. What is left are members of one bucket in different components. In buckets of up
    to 64 members all of them are compared. Larger ones are taken in rounds: in each
    the next most central member is tested against the members outside its component,
-   until a round finds no further link. A text linked to some members of a large
-   bucket is linked to the central ones before others, and meets them in up to 32
-   buckets; one that is linked to a single other text shares about six small buckets
-   with it that the rest is not in.
+   until a round finds no further link.
+5. The members of large buckets that then still hold several components are joined
+   exactly. A link's sets share a shingle near the front of both when each is sorted
+   rarest first; how near follows from their sizes. All pairs of different components
+   that do are confirmed on their full sets, without a look at their signatures. Any
+   one order of the shingles gives the same links; the counts that give it are kept in
+   2^20 cells, so that their size is fixed. Shingles in the fronts of many texts are
+   dealt out over several tasks.
 
 Nothing is capped or dropped, and no step gathers a bucket, a component or the
-links anywhere but in shuffled tables.
+links anywhere but in shuffled tables; sets of up to 4,000,000 shingles are broadcast
+to the pairs that they confirm.
 
 Defined results: a null text counts as empty; texts without words link with
 nothing; rows that repeat an id are judged by their own texts, and where the id
@@ -49,6 +54,9 @@ PERCENT = 75                 # similarity of a link, in percent
 SIGNATURE_FLOOR = 0.6        # share of equal minima below which a pair isn't confirmed
 SMALL_BUCKET = 64            # members up to which all components of a bucket are compared
 BROADCAST_IDS = 2_000_000    # ids (16 bytes each) up to which a filter by id is broadcast
+BROADCAST_SHINGLES = 4_000_000   # shingles (8 bytes each) up to which sets are broadcast to the pairs
+CELLS = 1 << 20              # cells of the shingle counts that order the sets
+HOT_SHINGLE = 512            # texts with a shingle in their fronts that meet in one cell of the join
 BATCH_SHINGLES = 1 << 14
 
 
@@ -94,6 +102,29 @@ def _sets(width: int):
     return run
 
 
+def _fronts(cells: np.ndarray, percent: int):
+    """For each set the places and shingles, rarest first, of which a link shares at least one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, sizes, places, found = [], [], [], []
+            for k, s in enumerate(batch.column(2)):
+                s = s.values.to_numpy()
+                count = cells[s & (CELLS - 1)]
+                order = np.lexsort((s, count))[:len(s) - -(-percent * len(s) // 100) + 1]
+                at = np.flatnonzero(count[order] > 1)
+                rows.append(np.full(len(at), k))
+                sizes.append(np.full(len(at), len(s)))
+                places.append(at)
+                found.append(s[order[at]])
+            if rows:
+                at = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), *[pa.array(np.concatenate(c), pa.int64())
+                                                                           for c in (sizes, places, found)]],
+                    names=["id", "root", "n", "place", "shingle"])
+    return run
+
+
 def _of_ids(df: DataFrame, ids: DataFrame, how: str, broadcast_ids: int) -> DataFrame:
     """``df`` semi- or anti-joined with a stored table of ids: broadcast if that is small, else shuffled."""
     return df.join(F.broadcast(ids) if ids.count() <= broadcast_ids else ids, "id", how)
@@ -114,12 +145,16 @@ class _Linker:
         same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
         return met.filter(same >= self.floor * F.size("sa")).select(*pairs.columns)
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a stored table) that are links by their full shingle sets."""
-        ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """The full shingle sets of the texts of a stored table of ids."""
         sets = map_arrow(_of_ids(self.texts, ids, "left_semi", self.broadcast_ids), _sets(self.width), T.StructType(
             [self.texts.schema["id"], T.StructField("shingles", T.ArrayType(T.LongType()))]))
-        sets = stored(sets, "sets")
+        return stored(sets, "sets")
+
+    def confirmed(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        """The pairs (a stored table) that are links by their full shingle sets, read from the texts if not given."""
+        if sets is None:
+            sets = self.sets(stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids"))
         met = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").join(
             sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
         common = F.size(F.array_intersect("sa", "sb"))
@@ -184,9 +219,38 @@ def _moved(df: DataFrame, merged: DataFrame) -> DataFrame:
     return df.join(to, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
 
 
+def _front_pairs(sets: DataFrame, percent: int, hot: int) -> DataFrame:
+    """All pairs of different components among ``id, root, shingles`` (a stored table) whose
+    sets can be links: sizes ``n <= m`` need ``ceil(percent (n + m) / (100 + percent))``
+    common shingles, so the first common one stands at most that far from the end of both."""
+    counts = sets.select(F.explode("shingles").alias("s")).groupBy(F.col("s").bitwiseAND(F.lit(CELLS - 1)).alias("cell")).agg(
+        F.count(F.lit(1)).alias("c")).toArrow()
+    cells = np.zeros(CELLS, np.int64)
+    cells[counts.column("cell").to_numpy()] = counts.column("c").to_numpy()
+    schema = T.StructType([sets.schema["id"], sets.schema["root"],
+                           *[T.StructField(c, T.LongType()) for c in ("n", "place", "shingle")]])
+    fronts = stored(map_arrow(sets.select("id", "root", "shingles"), _fronts(cells, percent), schema), "fronts")
+    often = stored(fronts.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "often")
+    fronts = stored(fronts.join(often, "shingle").withColumn("parts", F.ceil(F.col("c") / hot)).drop("c"), "fronts")
+
+    # the larger set meets the smaller one's shorter front; a shingle of many fronts in as many parts as the larger sets are dealt to
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = fronts.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).repartition(tasks, "shingle", "part")
+    two = fronts.filter(f"place <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent}").select(
+        "shingle", F.col("id").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("m"),
+        F.col("place").alias("other_place"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    two = two.repartition(tasks, "shingle", "part")
+    need = f"({percent} * (n + m) + {99 + percent}) div {100 + percent}"
+    met = one.join(two.hint("merge"), ["shingle", "part"]).filter("root <> other_root").filter(
+        f"(m < n OR m = n AND other < id) AND 100 * m >= {percent} * n").filter(
+        f"place <= n - {need} AND other_place <= m - {need}")
+    return _ordered(met).distinct()
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
                     bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, floor: float = SIGNATURE_FLOOR,
-                    small_bucket: int = SMALL_BUCKET, broadcast_ids: int = BROADCAST_IDS, seed: int = SEED) -> DataFrame:
+                    small_bucket: int = SMALL_BUCKET, broadcast_ids: int = BROADCAST_IDS, seed: int = SEED,
+                    broadcast_shingles: int = BROADCAST_SHINGLES, hot_shingle: int = HOT_SHINGLE) -> DataFrame:
     """One row per input row: ``id, n_shingles, component_id, kept``."""
     texts = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
     schema = T.StructType([texts.schema["id"], T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()),
@@ -225,6 +289,16 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = stored(_moved(large.select("bucket", "id", "score", "root"), merged), "rest")
         turn += 1
 
+    if not large.isEmpty():
+        left = stored(large.select("id", "root").distinct(), "left")
+        full = stored(linker.sets(stored(left.select("id"), "ids")).dropDuplicates(["id", "shingles"]).join(left, "id"), "full")
+        pairs, full_sets = stored(_front_pairs(full, percent, hot_shingle), "pairs"), full.select("id", "shingles")
+        if full.agg(F.sum(F.size("shingles"))).first()[0] <= broadcast_shingles:
+            tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            pairs, full_sets = pairs.repartition(tasks), F.broadcast(full_sets)
+        merged = connected_components(linker.confirmed(pairs, full_sets), "ra", "rb")
+        stars = stored(_moved(stars, merged).unionByName(merged), "stars")
+
     of_key = reps.select("key", F.col("id").alias("rep")).join(
         stars.select(F.col("leaf").alias("rep"), "root"), "rep", "left").select("key", F.coalesce("root", "rep").alias("component"))
     linked = sets.select("id", "n", "key").join(of_key, "key").select("id", "n", "component")
