@@ -176,6 +176,13 @@ def test_near_components_finds_the_near_pairs_of_a_template_family(spark, params
     assert rows_of(minhash.near_components(spark.createDataFrame(rows, "doc_id long, text string"), **params)) == want
 
 
+def test_links_with_few_equal_minima_are_confirmed(spark):
+    reps = spark.createDataFrame([(1, [0] * 128), (2, [0] * 70 + [1] * 58), (3, [0] * 60 + [2] * 68)], "id long, sig array<int>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    linker = minhash._Linker(None, reps, 5, 75, minhash.SIGNATURE_FLOOR, 0)
+    assert [tuple(r) for r in linker.alike(pairs).collect()] == [(1, 2)]
+
+
 @pytest.mark.parametrize("hot", [3, 512])
 def test_front_pairs_hold_all_links_between_components(spark, hot):
     rng, base = random.Random(12), prose(301, 150)

@@ -8,8 +8,8 @@ on full shingle sets, connected components.
 3. The members of a band's bucket are tested against one of them, the most central
    (its buckets hold the most members: among copies with edits, the one nearest to
    their origin), so a bucket of any size gives as many pairs as members. Pairs whose
-   signatures agree too little are dropped (0.6 of the minima; true links lie four
-   standard deviations above), the others are confirmed on the full sets, read again
+   signatures agree too little are dropped (half of the minima; a link at similarity
+   0.75 has less with probability 3.4e-10), the others are confirmed on the full sets, read again
    only for the texts in question. Components follow from alternating stars.
 4. What is left are members of one bucket in different components. In buckets of up
    to 64 members all of them are compared. Larger ones are taken in rounds: in each
@@ -51,7 +51,7 @@ from .shingles import WIDTH, MinHash, shingle_sets
 BANDS, ROWS = 32, 4
 SEED = 7
 PERCENT = 75                 # similarity of a link, in percent
-SIGNATURE_FLOOR = 0.6        # share of equal minima below which a pair isn't confirmed
+SIGNATURE_FLOOR = 0.5        # share of equal minima below which a pair isn't confirmed
 SMALL_BUCKET = 64            # members up to which all components of a bucket are compared
 BROADCAST_IDS = 2_000_000    # ids (16 bytes each) up to which a filter by id is broadcast
 BROADCAST_SHINGLES = 4_000_000   # shingles (8 bytes each) up to which sets are broadcast to the pairs
