@@ -139,6 +139,19 @@ def test_late_events_are_stored_once(spark):
     assert sorted(r.event_id[-1] for r in out.collect()) == ["1", "2", "3"]
 
 
+def test_events_sent_again_months_later_are_stored_once(spark):
+    base = tempfile.mkdtemp(prefix="touchline-again-")
+    row = lambda k, at, got: (f"123e4567-e89b-42d3-a456-{k:012d}", APP, "el_a", ts(at), ts(got), "s", 1, "ios", "1", None)
+    sent = [(1, "2026-01-10 10:00:00", "2026-01-10 10:00:00"), (2, "2026-01-10 10:00:00", "2026-07-10 10:00:00"),
+            (3, "2027-06-01 10:00:00", "2026-01-10 10:00:00")]               # on time, late, by a clock that is ahead
+    again = [(1, "2026-01-10 10:00:00", "2026-04-25 10:00:00"), (2, "2026-01-10 10:00:00", "2026-01-10 10:00:00"),
+             (3, "2027-06-01 10:00:00", "2026-05-10 10:00:00")]
+    assert _run(spark, base, [row(*r) for r in sent], 0).count() == 3
+    for n, r in enumerate(again):                         # each in a batch whose months no other event widens
+        out = _run(spark, base, [row(*r)], n + 1)
+    assert sorted(r.event_id[-1] for r in out.collect()) == ["1", "2", "3"]
+
+
 def test_late_rows_count_in_the_health_figures(spark):
     base = tempfile.mkdtemp(prefix="touchline-health-")
     for k, at in enumerate(("2026-07-01 11:00:00", "2026-07-01 05:00:00", "2026-07-01 05:30:00")):

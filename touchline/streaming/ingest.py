@@ -6,8 +6,8 @@ and unbounded dedup keys; here the same rules run as streaming queries:
 * T1 ``event_batch`` — file source with an explicit schema → V4 validation →
   clamp ``occurred_at`` into ``[received_at − 30 d, received_at + 1 h]``
   (against the receive time, not the wall clock, so replays are
-  deterministic) → ``foreachBatch``: first copy per ``event_id`` not stored in
-  the months that can hold it → parquet partitioned by ``app, event_month``.
+  deterministic) → ``foreachBatch``: first copy per ``event_id`` not stored
+  before → parquet partitioned by ``app, event_month``.
   Nothing is dropped for being late.
 * T2 ``insert_ignore_batch`` — ``foreachBatch`` insert-ignore into a parquet
   table: dedup within the micro-batch, ``left_anti`` against the table, and
@@ -73,20 +73,11 @@ def valid_events(rows: DataFrame, zone: str = "Asia/Kolkata") -> DataFrame:
     return clamp_to_receive(valid).withColumn("event_month", ig.assign_event_month(F.col("occurred_at"), zone))
 
 
-def _months_near(batch: DataFrame) -> DataFrame:
-    """The batch's ``(app, event_month)`` and both months beside each: where a
-    copy received earlier, and so clamped to another time, can be stored."""
-    month = F.to_date(F.concat(F.col("event_month"), F.lit("_01")), "yyyy_MM_dd")
-    near = F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: F.date_format(F.add_months(month, k), "yyyy_MM"))
-    months = batch.select("app", "event_month").distinct()
-    return months.select("app", F.explode(near).alias("event_month")).distinct()
-
-
 def event_batch(sink_dir: str, zone: str = "Asia/Kolkata"):
     """A ``foreachBatch`` function storing each valid event once, however
     late it comes: the first copy in the batch by receive time, unless an
-    earlier batch stored its id. Only the months that can hold a copy are read.
-    A batch writes its own ``batch_id=<n>`` directory, so a retry replaces it."""
+    earlier batch stored its id. Another receive time can clamp a copy to any
+    month, so the ids of the whole sink are read. A batch writes its own ``batch_id=<n>`` directory, so a retry replaces it."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = valid_events(batch, zone)
@@ -95,8 +86,6 @@ def event_batch(sink_dir: str, zone: str = "Asia/Kolkata"):
             "event_id", "_r.*").select(*rows.columns)
         if path_exists(spark, sink_dir):
             stored = spark.read.parquet(sink_dir).where(F.col("batch_id") != batch_id)
-            # a row per application and month: bounded by the retention
-            stored = stored.join(F.broadcast(_months_near(rows)), ["app", "event_month"], "left_semi")
             first = first.join(stored.select("event_id"), "event_id", "left_anti")
         first.write.mode("overwrite").partitionBy("app", "event_month").parquet(f"{sink_dir.rstrip('/')}/batch_id={batch_id}")
     return run
