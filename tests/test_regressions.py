@@ -163,6 +163,17 @@ def test_late_rows_count_in_the_health_figures(spark):
     assert (r.count_24h, r.count_7d, r.last_seen) == (3, 3, ts("2026-07-01 11:00:00"))
 
 
+def test_health_figures_hold_the_first_partial_hour(spark):
+    base = tempfile.mkdtemp(prefix="touchline-health-")
+    at = ["2026-06-30 12:29:59", "2026-06-30 12:30:00", "2026-06-30 12:45:00", "2026-06-24 12:29:00", "2026-06-24 12:31:00"]
+    batch = mk(spark, [("app", "el_a", ts(x)) for x in at], "source string, event_name string, ts timestamp_ntz")
+    st.health_batch(base)(batch, 0)
+    r = st.rollup_health(spark.read.parquet(base), "2026-07-01 12:30:00").collect()[0]
+    assert (r.count_24h, r.count_7d, r.last_seen) == (2, 4, ts("2026-06-30 12:45:00"))
+    with pytest.raises(ValueError):
+        st.rollup_health(spark.read.parquet(base), "2026-07-01 12:30:01")
+
+
 def test_segments_without_members_are_refreshed(spark):
     segs = mk(spark, [(1, "a"), (2, "b")], "id long, slug string")
     members = mk(spark, [(1, 10), (1, 11)], "segment_id long, user_id long")

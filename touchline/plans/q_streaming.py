@@ -48,7 +48,7 @@ SELECT source, event_name, count(*) FILTER (WHERE ts >= TIMESTAMP '{NOW}' - INTE
   count(*) FILTER (WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY) AS count_7d, max(ts) AS last_seen
 FROM rows GROUP BY 1, 2""", ("app_event", "attribution_touch", "lead_event", "conversion"))
 def stream_health(t):
-    """T4: hourly per-stream counts written per micro-batch, rolled up to 24 h / 7 d."""
+    """T4: per-stream counts by minute written per micro-batch, rolled up to 24 h / 7 d."""
     spark = t.spark
     rows = mo.stream_rows(t.app_event, t.attribution_touch, t.lead_event, t.conversion, APP)
     base = st.scratch(spark, "health-stream")

@@ -15,8 +15,8 @@ and unbounded dedup keys; here the same rules run as streaming queries:
   a retried batch replaces its own earlier attempt (idempotent).
 * T3 ``identity_edges_batch`` — ``foreachBatch`` appending new identity edges;
   ``touch_backfill_batch`` — ``foreachBatch`` filling the users of anonymous touches.
-* T4 ``health_batch`` — ``foreachBatch`` writing each micro-batch's hourly
-  per-stream counts; 24 h / 7 d figures are sums over them (``rollup_health``),
+* T4 ``health_batch`` — ``foreachBatch`` writing each micro-batch's per-stream
+  counts by minute; 24 h / 7 d figures are sums over them (``rollup_health``),
   so a row counts however late it comes.
 * T5 ``attribution_batch`` — ``foreachBatch`` running the batch attribution
   kernel for each micro-batch of conversions over the lookback slice of
@@ -28,6 +28,7 @@ Checkpoints and staging live under the session's ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -169,21 +170,25 @@ def attribution_batch(touches: DataFrame, entities: DataFrame, app: str, result_
 
 
 def health_batch(counts_dir: str):
-    """T4: a ``foreachBatch`` function writing the hourly counts per
+    """T4: a ``foreachBatch`` function writing the counts by minute per
     ``(source, event_name)`` of a micro-batch of ``(source, event_name, ts)``
     rows to its own ``batch_id=<n>`` directory."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        hourly = batch.groupBy("source", "event_name", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(
+        counts = batch.groupBy("source", "event_name", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute")).agg(
             F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_seen"))
-        hourly.write.mode("overwrite").parquet(f"{counts_dir.rstrip('/')}/batch_id={batch_id}")
+        counts.write.mode("overwrite").parquet(f"{counts_dir.rstrip('/')}/batch_id={batch_id}")
     return run
 
 
-def rollup_health(hourly: DataFrame, now: str) -> DataFrame:
-    """T4 read side: count_24h / count_7d / last_seen from the hourly counts of all micro-batches."""
+def rollup_health(counts: DataFrame, now: str) -> DataFrame:
+    """T4 read side: count_24h / count_7d / last_seen from the counts by minute of
+    all micro-batches; ``now`` is a whole minute, so no count lies across an edge."""
+    at = datetime.fromisoformat(now)
+    if at.second or at.microsecond:
+        raise ValueError(f"now must be a whole minute: {now}")
     n = F.lit(now).cast("timestamp_ntz")
-    start = F.col("hour")
-    return (hourly.groupBy("source", "event_name")
+    start = F.col("minute")
+    return (counts.groupBy("source", "event_name")
             .agg(F.sum(F.when(start >= n - F.make_dt_interval(hours=F.lit(24)), F.col("n")).otherwise(0)).alias("count_24h"),
                  F.sum(F.when(start >= n - F.make_dt_interval(days=F.lit(7)), F.col("n")).otherwise(0)).alias("count_7d"),
                  F.max("last_seen").alias("last_seen")))
