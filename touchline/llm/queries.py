@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, cotraining, exact_dedup, html_text, minhash, mixing, quality_rules, secrets, token_counts, toxicity
+from . import bpe, cotraining, exact_dedup, html_text, licences, minhash, mixing, quality_rules, secrets, token_counts, toxicity
 from .common import text_of
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -222,6 +222,56 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+# --- 12 licence scans --------------------------------------------------------
+
+def _licence_sql() -> str:
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    phrases = ", ".join(f"({listed(licences.ascii_words(p))}, '{label}')" for p, label in licences.BASE_PHRASES.items())
+    notices = ",\n  ".join(f"({t}, '{label}', {listed(licences.ascii_words(notice))}, "
+                           f"[{', '.join(listed(licences.ascii_words(p)) for p in keys)}])"
+                           for t, (label, notice, keys) in enumerate(licences.TEMPLATES))
+    return rf"""
+WITH base(p, label) AS (VALUES {phrases}),
+tpl(t, label, words, phrases) AS (VALUES
+  {notices}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM documents),
+word AS (SELECT rid, i, w[i] AS x FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+place AS (SELECT rid, i - 1 AS pos, label FROM word JOIN base ON x = p[1] JOIN d USING (rid) WHERE w[i:i + len(p) - 1] = p),
+basic AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS ls FROM place GROUP BY rid),
+tw AS (SELECT t, q, words[q] AS x FROM (SELECT t, words, unnest(range(1, len(words) + 1)) AS q FROM tpl)),
+freq AS (SELECT x, count(DISTINCT rid) AS df FROM word WHERE x IN (SELECT x FROM tw) GROUP BY x),
+rare AS (SELECT t, x FROM (SELECT DISTINCT t, x FROM tw) LEFT JOIN freq USING (x)
+         QUALIFY row_number() OVER (PARTITION BY t ORDER BY coalesce(df, 0), x) <= {licences.ANCHORS}),
+post AS (SELECT t, q, x FROM tw JOIN rare USING (t, x)),
+tp AS (SELECT t, unnest(phrases) AS p FROM tpl),
+tq AS (SELECT t, p, min(q) AS q FROM tp JOIN tpl USING (t), range(1, 400) AS r(q) WHERE words[q:q + len(p) - 1] = p GROUP BY t, p),
+cand AS (SELECT rid, w FROM d WHERE EXISTS (SELECT 1 FROM tpl WHERE list_has_all(d.w, flatten(phrases)))),
+cw AS (SELECT rid, i, x FROM word SEMI JOIN cand USING (rid)),
+hit AS (SELECT rid, t, q, i - q AS off, 1 AS is_word FROM cw JOIN post USING (x)
+        UNION ALL SELECT rid, t, q, i - q, 0 FROM cw JOIN tq ON cw.x = p[1] JOIN cand USING (rid) WHERE w[i:i + len(p) - 1] = p),
+vote AS (SELECT DISTINCT rid, t, q, is_word, floor(off / {licences.SLACK}.0)::BIGINT + k AS b FROM hit, range(0, 2) AS o(k)),
+agreed AS (SELECT rid, t, b, sum(is_word) AS words, count(*) - sum(is_word) AS phrases FROM vote GROUP BY rid, t, b),
+judged AS (SELECT rid, tpl.label, agreed.words::DOUBLE / n AS part,
+                  agreed.phrases = len(tpl.phrases) AND 100 * agreed.words >= {licences.PERCENT} * n AS found
+           FROM agreed JOIN tpl USING (t) JOIN (SELECT t, count(*) AS n FROM post GROUP BY t) USING (t)),
+more AS (SELECT rid, coalesce(list(DISTINCT label) FILTER (WHERE found), []) AS ls, max(CASE WHEN found THEN part ELSE part / 2 END) AS part
+         FROM judged GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       array_to_string(coalesce(basic.ls, []), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(basic.ls, []), coalesce(more.ls, [])))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(part, 0.0) END AS score
+FROM d LEFT JOIN basic USING (rid) LEFT JOIN more USING (rid)
+"""
+
+
+@register("op12_licence_scan", _licence_sql())
+def op12_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licences.scan(table(spark, sf_dir, "documents"), carry={"doc_id": F.col("doc_id")})
+    return out.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
 # --- the pipeline ------------------------------------------------------------
 
 @register("pipeline")
