@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, cotraining, exact_dedup, html_text, licences, minhash, mixing, quality_rules, secrets, token_counts, toxicity
+from . import bpe, cotraining, exact_dedup, html_text, licences, minhash, mixing, quality_rules, secrets, token_counts, toxicity, whitening
 from .common import text_of
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -222,6 +222,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+# --- 11 embedding whitening --------------------------------------------------
+
+@register("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), carry={"vec_id": F.col("vec_id")})
+
+
 # --- 12 licence scans --------------------------------------------------------
 
 def _licence_sql() -> str:
