@@ -60,13 +60,18 @@ def least_by_hash(df: DataFrame, id_col: str, limit: int) -> DataFrame:
     return df.orderBy(F.pmod(lot, F.lit(cells)), lot, col(id_col)).limit(limit)
 
 
-def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package's folder on the Python workers' path, which they
-    otherwise get from the installation or the session's files."""
-    env, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+def with_package(spark: SparkSession) -> None:
+    """Put this package's folder on the Python workers' path, which they otherwise get from
+    the installation or the session's files."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     known = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if root not in known:
         env["PYTHONPATH"] = ":".join([*known, root])
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` with this package's folder on the Python workers' path."""
+    with_package(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, cotraining, exact_dedup, html_text, licences, minhash, mixing, quality_rules, secrets, token_counts, toxicity, whitening
+from . import bpe, cotraining, exact_dedup, hard_negatives, html_text, licences, minhash, mixing, quality_rules, secrets, token_counts, toxicity, whitening
 from .common import text_of
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -279,6 +279,30 @@ def op12_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
+# --- 13 hard-negative mining -------------------------------------------------
+
+NEGATIVES_SQL = r"""
+WITH r AS (
+  SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.uid AS anchor, a.vec_id AS anchor_id, r.uid, r.vec_id, r.label = a.label AS same, list_inner_product(a.q, r.q)::BIGINT AS score
+      FROM r AS a JOIN r ON a.uid <> r.uid WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor, anchor_id, uid, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER w AS rank, s.vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor, p.uid ORDER BY score DESC, s.vec_id NULLS LAST)
+QUALIFY row_number() OVER w <= 3
+"""
+
+
+@register("op13_hard_negatives", NEGATIVES_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), relabel_every=7)
+
+
 # --- the pipeline ------------------------------------------------------------
 
 @register("pipeline")

@@ -69,7 +69,7 @@ def _moments(d: int):
     """``i, j, hi, lo`` for each task: sums of products (``i <= j``), sums (``j = -1``) and the count (both -1)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, one, n = np.zeros((d, d), dtype=object), np.zeros(d, dtype=object), 0
-        for batch in batches:
+        for batch in (b for b in batches if b.num_rows):
             x = _matrix(batch.column(0))
             n += len(x)
             most = max(1, int(np.abs(x.astype(object)).max()) if x.size and x.min() == np.iinfo(np.int64).min else int(np.abs(x).max(initial=0)))
@@ -173,7 +173,7 @@ def _spread(projection: _Projection):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = projection.axes.shape[1]
         total, one = np.zeros((k, k)), np.zeros(k)
-        for batch in batches:
+        for batch in (b for b in batches if b.num_rows):
             _, w = projection.whitened(_matrix(batch.column(0)))
             total, one = total + w.T @ w, one + w.sum(0)
         i, j = np.triu_indices(k)
@@ -194,7 +194,7 @@ def identity_error(fit: DataFrame, projection: _Projection) -> float:
 def _project(projection: _Projection, explained: list[float], error: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = projection.axes.shape[1]
-        for batch in batches:
+        for batch in (b for b in batches if b.num_rows):
             z, w = projection.whitened(_matrix(batch.column(1)))
             far = np.abs(z).max(initial=0) if z.dtype == object else int(np.abs(z).max(initial=0))
             if z.dtype != object and z.shape[1] * far**2 < 1 << 63:
