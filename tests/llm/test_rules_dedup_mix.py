@@ -148,10 +148,29 @@ def test_near_components_match_brute_force_on_groups_of_edited_copies(spark):
     want = Counter(brute_near(rows))
     assert rows_of(minhash.near_components(df)) == want
     assert rows_of(minhash.near_components(df, small_bucket=4)) == want           # by rounds of pivots
+    assert rows_of(minhash.near_components(df, small_bucket=4, rounds=1, hot_shingle=5)) == want
     kept = minhash.drop_near_copies(df)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {r[0] for r in want if r[3]}
 
 
+def test_near_copies_are_dropped_by_text_not_by_id(spark):
+    """An id on two texts is two documents: dropping one of them leaves the other."""
+    a, b, c = prose(400, 80), prose(401, 80), prose(402, 80)
+    rows = [(1, a, "s"), (2, a + " end", "s"), (2, b, "s"), (4, b + " end", "s"), (5, c, "s"), (5, c, "s"), (5, c + " end", "s"), (None, c + " x", "s"),
+            (None, prose(403, 80), "s"), (6, None, "s"), (7, "", "s"), (7, "  ", "s"), (8, prose(404, 80), "s"), (8, prose(405, 80), "s"), (8, prose(405, 80), "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for params in ({}, {"broadcast_ids": 0}):
+        got = [tuple(r) for r in minhash.drop_near_copies(df, **params).collect()]
+        sets = [brute_sets(t) for _, t, _ in got]
+        like = lambda x, y: 100 * len(x & y) >= 75 * len(x | y)
+        assert not any(x and like(x, y) for i, x in enumerate(sets) for y in sets[:i])           # no two of one group
+        for _, t, _ in rows:                                                                       # nothing of any group is lost
+            s = brute_sets(t)
+            assert any(like(s, x) for x in sets) if s else (t in [x for _, x, _ in got])
+        assert sorted(r[0] or 0 for r in got) == [0, 1, 2, 5, 6, 7, 7, 8, 8]
+        assert sorted(r[1] for r in got if r[0] == 7) == ["", "  "]
+
+
 def form_letters(n, twins, edits=0):
     """Texts of mutual similarity 0.72 (less with edits), where the first ``twins`` pairs share eight more words and have 0.76."""
     rng, form = random.Random(11), prose(300, 200)

@@ -39,16 +39,26 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE_CLASS + "+"), "")
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/touchline-llm/{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the session's shared checkpoint folder and read it back:
     the lineage ends there, and the data outlives any executor."""
     spark: SparkSession = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/touchline-llm/{uuid.uuid4().hex}/{name}"
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}/{name}"
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def shuffle_tasks(spark: SparkSession, default: int = 200) -> int:
+    """The number of shuffle partitions; ``default`` where the platform sets a word instead."""
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    return int(n) if n.isdigit() else default
+
+
 def least_by_hash(df: DataFrame, id_col: str, limit: int) -> DataFrame:
     """At most ``limit`` rows, those whose ids have the least hashes: the same ones in every run.
     A threshold on the hash first thins the rows to about twice the limit, so that what meets
@@ -76,7 +86,7 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
 
 
 def drop_stored(spark: SparkSession) -> None:
-    """Delete all tables that :func:`stored` has left in the shared folder; for the end of a
-    session, when no result that reads them is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/touchline-llm")
+    """Delete all tables that :func:`stored` has left in the shared folder for this application;
+    for its end, when no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

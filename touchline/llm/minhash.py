@@ -14,14 +14,14 @@ on full shingle sets, connected components.
 4. What is left are members of one bucket in different components. In buckets of up
    to 64 members all of them are compared. Larger ones are taken in rounds: in each
    the next most central member is tested against the members outside its component,
-   until a round finds no further link.
+   until a round finds no further link or a fixed number of rounds is over.
 5. The members of large buckets that then still hold several components are joined
    exactly. A link's sets share a shingle near the front of both when each is sorted
    rarest first; how near follows from their sizes. All pairs of different components
    that do are confirmed on their full sets, without a look at their signatures. Any
    one order of the shingles gives the same links; the counts that give it are kept in
-   2^20 cells, so that their size is fixed. Shingles in the fronts of many texts are
-   dealt out over several tasks.
+   2^20 cells, so that their size is fixed. A shingle in the fronts of many texts is
+   a grid of tasks, to whose rows and columns its two sides are dealt.
 
 Nothing is capped or dropped, and no step gathers a bucket, a component or the
 links anywhere but in shuffled tables; sets of up to 4,000,000 shingles are broadcast
@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, map_arrow, row_struct, stored, unpack
+from .common import col, map_arrow, row_struct, shuffle_tasks, stored, text_of, unpack
 from .components import connected_components
 from .shingles import WIDTH, MinHash, shingle_sets
 
@@ -57,6 +57,7 @@ BROADCAST_IDS = 2_000_000    # ids (16 bytes each) up to which a filter by id is
 BROADCAST_SHINGLES = 4_000_000   # shingles (8 bytes each) up to which sets are broadcast to the pairs
 CELLS = 1 << 20              # cells of the shingle counts that order the sets
 HOT_SHINGLE = 512            # texts with a shingle in their fronts that meet in one cell of the join
+ROUNDS = 6                   # at most so many rounds of pivots before the exact join of what is left
 BATCH_SHINGLES = 1 << 14
 
 
@@ -233,15 +234,17 @@ def _front_pairs(sets: DataFrame, percent: int, hot: int) -> DataFrame:
     often = stored(fronts.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "often")
     fronts = stored(fronts.join(often, "shingle").withColumn("parts", F.ceil(F.col("c") / hot)).drop("c"), "fronts")
 
-    # the larger set meets the smaller one's shorter front; a shingle of many fronts in as many parts as the larger sets are dealt to
-    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    one = fronts.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).repartition(tasks, "shingle", "part")
+    # the larger set meets the smaller one's shorter front; both sides of a shingle of many fronts
+    # are dealt to the rows and columns of a grid, whose cells are the tasks
+    tasks = shuffle_tasks(sets.sparkSession)
+    own, every = F.pmod(F.xxhash64("id"), F.col("parts")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    one = fronts.withColumn("part", own).withColumn("part_of_other", every).repartition(tasks, "shingle", "part", "part_of_other")
     two = fronts.filter(f"place <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent}").select(
         "shingle", F.col("id").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("m"),
-        F.col("place").alias("other_place"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    two = two.repartition(tasks, "shingle", "part")
+        F.col("place").alias("other_place"), own.alias("part_of_other"), every.alias("part"))
+    two = two.repartition(tasks, "shingle", "part", "part_of_other")
     need = f"({percent} * (n + m) + {99 + percent}) div {100 + percent}"
-    met = one.join(two.hint("merge"), ["shingle", "part"]).filter("root <> other_root").filter(
+    met = one.join(two.hint("merge"), ["shingle", "part", "part_of_other"]).filter("root <> other_root").filter(
         f"(m < n OR m = n AND other < id) AND 100 * m >= {percent} * n").filter(
         f"place <= n - {need} AND other_place <= m - {need}")
     return _ordered(met).distinct()
@@ -250,7 +253,7 @@ def _front_pairs(sets: DataFrame, percent: int, hot: int) -> DataFrame:
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
                     bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT, floor: float = SIGNATURE_FLOOR,
                     small_bucket: int = SMALL_BUCKET, broadcast_ids: int = BROADCAST_IDS, seed: int = SEED,
-                    broadcast_shingles: int = BROADCAST_SHINGLES, hot_shingle: int = HOT_SHINGLE) -> DataFrame:
+                    broadcast_shingles: int = BROADCAST_SHINGLES, hot_shingle: int = HOT_SHINGLE, rounds: int = ROUNDS) -> DataFrame:
     """One row per input row: ``id, n_shingles, component_id, kept``."""
     texts = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
     schema = T.StructType([texts.schema["id"], T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()),
@@ -272,30 +275,28 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rest = stored(members.select("bucket", "id", "score").join(stars.select(F.col("leaf").alias("id"), "root"), "id", "left").withColumn(
         "root", F.coalesce("root", "id")), "rest")
-    turn, used = 0, central.withColumnRenamed("pivot", "id")
-    while True:
+    used = central.withColumnRenamed("pivot", "id")
+    for turn in range(rounds + 1):
         mixed = stored(_mixed(rest), "mixed")
         large = mixed.filter(F.col("members") > small_bucket)
+        if turn == rounds or turn and large.isEmpty():
+            break
         pairs, used = _star_round(large, used)
         if turn == 0:
             pairs = pairs.unionByName(_across(mixed.filter(F.col("members") <= small_bucket)))
-        elif large.isEmpty():
-            break
         pairs = stored(linker.alike(pairs.distinct()), "pairs")
         merged = connected_components(linker.confirmed(pairs), "ra", "rb")
         if merged.isEmpty():
             break
         stars = stored(_moved(stars, merged).unionByName(merged), "stars")
         rest = stored(_moved(large.select("bucket", "id", "score", "root"), merged), "rest")
-        turn += 1
 
     if not large.isEmpty():
         left = stored(large.select("id", "root").distinct(), "left")
         full = stored(linker.sets(stored(left.select("id"), "ids")).dropDuplicates(["id", "shingles"]).join(left, "id"), "full")
         pairs, full_sets = stored(_front_pairs(full, percent, hot_shingle), "pairs"), full.select("id", "shingles")
         if full.agg(F.sum(F.size("shingles"))).first()[0] <= broadcast_shingles:
-            tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            pairs, full_sets = pairs.repartition(tasks), F.broadcast(full_sets)
+            pairs, full_sets = pairs.repartition(shuffle_tasks(docs.sparkSession)), F.broadcast(full_sets)
         merged = connected_components(linker.confirmed(pairs, full_sets), "ra", "rb")
         stars = stored(_moved(stars, merged).unionByName(merged), "stars")
 
@@ -310,9 +311,27 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      broadcast_ids: int = BROADCAST_IDS, **params) -> DataFrame:
-    """The input rows of which one stays for each component, with their own columns."""
-    dropped = stored(near_components(docs, id_col, text_col, broadcast_ids=broadcast_ids, **params)
-                     .filter("NOT kept").select("id").distinct(), "dropped")
-    packed = docs.select(col(id_col).alias("id"), row_struct(docs).alias("row"))
-    out = _of_ids(packed, dropped, "left_anti", broadcast_ids)
+    """The input rows of which one stays for each component, with their own columns: the
+    one of the least id (null last), of rows that repeat it any one. Rows are linked by
+    their texts alone, known by their digests, so one id on several texts is several
+    documents; texts without words all stay."""
+    id_, node = col(id_col).alias("id"), F.unhex(F.md5(text_of(text_col).cast("binary"))).alias("node")
+    found = stored(near_components(docs.select(node, col(text_col).cast("string").alias("text")), "node", "text",
+                                   broadcast_ids=broadcast_ids, **params).filter("n_shingles > 0"), "components")
+    several = stored(found.groupBy("component_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "several")
+    of_node = stored(found.groupBy("id", "component_id").agg(F.count(F.lit(1)).alias("copies")).join(several, "component_id").select(
+        F.col("id").alias("node"), F.col("component_id").alias("component"), "copies"), "nodes")
+    few = F.broadcast if of_node.count() <= broadcast_ids else lambda x: x
+    rows = docs.select(id_, node).join(few(of_node), "node")
+    stays = stored(rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node")).alias("m")).select(
+        F.col("m.node").alias("stays"), F.col("m.id").alias("keep_id"), "component"), "stays")
+    verdict = stored(of_node.join(stays, "component").select(
+        "node", "keep_id", F.when(F.col("node") != F.col("stays"), "drop").when(F.col("copies") > 1, "one").otherwise("keep").alias("verdict")
+    ).filter("verdict <> 'keep'"), "verdicts")
+    packed = docs.select(id_, node, row_struct(docs).alias("row"))
+    out = packed.join(few(verdict.select("node")), "node", "left_anti").select("row")
+    once = verdict.filter("verdict = 'one'").select("node", "keep_id")
+    if not once.isEmpty():                                # the text that stays is on several rows
+        again = packed.join(few(once), "node").filter(F.col("id").eqNullSafe(F.col("keep_id")))
+        out = out.unionByName(again.groupBy("node").agg(F.first("row").alias("row")).select("row"))
     return out.select(*unpack(out, "row", docs.columns))
