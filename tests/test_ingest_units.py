@@ -73,32 +73,6 @@ def test_snapshot_reviews_first_write_wins(spark):
     assert (float(p.rating_avg), p.rating_count, p.new_reviews_count) == (4.5, None, 3)
 
 
-def test_foreach_batch_edges_and_attribution(spark):
-    base = tempfile.mkdtemp(prefix="touchline-fb-")
-    batch = mk(spark, [(APP, "s1", 7), (APP, "s1", 7), (APP, "s2", None)], "app string, session_id string, user_id long")
-    run = st.identity_edges_batch(f"{base}/edges")
-    run(batch, 0)
-    run(batch, 0)          # a retried batch replaces its own output
-    run(batch, 1)          # a later batch finds nothing new
-    edges = spark.read.parquet(f"{base}/edges")
-    assert [(r.session_id, r.user_id) for r in edges.collect()] == [("s1", 7)]
-
-    touches = mk(spark, [(1, APP, ts("2026-06-20 09:00:00"), ts("2026-06-20 09:00:00"), None, None, None, None, None,
-                          "facebook", "c_x_y", "touch", "s1", 7)],
-                 "id long, app string, occurred_at timestamp_ntz, received_at timestamp_ntz, channel string, "
-                 "gclid string, fbclid string, fbc string, fbp string, utm_source string, utm_campaign string, "
-                 "touch_type string, session_id string, user_id long")
-    ents = mk(spark, [(1, APP, "meta", "campaign", "c1", None, "c_x_y", "c", "x")],
-              "id long, app string, channel string, level string, external_id string, parent_external_id string, "
-              "name string, city string, category string")
-    conv = mk(spark, [(1, APP, "O1", 7, ts("2026-06-20 10:00:00"), 10, True, None, None, None)],
-              "id long, app string, order_id string, user_id long, occurred_at timestamp_ntz, value_inr decimal(10,2), "
-              "is_first_order boolean, city string, category string, session_id string")
-    st.attribution_batch(touches, ents, APP, f"{base}/attr")(conv, 0)
-    r = spark.read.parquet(f"{base}/attr").collect()[0]
-    assert (r.order_id, r.attribution_outcome, r.attributed_entity_id) == ("O1", "matched", 1)
-
-
 def test_segment_refresh_sink_replaces_partitions(spark):
     from touchline.sources.sinks import write_segment_refresh, replace_partitions
     from touchline.operators import segments as sg

@@ -128,7 +128,7 @@ def _run(spark, base, rows, n):
                          "session_id string, user_id long, platform string, app_version string, props string")
     df.coalesce(1).write.mode("append").option("timestampNTZFormat", st.TS_FORMAT).json(f"{base}/in")
     st.start_event_ingest(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt").awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return st.stored_events(spark, f"{base}/out")
 
 
 def test_late_events_are_stored_once(spark):
@@ -159,7 +159,7 @@ def test_late_rows_count_in_the_health_figures(spark):
         stream = spark.readStream.schema("source string, event_name string, ts timestamp_ntz").parquet(f"{base}/in")
         stream.writeStream.foreachBatch(st.health_batch(f"{base}/out")).option("checkpointLocation", f"{base}/ckpt").trigger(
             availableNow=True).start().awaitTermination()
-    r = st.rollup_health(spark.read.parquet(f"{base}/out"), "2026-07-01 12:00:00").collect()[0]
+    r = st.rollup_health(st.health_counts(spark, f"{base}/out"), "2026-07-01 12:00:00").collect()[0]
     assert (r.count_24h, r.count_7d, r.last_seen) == (3, 3, ts("2026-07-01 11:00:00"))
 
 
@@ -168,10 +168,10 @@ def test_health_figures_hold_the_first_partial_hour(spark):
     at = ["2026-06-30 12:29:59", "2026-06-30 12:30:00", "2026-06-30 12:45:00", "2026-06-24 12:29:00", "2026-06-24 12:31:00"]
     batch = mk(spark, [("app", "el_a", ts(x)) for x in at], "source string, event_name string, ts timestamp_ntz")
     st.health_batch(base)(batch, 0)
-    r = st.rollup_health(spark.read.parquet(base), "2026-07-01 12:30:00").collect()[0]
+    r = st.rollup_health(st.health_counts(spark, base), "2026-07-01 12:30:00").collect()[0]
     assert (r.count_24h, r.count_7d, r.last_seen) == (2, 4, ts("2026-06-30 12:45:00"))
     with pytest.raises(ValueError):
-        st.rollup_health(spark.read.parquet(base), "2026-07-01 12:30:01")
+        st.rollup_health(st.health_counts(spark, base), "2026-07-01 12:30:01")
 
 
 def test_segments_without_members_are_refreshed(spark):

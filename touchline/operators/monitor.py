@@ -52,14 +52,21 @@ def streams_overview(events: DataFrame, touches: DataFrame, leads: DataFrame, co
     """Per stream count_24h, count_7d, last_seen, registry info, health.
 
     ``last_seen`` needs the whole history, in one aggregate with map-side
-    partial results; where that is too long to read per run, the streaming
-    hourly counters (T4) keep the same figures incrementally."""
+    partial results; where that is too long to read per run, ``overview_of`` gives
+    the same figures from the streaming counters (T4)."""
     n = F.lit(now).cast("timestamp_ntz")
     rows = stream_rows(events, touches, leads, conversions, app)
-    aggs = [F.count_if(F.col("ts") >= n - F.make_dt_interval(hours=F.lit(24))).alias("c24"),
-            F.count_if(F.col("ts") >= n - F.make_dt_interval(days=F.lit(7))).alias("c7"),
-            F.max("ts").alias("last_seen")]
-    per_name = rows.groupBy("source", "event_name").agg(*aggs)
+    return overview_of(rows.groupBy("source", "event_name").agg(
+        F.count_if(F.col("ts") >= n - F.make_dt_interval(hours=F.lit(24))).alias("count_24h"),
+        F.count_if(F.col("ts") >= n - F.make_dt_interval(days=F.lit(7))).alias("count_7d"),
+        F.max("ts").alias("last_seen")), registry, app, now)
+
+
+def overview_of(per_name: DataFrame, registry: DataFrame, app: str, now: str) -> DataFrame:
+    """N1 from the figures ``count_24h, count_7d, last_seen`` of each ``(source, event_name)``
+    of the app: as T4 keeps them, or counted from the rows."""
+    n = F.lit(now).cast("timestamp_ntz")
+    per_name = per_name.select("source", "event_name", F.col("count_24h").alias("c24"), F.col("count_7d").alias("c7"), "last_seen")
     # Whole-stream fold of the per-name rows (second aggregate over the
     # small per-name result, not over the raw rows)
     folded = (per_name.where(F.col("event_name").isNotNull()).groupBy("source")

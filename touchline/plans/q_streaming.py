@@ -1,4 +1,4 @@
-"""Registered streaming queries (T1, T4): each stages derived rows as files
+"""Registered streaming queries (T1–T5): each stages derived rows as files
 under the shared checkpoint folder, runs the streaming query with an
 ``availableNow`` trigger, and returns the sink read back."""
 
@@ -7,7 +7,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import monitor as mo
+from ..sources.batches import BatchTable
 from ..streaming import ingest as st
+from ..streaming.keyed import start_keyed
 from .params import APP, LOOKBACK_DAYS, NOW
 from .q_attribution import RESOLVE_SQL_CTES
 from .q_ingest import EVENT_RULES, UUID_EVENTS_SQL, _reasons_sql, _uuid_events
@@ -34,7 +36,7 @@ def stream_ingest_events(t):
     event once."""
     frame = _uuid_events(t).drop("n").withColumn("received_at", F.col("occurred_at"))
     sink = run_event_files(t.spark, frame)
-    return t.spark.read.parquet(sink).select("event_id", "app", "occurred_at", "event_month")
+    return st.stored_events(t.spark, sink).select("event_id", "app", "occurred_at", "event_month")
 
 
 @register("stream_health", f"""
@@ -49,24 +51,34 @@ SELECT source, event_name, count(*) FILTER (WHERE ts >= TIMESTAMP '{NOW}' - INTE
 FROM rows GROUP BY 1, 2""", ("app_event", "attribution_touch", "lead_event", "conversion"))
 def stream_health(t):
     """T4: per-stream counts by minute written per micro-batch, rolled up to 24 h / 7 d."""
+    return st.rollup_health(_run_health(t), NOW)
+
+
+def _run_health(t):
+    """The five streams' rows through T4, four files a micro-batch, merged every other micro-batch."""
     spark = t.spark
     rows = mo.stream_rows(t.app_event, t.attribution_touch, t.lead_event, t.conversion, APP)
     base = st.scratch(spark, "health-stream")
     rows.write.parquet(f"{base}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
-    out = f"{base}/out"
-    q = (stream.writeStream.foreachBatch(st.health_batch(out))
+    q = (stream.writeStream.foreachBatch(st.health_batch(f"{base}/out", every=2))
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
-    return st.rollup_health(spark.read.parquet(out), NOW)
+    return st.health_counts(spark, f"{base}/out")
+
+
+@register("streams_overview_counters", BODIES["streams_overview"], ("app_event", "attribution_touch", "lead_event", "conversion", "event_registry"))
+def streams_overview_counters(t):
+    """N1 from the counters of T4: no stored event or touch is read."""
+    return mo.overview_of(st.rollup_health(_run_health(t), NOW), t.event_registry, APP, NOW)
 
 
 @register("stream_insert_conversions", """SELECT app, order_id, CAST(value_inr AS DOUBLE) AS value FROM conversion""",
           ("conversion",))
 def stream_insert_conversions(t):
     """Conversions arrive as JSON files, half of them delivered twice,
-    two files per micro-batch; ``foreachBatch`` insert-ignore on
-    ``(app, order_id)`` keeps each order once."""
+    two files per micro-batch; insert-ignore on ``(app, order_id)`` by
+    keyed state keeps each order once."""
     spark = t.spark
     base = st.scratch(spark, "conv-stream")
     conv = t.conversion
@@ -74,10 +86,8 @@ def stream_insert_conversions(t):
     conv.where(F.col("id") % 2 == 0).write.option("timestampNTZFormat", st.TS_FORMAT).json(f"{base}/in/b")
     stream = (spark.readStream.schema(conv.schema).option("timestampNTZFormat", st.TS_FORMAT)
               .option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").json(f"{base}/in"))
-    q = (stream.writeStream.foreachBatch(st.insert_ignore_batch(f"{base}/target", ["app", "order_id"]))
-         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/target").select("app", "order_id", F.col("value_inr").cast("double").alias("value"))
+    start_keyed(stream, ["app", "order_id"], f"{base}/target", f"{base}/ckpt", every=3).awaitTermination()
+    return BatchTable(spark, f"{base}/target").read(conv.schema).select("app", "order_id", F.col("value_inr").cast("double").alias("value"))
 
 
 def _stage_json(df, path):
@@ -88,21 +98,21 @@ def _stage_json(df, path):
 SELECT app, order_id, attributed_entity_id, attributed_channel, attribution_outcome FROM resolved""",
           ("conversion", "attribution_touch", "ad_entity"))
 def stream_attribution(t):
-    """T5: conversions arrive as files (two per micro-batch); each micro-batch
-    is attributed by the batch kernel against the touches of its lookback
-    slice, written to its own batch directory."""
+    """T5: conversions and touches arrive as files of rows in no order of time, so touches
+    come before and after the conversions that they win; two files of each a micro-batch."""
     spark = t.spark
     base = st.scratch(spark, "attr-stream")
-    conv = t.conversion.where(F.col("app") == APP)
-    _stage_json(conv, f"{base}/in")
-    stream = (spark.readStream.schema(conv.schema).option("timestampNTZFormat", st.TS_FORMAT)
-              .option("maxFilesPerTrigger", 2).json(f"{base}/in"))
-    run = st.attribution_batch(t.attribution_touch, t.ad_entity, APP, f"{base}/out", LOOKBACK_DAYS)
-    q = (stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{base}/ckpt")
+    conv, touches = t.conversion.where(F.col("app") == APP), t.attribution_touch
+    streams = []
+    for name, rows in (("touch", touches), ("conversion", conv)):
+        rows.repartition(4, F.xxhash64("id")).write.parquet(f"{base}/{name}")
+        streams.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/{name}"))
+    run = st.attribution_batch(f"{base}/store", t.ad_entity, APP, LOOKBACK_DAYS)
+    q = (st.attribution_rows(*streams).writeStream.foreachBatch(run).option("checkpointLocation", f"{base}/ckpt")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("app", "order_id", "attributed_entity_id", "attributed_channel",
-                                                    "attribution_outcome")
+    return st.attributed(spark, f"{base}/store", conv.schema).select(
+        "app", "order_id", "attributed_entity_id", "attributed_channel", "attribution_outcome")
 
 
 @register("stream_identity_edges", """
@@ -112,19 +122,19 @@ WHERE session_id IS NOT NULL AND session_id <> '' AND user_id IS NOT NULL
   AND NOT EXISTS (SELECT 1 FROM identity_link l WHERE l.app = s.app AND l.session_id = s.session_id AND l.user_id = s.user_id)""",
           ("attribution_touch", "conversion", "identity_link"))
 def stream_identity_edges(t):
-    """Touches and conversions stream in; each micro-batch appends the
-    identity edges not yet known (seeded with the existing edge table)."""
+    """Touches and conversions stream in; stored are the identity edges not known
+    before. The existing edges go through the stream first, by a file of their own."""
     spark = t.spark
     base = st.scratch(spark, "edge-stream")
-    t.identity_link.select("app", "session_id", "user_id").write.parquet(f"{base}/edges/batch_id=-1")
     rows = (t.attribution_touch.select("app", "session_id", "user_id")
             .unionByName(t.conversion.select("app", "session_id", "user_id")))
-    rows.write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    q = (stream.writeStream.foreachBatch(st.identity_edges_batch(f"{base}/edges"))
-         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/edges").where(F.col("batch_id") >= 0).select("app", "session_id", "user_id")
+    rows = rows.select("app", "session_id", F.col("user_id").cast("bigint").alias("user_id"), F.lit(False).alias("known"))
+    known = t.identity_link.select("app", "session_id", F.col("user_id").cast("bigint").alias("user_id"), F.lit(True).alias("known"))
+    for name, df in (("known", known), ("rows", rows)):
+        df.write.parquet(f"{base}/in/{name}")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+        start_keyed(st.edge_rows(stream), ["app", "session_id", "user_id"], f"{base}/edges", f"{base}/ckpt", where="NOT known").awaitTermination()
+    return BatchTable(spark, f"{base}/edges").read(rows.schema).select("app", "session_id", "user_id")
 
 
 @register("stream_touch_backfill", BODIES["backfill_touch_users"], ("attribution_touch",))
@@ -137,4 +147,4 @@ def stream_touch_backfill(t):
     q = (stream.writeStream.foreachBatch(st.touch_backfill_batch(f"{base}/touches", f"{base}/fills"))
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
-    return st.backfilled_touches(spark, f"{base}/touches", f"{base}/fills").select("id", "user_id")
+    return st.backfilled_touches(spark, f"{base}/touches", f"{base}/fills", t.attribution_touch.schema).select("id", "user_id")

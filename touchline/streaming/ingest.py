@@ -1,34 +1,36 @@
 """Structured Streaming forms of the ingest operators.
 
 The reference receives small HTTP batches and handles late data by clamping
-and unbounded dedup keys; here the same rules run as streaming queries:
+and unbounded dedup keys; here the same rules run as streaming queries. Tables are
+:class:`~touchline.sources.batches.BatchTable` folders: a retried micro-batch replaces its
+own attempt, and parts are merged as they gather.
 
-* T1 ``event_batch`` — file source with an explicit schema → V4 validation →
+* T1 ``start_event_ingest`` — file source with an explicit schema → V4 validation →
   clamp ``occurred_at`` into ``[received_at − 30 d, received_at + 1 h]``
   (against the receive time, not the wall clock, so replays are
-  deterministic) → ``foreachBatch``: first copy per ``event_id`` not stored
-  before → parquet partitioned by ``app, event_month``.
-  Nothing is dropped for being late.
-* T2 ``insert_ignore_batch`` — ``foreachBatch`` insert-ignore into a parquet
-  table: dedup within the micro-batch, ``left_anti`` against the table, and
-  the batch written to its own ``batch_id=<n>`` directory with overwrite, so
-  a retried batch replaces its own earlier attempt (idempotent).
-* T3 ``identity_edges_batch`` — ``foreachBatch`` appending new identity edges;
-  ``touch_backfill_batch`` — ``foreachBatch`` filling the users of anonymous touches.
+  deterministic) → the first copy per ``event_id`` by keyed state (``keyed.py``) →
+  parquet partitioned by ``app, event_month``. Nothing is dropped for being late,
+  and nothing stored is read.
+* T2 ``keyed.start_keyed`` — insert-ignore of any stream on any key.
+* T3 ``edge_rows`` + ``start_keyed`` — new identity edges;
+  ``touch_backfill_batch`` — ``foreachBatch`` filling the users of anonymous touches,
+  reading the buckets of the sessions in the micro-batch.
 * T4 ``health_batch`` — ``foreachBatch`` writing each micro-batch's per-stream
-  counts by minute; 24 h / 7 d figures are sums over them (``rollup_health``),
-  so a row counts however late it comes.
-* T5 ``attribution_batch`` — ``foreachBatch`` running the batch attribution
-  kernel for each micro-batch of conversions over the lookback slice of
-  touches.
+  counts by minute, merged into one row a minute (a day, once out of every window);
+  24 h / 7 d figures are sums over them (``rollup_health``), so a row counts however
+  late it comes.
+* T5 ``attribution_batch`` — ``foreachBatch`` over a stream of touches and conversions:
+  stores both, and attributes again the conversions that are new or that a new touch may
+  win, so the results are the batch operator's for any order of arrival.
 
 Checkpoints and staging live under the session's ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
-from datetime import datetime
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +38,10 @@ from pyspark.sql import types as T
 
 from ..operators import ingest as ig
 from ..operators.attribution import resolve_attribution
-from ..operators.identity import backfill_touch_users, link_identities
+from ..operators.identity import backfill_touch_users
 from ..session import checkpoint_dir
-from ..sources.sinks import path_exists
+from ..sources.batches import EVERY, BatchTable
+from .keyed import start_keyed
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.StringType()),
@@ -74,121 +77,163 @@ def valid_events(rows: DataFrame, zone: str = "Asia/Kolkata") -> DataFrame:
     return clamp_to_receive(valid).withColumn("event_month", ig.assign_event_month(F.col("occurred_at"), zone))
 
 
-def event_batch(sink_dir: str, zone: str = "Asia/Kolkata"):
-    """A ``foreachBatch`` function storing each valid event once, however
-    late it comes: the first copy in the batch by receive time, unless an
-    earlier batch stored its id. Another receive time can clamp a copy to any
-    month, so the ids of the whole sink are read. A batch writes its own ``batch_id=<n>`` directory, so a retry replaces it."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = valid_events(batch, zone)
-        rest = [c for c in rows.columns if c not in ("event_id", "received_at")]
-        first = rows.groupBy("event_id").agg(F.min(F.struct("received_at", *rest)).alias("_r")).select(
-            "event_id", "_r.*").select(*rows.columns)
-        if path_exists(spark, sink_dir):
-            stored = spark.read.parquet(sink_dir).where(F.col("batch_id") != batch_id)
-            first = first.join(stored.select("event_id"), "event_id", "left_anti")
-        first.write.mode("overwrite").partitionBy("app", "event_month").parquet(f"{sink_dir.rstrip('/')}/batch_id={batch_id}")
-    return run
-
-
 def start_event_ingest(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str,
-                       available_now: bool = True, max_files_per_trigger: int | None = None):
-    """T1 wiring: JSON files in ``source_dir`` → ``sink_dir`` parquet."""
+                       available_now: bool = True, max_files_per_trigger: int | None = None, zone: str = "Asia/Kolkata",
+                       every: int | None = EVERY):
+    """JSON files in ``source_dir`` → the table ``sink_dir`` (``stored_events``), each valid event once."""
     reader = spark.readStream.schema(EVENT_SCHEMA).option("timestampNTZFormat", TS_FORMAT)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    w = (reader.json(source_dir).writeStream.foreachBatch(event_batch(sink_dir)).option("checkpointLocation", checkpoint))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
+    rows = valid_events(reader.json(source_dir), zone)
+    return start_keyed(rows, ["event_id"], sink_dir, checkpoint, ("app", "event_month"), every, available_now=available_now)
 
 
-def insert_ignore_batch(target_dir: str, key: list[str]):
-    """A ``foreachBatch`` function doing insert-ignore into a parquet
-    table made of ``batch_id=<n>`` directories."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        own = f"{target_dir.rstrip('/')}/batch_id={batch_id}"
-        if path_exists(spark, target_dir):
-            existing = spark.read.parquet(target_dir).where(F.col("batch_id") != batch_id).select(*key)
-        else:
-            existing = spark.createDataFrame([], batch.select(*key).schema)
-        new = ig.insert_ignore(batch, existing, key)
-        new.write.mode("overwrite").parquet(own)
-    return run
+def stored_events(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """T1 read side."""
+    schema = T.StructType([*EVENT_SCHEMA.fields, T.StructField("event_month", T.StringType())])
+    return BatchTable(spark, sink_dir).read(schema).drop("batch")
 
 
-def identity_edges_batch(edges_dir: str):
-    """A ``foreachBatch`` function appending new ``(app, session, user)``
-    edges revealed by the micro-batch (same batch-directory idempotence)."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if path_exists(spark, edges_dir):
-            existing = spark.read.parquet(edges_dir).where(F.col("batch_id") != batch_id)
-        else:
-            existing = spark.createDataFrame([], "app string, session_id string, user_id long")
-        link_identities(existing, batch).write.mode("overwrite").parquet(f"{edges_dir.rstrip('/')}/batch_id={batch_id}")
-    return run
+def edge_rows(rows: DataFrame) -> DataFrame:
+    """The ``(app, session_id, user_id)`` that rows of touches or conversions reveal."""
+    return rows.where(F.col("session_id").isNotNull() & (F.col("session_id") != "") & F.col("user_id").isNotNull()).withColumn(
+        "user_id", F.col("user_id").cast("bigint"))
+
 
+SESSION_BUCKETS = 64
 
-def touch_backfill_batch(touches_dir: str, fills_dir: str):
+
+def touch_backfill_batch(touches_dir: str, fills_dir: str, buckets: int = SESSION_BUCKETS, every: int | None = EVERY):
     """A ``foreachBatch`` function storing touches and the users of the
     anonymous ones (U4): for the sessions that the batch has rows of, every
     stored anonymous touch is looked up again among all their revealing ones,
-    so the result is U4's whatever order the files come in. Touches and fills
-    go to their own ``batch_id=<n>`` directories (``backfilled_touches`` reads them)."""
+    so the result is U4's whatever order the files come in. Touches are stored by
+    ``buckets`` of their sessions, and only the batch's buckets are read."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{touches_dir.rstrip('/')}/batch_id={batch_id}")
-        stored = spark.read.parquet(touches_dir).where(F.col("batch_id") <= batch_id)
-        sessions = batch.where(F.col("session_id").isNotNull()).select("app", "session_id").distinct()
-        rows = stored.join(sessions, ["app", "session_id"], "left_semi").select(*batch.columns)
+        spark, columns = batch.sparkSession, batch.columns
+        bucket = F.pmod(F.xxhash64("app", "session_id"), F.lit(buckets)).cast("int")
+        batch = batch.withColumn("bucket", bucket)
+        table = BatchTable(spark, touches_dir, ("bucket",), every)
+        table.write(batch, batch_id)
+        sessions = batch.where(F.col("session_id").isNotNull()).select("app", "session_id", "bucket").distinct()
+        known = [r["bucket"] for r in sessions.select("bucket").distinct().collect()]            # at most ``buckets``
+        stored = table.read(batch.schema).where(F.col("bucket").isin(known))
+        rows = stored.join(sessions.drop("bucket"), ["app", "session_id"], "left_semi").select(*columns)
         anonymous = rows.where(F.col("user_id").isNull()).select("id")
         fills = backfill_touch_users(rows).where(F.col("user_id").isNotNull()).select("id", "user_id").join(anonymous, "id", "left_semi")
-        fills.write.mode("overwrite").parquet(f"{fills_dir.rstrip('/')}/batch_id={batch_id}")
+        BatchTable(spark, fills_dir, every=every).write(fills, batch_id)
     return run
 
 
-def backfilled_touches(spark: SparkSession, touches_dir: str, fills_dir: str) -> DataFrame:
-    """T3 read side: the stored touches with the latest fill of each anonymous one."""
-    latest = spark.read.parquet(fills_dir).groupBy("id").agg(F.max_by("user_id", "batch_id").alias("_fill"))
-    touches = spark.read.parquet(touches_dir).drop("batch_id").join(latest, "id", "left")
+def backfilled_touches(spark: SparkSession, touches_dir: str, fills_dir: str, schema: T.StructType) -> DataFrame:
+    """T3 read side: the stored touches (of ``schema``) with the latest fill of each anonymous one."""
+    fills = BatchTable(spark, fills_dir).read(T.StructType([schema["id"], schema["user_id"]]))
+    latest = fills.groupBy("id").agg(F.max_by("user_id", "batch").alias("_fill"))
+    touches = BatchTable(spark, touches_dir).read(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())]))
+    touches = touches.drop("batch", "bucket").join(latest, "id", "left")
     return touches.withColumn("user_id", F.coalesce("user_id", "_fill")).drop("_fill")
 
 
-def attribution_batch(touches: DataFrame, entities: DataFrame, app: str, result_dir: str, lookback_days: int = 7):
-    """T5: a ``foreachBatch`` function attributing each micro-batch of
-    conversions against the touches of its lookback slice."""
+def attribution_rows(touches: DataFrame, conversions: DataFrame) -> DataFrame:
+    """T5: one stream of ``touch`` and ``conversion`` structs, one of them set."""
+    of = lambda df: F.struct(*df.columns)
+    t = touches.select(of(touches).alias("touch"))
+    c = conversions.select(of(conversions).alias("conversion"))
+    kind = lambda df, name: df.schema[name].dataType
+    return t.withColumn("conversion", F.lit(None).cast(kind(c, "conversion"))).unionByName(
+        c.withColumn("touch", F.lit(None).cast(kind(t, "touch"))))
+
+
+def _days(days: Iterable[dt.date], before: int = 0, after: int = 0) -> list[dt.date]:
+    return sorted({d + dt.timedelta(days=k) for d in days for k in range(-before, after + 1)})
+
+
+def _days_of(df: DataFrame) -> list[dt.date]:
+    """The distinct days of a frame: as many as its time span has."""
+    return [r["day"] for r in df.select("day").distinct().collect()]
+
+
+def attribution_batch(store: str, entities: DataFrame | Callable[[SparkSession], DataFrame], app: str, lookback_days: int = 7,
+                      every: int | None = EVERY):
+    """T5: a ``foreachBatch`` function over ``attribution_rows``. Touches and conversions are stored by day
+    under ``store``. Attributed are the batch's conversions, and of the stored ones those that
+    share a user or session with one of the batch's touches and lie in its lookback; against all
+    touches stored by then, of the days in question. ``attributed`` reads the latest results.
+    A function for ``entities`` is asked anew in each batch."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        lo = batch.agg(F.min("occurred_at")).scalar()
-        hi = batch.agg(F.max("occurred_at")).scalar()
-        t = touches.where((F.col("occurred_at") <= hi)
-                          & (F.col("occurred_at") >= lo - F.make_dt_interval(days=F.lit(lookback_days))))
-        res = resolve_attribution(batch, t, entities, app, lookback_days)
-        res.write.mode("overwrite").parquet(f"{result_dir.rstrip('/')}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        kept, new = {}, {}
+        for kind in ("touch", "conversion"):
+            new[kind] = batch.where(F.col(kind).isNotNull()).select(f"{kind}.*").withColumn("day", F.to_date("occurred_at"))
+            table = BatchTable(spark, f"{store}/{kind}", ("day",), every)
+            table.write(new[kind], batch_id)
+            kept[kind] = table.read(new[kind].schema).drop("batch")
+        reached = kept["conversion"].where(F.col("day").isin(_days(_days_of(new["touch"]), after=lookback_days)))
+        asked = new["conversion"]
+        for key in ("user_id", "session_id"):
+            keys = new["touch"].where(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).select("app", key).distinct()
+            asked = asked.unionByName(reached.join(keys, ["app", key], "left_semi").select(*asked.columns))
+        asked = asked.dropDuplicates(["app", "order_id"])
+        touches = kept["touch"].where(F.col("day").isin(_days(_days_of(asked), before=lookback_days)))
+        found = resolve_attribution(asked.drop("day"), touches.drop("day"), entities(spark) if callable(entities) else entities,
+                                    app, lookback_days)
+        BatchTable(spark, f"{store}/result", every=every).write(found, batch_id)
     return run
 
 
-def health_batch(counts_dir: str):
-    """T4: a ``foreachBatch`` function writing the counts by minute per
-    ``(source, event_name)`` of a micro-batch of ``(source, event_name, ts)``
-    rows to its own ``batch_id=<n>`` directory."""
+def attributed(spark: SparkSession, store: str, conversions: T.StructType) -> DataFrame:
+    """T5 read side: the latest result of every conversion (of schema ``conversions``)."""
+    schema = T.StructType([*conversions.fields, *T.StructType.fromDDL(
+        "attributed_entity_id long, attributed_channel string, attribution_model string, attribution_outcome string, "
+        "attributed_touch_id long, resolved_at timestamp_ntz").fields])
+    found = BatchTable(spark, f"{store}/result").read(schema)
+    latest = found.groupBy("app", "order_id").agg(F.max_by(F.struct(*[c for c in schema.names if c not in ("app", "order_id")]), "batch").alias("r"))
+    return latest.select("app", "order_id", "r.*").select(*schema.names)
+
+
+HEALTH_SCHEMA = "source string, event_name string, minute timestamp_ntz, grain string, n long, last_seen timestamp_ntz"
+HEALTH_DAYS = 8              # days before the newest row whose minutes are kept apart
+
+
+def _merged_health(counts: DataFrame) -> DataFrame:
+    """Counts of one stream and minute as one row; of a day, where no window can end in it any more."""
+    old = F.col("minute") < F.date_trunc("day", F.col("newest")).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(HEALTH_DAYS))
+    counts = counts.crossJoin(F.broadcast(counts.agg(F.max("minute").alias("newest"))))           # one row
+    counts = counts.withColumn("grain", F.when(old, "day").otherwise(F.col("grain"))).withColumn(
+        "minute", F.when(old, F.date_trunc("day", "minute").cast("timestamp_ntz")).otherwise(F.col("minute")))
+    return counts.groupBy("source", "event_name", "minute", "grain").agg(F.sum("n").alias("n"), F.max("last_seen").alias("last_seen")).select(
+        *T.StructType.fromDDL(HEALTH_SCHEMA).names)
+
+
+def health_batch(counts_dir: str, every: int | None = EVERY):
+    """T4: a ``foreachBatch`` function storing the counts by minute per
+    ``(source, event_name)`` of a micro-batch of ``(source, event_name, ts)`` rows."""
     def run(batch: DataFrame, batch_id: int) -> None:
         counts = batch.groupBy("source", "event_name", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute")).agg(
-            F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_seen"))
-        counts.write.mode("overwrite").parquet(f"{counts_dir.rstrip('/')}/batch_id={batch_id}")
+            F.lit("minute").alias("grain"), F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_seen"))
+        BatchTable(batch.sparkSession, counts_dir, every=every, combine=_merged_health).write(counts, batch_id)
     return run
 
 
+def health_counts(spark: SparkSession, counts_dir: str) -> DataFrame:
+    """T4: the stored counts. A merge leaves a row per stream and minute of the last days, so
+    they are few, and stand in a bounded number of files."""
+    return BatchTable(spark, counts_dir).read(HEALTH_SCHEMA).drop("batch")
+
+
 def rollup_health(counts: DataFrame, now: str) -> DataFrame:
-    """T4 read side: count_24h / count_7d / last_seen from the counts by minute of
-    all micro-batches; ``now`` is a whole minute, so no count lies across an edge."""
-    at = datetime.fromisoformat(now)
+    """T4 read side: count_24h / count_7d / last_seen from the stored counts; ``now`` is a whole
+    minute, so no count lies across an edge. It is an error where ``now`` is so long past that
+    its windows reach into counts merged by day."""
+    at = dt.datetime.fromisoformat(now)
     if at.second or at.microsecond:
         raise ValueError(f"now must be a whole minute: {now}")
     n = F.lit(now).cast("timestamp_ntz")
     start = F.col("minute")
+    week = n - F.make_dt_interval(days=F.lit(7))
+    across = (F.col("grain") == "day") & (start + F.make_dt_interval(days=F.lit(1)) > week)
+    number = F.when(across, F.raise_error(F.lit(f"the counts a week before {now} are merged by day"))).otherwise(F.col("n"))
     return (counts.groupBy("source", "event_name")
-            .agg(F.sum(F.when(start >= n - F.make_dt_interval(hours=F.lit(24)), F.col("n")).otherwise(0)).alias("count_24h"),
-                 F.sum(F.when(start >= n - F.make_dt_interval(days=F.lit(7)), F.col("n")).otherwise(0)).alias("count_7d"),
+            .agg(F.sum(F.when(start >= n - F.make_dt_interval(hours=F.lit(24)), number).otherwise(0)).alias("count_24h"),
+                 F.sum(F.when((start >= week) | across, number).otherwise(0)).alias("count_7d"),
                  F.max("last_seen").alias("last_seen")))
