@@ -56,7 +56,7 @@ SMALL_BUCKET = 64            # members up to which all components of a bucket ar
 BROADCAST_IDS = 2_000_000    # ids (16 bytes each) up to which a filter by id is broadcast
 BROADCAST_SHINGLES = 4_000_000   # shingles (8 bytes each) up to which sets are broadcast to the pairs
 CELLS = 1 << 20              # cells of the shingle counts that order the sets
-HOT_SHINGLE = 512            # texts with a shingle in their fronts that meet in one cell of the join
+HOT_SHINGLE = 256            # texts with a shingle in their fronts that meet in one cell of the join
 ROUNDS = 6                   # at most so many rounds of pivots before the exact join of what is left
 BATCH_SHINGLES = 1 << 14
 
