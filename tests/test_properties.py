@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from hypothesis import given, settings, HealthCheck
 from hypothesis import strategies as st
 from pyspark.sql import Window
@@ -175,3 +176,19 @@ def test_campaign_funnel_filter_invariance(spark):
     for name in list(full)[:3]:
         one = cf.campaign_funnel(*args, cf.FunnelFilters("services", "2024-01-08", "2024-01-20", utm_campaign=name), 7).collect()
         assert [tuple(r) for r in one if r.utm_campaign == name] == [tuple(full[name])]
+
+
+@pytest.mark.parametrize("cut_rows", [1, 20_000])
+def test_ltv_cuts_equal_ntile(spark, cut_rows):
+    """Amounts with many ties, nulls, negatives and cents, from one user to thousands."""
+    rng = random.Random(cut_rows)
+    for n in (0, 1, 60, 101, 1999):
+        rows = [(k * 3 % 7919, rng.choice([None, "500.00", "500.00", "0.00", "-3.50", f"{rng.randrange(10**6)}.{rng.randrange(10, 99)}", "500.01", "99999999.99"]))
+                for k in range(n)]
+        df = spark.createDataFrame(rows, "user_id long, a string").select("user_id", F.col("a").cast("decimal(20,2)").alias("ltv"))
+        cuts = sg.ltv_cuts(df, [0, 1, 37, 50, 90, 99, 100], cut_rows)
+        got = df.select("user_id", *[c.alias(str(p)) for p, c in cuts.items()]).collect()
+        order = sorted(rows, key=lambda r: (r[1] is not None, float(r[1] or 0), r[0]))
+        q, r = divmod(n, 100)
+        bucket = {u: (i // (q + 1) + 1 if i < r * (q + 1) else r + (i - r * (q + 1)) // max(q, 1) + 1) for i, (u, _) in enumerate(order)}
+        assert all(row[str(p)] == (bucket[row["user_id"]] > p) for row in got for p in cuts)
