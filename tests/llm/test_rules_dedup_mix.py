@@ -261,6 +261,18 @@ def brute_targets(sizes, weights=(5, 2, 1)):
     return target
 
 
+def brute_expected(words, target, weigh=lambda n: n.bit_length() or 1, most=3):
+    """Expected copies of each of a source's documents: by weight, the limited ones taken out until none is above."""
+    full, weight = set(), [max(1, weigh(n)) for n in words]
+    while True:
+        rest = sum(weight[k] * n for k, n in enumerate(words) if k not in full)
+        factor = (target - most * sum(words[k] for k in full)) / rest if rest else 0.0
+        more = {k for k in range(len(words)) if k not in full and factor * weight[k] >= most}
+        if not more or not rest:
+            return [float(most) if k in full else factor * weight[k] for k in range(len(words))]
+        full |= more
+
+
 @pytest.mark.parametrize("broadcast_sources", [10**5, 0])
 def test_mixing_meets_its_targets(spark, edge, empty, broadcast_sources):
     rng = random.Random(9)
@@ -276,8 +288,11 @@ def test_mixing_meets_its_targets(spark, edge, empty, broadcast_sources):
     want, taken = brute_targets(size), Counter()
     for doc, s, n, source_size, target, copies in got:
         assert n == len(rows[doc][1].split()) and source_size == size[s] and abs(target - want[s]) < 1e-6 and copies <= 3
-        assert int(want[s] / size[s]) <= copies <= int(want[s] / size[s]) + 1
         taken[s] += n * copies
+    for s in size:
+        own = [r for r in got if r[1] == s]
+        expected = brute_expected([r[2] for r in own], want[s])
+        assert all(int(e + 1e-9) <= r[5] <= int(e - 1e-9) + 1 for e, r in zip(expected, own))
     assert all(abs(taken[s] - want[s]) <= 60 for s in size)          # half the largest document
     assert mixing.mix(empty).count() == 0
     assert mixing.mix(edge).count() == len(edge_rows())
@@ -292,6 +307,17 @@ def test_mixed_rows_repeat_whole_rows(edge):
     assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == +copies
 
 
+def test_mixing_draws_follow_unequal_chances(spark):
+    """Over many sources of the same sizes, each weight's copies come near what its chance asks for."""
+    sizes = [1, 2, 3, 5, 6, 9, 12, 17, 20, 33, 40, 70] * 4
+    df = spark.range(60).select(F.concat(F.lit("s"), "id").alias("source"), F.posexplode(F.array(*map(F.lit, sizes)))).select(
+        "source", F.monotonically_increasing_id().alias("doc_id"), F.repeat(F.lit("w "), F.col("col")).alias("text"), F.lit(7).alias("_size"))
+    for weigh, by in ((lambda n: n.bit_length(), mixing.binary_digits), (lambda n: 200 // n, lambda n: F.lit(200) / n)):
+        got = mixing.mix(df, weights=(1,), weight=by).groupBy("size").agg(F.avg("copies").alias("c")).collect()
+        want = dict(zip(sizes, brute_expected(sizes, float(sum(sizes)), weigh)))
+        assert len({round(e, 3) for e in want.values()}) > 5 and all(abs(r["c"] - want[r["size"]]) < 0.12 for r in got), (got, want)
+
+
 def test_mixing_draws_follow_the_chances(spark):
     df = spark.range(4000).selectExpr("id AS doc_id", "concat('w ', id) AS text", "if(id < 1000, 'a', if(id < 3000, 'b', 'c')) AS source")
     got = mixing.mix(df, carry={"source": F.col("source")}).groupBy("source").agg(

@@ -3,25 +3,29 @@
 Sources in code-point order (null last) weigh 5, 2, 1, repeating, and share the
 words of all documents; a target stops at ``max_copies`` times its source's size
 and the excess is shared out again by weight, which is the water level below
-which no source is full. A document's expected copies are its source's target
-over the source's size: the whole copies are certain, the fraction is its chance
-of one more. Those are drawn by Pareto order sampling: each document's rank is
-its random odds over its chance's odds, and the lowest ranks are taken until
-their words come nearest to what the source still needs. The sample's size is
-thus fixed, its draws follow the chances, and every run draws the same.
+which no source is full. Within a source a document's expected copies follow its own
+inclusion weight (a column of whole numbers; the registered query takes the binary digits of
+its size): they are its weight times the source's factor, ``max_copies`` at most, and the
+factor is the one with which the source's words meet the target, found from the words of
+each weight. Whole copies are certain, the fraction is the chance of one more. Those are drawn
+by Pareto order sampling: each document's rank is its random odds over its chance's odds, and
+the lowest ranks are taken until their words come nearest to what the source still needs. The
+sample's size is thus fixed, its draws follow the unequal chances, and every run draws the same.
 
 The cut in each source's order is found from sums over cells of the rank, first
 4096 of them, then 4096 within the one that holds the cut, then over the few
 ranks inside it. No source is sorted or gathered, however large; what is
-gathered is one row per source.
+gathered is one row per source, and one per source and distinct weight.
 
-Defined results: a null text has no words; rows of one id (or, with a null id,
-of one text) share one draw; a source without words has target 0; an empty
-table gives an empty result; the input's columns travel in a struct.
+Defined results: a null text has no words; a null weight or one below 1 counts as 1;
+rows of one id (or, with a null id, of one text) share one draw; a source without words has
+target 0; an empty table gives an empty result; the input's columns travel in a struct.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,12 +57,48 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies:
     s = s.withColumn("left", F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("full").over(before), F.lit(0)))
     s = s.withColumn("sharing", F.sum("weight").over(after))
     s = s.withColumn("is_full", F.col("full") * F.col("sharing") <= F.col("weight") * F.col("left"))
-    level = F.min(F.when(~F.col("is_full"), F.struct(F.col("full") / F.col("weight"), F.col("left"), F.col("sharing")))).over(Window.partitionBy())
+    first = F.struct(F.col("full") / F.col("weight"), F.col("source").isNull(), "source", "left", "sharing")     # of equal ones the first
+    level = F.min(F.when(~F.col("is_full"), first)).over(Window.partitionBy())
     s = s.withColumn("level", level)
     share = (F.col("weight") * F.col("level.left")).cast("double") / F.col("level.sharing").cast("double")
     return s.select("source", "source_size", F.when(F.col("is_full"), F.col("full").cast("double")).otherwise(share).alias("target"))
 
 
+def binary_digits(size: Column) -> Column:
+    """An inclusion weight by length: twice the words, one more."""
+    return F.length(F.bin(size)).cast("long")
+
+
+def factors(classes: DataFrame, per_source: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
+    """``per_source`` (a row a source) with ``factor``, ``cap`` (documents of this weight and more are taken
+    ``max_copies`` times) and ``need``, the words that draws must give. ``classes``: ``source, weight, words``."""
+    p = per_source.withColumnRenamed("source", "_source")
+    c = classes.join(p, classes["source"].eqNullSafe(p["_source"])).drop("_source")
+    falling = Window.partitionBy("source").orderBy(F.desc("weight"))                       # as many rows as weights
+    c = c.withColumn("above", F.sum("words").over(falling)).withColumn(
+        "below", F.coalesce(F.sum(F.col("weight") * F.col("words")).over(falling.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)))
+    # where the factor takes a weight to the limit exactly, the source gives so many words
+    capped = max_copies * (F.col("above") * F.col("weight") + F.col("below")) <= F.col("target") * F.col("weight")
+    c = c.withColumn("capped", capped & (F.col("source_size") > 0))
+    by = Window.partitionBy("source")
+    c = c.withColumn("full", F.sum(F.when(F.col("capped"), F.col("words")).otherwise(0)).over(by)).withColumn(
+        "rest", F.sum(F.when(~F.col("capped"), F.col("weight") * F.col("words")).otherwise(0)).over(by))
+    factor = F.when(F.col("rest") > 0, (F.col("target") - max_copies * F.col("full")) / F.col("rest")).otherwise(F.lit(0.0))
+    c = c.withColumn("factor", factor)
+    whole = F.when(F.col("capped"), F.lit(max_copies)).otherwise(F.floor(F.col("factor") * F.col("weight")))
+    got = c.groupBy("source").agg(F.first("factor").alias("factor"), F.min(F.when(F.col("capped"), F.col("weight"))).alias("cap"),
+                                  F.sum(F.col("words") * whole).alias("certain"))
+    out = p.join(got, got["source"].eqNullSafe(p["_source"])).drop("_source")
+    return out.withColumn("need", F.col("target") - F.col("certain")).drop("certain")
+
+
+def _with_copies(df: DataFrame, max_copies: int) -> DataFrame:
+    """``whole`` copies and the ``chance`` of one more, by the row's weight."""
+    expected = F.when(F.col("weight") >= F.col("cap"), F.lit(float(max_copies))).otherwise(F.col("factor") * F.col("weight"))
+    return df.withColumn("expected", expected).withColumn("whole", F.floor("expected")).withColumn(
+        "chance", F.col("expected") - F.col("whole")).drop("expected")
+
+
 def _with_rank(df: DataFrame) -> DataFrame:
     """``rank``: Pareto's order, random odds over the chance's odds, mapped to (0, 1)."""
     odds = F.col("draw") * (1 - F.col("chance")) / ((1 - F.col("draw")) * F.col("chance"))
@@ -103,22 +143,25 @@ def _cuts(rows: DataFrame, broadcast_sources: int) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: str = SEED,
-        carry: dict[str, Column] | None = None, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
-    """One row per input row: the ``carry`` columns, ``size``, ``source_size``, ``target`` and ``copies``."""
-    sized = docs.select(
+        carry: dict[str, Column] | None = None, broadcast_sources: int = BROADCAST_SOURCES,
+        weight: Callable[[Column], Column] = binary_digits) -> DataFrame:
+    """One row per input row: the ``carry`` columns, ``size``, ``source_size``, ``target`` and ``copies``.
+    ``weight`` gives the inclusion weight from the size; it may use the columns of ``docs``."""
+    size = F.size(words_of(text_of(text_col))).cast("long")
+    own = "_size" + "_" * sum(map(len, docs.columns))      # no column's name
+    sized = docs.select("*", size.alias(own)).select(
         F.struct(F.lit(0).alias("_"), *[c.alias(k) for k, c in (carry or {}).items()]).alias("carry"),
-        col(source_col).cast("string").alias("source"), F.size(words_of(text_of(text_col))).cast("long").alias("size"),
+        col(source_col).cast("string").alias("source"), F.col(own).alias("size"),
+        F.greatest(F.coalesce(weight(F.col(own)).cast("long"), F.lit(1)), F.lit(1)).alias("weight"),
         _draw(id_col, text_col, seed).alias("draw"))
-    narrow = stored(sized.select("source", "size", "draw"), "sizes")
-    per_source = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_copies)
-    copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    per_source = per_source.withColumn("expected", copies).withColumn("whole", F.floor("expected")).withColumn(
-        "chance", F.col("expected") - F.col("whole")).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-    per_source = stored(per_source, "sources")
-    cuts = _cuts(_with_rank(_joined(narrow, per_source, broadcast_sources)), broadcast_sources)
+    narrow = stored(sized.select("source", "size", "weight", "draw"), "sizes")
+    classes = stored(narrow.groupBy("source", "weight").agg(F.sum("size").alias("words")), "weights")
+    per_source = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_copies)
+    per_source = stored(factors(classes, stored(per_source, "targets"), max_copies), "sources")
+    cuts = _cuts(_with_rank(_with_copies(_joined(narrow, per_source, broadcast_sources), max_copies)), broadcast_sources)
     cuts = cuts.withColumnRenamed("source", "_source")
     plan = stored(per_source.join(cuts, per_source["source"].eqNullSafe(cuts["_source"]), "left").drop("_source"), "plan")
-    out = _with_rank(_joined(sized, plan, broadcast_sources))
+    out = _with_rank(_with_copies(_joined(sized, plan, broadcast_sources), max_copies))
     more = (F.col("chance") > 0) & (F.col("cut").isNull() | (F.col("rank") <= F.col("cut")))
     return out.select(*[F.col("carry").getField(k).alias(k) for k in carry or {}], "size", "source_size", "target",
                       (F.col("whole") + F.when(more, 1).otherwise(0)).cast("long").alias("copies"))

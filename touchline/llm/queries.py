@@ -136,11 +136,20 @@ g AS (SELECT *, 3 * source_size * sharing <= weight * rest AS is_full FROM f),
 lv AS (SELECT rest, sharing FROM g WHERE NOT is_full ORDER BY 3 * source_size / weight, source NULLS LAST LIMIT 1),
 t AS (SELECT source, source_size, CASE WHEN is_full THEN 3.0::DOUBLE * source_size
              ELSE (weight * (SELECT rest FROM lv))::DOUBLE / (SELECT sharing FROM lv)::DOUBLE END AS target FROM g),
-e AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS expected FROM t),
-p AS (SELECT source, source_size, target, floor(expected) AS whole, expected - floor(expected) AS chance,
-             target - floor(expected) * source_size::DOUBLE AS need FROM e),
+n AS (SELECT source, len(bin(size)) AS weight, sum(size)::BIGINT AS words FROM d GROUP BY ALL),
+h AS (SELECT a.source, a.weight, a.words, t.source_size, t.target, sum(b.words) FILTER (WHERE b.weight >= a.weight) AS above,
+             coalesce(sum(b.weight * b.words) FILTER (WHERE b.weight < a.weight), 0) AS below
+      FROM n a JOIN n b ON a.source IS NOT DISTINCT FROM b.source JOIN t ON a.source IS NOT DISTINCT FROM t.source GROUP BY ALL),
+q AS (SELECT *, source_size > 0 AND (3 * (above * weight + below))::DOUBLE <= target * weight AS capped FROM h),
+x AS (SELECT source, any_value(source_size) AS source_size, any_value(target) AS target,
+             (any_value(target) - (3 * coalesce(sum(words) FILTER (WHERE capped), 0))::DOUBLE)
+               / nullif(coalesce(sum(weight * words) FILTER (WHERE NOT capped), 0), 0)::DOUBLE AS factor FROM q GROUP BY source),
+y AS (SELECT q.source, q.weight, q.words, x.source_size, x.target, CASE WHEN capped THEN 3.0::DOUBLE ELSE coalesce(factor, 0) * q.weight END AS expected
+      FROM q JOIN x ON q.source IS NOT DISTINCT FROM x.source),
+p AS (SELECT *, floor(expected) AS whole, expected - floor(expected) AS chance,
+             target - (sum(words * floor(expected)) OVER (PARTITION BY source))::DOUBLE AS need FROM y),
 r AS (SELECT d.doc_id, d.size, p.*, u * (1 - chance) / ((1 - u) * nullif(chance, 0)) AS odds
-      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND p.weight = len(bin(d.size))),
 k AS (SELECT *, odds / (1 + odds) AS rank FROM r),
 c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank) AS cum, sum(size) OVER (PARTITION BY source, rank) AS tied FROM k)
 SELECT doc_id, size, source_size, target,
