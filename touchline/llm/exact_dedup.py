@@ -11,8 +11,9 @@ Lengths and prefixes are those of the normalised text: each run of
 ``[\\x20\\x09-\\x0D]`` is one space.
 
 The surviving groups are written once, so their number is known: up to
-``broadcast_groups`` rows (24 bytes each) they are broadcast, beyond it the
-scan's rows are reduced to their keys, hashed in the scan and joined by shuffle.
+``broadcast_groups`` rows (24 bytes each) they are broadcast. Beyond it a bitmap of
+fixed size (``FILTER_BITS``, 16 MB) of their hashes is: the scan hashes in full only rows whose
+key is in it, and those meet the groups by shuffle, as keys and digests.
 So are the groups of equal texts (a quarter as many, of 110 bytes). Between two
 plain tables a join's skewed partitions are split, so a group of copies with a
 third of all rows is never one task's.
@@ -32,6 +33,8 @@ from .common import col, row_struct, stored, text_of, unpack
 
 PREFIX_CHARS = 256
 BROADCAST_GROUPS = 1_000_000
+BITMAP = 1 << 15             # bits of one of Spark's bitmaps
+FILTER_BITS = 4096 * BITMAP
 
 
 def normalised(text: Column) -> Column:
@@ -43,6 +46,18 @@ def full_hash(norm: Column) -> Column:
     return F.sha2(norm.cast("binary"), 256)
 
 
+def _maybe(keyed: DataFrame, survivors: DataFrame) -> DataFrame:
+    """``keyed`` with ``maybe``: whether its length and prefix can be a survivor's, by a bitmap of fixed size."""
+    place = F.pmod(F.xxhash64("len", "pre"), F.lit(FILTER_BITS))
+    bucket, bit = F.floor(place / BITMAP), place % BITMAP
+    bits = stored(survivors.select(bucket.alias("bucket"), bit.alias("bit")).groupBy("bucket").agg(
+        F.bitmap_construct_agg("bit").alias("bits")), "bitmap")                # at most FILTER_BITS / BITMAP rows
+    byte = F.conv(F.hex(F.substring("bits", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    out = keyed.withColumn("bucket", bucket).withColumn("_bit", bit).join(F.broadcast(bits), "bucket", "left")
+    is_set = F.expr("shiftright(_byte, cast(_bit % 8 AS int))").bitwiseAND(F.lit(1)) == 1
+    return out.withColumn("_byte", byte).withColumn("maybe", F.coalesce(is_set, F.lit(False))).drop("bucket", "bits", "_bit", "_byte")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  carry: dict[str, Column] | None = None, prefix_chars: int = PREFIX_CHARS,
                  broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
@@ -64,9 +79,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             "carry", "id", "len", "pre", full_hash(F.col("norm")).alias("full"))
         alone = keyed.join(groups_of, ["len", "pre"], "left_anti")
     else:
-        hashed = keyed.select("carry", "id", "len", "pre", full_hash(F.col("norm")).alias("full"))
-        candidates = hashed.join(survivors, ["len", "pre"], "left_semi")
-        alone = hashed.join(survivors, ["len", "pre"], "left_anti")
+        full = F.when(F.col("maybe"), full_hash(F.col("norm")))
+        hashed = _maybe(keyed, survivors).select("carry", "id", "len", "pre", full.alias("full"))
+        read = hashed.filter("full IS NOT NULL")
+        candidates = read.join(survivors, ["len", "pre"], "left_semi")
+        alone = read.join(survivors, ["len", "pre"], "left_anti").unionByName(hashed.filter("full IS NULL"))
 
     groups = candidates.groupBy("len", "pre", "full").agg(
         F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -85,8 +102,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows that stay, with their own columns; of rows that repeat the kept id
     and text, one stays."""
-    out = exact_groups(docs, id_col, text_col, carry={"row": row_struct(docs), "norm": normalised(text_of(text_col))}).filter("kept")
+    out = exact_groups(docs, id_col, text_col, carry={"row": row_struct(docs), "digest": full_hash(normalised(text_of(text_col)))}).filter("kept")
     alone, several = out.filter("group_size = 1"), out.filter("group_size > 1")
-    once = several.dropDuplicates(["keep_id", "norm"])
+    once = several.dropDuplicates(["keep_id", "digest"])
     out = alone.select("row").unionByName(once.select("row"))
     return out.select(*unpack(out, "row", docs.columns))
