@@ -23,6 +23,7 @@ equal scores; an empty table gives an empty result; the input's columns travel i
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -36,7 +37,7 @@ from pyspark.sql import types as T
 from .common import col, least_by_hash, map_arrow, row_struct, text_of
 
 PER_CLASS = 1200             # labelled documents of each class that training reads at most
-MAX_CHARS = 20_000           # texts longer than this aren't used in training (they are scored)
+SAMPLE_CHARS = 12_000_000    # characters of whole texts that training reads at most, in the order of the ids' hash
 MIN_DOCS = 4                 # toxic documents in which a telling feature is found at least
 LOG_ODDS = 3.0               # how much more often a telling feature is found in toxic documents
 STEPS, RATE, DECAY = 60, 0.3, 1e-3
@@ -254,8 +255,9 @@ def spans_of(text: str, p: np.ndarray) -> list[dict]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
-    """Fit on at most ``per_class`` labelled documents of each class outside fold 0, the first by their ids' hash."""
+        per_class: int = PER_CLASS, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """Fit on at most ``per_class`` labelled documents of each class outside fold 0, the first by their ids' hash,
+    and of those on the first whose texts fit into ``sample_chars`` together; on whole texts, of any length."""
     marked = labels.select(col(id_col).alias("id"), col(label_col).cast("int").alias("y"), fold(id_col).alias("fold")).filter(
         "id IS NOT NULL AND y IN (0, 1) AND fold > 0")
     chosen = least_by_hash(marked.filter("y = 1"), "id", per_class).unionByName(
@@ -270,8 +272,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return constant
     ids = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in sorted(marks)], T.StructType([
         T.StructField("id", labels.schema[id_col].dataType)])))
-    texts = docs.select(col(id_col).alias("id"), text_of(text_col).alias("text")).filter(
-        F.length("text") <= max_chars).join(ids, "id").dropDuplicates(["id"]).orderBy("id").limit(2 * per_class).collect()
+    found = docs.select(col(id_col).alias("id"), text_of(text_col).alias("text")).join(ids, "id")
+    sizes = sorted({(zlib.crc32(str(r["id"]).encode()), r["id"]): r["n"] for r in found.groupBy("id").agg(F.max(F.length("text")).alias("n")).collect()}.items())
+    total, fit_in = 0, []
+    for (_, k), n in sizes:
+        if total + n <= sample_chars:
+            total, fit_in = total + n, [*fit_in, k]
+    few = docs.sparkSession.createDataFrame([(k,) for k in fit_in], T.StructType([T.StructField("id", labels.schema[id_col].dataType)]))
+    texts = found.join(F.broadcast(few), "id").groupBy("id").agg(F.min("text").alias("text")).orderBy("id").limit(2 * per_class).collect()
     read = [(lines_of(r["text"]), *marks[r["id"]], r["text"]) for r in texts]
     train = [(rows, y) for rows, y, k, _ in read if k > 1]
     held = [(t, y) for _, y, k, t in read if k == 1]
