@@ -13,9 +13,13 @@ from ..functions.columns import infer_channel, infer_channel_from_source, parse_
 from ..operators import identity as idt
 from ..functions.ranking import global_row_number
 from ..operators import ingest as ig
+from ..sources.sinks import KeyedTable, upsert_performance_days
+from ..sources.tables import drop_event_months, write_events
+from ..sources.versions import VersionedTable
+from ..streaming.ingest import scratch
 from .params import APP
 from .q_attribution import CH
-from .registry import register
+from .registry import BODIES, register
 
 NOW_EVENTS = "2024-01-20 00:00:00"
 RECEIVED = "2024-01-31 00:00:00"
@@ -449,6 +453,15 @@ def upsert_entities(t):
     return out.select("id", "external_id", "level", "name", "status", "city", "objective")
 
 
+def _performance_batch(t):
+    p = t.ad_performance_daily
+    ent = t.ad_entity.select(F.col("id").alias("ad_entity_id"), "external_id")
+    bat = (p.where((F.col("ad_entity_id") % 2 == 0) | (F.col("ad_entity_id") % 3 == 0)).join(ent, "ad_entity_id")
+           .select("app", "channel", "external_id", "stat_date", (F.col("spend_inr") + 1).alias("spend_inr"),
+                   "impressions", "clicks", "conversions", "conv_value_inr"))
+    return bat.unionByName(bat.where(F.col("external_id") == "s2").withColumn("external_id", F.lit("unknown-ad")))
+
+
 @register("upsert_performance", """
 WITH tgt AS (SELECT * FROM ad_performance_daily WHERE ad_entity_id % 3 <> 0),
  bat AS (SELECT p.app, e.channel, e.external_id, p.stat_date, p.spend_inr + 1 AS spend_inr, p.impressions FROM ad_performance_daily p
@@ -461,15 +474,42 @@ UNION ALL SELECT ad_entity_id, stat_date, CAST(spend_inr AS DOUBLE), CAST(impres
 def upsert_performance(t):
     p = t.ad_performance_daily
     tgt = p.where(F.col("ad_entity_id") % 3 != 0).withColumn("ingested_at", F.lit("2024-01-01").cast("timestamp_ntz"))
-    ent = t.ad_entity.select(F.col("id").alias("ad_entity_id"), "external_id")
-    bat = (p.where((F.col("ad_entity_id") % 2 == 0) | (F.col("ad_entity_id") % 3 == 0)).join(ent, "ad_entity_id")
-           .select("app", "channel", "external_id", "stat_date", (F.col("spend_inr") + 1).alias("spend_inr"),
-                   "impressions", "clicks", "conversions", "conv_value_inr"))
-    bat = bat.unionByName(bat.where(F.col("external_id") == "s2").withColumn("external_id", F.lit("unknown-ad")))
-    out = ig.upsert_performance(tgt, bat, t.ad_entity, ENTITY_NOW)
+    out = ig.upsert_performance(tgt, _performance_batch(t), t.ad_entity, ENTITY_NOW)
     return out.select("ad_entity_id", "stat_date", F.col("spend_inr").cast("double").alias("spend_inr"), "impressions")
 
 
+@register("upsert_performance_table", BODIES["upsert_performance"], ("ad_performance_daily",))
+def upsert_performance_table(t):
+    """U2 into a stored table: the days of the batch are replaced, the others' files stay."""
+    p = t.ad_performance_daily
+    stored = p.where(F.col("ad_entity_id") % 3 != 0).withColumn("ingested_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    table = VersionedTable(t.spark, scratch(t.spark, "performance"), stored.schema, "stat_date")
+    table.write(stored, [])
+    upsert_performance_days(table, _performance_batch(t), t.ad_entity, ENTITY_NOW)
+    return table.read().select("ad_entity_id", "stat_date", F.col("spend_inr").cast("double").alias("spend_inr"), "impressions")
+
+
+@register("ingest_events_table", BODIES["ingest_events"], ("app_event",))
+def ingest_events_table(t):
+    """S5 into a stored table by buckets of the event id: the stored events as one batch, then the new ones."""
+    target, batch = _event_target(t).withColumn("received_at", F.col("occurred_at")), _event_batch(t)
+    table = KeyedTable(t.spark, scratch(t.spark, "keyed-events"), ["event_id"], buckets=16)
+    table.insert(target, 0)
+    batch = batch.withColumn("occurred_at", ig.clamp_occurred_at(F.col("occurred_at"), F.lit(NOW_EVENTS).cast("timestamp_ntz")))
+    return table.insert(batch, 1, ["received_at"]).select("event_id", "occurred_at")
+
+
+@register("event_month_drop", """
+SELECT strftime(occurred_at + INTERVAL 330 MINUTE, '%Y_%m') AS event_month, count(*) AS rows FROM conversion_orders
+WHERE strftime(occurred_at + INTERVAL 330 MINUTE, '%Y_%m') BETWEEN '1997_06' AND '1998_08' GROUP BY 1""", ("conversion_orders",))
+def event_month_drop(t):
+    """U5 on a stored table of the orders: what is left after the months out of retention are dropped."""
+    path = scratch(t.spark, "months")
+    write_events(t.conversion_orders.withColumn("app", F.lit("services")), path)
+    drop_event_months(t.spark, path, "1998-06-15 00:00:00", 13)
+    return t.spark.read.parquet(path).groupBy("event_month").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @register("event_month_retention", """
 SELECT strftime(occurred_at + INTERVAL 330 MINUTE, '%Y_%m') AS event_month, count(*) AS rows,
   strftime(occurred_at + INTERVAL 330 MINUTE, '%Y_%m') BETWEEN '1997_06' AND '1998_08' AS retained

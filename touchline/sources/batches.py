@@ -24,19 +24,20 @@ from pyspark.sql import types as T
 EVERY = 16
 
 
-def _path(spark: SparkSession, path: str):
+def file_at(spark: SparkSession, path: str):
+    """Spark's file system for a path, and the path."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def names(spark: SparkSession, path: str) -> list[str]:
     """The names in a folder, none where it is missing; other failures are raised."""
-    fs, p = _path(spark, path)
+    fs, p = file_at(spark, path)
     return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    fs, p = _path(spark, path)
+    fs, p = file_at(spark, path)
     fs.delete(p, True)
 
 
@@ -107,6 +108,10 @@ class BatchTable:
         """The rows, with their ``batch`` (of combined rows the last one's), but those of the batch ``without``."""
         return self._read([p for p in self.parts() if without is None or (p.first, p.last) != (without, without)], schema)
 
+    def of_batch(self, schema: T.StructType | str, batch_id: int) -> DataFrame:
+        """The rows of one batch, from the part that holds it."""
+        return self._read([p for p in self.parts() if p.first <= batch_id <= p.last], schema).where(F.col("batch") == batch_id)
+
     def merge(self, parts: list[Part], schema: T.StructType) -> None:
         """Rewrite consecutive parts as one of the next level, and remove what earlier merges have covered."""
         every = self._every()
@@ -119,5 +124,5 @@ class BatchTable:
         if self.combine:
             rows = self.combine(rows.drop("batch")).withColumn("batch", F.lit(to.last).cast("long"))
         self._write(rows, to)
-        fs, p = _path(self.spark, f"{self.path}/{to.name}.done")
+        fs, p = file_at(self.spark, f"{self.path}/{to.name}.done")
         fs.create(p, True).close()                         # the commit

@@ -17,7 +17,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ingest import one_per_key, upsert_performance
 from ..session import checkpoint_dir
+from .batches import EVERY, BatchTable
+from .versions import VersionedTable
 
 
 def staging_path(df: DataFrame, name: str) -> str:
@@ -66,6 +69,39 @@ def append_new(df: DataFrame, target: str, key: list[str], partition_cols: list[
     return staged.count()
 
 
+KEY_BUCKETS = 256
+
+
+class KeyedTable:
+    """A table with unique keys (S5–S8): rows are stored by ``buckets`` of their key's hash, so
+    an insert reads the key columns of the buckets that its rows fall into, and no others. Batches
+    are numbered by the caller; a repeated batch replaces itself, or changes nothing once merged."""
+
+    def __init__(self, spark: SparkSession, path: str, key: list[str], buckets: int = KEY_BUCKETS, every: int | None = EVERY):
+        self.key, self.buckets = key, buckets
+        self.table = BatchTable(spark, path, ("key_bucket",), every)
+
+    def insert(self, batch: DataFrame, batch_id: int, order: list[str] | None = None) -> DataFrame:
+        """Store the rows whose key is new, one of each (the first by ``order``), and return them."""
+        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+        rows = one_per_key(batch, self.key, order).withColumn("key_bucket", bucket)
+        touched = [r["key_bucket"] for r in rows.select("key_bucket").distinct().collect()]      # at most ``buckets``
+        if not self.table.covered(batch_id):
+            known = self.table.read(rows.schema, without=batch_id).where(F.col("key_bucket").isin(touched)).select("key_bucket", *self.key)
+            self.table.write(rows.join(known, ["key_bucket", *self.key], "left_anti").select(*rows.columns), batch_id)
+        return self.table.of_batch(rows.schema, batch_id).select(*batch.columns)
+
+    def read(self, schema) -> DataFrame:
+        """The stored rows with their ``batch``."""
+        return self.table.read(schema)
+
+
+def upsert_performance_days(table: VersionedTable, batch: DataFrame, entities: DataFrame, now: str, order: list[str] | None = None) -> None:
+    """U2 into a table partitioned by ``stat_date``: only the batch's days are read and replaced, all at once."""
+    days = [r["stat_date"] for r in batch.select("stat_date").distinct().collect()]              # as many as the report's days
+    table.write(upsert_performance(table.read(days), batch, entities, now, order), days)
+
+
 def write_segment_refresh(segment_rows: list[dict], conversions: DataFrame, events: DataFrame | None,
                           app: str, now: str, target: str) -> DataFrame:
     """G16 sink: rebuild the membership of the given segments in one job,

@@ -10,12 +10,14 @@ the month from a timestamp predicate — so ``read_events`` adds the matching
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import day_window
-from ..operators.ingest import assign_event_month
+from ..operators.ingest import assign_event_month, retained_months
+from .batches import names, remove
 
 BUSINESS_ZONE = "Asia/Kolkata"
 
@@ -45,3 +47,25 @@ def read_events(spark: SparkSession, path: str, app: str, day_from: str, day_to:
     return (spark.read.parquet(path)
             .where((F.col("app") == app) & F.col("event_month").isin(*months_between(day_from, day_to))
                    & day_window("occurred_at", day_from, day_to)))
+
+
+def event_month_folders(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """``(folder, yyyy_MM)`` of the stored months, by their names alone; a table of merged
+    batches has them inside each part. Other names are left alone."""
+    tops = [path.rstrip("/")]
+    tops += [f"{tops[0]}/{n}" for n in names(spark, path) if re.fullmatch(r"(batch_id|run)=[-0-9_]+", n)]
+    found = []
+    for top in tops:
+        for app in [n for n in names(spark, top) if n.startswith("app=")]:
+            found += [(f"{top}/{app}/{n}", n[-7:]) for n in names(spark, f"{top}/{app}") if re.fullmatch(r"event_month=\d{4}_\d{2}", n)]
+    return found
+
+
+def drop_event_months(spark: SparkSession, path: str, now: str, months: int = 13) -> list[tuple[str, str]]:
+    """Remove the folders of the months that are not retained as of ``now``; no event
+    file is opened. Returns what was removed. Kept folders are not touched."""
+    keep = set(retained_months(now, months))
+    gone = [(folder, month) for folder, month in event_month_folders(spark, path) if month not in keep]
+    for folder, _ in gone:
+        remove(spark, folder)
+    return gone
