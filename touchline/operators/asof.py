@@ -25,7 +25,8 @@ source ties sort by the tie-break columns, so the last one wins
 deterministically. In both forms a task holds one key's rows for one time
 bucket: a hot key (a bot identity, a shared session) is spread over as many
 tasks as it has buckets, and no pair is ever materialised.
-``bucket_hours=None`` is the plain single-window sweep (partition by key).
+``bucket_hours=None`` is the plain single-window sweep (partition by key); ``choose_mode``
+takes it where no key has more rows than a task should get.
 
 **Range buckets** (``mode="range"``, or session conf
 ``touchline.asof.mode=range``) make the split independent of time: the
@@ -108,25 +109,29 @@ SMALL_BYTES = 256 << 20       # inputs below this can't hold a group too large f
 
 
 def choose_mode(inputs: list[tuple[DataFrame, list[str], str]], lookback_days: int, heavy_rows: int = HEAVY_ROWS,
-                small_bytes: int = SMALL_BYTES) -> str | None:
-    """``range`` where some key has more than ``heavy_rows`` rows in a bucket
-    of the replicated form, else None (the default form). ``inputs`` are
-    frames with their key columns and time column. Small inputs aren't
-    counted: by the planner's size estimate no group of theirs can be heavy.
-    All forms give the same rows; only the size of the tasks differs."""
+                small_bytes: int = SMALL_BYTES, sized_by: list[DataFrame] | None = None) -> str | None:
+    """The form whose tasks stay small, by the rows of the largest key: ``single`` (one window
+    a key, nothing is copied) where no key has more than ``heavy_rows``, None (the default, by time
+    buckets) where none has so many in one bucket, else ``range``. ``inputs`` are frames with their key
+    columns and time column. Inputs that the planner estimates below ``small_bytes`` aren't
+    counted: no key of theirs can be too large for a task (``sized_by``: frames to estimate by instead,
+    as the planner overrates joins). All forms give the same rows."""
     spark = inputs[0][0].sparkSession
     if spark.conf.get(MODE_CONF, None):
         return None
-    size = sum(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df, _, _ in inputs)
+    size = sum(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in sized_by or [df for df, _, _ in inputs])
     if size < small_bytes:
-        return None
+        return "single"
     groups = None
     for df, keys, ts in inputs:
         named = F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).cast("string").alias("key")) for k in keys])
         g = df.select(F.explode(named).alias("k"), _bucket(F.col(ts), lookback_days * 24).alias("b")).where("k.key IS NOT NULL")
         groups = g if groups is None else groups.unionByName(g)
-    top = groups.groupBy("k", "b").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).head()["n"]
-    return "range" if (top or 0) > heavy_rows else None
+    by_key = groups.groupBy("k", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.sum("n").alias("all"), F.max("n").alias("n"))
+    top = by_key.agg(F.max("all").alias("all"), F.max("n").alias("n")).head()
+    if (top["all"] or 0) <= heavy_rows:
+        return "single"
+    return "range" if top["n"] > heavy_rows else None
 
 
 def _mode(spark, mode: str | None, bucket_hours, lookback_days, forward: bool, carry: bool) -> tuple[str, int | None]:

@@ -169,7 +169,7 @@ def attributed_rows(touches: DataFrame, events: DataFrame, conversions: DataFram
                         "occurred_at", "campaign_key", "value_inr", "touch_id")
                 .where(F.col("id").isNotNull()))
     if mode is None and bucket_hours == "lookback":
-        mode = choose_mode([(stitched, ["id"], "occurred_at")], lookback_days)
+        mode = choose_mode([(stitched, ["id"], "occurred_at")], lookback_days, sized_by=[rows, lk])
     hit = asof_rows(stitched, key="id", ts="occurred_at", is_source=F.col("kind") == "touch",
                     row_id=F.concat_ws("\u0001", "kind", "row_id", "id"), source_tiebreak=["touch_id"],
                     source_cols=["campaign_key"], lookback_days=lookback_days, out="touch",

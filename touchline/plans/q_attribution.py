@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import attribution as at
+from ..operators.asof import choose_mode
 from .params import APP, LOOKBACK_DAYS, NOW
 from .registry import register
 
@@ -60,7 +61,19 @@ def last_touch(t):
 SELECT lt.id AS conv_id, lt.order_id, lt.touch_id, lt.tier FROM lt
 """, ("conversion", "attribution_touch"))
 def last_touch_single_window(t):
-    lt = at.last_touch(t.conversion, t.attribution_touch, APP, LOOKBACK_DAYS, bucket_hours=None)
+    """A1 by one window a key, unless a key has too many rows for a task: then by the form
+    that splits it."""
+    mode = choose_mode([(df, ["user_id", "session_id"], "occurred_at") for df in (t.conversion, t.attribution_touch)], LOOKBACK_DAYS, small_bytes=0)
+    lt = at.last_touch(t.conversion, t.attribution_touch, APP, LOOKBACK_DAYS, mode=mode)
+    return lt.select(F.col("id").alias("conv_id"), "order_id", F.col("touch.id").alias("touch_id"), "tier")
+
+
+@register("last_touch_replicated", f"""WITH {LAST_TOUCH_CTES}
+SELECT lt.id AS conv_id, lt.order_id, lt.touch_id, lt.tier FROM lt
+""", ("conversion", "attribution_touch"))
+def last_touch_replicated(t):
+    """A1 on the form of time buckets, each touch copied into the two that it can serve."""
+    lt = at.last_touch(t.conversion, t.attribution_touch, APP, LOOKBACK_DAYS, mode="replicate")
     return lt.select(F.col("id").alias("conv_id"), "order_id", F.col("touch.id").alias("touch_id"), "tier")
 
 
