@@ -80,6 +80,19 @@ def test_quality_classifier_on_held_out_documents(spark):
     assert got.kept[got.quality == 1].mean() > 0.98
 
 
+def test_both_views_teach_on_the_documents(spark):
+    """Each view labels pool rows, rightly for the most part, and the content view doesn't lose by it."""
+    from touchline.llm.common import stored
+    docs, labels = (spark.read.parquet(f"{LARGE}/{t}.parquet") for t in ("documents", "labels"))
+    table = stored(cotraining.measured(docs), "measures")
+    model = cotraining.fit(table, labels)
+    assert min(model.taught) >= 20, model.taught
+    got = cotraining.scored(table, model).filter("fold = 0").join(labels, table["id"] == labels["doc_id"]).select(
+        "content_score", "meta_score", "score", "quality").toPandas()
+    assert auc(got.meta_score, got.quality) > 0.5 and auc(got.content_score, got.quality) > 0.97
+    assert auc(got.score, got.quality) >= auc(got.content_score, got.quality) - 0.005
+
+
 def test_quality_classifier_edge_rows(spark, edge, empty):
     labels = spark.createDataFrame([(1, 0), (2, 1), (2, 0), (None, 1), (8, None)], "doc_id long, quality int")
     rows = cotraining.classify(edge, labels).collect()
@@ -100,7 +113,8 @@ def test_views_teach_each_other():
         return x
     xc, xm = view(y, cotraining.CONTENT, 2.0), view(y, cotraining.META, 2.0)
     pc, pm = view(pool, cotraining.CONTENT, 2.0), view(pool, cotraining.META, 2.0)
-    _, meta = cotraining.co_train(xc, xm, y, pc, pm)
+    _, meta, *taught = cotraining.co_train(xc, xm, y, pc, pm)
+    assert min(taught) > 0
     alone = cotraining._fit_view(cotraining.META, xm, y)
     right = lambda v: ((v.log_odds(pm) > 0) == pool).mean()
     assert right(meta) >= right(alone) and right(meta) > 0.95

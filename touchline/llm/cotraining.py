@@ -2,11 +2,11 @@
 
 The content view sees shares measured in the text (stop words, symbols, capitals,
 digits, distinct words, repeated lines, word length); the metadata view sees only
-the columns beside it (language, source, recorded length). Each is a logistic
-regression. Over a few rounds each scores a pool of unlabelled documents, and those
-it is surest of, of both classes and in the labels' proportion, join the other's
-training rows under the label it gave. Both scores are then calibrated on labelled
-documents kept apart, and combined by a regression of their log-odds.
+the columns beside it (language, source, recorded length by its magnitude). Each is a logistic
+regression. Over a few rounds each is calibrated on labelled documents kept apart and
+scores a pool of unlabelled ones, and those it is surest of, of both classes and at most in
+the labels' proportion, join the other's training rows under the label it gave. Both
+scores are then calibrated again and combined by a regression of their log-odds.
 
 The measures are one projection of built-in functions, written once as a narrow
 table; training reads bounded samples of it (``max_labelled``, ``max_pool`` rows, the
@@ -32,11 +32,12 @@ from .quality_rules import EDGE_PUNCTUATION, STOP_WORDS, SYMBOLS
 from .toxicity import fit_logistic, fold
 
 MAX_LABELLED, MAX_POOL = 6000, 10_000
-ROUNDS, PER_ROUND, SURE = 5, 200, 0.95
-LANG_CELLS, SOURCE_CELLS = 8, 16
+ROUNDS, PER_ROUND = 5, 200
+SURE = 0.8                   # of guessing by the labels' share, the chance of error up to which a view labels a row
+LANG_CELLS, SOURCE_CELLS, CHARS_CELLS = 8, 16, 18
 
 CONTENT = ("stop_share", "symbol_share", "capital_share", "digit_share", "distinct_share", "repeated_lines", "word_length")
-META = ("log_chars", "no_chars", *(f"lang_{k}" for k in range(LANG_CELLS)), *(f"source_{k}" for k in range(SOURCE_CELLS)))
+META = ("log_chars", "no_chars", *(f"chars_{k}" for k in range(CHARS_CELLS)), *(f"lang_{k}" for k in range(LANG_CELLS)), *(f"source_{k}" for k in range(SOURCE_CELLS)))
 
 
 def _content(text: Column) -> list[Column]:
@@ -64,7 +65,10 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
              source_col: str = "source", chars_col: str = "n_chars", carry: dict[str, Column] | None = None) -> DataFrame:
     """``carry`` (a struct), ``id``, ``fold`` and both views' measures of every row."""
     known = col(chars_col).cast("double")
-    meta = [F.log1p(F.coalesce(known, F.lit(0.0))).alias("log_chars"), known.isNull().cast("double").alias("no_chars"),
+    size = F.greatest(F.coalesce(known, F.lit(-1.0)), F.lit(-1.0))
+    magnitude = F.when(size >= 0, F.least(F.floor(F.log2(size + 1)), F.lit(CHARS_CELLS - 1)))
+    meta = [F.log1p(F.greatest(size, F.lit(0.0))).alias("log_chars"), known.isNull().cast("double").alias("no_chars"),
+            *[F.coalesce(magnitude == k, F.lit(False)).cast("double").alias(f"chars_{k}") for k in range(CHARS_CELLS)],
             *_cells(lang_col, "lang", LANG_CELLS), *_cells(source_col, "source", SOURCE_CELLS)]
     kept = F.struct(F.lit(0).alias("_"), *[c.alias(k) for k, c in (carry or {"row": row_struct(docs)}).items()])
     t = docs.select(kept.alias("carry"), col(id_col).alias("id"), fold(id_col).alias("fold"), *meta, text_of(text_col).alias("_text"))
@@ -105,35 +109,54 @@ class Model(NamedTuple):
     content: View | None
     meta: View | None
     blend: np.ndarray        # weights of the calibrated log-odds, then the constant
+    taught: tuple[int, int] = (0, 0)     # pool rows labelled by the content and the metadata view
 
 
 def _sure(view: View, x: np.ndarray, free: np.ndarray, share: float, per_round: int, sure: float) -> tuple[np.ndarray, np.ndarray]:
-    """Free pool rows of which the view is surest, and the labels it gives them."""
+    """Free pool rows of which the view is surest, by rank and at most in the labels' proportion, and the labels
+    it gives them: where its chance of error is at most ``sure`` times that of guessing by the labels' share."""
     p = 1 / (1 + np.exp(-np.clip(view.log_odds(x), -500, 500)))
     rows = np.flatnonzero(free)
     order = rows[np.argsort(p[rows], kind="stable")]
     n_good = int(round(per_round * share))
     good, bad = order[::-1][:n_good], order[:max(1, per_round - n_good)]
-    good, bad = good[p[good] >= sure], bad[p[bad] <= 1 - sure]
+    good, bad = good[1 - p[good] <= sure * (1 - share)], bad[p[bad] <= sure * share]
     return np.concatenate([good, bad]), np.concatenate([np.ones(len(good)), np.zeros(len(bad))])
 
 
-def co_train(xc: np.ndarray, xm: np.ndarray, y: np.ndarray, pool_c: np.ndarray, pool_m: np.ndarray, rounds: int = ROUNDS,
-             per_round: int = PER_ROUND, sure: float = SURE) -> tuple[View, View]:
-    """Both views after exchanging the pool rows they are sure of."""
-    share, free = float(y.mean()), np.ones(len(pool_c), bool)
+class Taught(NamedTuple):
+    """Both views, and how many pool rows the content and the metadata view have labelled."""
+    content: View
+    meta: View
+    by_content: int
+    by_meta: int
+
+
+def _calibrated(view: View, x: np.ndarray, y: np.ndarray) -> View:
+    return view.scaled(fit_logistic(view.log_odds(x)[:, None], y, decay=1.0))
+
+
+def co_train(xc: np.ndarray, xm: np.ndarray, y: np.ndarray, pool_c: np.ndarray, pool_m: np.ndarray, held: tuple[np.ndarray, ...] | None = None,
+             rounds: int = ROUNDS, per_round: int = PER_ROUND, sure: float = SURE) -> Taught:
+    """Both views after exchanging the pool rows they are sure of; ``held``: both views' measures and the labels of
+    the rows that calibrate them before they choose."""
+    share, free, given = float(y.mean()), np.ones(len(pool_c), bool), [0, 0]
     rows_c, y_c, rows_m, y_m = xc, y, xm, y
     for _ in range(rounds):
         content, meta = _fit_view(CONTENT, rows_c, y_c), _fit_view(META, rows_m, y_m)
-        for_meta, marks_m = _sure(content, pool_c, free, share, per_round, sure)
-        free[for_meta] = False
+        if held:
+            content, meta = _calibrated(content, held[0], held[2]), _calibrated(meta, held[1], held[2])
+        # the metadata view, the weaker one, chooses first: what both are sure of teaches the content view
         for_content, marks_c = _sure(meta, pool_m, free, share, per_round, sure)
         free[for_content] = False
+        for_meta, marks_m = _sure(content, pool_c, free, share, per_round, sure)
+        free[for_meta] = False
         if not len(for_meta) + len(for_content):
             break
+        given = [given[0] + len(for_meta), given[1] + len(for_content)]
         rows_m, y_m = np.concatenate([rows_m, pool_m[for_meta]]), np.concatenate([y_m, marks_m])
         rows_c, y_c = np.concatenate([rows_c, pool_c[for_content]]), np.concatenate([y_c, marks_c])
-    return _fit_view(CONTENT, rows_c, y_c), _fit_view(META, rows_m, y_m)
+    return Taught(_fit_view(CONTENT, rows_c, y_c), _fit_view(META, rows_m, y_m), *given)
 
 
 def _matrix(rows: list, names: tuple[str, ...]) -> np.ndarray:
@@ -154,10 +177,11 @@ def fit(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     if len(set(y)) < 2 or len(set(y_held)) < 2:
         share = float(np.mean([r["y"] for r in known])) if known else 1.0
         return Model(None, None, np.array([0.0, 0.0, np.log(max(share, 1e-9) / max(1 - share, 1e-9))]))
-    content, meta = co_train(_matrix(train, CONTENT), _matrix(train, META), y, _matrix(pool, CONTENT), _matrix(pool, META))
-    content, meta = (v.scaled(fit_logistic(v.log_odds(_matrix(held, v.names))[:, None], y_held, decay=1.0)) for v in (content, meta))
-    both = np.column_stack([v.log_odds(_matrix(held, v.names)) for v in (content, meta)])
-    return Model(content, meta, fit_logistic(both, y_held, decay=1.0))
+    apart = (_matrix(held, CONTENT), _matrix(held, META), y_held)
+    taught = co_train(_matrix(train, CONTENT), _matrix(train, META), y, _matrix(pool, CONTENT), _matrix(pool, META), apart)
+    content, meta = (_calibrated(v, x, y_held) for v, x in zip(taught[:2], apart))
+    both = np.column_stack([v.log_odds(x) for v, x in zip((content, meta), apart)])
+    return Model(content, meta, fit_logistic(both, y_held, decay=1.0), taught[2:])
 
 
 def _sigmoid(x: Column) -> Column:
