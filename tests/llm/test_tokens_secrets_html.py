@@ -68,6 +68,17 @@ def test_token_counts_match_the_library(edge, empty):
     assert token_counts.count_tokens(empty, MODEL).count() == 0
 
 
+def test_token_table_is_counted_on_all_whole_texts(spark, monkeypatch):
+    rows = [(f"short{i} rare",) for i in range(3000)] + [("common " * 9000,), (None,), ("x" * 500,)]
+    docs = spark.createDataFrame(rows, "text string").repartition(4)
+    sp, sent, send = sentencepiece(), [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(value) or send(value))
+    for cache_size in (token_counts.CACHE_SIZE, 5):
+        out = token_counts.count_tokens(docs, MODEL, table_size=2, cache_size=cache_size)
+        assert sent[-1] == {"▁common": len(sp.encode("common")), "▁rare": len(sp.encode("rare"))}
+        assert sorted(r["n_tokens"] for r in out.collect()) == sorted(len(sp.encode(t or "")) for t, in rows)
+
+
 def test_pre_token_lengths_add_up():
     sp, rng = sentencepiece(), random.Random(2)
     lengths = token_counts.Lengths(sp, {}, 1000)

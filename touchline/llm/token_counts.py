@@ -7,10 +7,11 @@ of word marks and the characters up to the next one. (:func:`check_model` tests
 this for the model in hand.)
 
 The first tier is a compact table of frequent pre-tokens and their token counts,
-broadcast to all executors; it is counted on a bounded sample of short texts, so its
-size never depends on the data. It only saves time: a pre-token that isn't in it is
-encoded by the second tier, a bounded cache in each Python worker. Both give the
-model's own counts, pre-tokens are never shuffled, and every whole text is counted.
+broadcast to all executors. The frequencies are those of all whole texts: each task adds
+up its pre-tokens, only these partial counts are shuffled, and a cut by frequency keeps
+the rows that meet in the last task to about the table's. A pre-token that isn't in the
+table is encoded by the second tier, a bounded cache in each Python worker. Both give
+the model's own counts, and every whole text is counted.
 
 Defined results: a null text counts as empty (no tokens); special strings in a text
 are ordinary text, as the library's default has it; an empty table gives an empty
@@ -29,13 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, row_struct, text_of
+from .common import map_arrow, row_struct, stored, text_of
 
 MARK = "▁"
 TABLE_SIZE = 1 << 15         # frequent pre-tokens in the broadcast table
-SAMPLE_ROWS = 2048           # rows they are counted on, about (a random share of the table)
-SAMPLE_CHARS = 1 << 14       # only texts up to this length are sampled
-CACHE_SIZE = 1 << 18         # pre-tokens in a worker's cache
+CACHE_SIZE = 1 << 18         # pre-tokens in a worker's cache, and in its partial counts
 MAX_KEY_CHARS = 64           # longer pre-tokens are encoded, but not kept
 _PRE_TOKEN = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
@@ -84,31 +83,47 @@ class Lengths(dict):
         return sum(map(self.__getitem__, pre_tokens(text))) + text.count("\n")
 
 
-def _frequent(docs: DataFrame, text: Column, model, table_size: int, sample_rows: int) -> list:
-    """The sample's most frequent pre-tokens with their token counts: at most ``table_size`` rows."""
-    share = min(1.0, sample_rows / max(1, docs.count()))
-    sample = docs.select(text.alias("text")).sample(share, seed=1).filter(F.length("text") <= SAMPLE_CHARS).repartition(1)
+def _frequent(docs: DataFrame, text: Column, model, table_size: int, held: int) -> list:
+    """The most frequent pre-tokens of all whole texts with their token counts: at most ``table_size`` rows.
+    A task hands its partial counts on once they are more than ``held``."""
+    def partial(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["w", "times"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 seen.update(w for w in pre_tokens(t) if len(w) <= MAX_KEY_CHARS)
+                if len(seen) > held:
+                    yield partial(seen)
+                    seen = Counter()
+        yield partial(seen)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = Lengths(processor(model.value), {}, 0)
-        words = sorted(w for w, _ in seen.most_common(table_size))
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([lengths[w] for w in words], pa.int32())], names=["w", "n"])
-    return map_arrow(sample, run, "w string, n int").limit(table_size).collect()
+        for batch in batches:
+            words = batch.column(0)
+            yield pa.RecordBatch.from_arrays([words, pa.array([lengths[w] for w in words.to_pylist()], pa.int32())], names=["w", "n"])
+
+    counts = stored(map_arrow(docs.select(text.alias("text")), tally, "w string, times long").groupBy("w").agg(F.sum("times").alias("times")), "pre_tokens")
+    words = least = 0
+    for r in counts.groupBy("times").agg(F.count("*").alias("words")).orderBy(F.desc("times")).limit(table_size).collect():
+        words, least = words + r["words"], r["times"]
+        if words >= table_size:
+            break
+    top = counts.filter(F.col("times") >= least).orderBy(F.desc("times"), "w").limit(table_size)
+    return map_arrow(top.select("w"), encode, "w string, n int").collect()
 
 
 def count_tokens(docs: DataFrame, model_file: str, text_col: str = "text", carry: dict[str, Column] | None = None,
-                 table_size: int = TABLE_SIZE, sample_rows: int = SAMPLE_ROWS, cache_size: int = CACHE_SIZE) -> DataFrame:
+                 table_size: int = TABLE_SIZE, cache_size: int = CACHE_SIZE) -> DataFrame:
     """One row per input row: ``row`` (or the ``carry`` columns), ``n_bytes`` and ``n_tokens``."""
     sc = docs.sparkSession.sparkContext
     with open(model_file, "rb") as f:
         data = f.read()
     check_model(data)
     model = sc.broadcast(data)
-    table = sc.broadcast(dict(map(tuple, _frequent(docs, text_of(text_col), model, table_size, sample_rows))))
+    table = sc.broadcast(dict(map(tuple, _frequent(docs, text_of(text_col), model, table_size, cache_size))))
     kept = [row_struct(docs).alias("row")] if carry is None else [c.alias(k) for k, c in carry.items()]
     packed = docs.select(*kept, F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"), text_of(text_col).alias("_text"))
     fields = packed.schema.fields[:-1]
